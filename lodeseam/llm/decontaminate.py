@@ -212,7 +212,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         return [batch.column(0), [len(d) for d in docs], hit, [len(x) for x in items], [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in items], [h > 0 for h in hit], items]
 
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.int64()))]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each_batch(run, *fields), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each_batch(run, *fields), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>")
 
 
 def _positions(text: bytes) -> list[tuple[int, int]]:

@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
     fields = list(zip(names, kinds, strict=True))[: 6 if with_ids else 5]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each_batch(cut, *fields), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each_batch(cut, *fields), schema)
 
 
 def plan(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> list[tuple[int, int, int, int, int]]:
