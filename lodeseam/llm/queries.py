@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, token_store
+from . import decontaminate, language_id, packing, quality, simhash, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(index, payloads=False).drop("payload")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~out))
+    return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op6_token_ids, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_warc_index, op4_language_id, op5_simhash_near_dedup, op6_token_ids, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 ORACLE_SQL = {
