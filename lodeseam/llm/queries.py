@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, quality, simhash, token_store, warc
+from . import decontaminate, language_id, packing, quality, simhash, substrings, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(_table(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_index, op4_language_id, op5_simhash_near_dedup, op6_token_ids, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_warc_index, op4_language_id, op5_simhash_near_dedup, op6_token_ids, op7_substring_dedup, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 ORACLE_SQL = {
