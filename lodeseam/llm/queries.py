@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, quality, simhash, substrings, token_store, warc
+from . import decontaminate, language_id, licenses, lines, packing, quality, simhash, substrings, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(_table(spark, sf_dir, "pages"))
     return warc.read(index, payloads=False).drop("payload")
@@ -48,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_index, op4_language_id, op5_simhash_near_dedup, op6_token_ids, op7_substring_dedup, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_warc_index, op4_language_id, op5_simhash_near_dedup, op6_token_ids, op7_substring_dedup, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 ORACLE_SQL = {
