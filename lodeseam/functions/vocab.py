@@ -59,6 +59,33 @@ METRIC_SYNONYMS = {
     "保额": ("基本保额", "保险金额"), "保费": ("保险费",), "犹豫期": ("冷静期", "撤销期"), "免赔额": ("免赔额", "赔付门槛"),
 }
 
+# Words that stand for others within a domain.
+DOMAIN_SYNONYMS = {
+    "financial_contracts": {
+        "违约": ("违约责任", "违约金", "逾期利息", "惩罚性赔偿", "违约情形"), "赎回": ("有条件赎回", "强制赎回", "赎回条款", "提前赎回"), "回售": ("回售选择权", "投资人回售", "回售条款"),
+        "转股": ("转股价格", "向下修正", "转股期限", "初始转股价"), "评级": ("主体信用评级", "债项评级", "AAA", "AA+", "AA"), "发行": ("发行金额", "发行规模", "募集金额", "注册金额"),
+        "担保": ("增信", "担保", "保证", "质押", "抵押"), "兑付": ("兑付日", "付息日", "到期日", "兑付安排"), "中介": ("受托管理人", "主承销商", "保荐机构", "簿记管理人"),
+    },
+    "financial_reports": {
+        "营收": ("营业收入", "营业总收入", "主营收入", "营收"), "利润": ("净利润", "归母净利润", "归属于母公司", "归属于上市公司股东", "利润总额", "营业利润"), "资产": ("总资产", "资产合计", "净资产", "归属于母公司股东权益"),
+        "现金流": ("经营现金流", "经营活动产生的现金流量净额", "筹资活动", "投资活动"), "每股": ("每股收益", "每股净资产", "每股股利", "每股分红"), "研发": ("研发投入", "研发费用", "研发占比", "研发投入占营业收入"),
+        "分红": ("现金分红", "利润分配", "股利分配", "每10股派"), "增速": ("同比增长", "同比下降", "同比", "增速", "增长率"),
+    },
+    "insurance": {
+        "犹豫期": ("犹豫期", "冷静期", "撤销期"), "等待期": ("等待期", "观察期", "免赔期"), "免赔额": ("免赔额", "起付线", "免赔"), "赔付": ("赔付", "给付", "报销", "理赔"), "保险责任": ("保险责任", "保障范围", "承保范围"),
+        "责任免除": ("责任免除", "免责条款", "除外责任", "不承担"), "现金价值": ("现金价值", "退保金", "解约金"), "保单贷款": ("保单贷款", "借款", "贷款比例"), "宽限期": ("宽限期", "续期", "续保"), "退保": ("退保", "解除合同", "终止合同"),
+        "重疾险": ("重大疾病", "重疾", "安佑福"), "医疗险": ("医疗", "e生保", "百万医疗"), "意外险": ("意外", "营运交通", "预防接种"), "家财险": ("家财", "家庭财产", "房屋"), "寿险": ("寿险", "智盈金生", "增益宝", "富鸿金生"),
+    },
+    "regulatory": {
+        "反洗钱": ("反洗钱", "客户身份识别", "受益所有人", "可疑交易", "大额交易"), "信息披露": ("信息披露", "定期报告", "临时报告", "董事会审议", "对外披露"), "上市公司": ("上市公司治理", "独立董事", "股东大会", "股东会", "董事会"),
+        "证券公司": ("证券公司分类", "分类评价", "风险覆盖率"), "银行卡": ("银行卡清算", "清算机构", "分支机构"), "支付机构": ("非银行支付", "支付机构", "收费标准"), "数据安全": ("数据安全", "核心数据", "高敏感性数据"),
+    },
+    "research": {
+        "市场规模": ("市场规模", "市场容量", "市场总额", "总规模"), "增速": ("复合增速", "增长率", "同比", "CAGR", "复合年增长率"), "份额": ("市场份额", "市占率", "占比"), "预测": ("预计", "预测", "展望", "前景"), "估值": ("PE", "PB", "估值", "市盈率", "市净率"),
+        "金融科技": ("金融科技", "信创", "银行IT", "金融信息化"), "光通信": ("光通信", "光模块", "光器件"), "新能源": ("新能源", "电动车", "锂电池", "碳酸锂", "宁德时代"), "保险": ("银保渠道", "寿险", "保费"), "网络安全": ("网络安全", "安全运营", "等保"), "芯片": ("芯片", "芯原", "IP授权", "芯片设计"),
+    },
+}
+
 # Phrases of a refusal, in citation checks and in answer metrics; hints of a question without an answer.
 REFUSALS = ("文档中未提及", "文档未提及", "文档中没有提到", "文档中找不到", "未找到相关证据", "无法从文档", "证据不足，无法", "均无证据支持")
 OUTPUT_REFUSALS = ("文档中未提及", "文档未提及", "文档中没有", "未找到相关证据", "无法从文档", "证据不足")

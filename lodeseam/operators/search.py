@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..functions.text import CJK
-from ..functions.vocab import ALIASES, BASE_B, BASE_K1, DOMAINS, METRIC_SYNONYMS, STOPWORDS, STRONG_PHRASES, TABLE_BONUS
+from ..functions.vocab import ALIASES, BASE_B, BASE_K1, DOMAIN_SYNONYMS, DOMAINS, METRIC_SYNONYMS, STOPWORDS, STRONG_PHRASES, TABLE_BONUS
 from . import postings
 
 #: Share of the mean idf that a term in over half of the chunks gets.
@@ -29,11 +29,21 @@ def expand(text: Column, words: Column, synonyms: dict[str, tuple[str, ...]] | N
     return F.concat(words, F.array_except(more, words))
 
 
-def query_terms(questions: DataFrame, synonyms: dict | None = None, stopwords=STOPWORDS) -> DataFrame:
-    """(qid, domain, term, times) of questions with `options` joined to the question text."""
+def expand_by_domain(text: Column, words: Column, domain: Column, tables: dict | None = None, most: int = 15, stopwords=STOPWORDS) -> Column:
+    """expand() with the synonyms of the question's own domain, at most `most` extras."""
+    out = words
+    for name, table in (DOMAIN_SYNONYMS if tables is None else tables).items():
+        out = F.when(domain == name, expand(text, words, table, most, stopwords)).otherwise(out)
+    return out
+
+
+def query_terms(questions: DataFrame, synonyms: dict | None = None, stopwords=STOPWORDS, by_domain: bool = False) -> DataFrame:
+    """(qid, domain, term, times) of questions with `options` joined to the question text, expanded by general and, if asked for, domain
+    synonyms."""
     whole = F.concat_ws(" ", F.col("question"), F.array_join(F.map_values("options"), " ")) if "options" in questions.columns else F.col("question")
-    words = expand(whole, extract.tokens(whole, stopwords), synonyms, stopwords=stopwords)
-    return questions.select("qid", "domain", F.explode(words).alias("term")).groupBy("qid", "domain", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = questions.select("qid", "domain", whole.alias("_t"), expand(whole, extract.tokens(whole, stopwords), synonyms, stopwords=stopwords).alias("_w"))
+    words = expand_by_domain(F.col("_t"), F.col("_w"), F.col("domain"), stopwords=stopwords) if by_domain else F.col("_w")
+    return asked.select("qid", "domain", F.explode(words).alias("term")).groupBy("qid", "domain", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def idf(tf: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -55,12 +65,12 @@ def in_scope(rows: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.join(bound, ["qid", "doc_id"], "left_semi").unionByName(rows.join(free, "qid", "left_semi"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1, b: float | Column = BASE_B, synonyms: dict | None = None, stopwords=STOPWORDS, tf: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1, b: float | Column = BASE_B, synonyms: dict | None = None, stopwords=STOPWORDS, tf: DataFrame | None = None, by_domain: bool = False) -> DataFrame:
     """(qid, domain, doc_id, chunk_id, bm25) of every chunk in scope that shares a term with the question."""
     tf = postings.term_frequency(chunks, stopwords) if tf is None else tf
     lengths = tf.groupBy(*postings.KEYED).agg(F.sum("tf").alias("n_terms"))
     mean = lengths.groupBy("domain").agg(F.avg("n_terms").alias("mean_terms"))
-    terms = query_terms(questions, synonyms, stopwords)
+    terms = query_terms(questions, synonyms, stopwords, by_domain)
     weights = terms.join(idf(tf, lengths), ["domain", "term"])
     # only postings of asked terms go on to the lengths
     hits = tf.join(weights.select("domain", "term", "qid", "times", "idf"), ["domain", "term"])
@@ -163,7 +173,7 @@ def score(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, stopw
     """(qid, domain, doc_id, chunk_id, has_table, bm25, numeric, phrase, entity, table_boost, score) of all candidates."""
     k1, b = (_of_domain("k1"), _of_domain("b")) if by_domain else (BASE_K1, BASE_B)
     key = ["qid", *postings.KEYED]
-    parts = [bm25(chunks, questions, k1, b, stopwords=stopwords, tf=tables.get("tf")), numeric_boost(chunks, questions, by_domain, tables.get("numbers")), phrase_boost(chunks, questions, by_domain, tables.get("phrases")), entity_boost(chunks, questions, by_domain, tables.get("entities"))]
+    parts = [bm25(chunks, questions, k1, b, stopwords=stopwords, tf=tables.get("tf"), by_domain=by_domain), numeric_boost(chunks, questions, by_domain, tables.get("numbers")), phrase_boost(chunks, questions, by_domain, tables.get("phrases")), entity_boost(chunks, questions, by_domain, tables.get("entities"))]
     names = ("bm25", "numeric", "phrase", "entity")
     # one sum over a union instead of three full joins
     rows = None
