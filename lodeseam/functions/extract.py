@@ -79,6 +79,15 @@ def clauses(text: Column) -> Column:
     return F.array_distinct(bare(found(text, CLAUSE)))
 
 
+def word_runs(text: Column, n: int = 2) -> Column:
+    """Distinct runs of n neighbouring words of the ranking: the phrases of texts without CJK."""
+
+    def runs(t: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda i: i + (n - 1) <= F.size(t)), lambda i: F.array_join(F.slice(t, i, n), " ")))
+
+    return let(tokens(text), runs)
+
+
 def phrase_keys(text: Column) -> Column:
     """Keys of the phrase index: phrases and clause references."""
     return F.array_union(phrases(text), clauses(text))

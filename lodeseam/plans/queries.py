@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import chunking, evalset, graph, judge, metrics, postings, search, tools, vector
+from ..operators import answering, chunking, entities, evalset, graph, judge, metrics, postings, search, tools, vector
 from ..sources import ingest, sinks
 from ..streaming import ingest as stream
 
@@ -144,9 +144,12 @@ def symbol_stats(spark, sf_dir):
     return postings.stats(postings.symbols(chunks_of(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, {_TOKENS.format('text')} AS w FROM documents), p AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] AS key FROM (SELECT chunk_id, w, unnest(range(1, len(w))) AS i FROM t))
+SELECT key, count(*) AS n_chunks FROM p GROUP BY 1 HAVING count(*) > 1""")
 def phrase_postings(spark, sf_dir):
-    return postings.phrase(chunks_of(spark, sf_dir)).select("key", "chunk_id")
+    """Word pairs, as the documents have no CJK phrases: in how many chunks each is, of those in several."""
+    pairs = postings.postings(chunks_of(spark, sf_dir), extract.word_runs(F.col("text")))
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks")).where("n_chunks > 1")
 
 
 def _words(spark, sf_dir, n):
@@ -421,6 +424,45 @@ def metric_pair_join(spark, sf_dir):
     return evalset.pair_join(pairs).select("chunk_id", "metric", "metric_b")
 
 
+@query("""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, printf('%.2f', o_totalprice) AS key FROM orders WHERE o_orderkey % 50 = 0)
+SELECT k, key, CAST(CAST(trunc(CAST(key AS DOUBLE) * 100) AS BIGINT) AS VARCHAR) AS hundreds, CAST(CAST(trunc(CAST(key AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR) AS ten_thousands, CAST(CAST(trunc(CAST(key AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR) AS millions FROM o""")
+def converted_numbers(spark, sf_dir):
+    """Decimal keys in smaller units, cut by double arithmetic."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").cast("string").alias("k"), F.format_string("%.2f", "o_totalprice").alias("key"))
+    return o.withColumn("c", extract.converted(F.col("key"))).select("k", "key", F.col("c")[1].alias("hundreds"), F.col("c")[2].alias("ten_thousands"), F.col("c")[3].alias("millions"))
+
+
+@query("""WITH o AS (SELECT 'c' || o_orderkey AS chunk_id, list_distinct([round(o_totalprice, 2) * 10000.0, trunc(o_totalprice / 10) * 10000.0, (o_custkey + 100) * 10000.0]) AS a FROM orders WHERE o_orderkey % 50 = 0)
+SELECT chunk_id, CAST(len(a) AS BIGINT) AS n, round(list_sum(a), 0) AS total FROM o""")
+def amount_keys(spark, sf_dir):
+    """Amounts of the metric texts in yuan."""
+    df = _metric_chunks(spark, sf_dir).select("chunk_id", F.filter(extract.amounts(F.col("text")), lambda a: a > 0).alias("a"))
+    return df.select("chunk_id", F.size("a").cast("long").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 0).alias("total"))
+
+
+@query("SELECT name, count(*) AS n FROM orders, (VALUES ('营业收入'), ('净利润'), ('研发费用')) AS v(name) WHERE o_orderkey % 50 = 0 GROUP BY 1")
+def metric_mentions(spark, sf_dir):
+    return entities.mentions(_metric_chunks(spark, sf_dir)).where("type = 'metric'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH x AS (SELECT event_id, list_filter(['A', 'B', 'C', 'D'], lambda c: ((event_id // CASE c WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 ELSE 8 END) % 2) = 1) AS gold, list_filter(['A', 'B', 'C', 'D'], lambda c: ((user_id // CASE c WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 ELSE 8 END) % 2) = 1) AS said FROM events)
+SELECT event_id, round(greatest(0.0, CAST(len(list_intersect(said, gold)) - len(list_filter(said, lambda c: NOT list_contains(gold, c))) AS DOUBLE) / len(gold)), 6) AS credit FROM x WHERE len(gold) > 0""")
+def multi_credit(spark, sf_dir):
+    """Part credit of several choices, gold and answer from the bits of two ids."""
+    letters = lambda c: F.array_join(F.array_compact(F.array(*[F.when(F.shiftright(c, k) % 2 == 1, x) for k, x in enumerate("ABCD")])), "")
+    df = table(spark, sf_dir, "events").select("event_id", letters("event_id").alias("gold"), letters("user_id").alias("said")).where("gold != ''")
+    return df.select("event_id", F.round(metrics.credit(F.col("gold"), F.col("said"), F.lit(False), F.lit("multi")), 6).alias("credit"))
+
+
+@query()
+def rule_answers(spark, sf_dir):
+    """Whole answers without a model on the metric texts: three options a question, one tampered."""
+    chunks = _metric_chunks(spark, sf_dir).where("chunk_no % 1000 = 0")
+    first = F.regexp_extract("text", "营业收入为([0-9.]+)", 1)
+    q = chunks.select(F.col("chunk_id").alias("qid"), "domain", F.concat("doc_id", F.lit("的营业收入与净利润")).alias("question"), F.create_map(F.lit("A"), F.concat(F.lit("营业收入为"), first, F.lit("万元")), F.lit("B"), F.concat(F.lit("净利润达到"), F.regexp_extract("text", "净利润达到([0-9]+)", 1), F.lit("万元")), F.lit("C"), F.lit("总额金额为500张")).alias("options"), F.lit("multi").alias("answer_format"), F.array("doc_id").alias("doc_ids"))
+    return answering.by_rules(_metric_chunks(spark, sf_dir), q)
+
+
 @query()
 def eval_items(spark, sf_dir):
     """Items of all kinds from the metric texts, with the reason of those that fail a gate."""
