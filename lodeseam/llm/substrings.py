@@ -5,9 +5,9 @@ A word goes if a window of `window` consecutive words covers it whose word seque
 1. Anchors: in each document, of the phrases of `phrase` words inside a window the one with the smallest hash. Equal
    windows have the same anchor at the same place, and neighbouring windows share one, so anchors are few.
 2. Anchors that occur twice or more (counted by partial aggregation) mark the windows that may recur.
-3. Confirm: hashes of those windows meet by anchor, in bounded groups; windows of an anchor with more than HOT
-   occurrences are counted one by one by partial aggregation instead, so a passage of a third of all documents is no
-   task's burden. Windows counted twice or more, joined where they overlap, are the recurring passages.
+3. Confirm: hashes of those windows meet by anchor, in bounded groups. Of an anchor with more than HOT occurrences,
+   equal runs of windows are counted first and then the windows of different runs, both by partial aggregation, so a
+   passage of a third of all documents is no task's burden. Windows counted twice or more, joined where they overlap, are the recurring passages.
 4. The passages go to the tasks that hold the documents which have one. Each task compiles Aho-Corasick automata of its
    passages over word ids, a bounded number of words at a time, streams its documents through them, and cuts every word
    inside an occurrence.
@@ -170,10 +170,16 @@ def passages(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Dat
             yield runs(*columns, lists)
 
     cold = candidates.where("anchor is not null").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(confirm, "k1 long, k2 long, first int, n int")
-    each = candidates.where("anchor is null").select("k1", "k2", F.posexplode("windows").alias("k", "window"), "first").select("k1", "k2", (F.col("first") + F.col("k")).alias("first"), "window")
-    sure = save(candidates.where("anchor is null").select(F.explode("windows").alias("window")).groupBy("window").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "sure")
-    hot = join_hot(each, sure, ["window"], "rows", "inner").select("k1", "k2", "first", F.lit(1).alias("n"))
-    return cold.unionByName(hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    cold = cold.select("k1", "k2", F.array(F.struct("first", "n")).alias("runs"))
+    # Runs of windows that are the same are counted before their windows are.
+    rows_of = candidates.where("anchor is null").withColumn("d1", F.xxhash64("windows")).withColumn("d2", F.xxhash64(F.lit(1), "windows"))
+    same = save(rows_of.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("times"), F.first("windows").alias("windows")), "same")
+    each = same.select("d1", "d2", "times", F.posexplode("windows").alias("k", "window"))
+    sure = save(each.groupBy("window").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 1").drop("times"), "sure")
+    kept = join_hot(each, sure, ["window"], "rows", "inner").groupBy("d1", "d2", "times").agg(F.collect_set("k").alias("ks"))
+    hot = join_hot(rows_of.select("k1", "k2", "first", "d1", "d2"), save(kept, "kept"), ["d1", "d2"], "times", "inner")
+    hot = hot.select("k1", "k2", F.transform("ks", lambda k: F.struct((F.col("first") + k).alias("first"), F.lit(1).alias("n"))).alias("runs"))
+    return cold.unionByName(hot).groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
 def _coded(ids: np.ndarray) -> str:
