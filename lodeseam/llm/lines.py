@@ -22,6 +22,8 @@ from .common import drop, join_hot, save, texts
 #: Documents that make a template recur; first words in a line's path; share of fixed words that a template has.
 MIN_DOCS, DEPTH, FIXED = 10, 3, 0.6
 
+# SHUFFLED: the joins of texts with what was found in them are merge joins at every size. The found side grows with the
+# corpus; sending it to all tasks while it is small would only make small runs unlike large ones.
 _DIGITS = b"0123456789"
 
 
@@ -93,7 +95,7 @@ def _recurring(rows: DataFrame, min_docs: int, depth: int, fixed: float) -> Data
                             column.extend(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["leaf", "line", "place", "word"])
 
-    holders = rows.select("text", "k1", "k2").join(wanted, ["k1", "k2"])
+    holders = rows.select("text", "k1", "k2").join(wanted.hint("merge"), ["k1", "k2"])  # see SHUFFLED
     spelled = holders.select("text", "wanted").mapInArrow(tokens, "leaf long, line long, place int, word long").distinct()  # rows may repeat
     words = save(spelled.join(parts.select("leaf", "line", "docs"), ["leaf", "line"]), "words")
     kept = save(words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") >= min_docs), "kept")
@@ -139,7 +141,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed:
                 columns[size] = pa.array(sizes, columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.join(drops, ["k1", "k2"], "left").select("row.*", F.col("drops").alias(mark)).mapInArrow(run, docs.schema)
+    return rows.join(drops.hint("merge"), ["k1", "k2"], "left").select("row.*", F.col("drops").alias(mark)).mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed: float = FIXED) -> DataFrame:
@@ -158,4 +160,4 @@ def report(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed:
                 out[2].append(hashlib.sha256(b"\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2])], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return rows.join(drops, ["k1", "k2"], "left").select("doc_id", "text", "drops").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.join(drops.hint("merge"), ["k1", "k2"], "left").select("doc_id", "text", "drops").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
