@@ -244,3 +244,20 @@ def shares(total: int, parts: dict[str, float]) -> dict[str, int]:
 
 def counts(items: DataFrame, *by: str) -> DataFrame:
     return items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Characters of amounts, words of ratios, and words that no metric's name has.
+MONEY_WORDS, RATIO_WORDS = ("收入", "利润", "金额", "资产", "费用", "成本", "余额"), ("收益率", "渗透率", "占有率")
+NO_METRIC = ("截至", "已经", "目前", "此外", "同时", "由于", "因此", "如果", "根据", "按照")
+
+
+def sane(metric: Column, number: Column, money: tuple[str, ...] = MONEY_WORDS) -> Column:
+    """Whether a metric and a number go together: no percentage for an amount, and nothing else for a ratio."""
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(metric, w))
+    share = F.trim(number).endswith("%") | F.trim(number).endswith("％")
+    return ~(share & has(money)) & ~(~share & has(RATIO_WORDS))
+
+
+def clean_name(metric: Column) -> Column:
+    """Whether a metric's name is fit for a question: 2 to 16 characters, no brackets or punctuation, no word of NO_METRIC."""
+    return F.char_length(metric).between(2, 16) & ~F.regexp_like(metric, F.lit("[（(）)：:，,、%％]")) & ~F.exists(F.array(*map(F.lit, NO_METRIC)), lambda w: F.contains(metric, w))

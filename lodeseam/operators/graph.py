@@ -75,3 +75,13 @@ def pack(ranked: DataFrame, most: int = 8, tables_a_document: int = 3, texts_a_d
     kept = ranked.withColumn("_k", in_doc).where(F.col("_k") <= F.when(F.col("has_table"), tables_a_document).otherwise(texts_a_document))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("has_table"), *order))
     return kept.withColumn("place", place).where(F.col("place") <= most).drop("_k")
+
+
+def save(node_rows: DataFrame, edge_rows: DataFrame, path: str) -> None:
+    """Write a graph as two tables, edges by relation."""
+    node_rows.write.mode("overwrite").parquet(f"{path}/nodes")
+    edge_rows.write.mode("overwrite").partitionBy("relation").parquet(f"{path}/edges")
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").select("src", "dst", "relation")

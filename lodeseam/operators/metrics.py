@@ -120,3 +120,27 @@ def report(rows: DataFrame, title: str) -> str:
 def merge_runs(old: DataFrame, new: DataFrame, key: str = "qid") -> DataFrame:
     """Answers of a retried run over those of an earlier one: a new row replaces the old one of its key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def two_paths(items: DataFrame, ranked: DataFrame, most: int = 15) -> DataFrame:
+    """Items (qid, source_doc, source_anchor) with doc_hit, anchor_hit and recall_rank among the first `most` of ranked evidence (qid,
+    doc_id, text, rank): the first rank of the source document, and whether one of its chunks has one of the anchors between
+    semicolons, with or without thousands commas."""
+    bare = lambda c: F.replace(c, F.lit(","), F.lit(""))
+    parts = F.filter(F.transform(F.split(F.coalesce("source_anchor", F.lit("")), "[;；]"), lambda p: F.trim(p)), lambda p: p != "")
+    rows = items.select("qid", "source_doc", parts.alias("_a")).join(ranked.where(F.col("rank") <= most), "qid").where(F.col("doc_id") == F.col("source_doc"))
+    met = F.exists("_a", lambda a: F.contains("text", a) | F.contains(bare(F.col("text")), bare(a)))
+    hits = rows.groupBy("qid").agg(F.min("rank").alias("recall_rank"), F.max(met).alias("anchor_hit"))
+    out = items.join(hits, "qid", "left")
+    return out.withColumn("doc_hit", F.col("recall_rank").isNotNull()).withColumn("anchor_hit", F.coalesce("anchor_hit", F.lit(False))).withColumn("recall_rank", F.coalesce("recall_rank", F.lit(0)).cast("int"))
+
+
+def source_check(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items (qid, source_doc, source_page, source_anchor) with anchor_ok, whether one of their anchors is in the document's pages (doc_id,
+    page_num, text), and page_ok, whether it is on the page named."""
+    bare = lambda c: F.replace(c, F.lit(","), F.lit(""))
+    parts = F.filter(F.transform(F.split("source_anchor", "[;；]"), lambda p: F.trim(p)), lambda p: p != "")
+    rows = items.select("qid", "source_page", F.col("source_doc").alias("doc_id"), parts.alias("_a")).join(pages.select("doc_id", "page_num", "text"), "doc_id")
+    met = F.exists("_a", lambda a: F.contains("text", a) | F.contains(bare(F.col("text")), bare(a)))
+    found = rows.groupBy("qid").agg(F.max(met).alias("anchor_ok"), F.max(met & (F.col("page_num") == F.col("source_page"))).alias("page_ok"))
+    return items.join(found, "qid", "left").withColumn("anchor_ok", F.coalesce("anchor_ok", F.lit(False))).withColumn("page_ok", F.coalesce("page_ok", F.lit(False)))

@@ -170,7 +170,8 @@ def entity_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True
 
 
 def score(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, stopwords=STOPWORDS, **tables) -> DataFrame:
-    """(qid, domain, doc_id, chunk_id, has_table, bm25, numeric, phrase, entity, table_boost, score) of all candidates."""
+    """(qid, domain, doc_id, chunk_id, has_table, bm25, numeric, phrase, entity, table_boost, score) of all candidates: chunks that share
+    anything with the question, and all chunks of the documents it names."""
     k1, b = (_of_domain("k1"), _of_domain("b")) if by_domain else (BASE_K1, BASE_B)
     key = ["qid", *postings.KEYED]
     parts = [bm25(chunks, questions, k1, b, stopwords=stopwords, tf=tables.get("tf"), by_domain=by_domain), numeric_boost(chunks, questions, by_domain, tables.get("numbers")), phrase_boost(chunks, questions, by_domain, tables.get("phrases")), entity_boost(chunks, questions, by_domain, tables.get("entities"))]
@@ -180,6 +181,10 @@ def score(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, stopw
     for name, df in zip(names, parts, strict=True):
         df = df.select(*key, *[(F.col(name) if n == name else F.lit(0.0)).cast("double").alias(n) for n in names])
         rows = df if rows is None else rows.unionByName(df)
+    if "doc_ids" in questions.columns:
+        # chunks of the named documents are candidates even if nothing matches
+        named = questions.select("qid", "domain", F.explode("doc_ids").alias("doc_id")).join(chunks.select(*postings.KEYED), ["domain", "doc_id"])
+        rows = rows.unionByName(named.select(*key, *[F.lit(0.0).alias(n) for n in names]))
     out = rows.groupBy(*key).agg(*[F.sum(n).alias(n) for n in names]).join(chunks.select(*postings.KEYED, "has_table"), list(postings.KEYED))
     out = out.withColumn("table_boost", F.when(F.col("has_table"), TABLE_BONUS).otherwise(0.0))
     return out.withColumn("score", F.col("bm25") + F.col("numeric") + F.col("phrase") + F.col("entity") + F.col("table_boost"))

@@ -126,3 +126,16 @@ def aliases(rows: DataFrame, blacklist, stopwords) -> DataFrame:
     df = rows.select(F.explode(F.split("alias_list", "[、，,]")).alias("alias"), full.alias("full_name")).withColumn("alias", F.trim("alias"))
     df = df.where((F.char_length("full_name") <= 40) & F.char_length("alias").between(3, 12) & ~F.col("alias").isin(*blacklist, *stopwords))
     return df.groupBy("alias").agg(F.count_distinct("full_name").alias("n"), F.min("full_name").alias("full_name")).where("n = 1").drop("n")
+
+
+def fingerprint(spark: SparkSession, path: str | list[str], **parameters: object) -> str:
+    """md5 of the names, sizes and times of the files and of the parameters that an index depends on; no content is read."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("n"), "length", F.col("modificationTime").cast("string").alias("t"))
+    listed = F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("|", "n", F.col("length").cast("string"), "t"))), F.lit(repr(sorted(parameters.items()))))
+    return files.agg(F.md5(listed).alias("f")).first()["f"]
+
+
+def answers(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """(qid, answer, refused, tokens) of answer files; of a repeated qid the last row."""
+    schema = "qid string, answer string, refused boolean, tokens long"
+    return last_wins(_json(spark, path, schema, lines).drop("_file").withColumn("_ord", F.monotonically_increasing_id()), "qid", "_ord").drop("_ord")

@@ -110,3 +110,50 @@ def test_graph_rankings(spark):
 def test_table_alignment(spark):
     df = spark.createDataFrame([("2024年占比66.38%", "|a|2022|b|66.38%|")], "o string, e string")
     assert df.select(judge.table_alignment(F.col("o"), F.col("e"))).first()[0] == -2.0
+
+
+def test_two_paths_and_source_check(spark):
+    items = spark.createDataFrame([("1", "a", 2, "1,234;x"), ("2", "b", 1, "none")], "qid string, source_doc string, source_page int, source_anchor string")
+    ranked = spark.createDataFrame([("1", "z", "1,234", 1), ("1", "a", "val 1234", 2), ("2", "a", "t", 1)], "qid string, doc_id string, text string, rank int")
+    from lodeseam.operators import metrics
+
+    got = {r.qid: (r.doc_hit, r.anchor_hit, r.recall_rank) for r in metrics.two_paths(items, ranked).collect()}
+    assert got == {"1": (True, True, 2), "2": (False, False, 0)}
+    pages = spark.createDataFrame([("a", 1, "1,234"), ("a", 2, "other")], "doc_id string, page_num int, text string")
+    assert {r.qid: (r.anchor_ok, r.page_ok) for r in metrics.source_check(items, pages).collect()} == {"1": (True, False), "2": (False, False)}
+
+
+def test_retrieval_answer_and_small_ones(spark, tmp_path):
+    from lodeseam.operators import evalset, graph
+    from lodeseam.sources import ingest
+
+    rows = [("1", "mcq", "A", "甲公司", "乙公司1,234", ""), ("1", "mcq", "B", "乙公司1,234", "乙公司1,234", ""), ("2", "tf", "A", "无", "有", None), ("3", "multi", "A", "x", "有", "x"), ("3", "multi", "B", "y", "有", ""), ("3", "multi", "C", "z", "有", "")]
+    df = spark.createDataFrame(rows, "qid string, answer_format string, option string, option_text string, evidence string, source_anchor string")
+    assert {r.qid: r.answer for r in judge.retrieval_answer(df).collect()} == {"1": "B", "2": "B", "3": "AB"}
+    one = spark.createDataFrame([('text {"answer": "AB", "evidence": ["x"]} end', ["short", "a rule that is long enough"], ["n", "name"])], "t string, r array<string>, n array<string>")
+    r = one.select(judge.audit_fields(F.col("t")).alias("a"), evidence.knowledge(F.col("r"), F.col("n")).alias("k"), evalset.sane(F.lit("营业收入"), F.lit("5%")).alias("s"), evalset.sane(F.lit("收益率"), F.lit("5%")).alias("s2"), evalset.clean_name(F.lit("净利润")).alias("c")).first()
+    assert r.a.answer == "AB" and r.k.rules == ["a rule that is long enough"] and r.k.names == ["name"] and (r.s, r.s2, r.c) == (False, True, True)
+    (tmp_path / "f.json").write_text('{"qid": "1", "answer": "A"}\n{"qid": "1", "answer": "B"}\n')
+    assert ingest.answers(spark, str(tmp_path / "f.json")).first().answer == "B"
+    a = ingest.fingerprint(spark, str(tmp_path / "f.json"), k=1)
+    assert a == ingest.fingerprint(spark, str(tmp_path / "f.json"), k=1) != ingest.fingerprint(spark, str(tmp_path / "f.json"), k=2)
+    c = chunks(spark)
+    graph.save(graph.nodes(c, postings.entity(c)), graph.sequence_edges(c), str(tmp_path / "g"))
+    assert graph.load(spark, str(tmp_path / "g"))[1].count() == 2
+
+
+def test_baselines_and_patience(spark):
+    c, q = chunks(spark), ask_df(spark)
+    assert answering.baseline("bare", c, q).count() == 0
+    v = spark.createDataFrame([("1", "b1", 1)], "qid string, chunk_id string, vec_rank int")
+    assert answering.baseline("vector", c, q, vectors=v).first().chunk_id == "b1"
+    assert answering.baseline("symbolic", c, q).count() == 2 and answering.baseline("full", c, q, 2).count() == 2
+    calls = []
+
+    def flaky(messages):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return {"content": "ok"}
+
+    assert answering.patient(flaky, wait=0)([])["content"] == "ok"
