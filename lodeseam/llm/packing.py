@@ -33,8 +33,8 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
         code = encoder(path or default_path())
         out: list[list] = [[] for _ in range(6)]
         with no_cycles():
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = code.ids(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), code.ids(t.as_py() or "" for t in batch.column(1)), strict=True):
+                ids += end
                 n, at = len(ids) // 4, 0
                 for k in range(-(-n // size)):
                     length = (n - 1) % size + 1 if k == 0 else size

@@ -146,7 +146,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     (shard int, file string, n_docs long, n_tokens long, start long), start being the ids of all shards before it.
 
     A null or empty text is the end id alone. Null doc_ids come first; rows of equal doc_id follow each other in order of
-    text. Other columns are ignored. An empty table gives no shard.
+    their texts' hashes, so that even one id with very many rows is dealt to several tasks. Other columns are ignored. An empty table gives no shard.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -157,14 +157,15 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
         shard = TaskContext.get().partitionId()
         with no_cycles():
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), code.ids(t.as_py() or "" for t in batch.column(1)), strict=True):
                     out = out or ShardWriter(folder, f"shard-{shard:06d}")
-                    out.add(doc, code.ids(text or "") + end)
+                    out.add(doc, ids + end)
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [out.path], "n_docs": [len(out.docs)], "n_tokens": [out.n]})
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    dealt = dealt.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     shards = save(dealt.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long"), "shards")
     rows, at = [], 0
     for r in shards.orderBy("shard").collect():  # a row for each partition
