@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .bpe import default_path, encoder, no_cycles
 from .common import each_batch, save, texts
 
-SIZE, END_ID, STEPS, PARTS = 1024, 2, 256, 64
+SIZE, END_ID, STEPS, PARTS = 1024, 2, 128, 64
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
