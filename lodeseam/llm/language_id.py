@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import each_batch
 
 DIMENSIONS, NGRAMS = 1 << 15, (1, 2, 3)
-#: At most so many documents a language are learned from, chosen by hash; languages beyond the most frequent are not learned.
-SAMPLE, LANGUAGES = 1200, 200
+#: At most so many documents a language, and about so many in all, are learned from, chosen by hash; languages beyond the
+#: most frequent are not learned.
+SAMPLE, SAMPLE_ALL, LANGUAGES = 1200, 12_000, 200
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 3
 UNKNOWN = "und"
 
@@ -129,8 +130,8 @@ def _calibrate(model: Model, data: list[tuple[np.ndarray, np.ndarray, int]]) ->
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labels in `lang`, from the rows of (doc_id, text, lang) whose text has a letter and whose lang is not null.
 
-    Document frequencies are of all these rows. Of each language about `sample` rows are learned from, those with the
-    smallest hash of id and text, 4 of 5 for the weights and the rest for the temperature.
+    Document frequencies are of all these rows. Of each language about `sample` rows (fewer if there are many languages, see
+    SAMPLE_ALL) are learned from, those with the smallest hash of id and text, 4 of 5 for the weights and the rest for the temperature.
     """
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
 
@@ -156,6 +157,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model(languages, np.log((1 + total) / (1 + frequency)) + 1, np.zeros((DIMENSIONS + 1, max(1, len(languages)))))
     if not languages:
         return model
+    sample = min(sample, max(1, SAMPLE_ALL // len(languages)))
     share = F.create_map(*[x for r in by_lang for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
     rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(rank < F.get(F.array(share[F.col("lang")]), F.lit(0))).select("doc_id", "text", "lang", rank.alias("r")).collect()
