@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder, no_cycles
-from .common import new_folder, save
+from .common import new_folder
 from .storage import create, open_at
 
 MAGIC = b"LSPF1\0\0\0"
@@ -166,9 +166,9 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     dealt = dealt.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
-    shards = save(dealt.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long"), "shards")
     rows, at = [], 0
-    for r in shards.orderBy("shard").collect():  # a row for each partition
+    # a row for each partition; its shard is whole in the shared folder by then
+    for r in sorted(dealt.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long").collect()):
         rows.append((*r, at))
         at += r.n_tokens
     return spark.createDataFrame(rows, "shard int, file string, n_docs long, n_tokens long, start long")
