@@ -200,7 +200,14 @@ def select(scored: DataFrame, questions: DataFrame, k: int = 8, per_document: in
     n_docs = F.size("doc_ids") if "doc_ids" in questions.columns else F.lit(0)
     df = scored.join(questions.select("qid", n_docs.alias("_docs")), "qid")
     order = (F.desc("score"), "doc_id", "chunk_id")
+    if vectors is not None:
+        df = df.join(vectors.select("qid", "chunk_id", "vec_rank"), ["qid", "chunk_id"], "left")
+    # Of a document nothing behind its first k chunks and its first table can be chosen, but for vector hits: the windows over a whole
+    # question see no more than that.
     df = df.withColumn("_in_doc", F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(*order)))
+    df = df.withColumn("_in_tables", F.row_number().over(Window.partitionBy("qid", "doc_id", "has_table").orderBy(*order)))
+    wanted = (F.col("_in_doc") <= max(k, per_document)) | (F.col("has_table") & (F.col("_in_tables") == 1))
+    df = df.where(wanted | F.col("vec_rank").isNotNull() if vectors is not None else wanted)
     quota = (F.col("_docs") > 1) & (F.col("_in_doc") <= per_document)
     df = df.withColumn("_first", quota).withColumn("_nth", F.sum(F.col("_first").cast("int")).over(Window.partitionBy("qid").orderBy(*order)))
     df = df.withColumn("_phase", F.when(F.col("_first") & (F.col("_nth") <= F.least(F.col("_docs") * per_document, F.lit(k))), 0).otherwise(1))
@@ -214,7 +221,6 @@ def select(scored: DataFrame, questions: DataFrame, k: int = 8, per_document: in
     df = df.withColumn("_is_best", F.coalesce(is_best, F.lit(False))).withColumn("_swap", F.coalesce(swap, F.lit(False)))
     df = df.withColumn("_chosen", (F.col("_chosen") & ~(F.col("_swap") & (F.col("rank") == F.col("_last")))) | F.col("_is_best")).withColumn("rank", F.when(F.col("_is_best"), F.col("_last")).otherwise(F.col("rank")))
     if vectors is not None:
-        df = df.join(vectors.select("qid", "chunk_id", "vec_rank"), ["qid", "chunk_id"], "left")
         first = F.min(F.when(~F.col("_chosen"), F.col("vec_rank"))).over(w)
         taken = F.coalesce(F.col("vec_rank") == first, F.lit(False)) & ~F.col("_chosen")
         df = df.withColumn("_taken", taken).withColumn("_any", F.max("_taken").over(w))
