@@ -179,7 +179,7 @@ def passages(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Dat
     kept = join_hot(each, sure, ["window"], "rows", "inner").groupBy("d1", "d2", "times").agg(F.collect_set("k").alias("ks"))
     hot = join_hot(rows_of.select("k1", "k2", "first", "d1", "d2"), save(kept, "kept"), ["d1", "d2"], "times", "inner")
     hot = hot.select("k1", "k2", F.transform("ks", lambda k: F.struct((F.col("first") + k).alias("first"), F.lit(1).alias("n"))).alias("runs"))
-    return cold.unionByName(hot).groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return cold.unionByName(hot).groupBy("k1", "k2").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def _coded(ids: np.ndarray) -> str:
