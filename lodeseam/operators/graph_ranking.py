@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract
 from .graph import fuse
+from .tools import few, scan
 
 __all__ = ["fuse", "idf_search", "keyword_fallback", "number_boost", "score_walk", "symbol_recall"]
 
-
 def _asked(questions: DataFrame) -> DataFrame:
     options = F.array_join(F.map_values("options"), " ") if "options" in questions.columns else F.lit("")
     return questions.withColumn("_q", F.concat_ws(" ", "question", options))
 
-
 def symbol_recall(questions: DataFrame, symbols: DataFrame, keywords: int = 10, keyword_weight: float = 0.3) -> DataFrame:
     """(qid, chunk_id, score): sum of the weights of shared symbols; the first ten keywords count 0.3 of theirs."""
     q = _asked(questions)
@@ -31,7 +29,6 @@ def symbol_recall(questions: DataFrame, symbols: DataFrame, keywords: int = 10,
     hits = rows.join(symbols, ["family", "symbol"])
     return hits.groupBy("qid", "chunk_id").agg(F.sum(F.col("weight") * F.when(F.col("family") == "keyword", keyword_weight).otherwise(1.0)).alias("score"))
 
-
 def idf_search(questions: DataFrame, scope: DataFrame, phrases: DataFrame, inverted: DataFrame, numbers: DataFrame) -> DataFrame:
     """(qid, chunk_id, score) within a scope (qid, chunk_id): CJK runs of 2 to 6 by min(ln(N / df) + 1, 10), N of the scope and df of
     the whole index: three times for phrase keys, once for keys between punctuation if their df differs; 50 for each number."""
@@ -48,7 +45,6 @@ def idf_search(questions: DataFrame, scope: DataFrame, phrases: DataFrame, inver
     rows = a.select("qid", "chunk_id", "w").unionByName(b.select("qid", "chunk_id", "w")).unionByName(c.select("qid", "chunk_id", "w"))
     return rows.join(scope.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_semi").groupBy("qid", "chunk_id").agg(F.sum("w").alias("score"))
 
-
 def score_walk(reached: DataFrame, chunks: DataFrame, names: DataFrame, entities: DataFrame, decay: float = 0.85, domain_boost: float = 1.5, table_boost: float = 1.3) -> DataFrame:
     """(qid, chunk_id, score) of chunks reached at a depth (qid, chunk_id, depth, domain): twice the share of three entities met, 0.3
     for each name in the text, decay by depth, and factors for the question's domain and for tables."""
@@ -59,17 +55,15 @@ def score_walk(reached: DataFrame, chunks: DataFrame, names: DataFrame, entities
     factor = F.pow(F.lit(decay), F.col("depth")) * F.when(F.col("_d") == F.col("domain"), domain_boost).otherwise(1.0) * F.when(F.col("has_table"), table_boost).otherwise(1.0)
     return df.select("qid", "chunk_id", (base * factor).alias("score"))
 
-
 def number_boost(scores: DataFrame, matches: DataFrame, factor: float = 5.0, missing: float = 50.0) -> DataFrame:
     """Scores (qid, chunk_id, score) times 1 + factor * m for m numbers met (qid, chunk_id, m); chunks without a score get missing * m."""
     joined = scores.join(matches, ["qid", "chunk_id"], "full")
     m = F.coalesce("m", F.lit(0))
     return joined.select("qid", "chunk_id", F.when(F.col("score").isNull(), missing * m).otherwise(F.col("score") * (1 + factor * m)).alias("score"))
 
-
 def keyword_fallback(questions: DataFrame, chunks: DataFrame, most: int = 8) -> DataFrame:
     """(qid, chunk_id, score, rank): chunks by how many of the question's keywords they have. For the few questions that nothing else
     answers: all of them are held against every chunk."""
     words = questions.select("qid", extract.cjk_keywords(F.col("question")).alias("_k"))
-    hits = chunks.join(F.broadcast(words), F.exists("_k", lambda k: F.contains("text", k))).select("qid", "chunk_id", F.size(F.filter("_k", lambda k: F.contains("text", k))).alias("score"))
+    hits = scan(words, chunks, F.exists("_k", lambda k: F.contains("text", k)), few(questions)).select("qid", "chunk_id", F.size(F.filter("_k", lambda k: F.contains("text", k))).alias("score"))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= most)

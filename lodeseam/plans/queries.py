@@ -165,7 +165,7 @@ h AS (SELECT qid, chunk_id, len(list_filter(words, lambda w: contains(text, w)))
 a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS rank FROM h WHERE hits = n) SELECT qid, chunk_id, rank FROM a WHERE rank <= 5""")
 def keyword_all(spark, sf_dir):
     chunks = chunks_of(spark, sf_dir)
-    hits = chunks.join(F.broadcast(_words(spark, sf_dir, 3)), F.forall("words", lambda w: F.contains("text", w))).select("qid", "chunk_id")
+    hits = chunks.join(_words(spark, sf_dir, 3), F.forall("words", lambda w: F.contains("text", w))).select("qid", "chunk_id")
     return tools._first(hits, 5, "chunk_id")
 
 
@@ -174,7 +174,7 @@ h AS (SELECT qid, chunk_id, CAST(len(list_filter(words, lambda w: contains(text,
 a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, chunk_id) AS rank FROM h WHERE hits > 0) SELECT qid, chunk_id, hits, rank FROM a WHERE rank <= 5""")
 def keyword_any_ranked(spark, sf_dir):
     chunks = chunks_of(spark, sf_dir)
-    hits = chunks.join(F.broadcast(_words(spark, sf_dir, 3)), F.exists("words", lambda w: F.contains("text", w)))
+    hits = chunks.join(_words(spark, sf_dir, 3), F.exists("words", lambda w: F.contains("text", w)))
     hits = hits.select("qid", "chunk_id", F.size(F.filter("words", lambda w: F.contains("text", w))).cast("long").alias("hits"))
     return tools._first(hits, 5, F.desc("hits"), "chunk_id")
 
