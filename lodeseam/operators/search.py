@@ -72,12 +72,13 @@ def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1,
     mean = lengths.groupBy("domain").agg(F.avg("n_terms").alias("mean_terms"))
     terms = query_terms(questions, synonyms, stopwords, by_domain)
     weights = terms.join(idf(tf, lengths), ["domain", "term"])
-    # only postings of asked terms go on to the lengths
-    hits = tf.join(weights.select("domain", "term", "qid", "times", "idf"), ["domain", "term"])
-    hits = in_scope(hits, questions).join(lengths, list(postings.KEYED)).join(F.broadcast(mean), "domain")
     k1, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (k1, b))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean_terms")))
-    return hits.groupBy("qid", *postings.KEYED).agg(F.sum(part).alias("bm25"))
+    # a posting's share is worked out once, before the questions that ask for its term multiply it
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean_terms")))
+    asked = tf.join(terms.select("domain", "term").distinct(), ["domain", "term"], "left_semi")
+    shares = asked.join(lengths, list(postings.KEYED)).join(F.broadcast(mean), "domain").select(*postings.KEYED, "term", share.alias("share"))
+    hits = in_scope(shares.join(weights.select("domain", "term", "qid", (F.col("times") * F.col("idf")).alias("weight")), ["domain", "term"]), questions)
+    return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.col("weight") * F.col("share")).alias("bm25"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:

@@ -32,8 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out a table that comes in fewer splits than there are cores, so only small ones."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.lit("corpus").alias("domain"), F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_no"), "text", F.contains("text", F.lit("|")).alias("has_table"), F.lit(1).alias("page"))
+    return spread(table(spark, sf_dir, "documents")).select(F.lit("corpus").alias("domain"), F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_no"), "text", F.contains("text", F.lit("|")).alias("has_table"), F.lit(1).alias("page"))
 
 
 def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
