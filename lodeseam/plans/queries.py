@@ -415,9 +415,13 @@ def stratified_sample(spark, sf_dir):
     return evalset.stratified(table(spark, sf_dir, "documents"), {"en": 30, "fr": 20, "de": 15}, "lang", "doc_id").select("lang", "doc_id")
 
 
+#: The orders that the SQL of metric_pair_join, amount_keys and metric_mentions is about (converted_numbers: the same).
+_OF_SQL = "chunk_no % 50 = 0"
+
+
 def _metric_chunks(spark, sf_dir):
-    """Sentences on an order's price and date in days, as texts with metrics."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    """Sentences on an order's price and date in days, as texts with metrics; all orders."""
+    o = table(spark, sf_dir, "orders")
     t = F.concat(F.lit("比亚迪2024年营业收入为"), F.format_string("%.2f", "o_totalprice"), F.lit("万元。净利润达到"), (F.col("o_totalprice") / 10).cast("long").cast("string"), F.lit("万元；研发费用约"), (F.col("o_custkey") + 100).cast("string"), F.lit("万元\n客户"), F.col("o_custkey").cast("string"), F.lit("家"))
     return o.select(F.lit("financial_reports").alias("domain"), F.concat(F.lit("annual_"), (F.col("o_orderkey") % 40).cast("string")).alias("doc_id"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("chunk_id"), t.alias("text"), F.lit(False).alias("has_table"), F.col("o_orderkey").alias("chunk_no"), F.lit(1).alias("page"))
 
@@ -426,7 +430,7 @@ def _metric_chunks(spark, sf_dir):
 v AS (SELECT chunk_id, 0 AS pos, '营业收入' AS metric, a AS x FROM o UNION ALL SELECT chunk_id, 1, '净利润', b FROM o UNION ALL SELECT chunk_id, 2, '研发费用', c FROM o)
 SELECT p.chunk_id, p.metric, q.metric AS metric_b FROM v p JOIN v q ON p.chunk_id = q.chunk_id AND p.pos < q.pos WHERE greatest(p.x, q.x) <= 10000.0 * least(p.x, q.x)""")
 def metric_pair_join(spark, sf_dir):
-    pairs = evalset.metric_pairs(_metric_chunks(spark, sf_dir), entities=("比亚迪",))
+    pairs = evalset.metric_pairs(_metric_chunks(spark, sf_dir).where(_OF_SQL), entities=("比亚迪",))
     return evalset.pair_join(pairs).select("chunk_id", "metric", "metric_b")
 
 
@@ -442,13 +446,13 @@ def converted_numbers(spark, sf_dir):
 SELECT chunk_id, CAST(len(a) AS BIGINT) AS n, round(list_sum(a), 0) AS total FROM o""")
 def amount_keys(spark, sf_dir):
     """Amounts of the metric texts in yuan."""
-    df = _metric_chunks(spark, sf_dir).select("chunk_id", F.filter(extract.amounts(F.col("text")), lambda a: a > 0).alias("a"))
+    df = _metric_chunks(spark, sf_dir).where(_OF_SQL).select("chunk_id", F.filter(extract.amounts(F.col("text")), lambda a: a > 0).alias("a"))
     return df.select("chunk_id", F.size("a").cast("long").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 0).alias("total"))
 
 
 @query("SELECT name, count(*) AS n FROM orders, (VALUES ('营业收入'), ('净利润'), ('研发费用')) AS v(name) WHERE o_orderkey % 50 = 0 GROUP BY 1")
 def metric_mentions(spark, sf_dir):
-    return entities.mentions(_metric_chunks(spark, sf_dir)).where("type = 'metric'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return entities.mentions(_metric_chunks(spark, sf_dir).where(_OF_SQL)).where("type = 'metric'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH x AS (SELECT event_id, list_filter(['A', 'B', 'C', 'D'], lambda c: ((event_id // CASE c WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 ELSE 8 END) % 2) = 1) AS gold, list_filter(['A', 'B', 'C', 'D'], lambda c: ((user_id // CASE c WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 ELSE 8 END) % 2) = 1) AS said FROM events)
@@ -463,10 +467,10 @@ def multi_credit(spark, sf_dir):
 @query()
 def rule_answers(spark, sf_dir):
     """Whole answers without a model on the metric texts: three options a question, one tampered."""
-    chunks = _metric_chunks(spark, sf_dir).where("chunk_no % 1000 = 0")
+    chunks = _metric_chunks(spark, sf_dir)
     first = F.regexp_extract("text", "营业收入为([0-9.]+)", 1)
     q = chunks.select(F.col("chunk_id").alias("qid"), "domain", F.concat("doc_id", F.lit("的营业收入与净利润")).alias("question"), F.create_map(F.lit("A"), F.concat(F.lit("营业收入为"), first, F.lit("万元")), F.lit("B"), F.concat(F.lit("净利润达到"), F.regexp_extract("text", "净利润达到([0-9]+)", 1), F.lit("万元")), F.lit("C"), F.lit("总额金额为500张")).alias("options"), F.lit("multi").alias("answer_format"), F.array("doc_id").alias("doc_ids"))
-    return answering.by_rules(_metric_chunks(spark, sf_dir), q)
+    return answering.by_rules(chunks, q)
 
 
 @query()
