@@ -3,7 +3,9 @@
 A line's path in the tree is its number of words and its first words; words with a digit count as one variable field.
 Below the path, a word stays if enough documents have it at its place, and becomes a variable field otherwise; a line
 whose fixed words are fewer than a share of all of them keeps its own words. What then recurs over enough documents is
-a template, and its lines are dropped, but for those of one document, so that no text is lost to the corpus.
+a template, and its lines are dropped, but for those of one document, so that no text is lost to the corpus. Lines that
+recur over enough documents by themselves count like others. The documents of a template are those with one of its lines
+and those of each recurring template, or line, that has its fixed words at their places.
 
 All counts come from partial aggregation, so the order of lines doesn't matter, and no task holds a whole leaf.
 """
@@ -50,6 +52,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("row", key[0].alias("doc_id"), key[1].alias("text"), F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit(1), *key).alias("k2"))
 
 
+def _wider(recurring: DataFrame, open_ones: DataFrame) -> DataFrame:
+    """(leaf, template, first_in): the templates whose fixed words a recurring one has as well, among others, and the first
+    document of such ones.
+
+    A leaf has as many sets of fixed places as its templates differ in; each recurring template is cut to each of them,
+    and what is left is met by hash, so no two templates are compared."""
+    places = open_ones.select("leaf", F.transform("fixed_at", lambda x: x["place"]).alias("places")).groupBy("leaf").agg(F.collect_set("places").alias("sets"))
+    sets = save(places.join(recurring.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaf"), "sets")
+    cut = join_hot(recurring.select("leaf", "template", "first_of", "fixed_at"), sets, ["leaf"], "n", "inner").select("leaf", F.col("template").alias("of"), "first_of", "fixed_at", F.explode("sets").alias("places"))
+    cut = cut.withColumn("left", F.filter("fixed_at", lambda x: F.array_contains(F.col("places"), x["place"]))).where("size(left) = size(places)")
+    total = F.aggregate("left", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x["h"].cast("decimal(38,0)")).cast("decimal(38,0)"))
+    return cut.select("leaf", "of", "first_of", F.xxhash64(F.lit("t"), total.cast("string")).alias("template")).where("template != of").groupBy("leaf", "template").agg(F.min("first_of").alias("first_in"))
+
+
 def _recurring(rows: DataFrame, min_docs: int, depth: int, fixed: float) -> DataFrame:
     """(k1, k2, drops): the lines to drop of every document that has any."""
 
@@ -76,10 +92,10 @@ def _recurring(rows: DataFrame, min_docs: int, depth: int, fixed: float) -> Data
     lines = save(each.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(first).alias("first")), "by_line")
     leaves = save(lines.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") >= min_docs), "leaves")
     alive = save(join_hot(lines, leaves.withColumn("several", F.col("n") > 1).drop("all"), ["leaf"], "n", "inner"), "alive")
-    whole = alive.where(F.col("docs") >= min_docs).select("leaf", "line", "docs", "first", F.col("line").alias("template"))
-    parts = save(alive.where(F.col("several") & (F.col("docs") < min_docs)).select("leaf", "line", "docs", "first"), "parts")
+    whole = alive.where(~F.col("several")).select("leaf", "line", "docs", "first")
+    parts = save(alive.where("several").select("leaf", "line", "docs", "first"), "parts")
 
-    # Words of one line of each kind that may become part of a template, from the document that has it first.
+    # Words of one line of each kind that is or may become part of a template, from the document that has it first.
     wanted = parts.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_set("line").alias("wanted"))
 
     def tokens(batches):
@@ -100,18 +116,25 @@ def _recurring(rows: DataFrame, min_docs: int, depth: int, fixed: float) -> Data
     words = save(spelled.join(parts.select("leaf", "line", "docs"), ["leaf", "line"]), "words")
     kept = save(words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") >= min_docs), "kept")
     told = join_hot(words, kept.drop("all").withColumn("fixed", F.lit(True)), ["leaf", "place", "word"], "n")
+    fixed_word = F.when(F.col("fixed"), F.xxhash64("place", "word"))
     shape = told.groupBy("leaf", "line").agg(
-        F.count("fixed").alias("n_fixed"), F.count(F.lit(1)).alias("n_words"), F.xxhash64(F.lit("t"), F.sum(F.when(F.col("fixed"), F.xxhash64("place", "word")).cast("decimal(38,0)")).cast("string")).alias("template")
-    )
-    general = parts.join(shape.where(F.col("n_fixed") >= fixed * F.col("n_words")), ["leaf", "line"]).select("leaf", "line", "docs", "first", "template")
-    counted = general.groupBy("leaf", "template").agg(F.sum("docs").alias("all"), F.min("first").alias("first_of"), F.count(F.lit(1)).alias("n")).where(F.col("all") >= min_docs)
-    general = join_hot(general, save(counted.drop("all"), "counted"), ["leaf", "template"], "n", "inner").select("leaf", "line", "docs", F.col("first_of").alias("first"))
-    dropped = save(whole.select("leaf", "line", "docs", "first").unionByName(general), "templates")
+        F.count("fixed").alias("n_fixed"), F.count(F.lit(1)).alias("n_words"), F.xxhash64(F.lit("t"), F.sum(fixed_word.cast("decimal(38,0)")).cast("string")).alias("template"),
+        F.collect_list(F.when(F.col("fixed"), F.struct("place", F.xxhash64("place", "word").alias("h")))).alias("fixed_at"),
+    )
+    shape = shape.where(F.col("n_fixed") >= fixed * F.col("n_words")).withColumn("fixed_at", F.array_sort("fixed_at")).withColumn("open", F.col("n_fixed") < F.col("n_words"))
+    general = save(parts.join(shape, ["leaf", "line"]).select("leaf", "line", "docs", "first", "template", "open", "fixed_at"), "general")
+    by_template = general.groupBy("leaf", "template").agg(F.sum("docs").alias("all"), F.min("first").alias("first_of"), F.count(F.lit(1)).alias("n"), F.first("open").alias("open"), F.first("fixed_at").alias("fixed_at"))
+    counted = save(by_template.where(F.col("open") | (F.col("all") >= min_docs)), "counted")
+    wider = save(_wider(counted.where(F.col("all") >= min_docs), counted.where("open")), "wider")
+    found_in = counted.select("leaf", "template", "all", "first_of", "n").join(wider, ["leaf", "template"], "left").where((F.col("all") >= min_docs) | F.col("first_in").isNotNull())
+    ready = save(found_in.select("leaf", "template", "n", F.least("first_of", "first_in").alias("first")), "ready")
+    general_of = join_hot(general.select("leaf", "line", "docs", "template"), ready, ["leaf", "template"], "n", "inner").select("leaf", "line", "docs", "first")
+    dropped = save(whole.unionByName(general_of), "templates")
 
     at = found.select("k1", "k2", F.explode(F.arrays_zip("at", "leaf", "line")).alias("x")).select("k1", "k2", "x.at", "x.leaf", "x.line")
     marked = join_hot(at, dropped.select("leaf", "line", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), "docs"), ["leaf", "line"], "docs", "inner").where("k1 != f1 or k2 != f2")
     out = save(marked.groupBy("k1", "k2").agg(F.collect_set("at").alias("drops")), "drops")
-    drop(found, lines, leaves, alive, parts, words, kept, dropped)
+    drop(found, lines, leaves, alive, parts, words, kept, general, counted, wider, ready, dropped)
     return out
 
 
