@@ -5,7 +5,8 @@ Below the path, a word stays if enough documents have it at its place, and becom
 whose fixed words are fewer than a share of all of them keeps its own words. What then recurs over enough documents is
 a template, and its lines are dropped, but for those of one document, so that no text is lost to the corpus. Lines that
 recur over enough documents by themselves count like others. The documents of a template are those with one of its lines
-and those of each recurring template, or line, that has its fixed words at their places.
+and those of each recurring template, or line, that has its fixed words at their places. A document counts once for a
+word at its place and once for a template, however many of its lines have it.
 
 All counts come from partial aggregation, so the order of lines doesn't matter, and no task holds a whole leaf.
 """
@@ -52,6 +53,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("row", key[0].alias("doc_id"), key[1].alias("text"), F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit(1), *key).alias("k2"))
 
 
+def _again(side_by_side: DataFrame, unsure: DataFrame, parts: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, key, again): how many further lines with the key documents have that have several.
+
+    side_by_side: (row_id, leaf, line) of documents' different lines in leaves where they have several; unsure: (leaf,
+    line, docs, key), of lines in fewer than min_docs documents. Lines in more, with null keys, tell join_hot() what is hot.
+    """
+    asked = unsure.groupBy("leaf", "line").agg(F.max("docs").alias("docs"), F.collect_list("key").alias("keys"))
+    asked = save(asked.unionByName(parts.where(F.col("docs") >= min_docs).select("leaf", "line", "docs"), allowMissingColumns=True), "asked")
+    met = join_hot(side_by_side, asked, ["leaf", "line"], "docs", "inner").where("keys is not null")
+    each = met.select("row_id", "leaf", F.explode("keys").alias("key")).groupBy("row_id", "leaf", "key").agg((F.count(F.lit(1)) - 1).alias("more"))
+    return each.where("more > 0").groupBy("leaf", "key").agg(F.sum("more").alias("again"))
+
+
+def _distinct(summed: DataFrame, again: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """`summed` with all its documents counted once, where there are `least`."""
+    once = F.col("all") - F.coalesce("again", F.lit(0))
+    return summed.drop("sure").join(again, keys, "left").withColumn("all", once).where(F.col("all") >= least).drop("again")
+
+
 def _wider(recurring: DataFrame, open_ones: DataFrame) -> DataFrame:
     """(leaf, template, first_in): the templates whose fixed words a recurring one has as well, among others, and the first
     document of such ones.
@@ -71,29 +91,34 @@ def _recurring(rows: DataFrame, min_docs: int, depth: int, fixed: float) -> Data
 
     def parse(batches):
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for text in texts(batch, 0):
-                numbers, leaves, lines = [], [], []
+                numbers, leaves, lines, of_leaf = [], [], [], {}
                 for k, line in enumerate(text.split(b"\n")):
                     if words := masked(line):
                         numbers.append(k)
-                        leaves.append(_path(words, depth))
-                        lines.append(_hash(words))
-                for column, x in zip(out, (numbers, leaves, lines), strict=True):
+                        leaves.append(leaf := _path(words, depth))
+                        lines.append(h := _hash(words))
+                        turns = of_leaf.setdefault(leaf, {})
+                        turns.setdefault(h, len(turns) + 1)
+                turns = [of_leaf[leaf][h] if len(of_leaf[leaf]) > 1 else 0 for leaf, h in zip(leaves, lines, strict=True)]
+                for column, x in zip(out, (numbers, leaves, lines, turns), strict=True):
                     column.append(x)
-            kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3)), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "k1", "k2", "at", "leaf", "line"])
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3, 4)), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "k1", "k2", "row_id", "at", "leaf", "line", "turn"])
 
-    parsed = rows.select("text", "doc_id", "k1", "k2").mapInArrow(parse, "doc_id long, k1 long, k2 long, at array<int>, leaf array<long>, line array<long>")
+    # turn: 0 for a document's only line of a leaf, else 1, 2, ... for its different lines there
+    parsed = rows.select("text", "doc_id", "k1", "k2", F.monotonically_increasing_id().alias("row_id")).mapInArrow(parse, "doc_id long, k1 long, k2 long, row_id long, at array<int>, leaf array<long>, line array<long>, turn array<int>")
     found = save(parsed, "lines")
-    each = found.select("doc_id", "k1", "k2", F.explode(F.array_distinct(F.arrays_zip("leaf", "line"))).alias("x")).select("doc_id", "k1", "k2", "x.leaf", "x.line")
+    each = found.select("doc_id", "k1", "k2", F.explode(F.array_distinct(F.arrays_zip("leaf", "line", "turn"))).alias("x")).select("doc_id", "k1", "k2", "x.leaf", "x.line", "x.turn")
+    side_by_side = found.select("row_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("leaf", "line", "turn"), lambda x: x["turn"] > 0))).alias("x")).select("row_id", "x.leaf", "x.line")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     # Lines with the documents that have them and the first of these; leaves with fewer documents than a template go at once.
-    lines = save(each.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(first).alias("first")), "by_line")
+    lines = save(each.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("turn") > 1).cast("long")).alias("later"), F.min(first).alias("first")), "by_line")
     leaves = save(lines.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") >= min_docs), "leaves")
     alive = save(join_hot(lines, leaves.withColumn("several", F.col("n") > 1).drop("all"), ["leaf"], "n", "inner"), "alive")
     whole = alive.where(~F.col("several")).select("leaf", "line", "docs", "first")
-    parts = save(alive.where("several").select("leaf", "line", "docs", "first"), "parts")
+    parts = save(alive.where("several").select("leaf", "line", "docs", "later", "first"), "parts")
 
     # Words of one line of each kind that is or may become part of a template, from the document that has it first.
     wanted = parts.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_set("line").alias("wanted"))
@@ -113,8 +138,14 @@ def _recurring(rows: DataFrame, min_docs: int, depth: int, fixed: float) -> Data
 
     holders = rows.select("text", "k1", "k2").join(wanted.hint("merge"), ["k1", "k2"])  # see SHUFFLED
     spelled = holders.select("text", "wanted").mapInArrow(tokens, "leaf long, line long, place int, word long").distinct()  # rows may repeat
-    words = save(spelled.join(parts.select("leaf", "line", "docs"), ["leaf", "line"]), "words")
-    kept = save(words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("all") >= min_docs), "kept")
+    words = save(spelled.join(parts.select("leaf", "line", "docs", "later"), ["leaf", "line"]), "words")
+    # Documents of a word: at most the sum over its lines, at least those of one line, and those whose first line of the leaf has it.
+    summed = [F.sum("docs").alias("all"), F.greatest(F.max("docs"), F.sum(F.col("docs") - F.col("later"))).alias("sure"), F.count(F.lit(1)).alias("n")]
+    kept = save(words.groupBy("leaf", "place", "word").agg(*summed).where(F.col("all") >= min_docs), "summed_words")
+    spelling = F.struct("place", "word").alias("key")
+    unsure = join_hot(words, kept.where(F.col("sure") < min_docs).select("leaf", "place", "word", "n", F.lit(True).alias("unsure")), ["leaf", "place", "word"], "n", "inner")
+    twice = save(_again(side_by_side, unsure.select("leaf", "line", "docs", spelling), parts, min_docs).select("leaf", "key.place", "key.word", "again"), "twice")
+    summed_words, kept = kept, save(_distinct(kept, twice, ["leaf", "place", "word"], min_docs), "kept")
     told = join_hot(words, kept.drop("all").withColumn("fixed", F.lit(True)), ["leaf", "place", "word"], "n")
     fixed_word = F.when(F.col("fixed"), F.xxhash64("place", "word"))
     shape = told.groupBy("leaf", "line").agg(
@@ -122,9 +153,13 @@ def _recurring(rows: DataFrame, min_docs: int, depth: int, fixed: float) -> Data
         F.collect_list(F.when(F.col("fixed"), F.struct("place", F.xxhash64("place", "word").alias("h")))).alias("fixed_at"),
     )
     shape = shape.where(F.col("n_fixed") >= fixed * F.col("n_words")).withColumn("fixed_at", F.array_sort("fixed_at")).withColumn("open", F.col("n_fixed") < F.col("n_words"))
-    general = save(parts.join(shape, ["leaf", "line"]).select("leaf", "line", "docs", "first", "template", "open", "fixed_at"), "general")
-    by_template = general.groupBy("leaf", "template").agg(F.sum("docs").alias("all"), F.min("first").alias("first_of"), F.count(F.lit(1)).alias("n"), F.first("open").alias("open"), F.first("fixed_at").alias("fixed_at"))
-    counted = save(by_template.where(F.col("open") | (F.col("all") >= min_docs)), "counted")
+    general = save(parts.join(shape, ["leaf", "line"]).select("leaf", "line", "docs", "later", "first", "template", "open", "fixed_at"), "general")
+    by_template = general.groupBy("leaf", "template").agg(*summed, F.min("first").alias("first_of"), F.first("open").alias("open"), F.first("fixed_at").alias("fixed_at"))
+    summed_templates = save(by_template.where(F.col("open") | (F.col("all") >= min_docs)), "summed_templates")
+    doubtful = summed_templates.where((F.col("all") >= min_docs) & (F.col("sure") < min_docs)).select("leaf", "template", "n", F.lit(True).alias("unsure"))
+    unsure = join_hot(general.select("leaf", "line", "docs", "template"), doubtful, ["leaf", "template"], "n", "inner")
+    repeated = save(_again(side_by_side, unsure.select("leaf", "line", "docs", F.col("template").alias("key")), parts, min_docs).withColumnRenamed("key", "template"), "repeated")
+    counted = save(_distinct(summed_templates, repeated, ["leaf", "template"], 0), "counted")
     wider = save(_wider(counted.where(F.col("all") >= min_docs), counted.where("open")), "wider")
     found_in = counted.select("leaf", "template", "all", "first_of", "n").join(wider, ["leaf", "template"], "left").where((F.col("all") >= min_docs) | F.col("first_in").isNotNull())
     ready = save(found_in.select("leaf", "template", "n", F.least("first_of", "first_in").alias("first")), "ready")
@@ -134,7 +169,7 @@ def _recurring(rows: DataFrame, min_docs: int, depth: int, fixed: float) -> Data
     at = found.select("k1", "k2", F.explode(F.arrays_zip("at", "leaf", "line")).alias("x")).select("k1", "k2", "x.at", "x.leaf", "x.line")
     marked = join_hot(at, dropped.select("leaf", "line", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), "docs"), ["leaf", "line"], "docs", "inner").where("k1 != f1 or k2 != f2")
     out = save(marked.groupBy("k1", "k2").agg(F.collect_set("at").alias("drops")), "drops")
-    drop(found, lines, leaves, alive, parts, words, kept, general, counted, wider, ready, dropped)
+    drop(found, lines, leaves, alive, parts, words, summed_words, twice, kept, general, summed_templates, repeated, counted, wider, ready, dropped)
     return out
 
 

@@ -40,7 +40,29 @@ def brute(rows, least=10):
     return {d: "\n".join(" ".join(w) for w in ls if keeper.get(tuple(w), d) == d) for d, ls in docs}
 
 
-COUNT = len
+def COUNT(ds):
+    """Documents, each once."""
+    return len(set(ds))
+
+
+def test_lines_of_one_document_are_no_recurring_template(spark):
+    shape = "Mail was sent to {} at noon today"
+    names = [chr(97 + k) * 4 for k in range(12)]
+    rows = [(1, shape.format("zz")), (2, "\n".join(shape.format(n) for n in names))]
+    assert {r.doc_id: r.text for r in lines.clean(table(spark, rows)).collect()} == dict(rows) == brute(rows)
+    # ten documents make one, also where each has several of its lines
+    rows = [(k, "\n".join(shape.format(f"{n}{chr(97 + k)}") for n in names[:3])) for k in range(10)]
+    assert {r.doc_id: r.text for r in lines.clean(table(spark, rows)).collect()} == {0: rows[0][1], **dict.fromkeys(range(1, 10), "")} == brute(rows)
+    assert {r.doc_id: r.text for r in lines.clean(table(spark, rows[:9])).collect()} == dict(rows[:9])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_several_lines_of_a_leaf_in_a_document_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(["aa", "bb", "cc", rng.choice("ppppqr"), rng.choice("pppq"), f"w{chr(97 + rng.randrange(26))}"]) for _ in range(150)]
+    rows = [(k, "\n".join(rng.choices(pool, k=rng.choice([1, 4, 12])))) for k in range(22)]
+    want = brute(rows)
+    assert {r.doc_id: r.text for r in lines.clean(table(spark, rows)).collect()} == want != dict(rows)
 
 
 def test_a_hot_spelling_counts_for_its_template(spark):
