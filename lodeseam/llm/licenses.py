@@ -68,6 +68,28 @@ LICENSES = (
     ("ISC", _ISC + _ISC_END), ("ISC", "ISC License\n" + _ISC + _ISC_END), ("0BSD", _0BSD + _ISC_END), ("0BSD", "BSD Zero Clause License\n" + _0BSD + _ISC_END),
     ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB),
 )
+# Digests of whole licences whose texts are too long to have here, and, where a text ends its terms with END OF
+# TERMS AND CONDITIONS, of it without what follows.
+DIGESTS = (
+    ("Apache-2.0", "317c76c67d1b5a0f68745be55f03f555674c25ecf6fc0b25606115a9f23d3fba"),
+    ("Apache-2.0", "167e57de85ce596271fa156abe164e33aa1e59ae69611a53292948d2c3f74af4"),
+    ("CC0-1.0", "6e4a79b7eaf2cdc3879a899ef330c98026c9d697ee87d41a28ac5159e8e53348"),
+    ("GPL-1.0", "160c74cee4013ca5418bd3648b4e205c6e0d38b5507407deffe7f5a5a9f31b60"),
+    ("GPL-1.0", "47dcf5c10086f453e4166de00ce28e8af707c039d0ef0a906825c6276417bd5a"),
+    ("GPL-2.0", "652aa03b0e13f5393ad2f49e9e203ef509d88747d904ab36b7ff23bc92c4a6f6"),
+    ("GPL-2.0", "556e1aeccc7c80efead9e3ea7de1a97d6750abd7a671ad06221f910b2523f6ec"),
+    ("GPL-3.0", "f6eaf8069e6992495ee63002d3cf837d745ad9c33d0c2129f4dd67750ebe0094"),
+    ("GPL-3.0", "7e1ec759902e79fd98df32aeafb56e0fcc9348cebf7b52c7a875052ac012ad4a"),
+    ("LGPL-2.0", "8349d2d0849c7e150bf2dff6d6aa2ccedee6d7cba3e5e36ba0fa62972b7ca7f3"),
+    ("LGPL-2.0", "de5b6741a0033c388f6503798d50262c64399e3084206c7ee1df73d938d7450a"),
+    ("LGPL-2.1", "34ecfdc448379398faf1f3a512730b0bb881c05b09c352856d683f8001122cee"),
+    ("LGPL-2.1", "4ce3618a341bbe3abe22294d722e719fb9d047fa281050be13fc91661be5943a"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "c81cf644b8b48332b1d1dc265a0378c5e2dff30ecd1d4c5441f6f2d8a8da0525"),
+    ("MPL-2.0", "bd1a81bec226fe81e2ab806625fb3d10956ca4d5eac5451b973322bd49a3463d"),
+    ("GFDL-1.2", "b8a2445605b1deccba655f9c9e334bc6d85e8437a920bcbbcee2a3851c84a4e2"),
+    ("GFDL-1.3", "c0d151f99548ceea3fa31d97247c0f89eb3d76623b711693a83b9684b7fb3839"),
+)
 # One-line notices.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -83,6 +105,8 @@ NOTICES = (
 )
 
 _OTHER = re.compile(r"[\W_]+")
+# Comment marks before a copyright line.
+_MARK = re.compile(r"\s*(?:#+|/?\*+|//+!?|;+|%+|--+|<!--+)\s*")
 _COPYRIGHT = re.compile(r"\s*(?:copyright\b(?!\s+(?:holder|owner|notice))|\(c\)|©|all rights reserved\b)")
 
 
@@ -94,7 +118,16 @@ def canonical_line(line: str) -> str:
 
 def canonical_lines(text: str) -> list[str]:
     """Canonical lines with a word, without copyright lines."""
-    return [c for line in text.lower().split("\n") if not (line.lstrip()[:1] in "c(©a" and _COPYRIGHT.match(line)) and (c := canonical_line(line))]
+    return [c for line in text.lower().split("\n") if not _of_copyright(line) and (c := canonical_line(line))]
+
+
+def _of_copyright(line: str) -> bool:
+    """Whether a line, without a comment mark, is a copyright line; `line` must be lower-case."""
+    first = line.lstrip()[:1]
+    if first in "#*/;%-<" and (mark := _MARK.match(line)):
+        line = line[mark.end() :]
+        first = line[:1]
+    return first in "c(©a" and bool(_COPYRIGHT.match(line))
 
 
 def digest(canonical: str) -> str:
@@ -103,15 +136,16 @@ def digest(canonical: str) -> str:
 
 def known() -> tuple[dict[str, str], dict[str, str]]:
     """Digest -> licence, of whole texts and of one-line notices."""
-    return {digest(" ".join(canonical_lines(t))): n for n, t in LICENSES}, {digest(" ".join(canonical_lines(t))): n for n, t in NOTICES}
+    return {digest(" ".join(canonical_lines(t))): n for n, t in LICENSES} | {d: n for n, d in DIGESTS}, {digest(" ".join(canonical_lines(t))): n for n, t in NOTICES}
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, further: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_sha256, license, notices) of every row: the digest of the whole canonical text, the licence that the
     entire text is (or null), and the licences of lines that are entire notices, sorted.
 
     A null text, or one without a word, has the digest of an empty text and no licence. Rows of equal or null doc_id are
-    looked at alone; other columns are ignored.
+    looked at alone; other columns are ignored. `further` has digests (text_sha256, license) of more whole texts, as this
+    function gives them; all tasks get it. What is known here comes first, then the first name of a digest.
     """
 
     def run(batch):
@@ -128,4 +162,8 @@ def scan(docs: DataFrame) -> DataFrame:
         return [batch.column(0), *out]
 
     fields = [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("license", pa.string()), ("notices", pa.list_(pa.string()))]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each_batch(run, *fields), "doc_id long, text_sha256 string, license string, notices array<string>")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each_batch(run, *fields), "doc_id long, text_sha256 string, license string, notices array<string>")
+    if further is None:
+        return out
+    more = further.groupBy("text_sha256").agg(F.min("license").alias("_more"))
+    return out.join(F.broadcast(more), "text_sha256", "left").select("doc_id", "text_sha256", F.coalesce("license", "_more").alias("license"), "notices")
