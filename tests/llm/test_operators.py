@@ -383,11 +383,7 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("hot", "window", "phrase"), [(2000, 35, 8), (3, 12, 4)])
-def test_substring_dedup_against_brute_force(spark, monkeypatch, hot, window, phrase):
-    monkeypatch.setattr(substrings, "HOT", hot)
-    monkeypatch.setattr(substrings, "AUTOMATON_WORDS", 700)
-    monkeypatch.setattr(substrings, "HELD", 500)
+def substring_rows():
     rows = [r for r in odd_rows() if r[0] != 44] + [(44, "word " * 2000)]
     rng = random.Random(9)
     shared = " ".join(f"s{k}" for k in range(90))
@@ -396,10 +392,54 @@ def test_substring_dedup_against_brute_force(spark, monkeypatch, hot, window, ph
         cut = rng.randrange(len(own) + 1)
         a, b = sorted(rng.sample(range(91), 2))
         rows.append((300 + k, " ".join([*own[:cut], *shared.split()[a:b], *own[cut:]])))
-    same(substrings.report(clash(table(spark, rows), "k1", "runs", "at"), window, phrase), brute_substrings(rows, window), "doc_id", "n_words", "n_removed", "kept_sha256")
+    return rows
+
+
+REMOVED = ("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@pytest.mark.parametrize(("hot", "window", "phrase"), [(2000, 35, 8), (3, 12, 4)])
+def test_substring_dedup_against_brute_force(spark, monkeypatch, hot, window, phrase):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 700)
+    monkeypatch.setattr(substrings, "OUT_BYTES", 5000)
+    rows = substring_rows()
+    same(substrings.report(clash(table(spark, rows), "k1", "runs", "at"), window, phrase), brute_substrings(rows, window), *REMOVED)
     assert substrings.report(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_substring_dedup_with_colliding_hashes(spark, monkeypatch, hot):
+    """All words have one of three hashes, so most phrases collide: only words tell windows apart."""
+
+    def colliding(text):
+        return np.array([len(w) % 3 for w in text.split()], np.uint64)
+
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rows = [(d, t) for d, t in substring_rows() if d != 44]
+    same(substrings.report(table(spark, rows), 12, 4, hashes=colliding), brute_substrings(rows, 12), *REMOVED)
+
+
+def test_substring_places_come_from_the_automata(spark):
+    rows = substring_rows()
+    want = sum(n for _, _, n, _ in brute_substrings(rows, 12))
+
+    def blind(passages, stretches):
+        return [[] for _ in stretches]
+
+    def of_one_word_less(passages, stretches):
+        return [[(a, n - 1) for a, n in places] for places in substrings.locate(passages, stretches)]
+
+    removed = lambda **k: substrings.report(table(spark, rows), 12, 4, **k).agg(F.sum("n_removed")).first()[0]
+    assert removed() == want > 0 and removed(stream=blind) == 0 and 0 < removed(stream=of_one_word_less) < want
+
+
+def test_automaton_finds_passages_in_stretches_they_do_not_come_from():
+    found = list(substrings.locate([b"a b c", b"c d e f", b"x"], [b"z a b c d e f", b"c d e", b"x x a b", b"", b"b c a b c"]))
+    assert found == [[(1, 6)], [], [(0, 2)], [], [(2, 3)]]
+    assert list(substrings.locate([], [b"a b"])) == [[]]
+
+
 def test_substring_kept_text(spark):
     passage = " ".join(f"p{k}" for k in range(40))
     got = {r.doc_id: r.kept for r in substrings.remove(table(spark, [(1, f"a {passage}\tb"), (2, passage)])).collect()}
