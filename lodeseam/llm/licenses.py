@@ -1,21 +1,15 @@
-"""License scans: the digest of a canonical text, looked up among those of known licences.
+"""License scans: the digest of a canonical text, hash-joined to those of known licences.
 
-Canonical: lower case, runs of anything but letters and digits as one space, copyright lines left out, equivalent
-spellings made one. The digest of an entire text (or of an entire line, for notices) is then joined to the known ones.
-The known digests are a fixed table of a few dozen rows, so every task has the hash table of the join.
+Canonical: lower case, without copyright lines, runs of anything but letters and digits as one space (so comment marks and
+line breaks don't matter), equivalent spellings made one. The SHA-256 of an entire canonical text is joined to the table of
+known digests. Lines that are entire notices are looked up as well. All of it is built-in functions.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_batch
-
 # Spellings that count as equal.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",
@@ -28,68 +22,53 @@ SPELLINGS = {
     "noncommercial": "non commercial", "percent": "per cent", "sublicense": "sub license", "copyrightholder": "copyright holder", "owner": "holder",
 }
 
-_MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-"""
-_BSD_3 = """
-3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
-"""
-_BSD_END = """
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-"""
-_0BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-"""
-_ISC_END = """
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-
-3. This notice may not be removed or altered from any source distribution."""
+#: A copyright line, of lower-case text: one that begins, behind any marks, with a copyright statement. A line of a licence's
+#: own words that happens to begin with "copyright" has no year, sign or "by" with it.
+COPYRIGHT = (
+    r"^[^\p{L}\p{N}\n]*(?:copyright\b(?:[^\n]*(?:\(c\)|©|\b(?:19|20)[0-9][0-9]\b|\byyyy\b|[\[<{(]year|all rights reserved)|[ \t]+by\b)"
+    r"|(?:\(c\)|©)[^\p{L}\n]*(?:19|20)[0-9][0-9]\b|all rights reserved\b)[^\n]*"
+)
 
-# Whole licences, without their copyright lines.
-LICENSES = (
-    ("MIT", "MIT License\n" + _MIT_BODY), ("MIT", "The MIT License (MIT)\n" + _MIT_BODY), ("MIT", _MIT_BODY),
-    ("BSD-2-Clause", _BSD_2 + _BSD_END), ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_2 + _BSD_END),
-    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END), ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_2 + _BSD_3 + _BSD_END),
-    ("ISC", _ISC + _ISC_END), ("ISC", "ISC License\n" + _ISC + _ISC_END), ("0BSD", _0BSD + _ISC_END), ("0BSD", "BSD Zero Clause License\n" + _0BSD + _ISC_END),
-    ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB),
-)
-# Digests of whole licences whose texts are too long to have here, and, where a text ends its terms with END OF
-# TERMS AND CONDITIONS, of it without what follows.
+# Digests of whole canonical licences, with and without their titles and what follows their terms.
 DIGESTS = (
-    ("Apache-2.0", "317c76c67d1b5a0f68745be55f03f555674c25ecf6fc0b25606115a9f23d3fba"),
-    ("Apache-2.0", "167e57de85ce596271fa156abe164e33aa1e59ae69611a53292948d2c3f74af4"),
+    ("0BSD", "25a274d52b3014d9bd64e0f3362fd279ac1655f163d5c518f6b9f6c43354802c"),
+    ("0BSD", "9c842909bcc85365ba7f0d106fccdc3af51784431076174588a9832837ebf153"),
+    ("Apache-2.0", "c48d72ffbf1ca699b0788030ec8b39260f33f0f36829174a00296bb2151d09ad"),
+    ("Apache-2.0", "c7c8052e39a06a64100e09ab734f09830b5a322df6c8a55505c4a577d57f0d9f"),
+    ("Artistic-2.0", "a5a08badf4f858856e4ae957819d129c23951a120461f1afdc3b9ea889264f00"),
+    ("BlueOak-1.0.0", "6cffa606d4960a0fadb3c8161a99b92c53dbe7b999697a5e26d35cfdc1d80f3d"),
+    ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"),
+    ("BSD-2-Clause", "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2"),
+    ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
+    ("BSD-3-Clause", "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15"),
+    ("BSL-1.0", "5fcf89bde8c0c2deb999f4cc626e1aebf90e80fdc5cd334dae008152ef4a1ded"),
     ("CC0-1.0", "6e4a79b7eaf2cdc3879a899ef330c98026c9d697ee87d41a28ac5159e8e53348"),
+    ("GFDL-1.2", "b8a2445605b1deccba655f9c9e334bc6d85e8437a920bcbbcee2a3851c84a4e2"),
+    ("GFDL-1.3", "c0d151f99548ceea3fa31d97247c0f89eb3d76623b711693a83b9684b7fb3839"),
     ("GPL-1.0", "160c74cee4013ca5418bd3648b4e205c6e0d38b5507407deffe7f5a5a9f31b60"),
     ("GPL-1.0", "47dcf5c10086f453e4166de00ce28e8af707c039d0ef0a906825c6276417bd5a"),
     ("GPL-2.0", "652aa03b0e13f5393ad2f49e9e203ef509d88747d904ab36b7ff23bc92c4a6f6"),
     ("GPL-2.0", "556e1aeccc7c80efead9e3ea7de1a97d6750abd7a671ad06221f910b2523f6ec"),
-    ("GPL-3.0", "f6eaf8069e6992495ee63002d3cf837d745ad9c33d0c2129f4dd67750ebe0094"),
-    ("GPL-3.0", "7e1ec759902e79fd98df32aeafb56e0fcc9348cebf7b52c7a875052ac012ad4a"),
-    ("LGPL-2.0", "8349d2d0849c7e150bf2dff6d6aa2ccedee6d7cba3e5e36ba0fa62972b7ca7f3"),
-    ("LGPL-2.0", "de5b6741a0033c388f6503798d50262c64399e3084206c7ee1df73d938d7450a"),
-    ("LGPL-2.1", "34ecfdc448379398faf1f3a512730b0bb881c05b09c352856d683f8001122cee"),
-    ("LGPL-2.1", "4ce3618a341bbe3abe22294d722e719fb9d047fa281050be13fc91661be5943a"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("ISC", "217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a"),
+    ("ISC", "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee"),
+    ("LGPL-2.0", "5df277a264b0db9f656dea052fa76d8fbe46620768b01b8f09f76ef719771d95"),
+    ("LGPL-2.0", "cbd109b0c6f89b9ef02c3775dbb0c350fdaaaf298c25e2f53239fdf27ea7353e"),
+    ("LGPL-2.1", "659bfcbba21e743ae02dd4d5518f6bf275275dfe701b5ff9c9b8d21e24d85589"),
+    ("LGPL-2.1", "42d699361f3dbbebd075e8f918067cf0550ece0c733a8376d795b00265ef4398"),
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "c81cf644b8b48332b1d1dc265a0378c5e2dff30ecd1d4c5441f6f2d8a8da0525"),
-    ("MPL-2.0", "bd1a81bec226fe81e2ab806625fb3d10956ca4d5eac5451b973322bd49a3463d"),
-    ("GFDL-1.2", "b8a2445605b1deccba655f9c9e334bc6d85e8437a920bcbbcee2a3851c84a4e2"),
-    ("GFDL-1.3", "c0d151f99548ceea3fa31d97247c0f89eb3d76623b711693a83b9684b7fb3839"),
+    ("MIT", "5eb4b7aeacabd59a945325e9f1db167909c6bb1f8da56cfe413f2ae244a903ad"),
+    ("MIT", "d98f92794c87301c45c4642fb720fecde2a7c8034f1b3326fe379b17ec164528"),
+    ("MIT", "402c34d0a40cd8e70b6b2212e3fd8bff43ce4ce9bcbcf4dd37a08e3bbf7d767c"),
+    ("MPL-1.1", "f23ce5cd75f6614af70e1819dfda63c8fac34a3e7d6650e2f56e817341562c79"),
+    ("MPL-2.0", "05489d56ecf0ca6003c6bbd52225d37f04c3fae5d55bff0135beb54ead660594"),
+    ("Unicode-3.0", "53113a39b79251016cf92b8348f303cee44e4faee1f232536754abc669dd32c8"),
+    ("Unlicense", "fd1b07be5f4f94926b6ea4df3943b05ab90c1a1f3b1a3d574ae7ab58bca58fff"),
+    ("Zlib", "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7"),
+    ("Zlib", "99618428d879198d4ae824db7ad07a9d0f9214f15429de52839cbe667713f21a"),
 )
+
 # One-line notices.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -104,66 +83,54 @@ NOTICES = (
     ("CC0-1.0", "Released under CC0 1.0"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 
-_OTHER = re.compile(r"[\W_]+")
-# Comment marks before a copyright line.
-_MARK = re.compile(r"\s*(?:#+|/?\*+|//+!?|;+|%+|--+|<!--+)\s*")
-_COPYRIGHT = re.compile(r"\s*(?:copyright\b(?!\s+(?:holder|owner|notice))|\(c\)|©|all rights reserved\b)")
 
+def _any_spelling() -> str:
+    return r"\b(?:" + "|".join(SPELLINGS) + r")\b"
 
-def canonical_line(line: str) -> str:
-    """`line` must be lower-case."""
-    words = _OTHER.sub(" ", line).split()
-    return " ".join([SPELLINGS.get(w, w) for w in words]) if not SPELLINGS.keys().isdisjoint(words) else " ".join(words)
 
+def canonical_lines(text: Column) -> Column:
+    """The canonical lines of a text that have a word, one line feed apart."""
+    lower = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "(?md)" + COPYRIGHT, "")
+    plain = F.regexp_replace(lower, r"[^\p{L}\p{N}\n]+", " ")
+    tidy = F.trim(F.regexp_replace(plain, r" *\n[ \n]*", "\n"), F.lit(" \n"))
+    pairs = F.array(*[F.struct(F.lit(rf"\b{a}\b").alias("a"), F.lit(b).alias("b")) for a, b in SPELLINGS.items()])
+    # few texts have any of these spellings
+    return F.when(F.regexp_like(tidy, F.lit(_any_spelling())), F.aggregate(pairs, tidy, lambda t, p: F.regexp_replace(t, p["a"], p["b"]))).otherwise(tidy)
 
-def canonical_lines(text: str) -> list[str]:
-    """Canonical lines with a word, without copyright lines."""
-    return [c for line in text.lower().split("\n") if not _of_copyright(line) and (c := canonical_line(line))]
 
+def digest(lines: Column) -> Column:
+    """The digest of a whole text from its canonical lines."""
+    return F.sha2(F.replace(lines, F.lit("\n"), F.lit(" ")), 256)
 
-def _of_copyright(line: str) -> bool:
-    """Whether a line, without a comment mark, is a copyright line; `line` must be lower-case."""
-    first = line.lstrip()[:1]
-    if first in "#*/;%-<" and (mark := _MARK.match(line)):
-        line = line[mark.end() :]
-        first = line[:1]
-    return first in "c(©a" and bool(_COPYRIGHT.match(line))
 
+def notices() -> dict[str, str]:
+    """Canonical notice -> licence. The notices have none of the equivalent spellings and are plain ASCII."""
+    return {" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()): n for n, t in NOTICES}
 
-def digest(canonical: str) -> str:
-    return hashlib.sha256(canonical.encode()).hexdigest()
 
-
-def known() -> tuple[dict[str, str], dict[str, str]]:
-    """Digest -> licence, of whole texts and of one-line notices."""
-    return {digest(" ".join(canonical_lines(t))): n for n, t in LICENSES} | {d: n for n, d in DIGESTS}, {digest(" ".join(canonical_lines(t))): n for n, t in NOTICES}
+def known(spark: SparkSession) -> DataFrame:
+    """(text_sha256, license): a row for each of DIGESTS."""
+    return spark.createDataFrame([(d, n) for n, d in DIGESTS], "text_sha256 string, license string")
 
 
 def scan(docs: DataFrame, further: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_sha256, license, notices) of every row: the digest of the whole canonical text, the licence that the
     entire text is (or null), and the licences of lines that are entire notices, sorted.
 
-    A null text, or one without a word, has the digest of an empty text and no licence. Rows of equal or null doc_id are
-    looked at alone; other columns are ignored. `further` has digests (text_sha256, license) of more whole texts, as this
-    function gives them; all tasks get it. What is known here comes first, then the first name of a digest.
+    A null or empty text, or one without a word, has the digest of an empty text, no licence and no notices. Very long texts
+    are read whole like others. Repeated rows and rows of equal or null doc_id are looked at alone; other columns are ignored,
+    whatever their names; an empty table gives no rows. `further` has (text_sha256, license) of more whole texts, as this
+    function gives them; what is known here comes first, then, at a tie, the first name of a digest. Only the table of
+    known digests, which has a fixed size, is broadcast by hand.
     """
-
-    def run(batch):
-        whole, notices = known()
-        longest = max(len(canonical_line(t.lower())) for _, t in NOTICES)
-        out: list[list] = [[], [], []]
-        for text in batch.column(1).to_pylist():
-            lines = canonical_lines(text or "")
-            sha = digest(" ".join(lines))
-            out[0].append(sha)
-            out[1].append(whole.get(sha))
-            # a line longer than any notice can't be one
-            out[2].append(sorted({notices[d] for line in lines if len(line) <= longest and (d := digest(line)) in notices}))
-        return [batch.column(0), *out]
-
-    fields = [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("license", pa.string()), ("notices", pa.list_(pa.string()))]
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each_batch(run, *fields), "doc_id long, text_sha256 string, license string, notices array<string>")
-    if further is None:
-        return out
-    more = further.groupBy("text_sha256").agg(F.min("license").alias("_more"))
-    return out.join(F.broadcast(more), "text_sha256", "left").select("doc_id", "text_sha256", F.coalesce("license", "_more").alias("license"), "notices")
+    of_notice = notices()
+    names = F.create_map(*[F.lit(x) for pair in of_notice.items() for x in pair])
+    found = lambda lines: F.array_sort(F.array_distinct(F.transform(F.filter(lines, lambda x: x.isin(*of_notice)), lambda x: F.element_at(names, x))))
+    # the lines are worked out once: a projection of its own would be merged into this one
+    each = F.get(F.transform(F.array(canonical_lines(F.col("text"))), lambda t: F.struct(digest(t).alias("sha"), found(F.split(t, "\n")).alias("notices"))), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), each.alias("x")).select("doc_id", F.col("x.sha").alias("text_sha256"), F.col("x.notices").alias("notices"))
+    table = F.broadcast(known(docs.sparkSession))
+    if further is not None:
+        more = further.select(F.col("text_sha256").cast("string").alias("text_sha256"), F.col("license").cast("string").alias("license")).join(table, "text_sha256", "left_anti")
+        table = known(docs.sparkSession).unionByName(more.groupBy("text_sha256").agg(F.min("license").alias("license")))
+    return rows.join(table, "text_sha256", "left").select("doc_id", "text_sha256", "license", "notices")

@@ -59,7 +59,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_warc_index, op4_language_id, op5_simhash_near_dedup, op6_token_ids, op7_substring_dedup, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
+
+
+def _license_sql() -> str:
+    """The scan in SQL: the same patterns, the known digests and notices as values."""
+    text = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?m)" + licenses.COPYRIGHT + r"', '', 'g'), '[^\p{L}\p{N}\n]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    for a, b in licenses.SPELLINGS.items():
+        text = rf"regexp_replace({text}, '\b{a}\b', '{b}', 'g')"
+    digests = ", ".join(f"('{d}', '{n}')" for n, d in licenses.DIGESTS)
+    told = ", ".join(f"'{t}': '{n}'" for t, n in licenses.notices().items())
+    return f"""
+WITH known(text_sha256, license) AS (VALUES {digests}), c AS (SELECT doc_id, {text} AS t FROM documents),
+s AS (SELECT doc_id, sha256(replace(t, chr(10), ' ')) AS text_sha256, list_filter(list_transform(string_split(t, chr(10)), lambda x: MAP {{{told}}}[x]), lambda x: x IS NOT NULL) AS n FROM c)
+SELECT doc_id, text_sha256, license, coalesce(array_to_string(list_sort(list_distinct(n)), ','), '') AS notices FROM s LEFT JOIN known USING (text_sha256)"""
+
+
 ORACLE_SQL = {
+    "op1_license_scan": _license_sql(),
     "op9_quality_rules": rf"""
 WITH w AS (
   SELECT doc_id, text,

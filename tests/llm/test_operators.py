@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import licence_texts
 from lodeseam.llm import bpe, common, decontaminate, language_id, licenses, lines, packing, quality, simhash, substrings, token_store, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,8 +51,8 @@ def clash(df, *names):
 
 
 def test_license_scan(spark):
-    mit = "Copyright (c) 2020 A\nAll rights reserved.\n\n" + licenses._MIT_BODY.upper().replace("SUBLICENSE", "sub-license").replace(",", " ;")
-    bsd = "BSD 3-Clause Licence\n© 2001 B\n" + licenses._BSD_2 + licenses._BSD_3 + licenses._BSD_END
+    mit = "Copyright (c) 2020 A\nAll rights reserved.\n\n" + licence_texts.MIT.upper().replace("SUBLICENSE", "sub-license").replace(",", " ;")
+    bsd = "BSD 3-Clause Licence\n© 2001 B\n" + licence_texts.BSD_2 + licence_texts.BSD_3 + licence_texts.BSD_END
     rows = [(1, mit), (2, bsd), (3, mit + " and more"), (4, None), (None, ""), (5, "prose\n  Released under the MIT licence!\nmore"), (6, "x " * 50_000)]
     got = {(r.doc_id, r.license, tuple(r.notices)) for r in licenses.scan(clash(table(spark, rows), "license", "text_sha256")).collect()}
     assert got == {(1, "MIT", ()), (2, "BSD-3-Clause", ()), (3, None, ()), (4, None, ()), (None, None, ()), (5, None, ("MIT",)), (6, None, ())}
