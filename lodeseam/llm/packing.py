@@ -1,28 +1,26 @@
 """Best-fit packing of tokenised documents by the sum of squares.
 
 Every document is cut into pieces of at most `size` tokens (the first may be shorter). A full piece is a sequence of its
-own. For the others only the length matters, so the packing is planned on the histogram of lengths, which has fewer than
-`size` counts at any scale, and the plan is carried out by the rank of a piece among those of its length. Pieces are
-placed from long to short. Of all gaps that hold the piece, and a new sequence, it goes where the sum of the squared
-counts of open sequences per gap becomes smallest; at a tie, the smallest gap. Gaps so short that hardly any piece fits
-are left out of the sum, as a sequence with one is as good as full; of three such bounds the best plan is taken. Of a length with over `steps` pieces, equal ones are placed in
-bundles of count / steps (rounded up), each into as many sequences of the chosen gap, so the plan takes at most
-2 * size * steps placements however large the table is; up to `steps` pieces of a length are placed one by one.
+own. The others are dealt out to groups of some GROUP pieces at every scale, a task each. Its pieces are placed one by
+one, from long to short: of all gaps that hold the piece, and a new sequence, each goes where the sum of the squared
+counts of open sequences per gap becomes smallest; at a tie, the smallest gap. A sequence whose gap is under an eighth of
+`size` is as good as full: it is filled like others, but not in the sum (the README says what counting all gaps costs).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder, no_cycles
 from .common import each_batch, save, texts
 
-SIZE, END_ID, STEPS, PARTS = 1024, 2, 128, 64
+SIZE, END_ID, GROUP = 1024, 2, 50_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -45,126 +43,76 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
         return out if with_ids else out[:5]
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    import pyarrow as pa
-
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
     fields = list(zip(names, kinds, strict=True))[: 6 if with_ids else 5]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each_batch(cut, *fields), schema)
 
 
-def plan(counts: dict[int, int], size: int = SIZE, steps: int = STEPS) -> list[tuple[int, int, int, int, int]]:
-    """The best of the sum-of-squares packings in which gaps below 32, 64 or 128 tokens (an eighth of `size` at most) are not counted."""
-    order = np.repeat(lengths := sorted((n for n in counts if counts[n]), reverse=True), [min(counts[n], steps) for n in lengths]).tolist()
-    plans = [_plan(counts, order, size, steps, max(1, size // part)) for part in (32, 16, 8)]
-    return min(plans, key=lambda rows: sum(n for _, _, n, _, offset in rows if not offset))
-
-
-def _plan(counts: dict[int, int], order: list[int], size: int, steps: int, counted: int = 1) -> list[tuple[int, int, int, int, int]]:
-    """Where the pieces of each length go: (length, first rank, number, first sequence, offset) rows, each for pieces of
-    consecutive rank that go to consecutive sequences at the same offset. Sequences are numbered from 0 without gaps.
-
-    order: a length for each bundle. counted: the shortest gap whose sequences are in the sum; shorter ones are still
-    filled, but it does not matter how many there are."""
-    open_at = np.zeros(size + 1, dtype=np.float64)  # open sequences by gap
-    runs: dict[int, list[list[int]]] = defaultdict(list)  # gap -> runs of [first sequence, number]
-    out, fresh = [], 0
-    done: dict[int, int] = defaultdict(int)
-    for length in order:
-        bundle = -(-counts[length] // steps)
-        left = min(bundle, counts[length] - done[length])
-        while left:
-            k, rank = left, done[length]
-            gaps = np.arange(length, size)  # a sequence with this gap can take the piece
-            have = open_at[length:size]
-            take = np.minimum(have, k)
-            # change of the sum of squares for each piece placed; a full sequence is not counted
-            to = open_at[: size - length]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                change = (np.where(gaps >= counted, (have - take) ** 2 - have**2, 0) + np.where(gaps - length >= counted, (to + take) ** 2 - to**2, 0)) / take
-            change[take == 0] = np.inf
-            rest = size - length
-            new = ((open_at[rest] + k) ** 2 - open_at[rest] ** 2) / k if rest >= counted else 0 if rest else -np.inf
-            best = int(change.argmin()) if len(change) else -1
-            if best >= 0 and change[best] <= new:
-                gap = best + length
-                k = int(take[best])
-                want = k
-                while want:
-                    run = runs[gap][-1]
-                    n = min(want, run[1])
-                    first = run[0] + run[1] - n
-                    run[1] -= n
-                    if not run[1]:
-                        runs[gap].pop()
-                    out.append((length, rank, n, first, size - gap))
-                    if gap > length:
-                        runs[gap - length].append([first, n])
-                    rank, want = rank + n, want - n
-                done[length] = rank
-                open_at[gap] -= k
-                if gap > length:
-                    open_at[gap - length] += k
-            else:
-                out.append((length, rank, k, fresh, 0))
-                if rest:
-                    runs[rest].append([fresh, k])
-                    open_at[rest] += k
-                fresh += k
-                done[length] = rank + k
-            left -= k
-    return out
-
-
-def place(table: DataFrame, size: int = SIZE, steps: int = STEPS) -> DataFrame:
+def fill(lengths: list[int], size: int = SIZE, counted: int | None = None) -> tuple[list[int], list[int]]:
+    """Sequence and offset of each of `lengths` (all under `size`), placed one by one in the order given.
+
+    counted: the shortest gap whose sequences are in the sum, an eighth of `size` if not given. Shorter gaps are filled like
+    others; it only does not matter how many there are.
+    """
+    counted = max(1, size // 8) if counted is None else counted
+    n = np.zeros(size + 1, np.int64)  # open sequences by gap
+    open_at: list[list[int]] = [[] for _ in range(size + 1)]
+    none = np.iinfo(np.int64).max
+    sequences, offsets, made = [], [], 0
+    for length in lengths:
+        rest = size - length
+        have = n[length:size]
+        # change of the sum if a sequence of gap length, length + 1, ... takes the piece, or a new one
+        leave, come = 1 - 2 * have, 2 * n[:rest] + 1
+        leave[: max(0, counted - length)] = 0
+        come[:counted] = 0
+        change = np.where(have > 0, leave + come, none)
+        best = int(change.argmin())
+        if change[best] <= (2 * n[rest] + 1 if rest >= counted else 0) and have[best]:
+            gap = length + best
+            sequence = open_at[gap].pop()
+            n[gap] -= 1
+        else:
+            gap, sequence = size, made
+            made += 1
+        n[gap - length] += 1
+        open_at[gap - length].append(sequence)
+        sequences.append(sequence)
+        offsets.append(size - gap)
+    return sequences, offsets
+
+
+NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def place(table: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces, which must be a written one (it is read twice)."""
-    spark = table.sparkSession
-    cell = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")
-    short = table.where(F.col("length") < size).withColumn("_cell", cell)
-    counts = [tuple(r) for r in short.groupBy("length", "_cell").count().collect()]  # at most size * PARTS rows
-    by_length: dict[int, int] = defaultdict(int)
-    base = []
-    for length, at, n in sorted(counts):
-        base.append((length, at, by_length[length]))
-        by_length[length] += n
-    steps_of = plan(dict(by_length), size, steps)
-    fresh = max((s + n for _, _, n, s, _ in steps_of), default=0)
-    # A piece's rank among those of its length, from its rank within its cell: no task has all pieces of a length.
-    base_df = F.broadcast(spark.createDataFrame(base, "length long, _cell int, _base long"))
-    ranked = short.join(base_df, ["length", "_cell"]).withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece")) - 1)
-    rows = defaultdict(list)
-    for length, first, _, seq, offset in steps_of:
-        rows[length].append((first, seq, offset))
-    firsts = {n: np.array([x[0] for x in r]) for n, r in rows.items()}
-    seqs = {n: np.array([x[1] for x in r]) for n, r in rows.items()}
-    offsets = {n: np.array([x[2] for x in r]) for n, r in rows.items()}
-    found = spark.sparkContext.broadcast((firsts, seqs, offsets))  # at most 2 * size * steps entries
-
-    def look_up(batch):
-        import pyarrow as pa
-
-        first, seq, off = found.value
-        lengths, ranks = (np.asarray(batch.column(k)) for k in (3, 5))
-        s, o = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-        for n in np.unique(lengths):
-            at = lengths == n
-            k = np.searchsorted(first[n], ranks[at], side="right") - 1
-            s[at], o[at] = seq[n][k] + ranks[at] - first[n][k], off[n][k]
-        return [*(batch.column(k) for k in range(5)), pa.array(s), pa.array(o)]
-
-    import pyarrow as pa
-
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-    packed = ranked.select(*names[:5], "_rank").mapInArrow(each_batch(look_up, *zip(names, kinds, strict=True)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    full = table.where(F.col("length") == size).select(*names[:5], (F.monotonically_increasing_id() + F.lit(fresh)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = table.where(F.col("length") < size).select(*NAMES[:5])
+    groups = max(1, -(-short.count() // group))
+
+    def pack_group(batches):
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        rows = rows.sort_by([("length", "descending")])
+        sequences, offsets = fill(rows.column("length").to_pylist(), size)
+        # numbers of a group are its own: no group has 2**32 sequences
+        own = np.array(sequences, np.int64) + (TaskContext.get().partitionId() << 32)
+        yield from rows.append_column("sequence_id", pa.array(own)).append_column("offset", pa.array(offsets, pa.int64())).combine_chunks().to_batches()
+
+    # dealt round robin, so all groups are of one size whatever the pieces are
+    packed = short.repartition(groups).mapInArrow(pack_group, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    full = table.where(F.col("length") == size).select(*NAMES[:5], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, steps: int = STEPS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one piece with the end id alone; rows with equal or null doc_id are packed like others;
-    an empty table gives no rows; other columns are ignored. Pieces of a sequence follow each other without gaps.
+    Null and empty texts are one piece with the end id alone; a very long text is cut into many; repeated rows and rows
+    with equal or null doc_id are packed like others; at a tie a piece goes to the smallest gap, and to a new sequence only
+    if that is better than all gaps; an empty table gives no rows; other columns are ignored, whatever their names. Pieces
+    of a sequence follow each other without gaps.
     """
-    return place(save(pieces(docs, path, size, end_id), "pieces"), size, steps)
+    return place(save(pieces(docs, path, size, end_id), "pieces"), size, group)

@@ -342,26 +342,57 @@ def test_packing(spark):
     assert zlib.crc32(bytes(with_ids.ids)) == with_ids.ids_crc32
 
 
-@pytest.mark.parametrize("steps", [4, 128])
-def test_plan_is_near_the_least(steps):
+def plain_sum_of_squares(lengths, size, counted):
+    """The rule as it stands: of all ways to place a piece the one after which the sum is smallest, the smallest gap at a tie."""
+    gaps = []
+    for length in lengths:
+        ways = sorted({g for g in gaps if g >= length}) + [size]
+
+        def after(gap):
+            n = Counter(gaps)
+            n[gap] -= gap != size
+            n[gap - length] += 1
+            return sum(k * k for g, k in n.items() if size > g >= counted)
+
+        best = min(ways, key=lambda g: (after(g), g))
+        if best != size:
+            gaps.remove(best)
+        gaps.append(best - length)
+    return gaps
+
+
+@pytest.mark.parametrize("counted", [1, 4, 16])
+def test_fill_follows_the_rule(counted):
+    rng = random.Random(counted)
+    for top in (3, 10, 31):
+        lengths = sorted((rng.randrange(1, top + 1) for _ in range(150)), reverse=True)
+        sequences, offsets = packing.fill(lengths, 32, counted)
+        used = Counter()
+        for n, s, at in zip(lengths, sequences, offsets, strict=True):
+            assert at == used[s]
+            used[s] += n
+        assert sorted(32 - x for x in used.values()) == sorted(plain_sum_of_squares(lengths, 32, counted))
+
+
+@pytest.mark.parametrize("many", [5000, 60_000])
+def test_fill_is_near_the_least(many):
+    """Thousands of pieces of each length, too: every one is placed by itself."""
     rng = random.Random(6)
-    counts = Counter(min(1023, max(1, int(rng.lognormvariate(5.5, 1)))) for _ in range(5000))
-    rows = packing.plan(dict(counts), steps=steps)
-    placed, used = Counter(), defaultdict(list)
-    for length, first, n, seq, offset in rows:
-        assert first == placed[length]
-        placed[length] += n
-        for k in range(n):
-            used[seq + k].append((offset, length))
-    assert placed == counts
-    for parts in used.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 1024
-    least = -(-sum(k * v for k, v in counts.items()) // 1024)
-    assert len(used) <= least * (1.01 if steps > 100 else 1.05)
+    top = 1023 if many < 10_000 else 20
+    lengths = sorted((min(top, max(1, int(rng.lognormvariate(5.5 if top > 100 else 2, 1)))) for _ in range(many)), reverse=True)
+    size = 1024 if top > 100 else 64
+    used = Counter()
+    for n, s in zip(lengths, packing.fill(lengths, size)[0], strict=True):
+        used[s] += n
+    least = -(-sum(lengths) // size)
+    assert max(used.values()) <= size and len(used) <= least * 1.005 + 1 and len(used) <= len(set(packing.fill(lengths, size, 1)[0]))
+
+
+def test_groups_are_packed_alone(spark):
+    rows = [(k if k % 7 else None, f"word{k} " * (k % 50)) for k in range(300)]
+    got = packing.pack(table(spark, rows), group=40).collect()
+    assert len(got) == 300 and len({r.sequence_id >> 32 for r in got}) == 8
+    assert len({(r.sequence_id, r.offset) for r in got}) == 300
 
 
 # 7
