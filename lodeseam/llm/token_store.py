@@ -145,8 +145,9 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
     """Encode all texts and write them to shards in ascending doc_id order; returns one row a shard:
     (shard int, file string, n_docs long, n_tokens long, start long), start being the ids of all shards before it.
 
-    A null or empty text is the end id alone. Null doc_ids come first; rows of equal doc_id follow each other in order of
-    their texts' hashes, so that even one id with very many rows is dealt to several tasks. Other columns are ignored. An empty table gives no shard.
+    A null or empty text is the end id alone; a very long one may fill a shard's blocks but is held by one task. Null doc_ids
+    come first; rows of equal doc_id follow each other in order of their texts' hashes, and repeated rows in any order, so
+    that even one row very often is dealt to several tasks. Other columns are ignored, whatever their names. An empty table gives no shard.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -165,7 +166,9 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [out.path], "n_docs": [len(out.docs)], "n_tokens": [out.n]})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
-    dealt = dealt.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+    # rows that agree in both are alike, so their order is free: a number of their own lets them be dealt to several tasks
+    order = ("doc_id", "hash", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     rows, at = [], 0
     # a row for each partition; its shard is whole in the shared folder by then
     for r in sorted(dealt.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long").collect()):
@@ -184,6 +187,6 @@ def read(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, shards.count())
-    # the shards are few and of like size: one task each
-    dealt = shards.select("file", "start").repartition(n, "file") if n > 1 else shards.select("file", "start")
+    # the shards are few and of like size: dealt round robin, one task each
+    dealt = shards.select("file", "start").repartition(n)
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

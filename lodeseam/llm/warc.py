@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import zlib
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .storage import create, open_at
 
 #: Bytes of one archive, of a gap that is read over rather than left out, and of one read at most (or one record).
 ARCHIVE_BYTES, GAP, READ_BYTES = 1 << 30, 64 << 10, 8 << 20
+#: Bytes of archives that one reading task gets, on average.
+TASK_BYTES = 32 << 20
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -34,6 +37,10 @@ def _field(value: object) -> str:
     return " ".join(str(value).split())
 
 
+#: Header of our own with the URL as a JSON string, where it doesn't fit on a line as it is.
+_RAW_URL = "Lodeseam-Target-JSON"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC/1.1 record as a gzip member. A revisit has the HTTP head of the whole payload, but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -49,6 +56,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refer
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
+    if url is None or _field(url) != url:
+        head.insert(5, f"{_RAW_URL}: {json.dumps(url)}")
     if revisit:
         head[2:2] = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:lodeseam:page:{refers_to}>"]
     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -83,7 +92,9 @@ def write(pages: DataFrame, folder: str | None = None, min_payload: int = 0) ->
 
     Of pages with equal payloads of at least `min_payload` bytes, those with the smallest page_id are responses (more than
     one only if rows repeat a page_id) and the others revisit it; shorter payloads are all responses. A null html is an
-    empty payload. Null page_ids are never referred to: they are responses if no page of the payload has an id.
+    empty payload, and a null url stays null. Null page_ids are never referred to: they are responses if no page of the
+    payload has an id. A very long page is one record, held by one task. Other columns are ignored, whatever their names; an
+    empty table gives an empty index.
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -115,11 +126,11 @@ def write(pages: DataFrame, folder: str | None = None, min_payload: int = 0) ->
     return save(marked.mapInArrow(run, INDEX), "index")
 
 
-def ranges(index: DataFrame, gap: int = GAP, most: int = READ_BYTES) -> DataFrame:
+def ranges(index: DataFrame, gap: int = GAP, most: int = READ_BYTES, task: int = TASK_BYTES) -> DataFrame:
     """Byte ranges that cover the records of an index selection: (file, first, size, offsets array, lengths array).
 
     Records are sorted by file and offset; one joins the range before it if at most `gap` bytes lie between them and the
-    range stays within `most` bytes."""
+    range stays within `most` bytes. A task gets about `task` bytes of records, wherever they lie."""
 
     def run(batches):
         now = None  # file, first, end, offsets, lengths
@@ -143,7 +154,8 @@ def ranges(index: DataFrame, gap: int = GAP, most: int = READ_BYTES) -> DataFram
         if now:
             yield rows([now])
 
-    dealt = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.select("file", "offset", "length").repartitionByRange(max(1, -(-total // task)), "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, "file string, first long, size long, offsets array<long>, lengths array<long>")
 
 
@@ -168,7 +180,7 @@ def read(index: DataFrame, payloads: bool = True, gap: int = GAP, most: int = RE
                     fields, http, payload = parse(data[at - first : at - first + n])
                     told = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     response = fields["WARC-Type"] == "response"
-                    rows.append((_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], told, fields["WARC-Payload-Digest"].removeprefix("sha1:"), _page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, payload if response and payloads else None))
+                    rows.append((_page(fields["WARC-Record-ID"]), json.loads(fields[_RAW_URL]) if _RAW_URL in fields else fields["WARC-Target-URI"], fields["WARC-Type"], told, fields["WARC-Payload-Digest"].removeprefix("sha1:"), _page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, payload if response and payloads else None))
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
             if held:

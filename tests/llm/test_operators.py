@@ -130,6 +130,7 @@ def test_warc_round_trip(spark):
         want.append((p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if response else "revisit", None if response else f))
     index = warc.write(clash(table(spark, rows, "page_id long, url string, html string"), "sha", "first", "n"))
     same(warc.read(index), want, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert Counter(r.url for r in warc.read(index).collect()) == Counter(u for _, u, _ in rows)
     bodies = {r.page_id: r.payload for r in warc.read(index.where("record_type = 'response'")).collect()}
     assert bodies[72] == ("日本" * 50_000).encode()
     # a selection is read by few ranges, of which each stays below the bound
@@ -137,6 +138,8 @@ def test_warc_round_trip(spark):
     assert {r.page_id for r in warc.read(some, gap=0, most=600).collect()} == set(range(10))
     assert all(r.size <= 600 or len(r.offsets) == 1 for r in warc.ranges(index, 0, 600).collect())
     assert sum(len(r.offsets) for r in warc.ranges(index).collect()) == len(rows)
+    # tasks are as many as the bytes to be read need
+    assert warc.ranges(index, task=1 << 30).rdd.getNumPartitions() == 1 and warc.ranges(index, task=1000).rdd.getNumPartitions() > 1
     assert warc.read(warc.write(table(spark, [], "page_id long, url string, html string"))).count() == 0
 
 
@@ -523,6 +526,7 @@ def brute_hits(docs, items, window=10):
                 if (i := windows.get(tuple(w[k : k + n]))) is not None:
                     hit |= set(range(k, k + n))
                     found |= i
+        found.discard(None)
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
     return out
 
@@ -533,9 +537,10 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block):
     rng = random.Random(11)
     words = "a b c D é".split()
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 4, 9, 10, 14, 30])))) for k in range(25) if k != 3]
-    items = [(i, t) for i, t in items if len(t.split()) >= 4] + [(100, None), (101, ""), (102, "...")]
+    items = [(i, t) for i, t in items if len(t.split()) >= 4] + [(100, None), (101, ""), (102, "..."), (None, "no id but eleven words in all of this item here"), (None, "n n n"), (5, items[7][1])]
     docs = [(k, rng.choice([" ", "-", "\n"]).join(rng.choice(words) for _ in range(rng.choice([0, 3, 30, 200])))) for k in range(60)]
-    docs += [(60 + k, "zz " + t + ", yy") for k, (_, t) in enumerate(items[:10])] + [(None, None), (90, ""), (91, items[0][1]), (91, items[0][1])]
+    docs += [(60 + k, "zz " + t + ", yy") for k, (_, t) in enumerate(items[:10])] + [(None, None), (90, ""), (91, items[0][1]), (91, items[0][1]), (92, "x no id but eleven words in all of this item here n n n")]
+    monkeypatch.setattr(decontaminate, "HELD", 400)
     bench = table(spark, items, "item_id long, text string")
     same(decontaminate.scan(clash(table(spark, docs), "items", "n_hit"), bench), brute_hits(docs, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert decontaminate.scan(table(spark, docs), table(spark, [], "item_id long, text string")).where("contaminated").count() == 0
