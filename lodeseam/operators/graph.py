@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,13 +68,30 @@ def fuse(a: DataFrame, b: DataFrame, weight_a: float = 0.6, weight_b: float = 0.
     return joined.select("qid", "chunk_id", (weight_a * F.coalesce("_a", F.lit(0.0)) + weight_b * F.coalesce("_b", F.lit(0.0))).alias("score"))
 
 
-def pack(ranked: DataFrame, most: int = 8, tables_a_document: int = 3, texts_a_document: int = 5) -> DataFrame:
-    """Evidence with tables first: up to `tables_a_document` tables, then `texts_a_document` texts a document, `most` in all."""
-    order = ("rank",)
-    in_doc = F.row_number().over(Window.partitionBy("qid", "doc_id", "has_table").orderBy(*order))
-    kept = ranked.withColumn("_k", in_doc).where(F.col("_k") <= F.when(F.col("has_table"), tables_a_document).otherwise(texts_a_document))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("has_table"), *order))
-    return kept.withColumn("place", place).where(F.col("place") <= most).drop("_k")
+def pack(ranked: DataFrame, most: int = 8, any_tables: int = 3, any_texts: int = 5) -> DataFrame:
+    """Evidence with tables first, then texts, each in order of rank, `most` in all: rows (qid, doc_id, has_table, rank, ...) and
+    their place.
+
+    A table, or text, of a document that is packed already goes in only while fewer than `any_tables`, or `any_texts`, are
+    packed in all, tables included.
+    """
+    kind = Window.partitionBy("qid", "has_table").orderBy("rank", "doc_id")
+    # Only a document's first row of a kind, and the first rows of a kind, can ever be packed: what is folded for a question
+    # is bounded, however many rows are ranked.
+    few = ranked.withColumn("_in_doc", F.row_number().over(Window.partitionBy("qid", "doc_id", "has_table").orderBy("rank"))).where(F.col("_in_doc") <= max(any_tables, any_texts, 1))
+    few = few.withColumn("_in_kind", F.row_number().over(kind)).withColumn("_heads", F.sum((F.col("_in_doc") == 1).cast("int")).over(kind))
+    few = few.where((F.col("_in_kind") <= max(any_tables, any_texts)) | ((F.col("_in_doc") == 1) & (F.col("_heads") <= 2 * most)))
+    item = F.struct((~F.col("has_table")).alias("text"), "rank", "doc_id", F.struct(*ranked.columns).alias("row"))
+    kinds = few.select("qid", item.alias("x")).schema["x"].dataType.simpleString()
+    none = F.array().cast(f"array<{kinds}>")
+
+    def take(packed: Column, x: Column) -> Column:
+        bound = F.when(x["text"], any_texts).otherwise(any_tables)
+        fits = (F.size(packed) < most) & ((F.size(packed) < bound) | ~F.exists(packed, lambda p: p["doc_id"] == x["doc_id"]))
+        return F.when(fits, F.concat(packed, F.array(x))).otherwise(packed)
+
+    packed = few.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("all")).select(F.posexplode(F.aggregate("all", none, take)).alias("_at", "x"))
+    return packed.select("x.row.*", (F.col("_at") + 1).alias("place"))
 
 
 def save(node_rows: DataFrame, edge_rows: DataFrame, path: str) -> None:

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseam.operators import judge, metrics
+from lodeseam.operators import graph, judge, metrics
 
 
 def check(spark, f, option, evidence):
@@ -23,6 +25,22 @@ def check(spark, f, option, evidence):
         (judge.unit_consistency, "金额28417.20万元", "金额28417.20万元", 0.0),
         (judge.subject_alignment, "标的公司净资产5000万元", "控股股东净资产5000万元", judge.HARD),
         (judge.subject_alignment, "标的公司净资产5000万元", "标的公司净资产5000万元", 0.0),
+        (judge.misplaced_years, "2024年20亿元，2024年20亿元", "|a|2023|20|x|", -8.0),
+        (judge.misplaced_years, "2024年20亿元", "|a|2024|20|x|", 0.0),
+        (judge.misplaced_fields, "本次发行规模为180亿元", "本次发行规模为90亿元" + "，" * 90 + "注册金额180亿元", -3.0),
+        (judge.misplaced_fields, "本次发行规模为180亿元", "本次发行规模为90亿元" + "，" * 190 + "另有180亿元", -1.0),
+        (judge.misplaced_fields, "本次发行规模为180亿元", "本次发行规模为180亿元", 0.0),
+        (judge.misplaced_fields, "本次发行规模为180亿元", "本次发行规模为90亿元", 0.0),
+        (judge.misplaced_fields, "本次发行规模为180亿元", "", 0.0),
+        (judge.misplaced_trends, "全部转股后上升至43.81%", "本次发行后转股前为43.81%", -3.0),
+        (judge.misplaced_trends, "全部转股后降至26.99%", "本次发行后转股前为26.99%", 0.0),
+        (judge.misplaced_trends, "全部转股后上升至43.81%", "为43.81%", 0.0),
+        (judge.table_alignment, "超过30%", "实际为28.08%", judge.HARD),
+        (judge.table_alignment, "2024年20亿元，2024年20亿元", "|a|2023|20|x|", -6.0),
+        (judge.table_alignment, "2024年20亿元", "2024年20亿元", 0.0),
+        (judge.option_score, "2024年占比66.38%", "|指标|2024|2022|\n|---|---|---|\n|占比|50.00%|66.38%|", 0.0),
+        (judge.option_score, "超过30%", "实际为28.08%", 0.0),
+        (judge.option_score, "第五条规定", "第五条规定", 6.0),
         (judge.field_value, "净利润为12.50", "|营业收入|净利润|\n|12.50|30.10|\n|1|2|3|", judge.HARD),
     ],
 )
@@ -56,6 +74,34 @@ def test_reason(spark):
     assert got == {"m": "AB", "s": "B", "t": "A", "n": "AB"}
 
 
+def test_a_hard_failure_leaves_an_option_without_points(spark):
+    e = "|指标|2024|2022|\n|---|---|---|\n|占比|50.00%|66.38%|"
+    rows = [("m", "multi", "q", "A", "2024年占比66.38%", e), ("m", "multi", "q", "B", "丁戊己", e), ("o", "mcq", "q", "A", "2024年占比66.38%", e), ("o", "mcq", "q", "B", "占比", e)]
+    assert {r.qid: r.answer for r in judge.reason(options(spark, rows)).collect()} == {"m": "AB", "o": "B"}
+
+
+def packed_by_hand(rows, most, any_tables, any_texts):
+    out = []
+    for tables in (True, False):
+        for doc, table, rank in sorted(rows, key=lambda r: (r[2], r[0])):
+            if table == tables and len(out) < most and (len(out) < (any_tables if tables else any_texts) or doc not in {d for d, _ in out}):
+                out.append((doc, rank))
+    return out
+
+
+def test_packing_of_evidence(spark):
+    rng = random.Random(3)
+    cases = {"one": [("a", True, k) for k in range(5)] + [("a", False, k) for k in range(5, 11)], "none": []}
+    cases |= {f"r{k}": [(rng.choice("abcdefghijklmnopqrstuvwxyz"[: rng.choice([2, 8, 26])]), rng.random() < rng.choice([0, 0.3, 0.9]), n) for n in range(rng.choice([1, 9, 60]))] for k in range(40)}
+    df = spark.createDataFrame([(q, *r) for q, rows in cases.items() for r in rows], "qid string, doc_id string, has_table boolean, rank int")
+    for most, any_tables, any_texts in ((8, 3, 5), (4, 1, 2), (8, 0, 0)):
+        got = {}
+        for r in graph.pack(df, most, any_tables, any_texts).orderBy("qid", "place").collect():
+            got.setdefault(r.qid, []).append((r.doc_id, r["rank"]))
+        assert got == {q: w for q, rows in cases.items() if (w := packed_by_hand(rows, most, any_tables, any_texts))}
+    assert [r[0] for r in packed_by_hand(cases["one"], 8, 3, 5)] == ["a"] * 5
+
+
 def test_verify_multi(spark):
     o = spark.createDataFrame([("1", k, t, ["d"]) for k, t in (("A", "收入1,234.5万元"), ("B", "等待期12个月"), ("C", "利率9.99%"))], "qid string, option string, option_text string, doc_ids array<string>")
     chunks = spark.createDataFrame([("d", "收入1234.5万元"), ("d", "等待期为12个月")], "doc_id string, text string")
