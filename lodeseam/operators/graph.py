@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import scan
+
 
 def nodes(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, type) of documents, chunks and entity names."""
@@ -55,9 +57,9 @@ def spread(starts: DataFrame, edges: DataFrame, decay=(0.8, 0.6, 0.4), most: int
 
 def entity_hits(names: DataFrame, entities: DataFrame) -> DataFrame:
     """(qid, chunk_id, score) for (qid, name): 3 for an entity of the same name, 1 for one that contains it or is contained.
-    Names are few and entity keys distinct before the comparison."""
+    The names, a stated set, are held against the different keys."""
     keys = entities.select("key").distinct()
-    fits = names.join(keys, F.contains("key", F.col("name")) | F.contains("name", F.col("key")))
+    fits = scan(names, keys, F.contains("key", F.col("name")) | F.contains("name", F.col("key")))
     points = fits.select("qid", "key", F.when(F.col("key") == F.col("name"), 3.0).otherwise(1.0).alias("x"))
     return points.join(entities.select("key", "chunk_id"), "key").groupBy("qid", "chunk_id").agg(F.sum("x").alias("score"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from .graph import fuse
-from .tools import few, scan
+from .sizes import scan
 
 __all__ = ["fuse", "idf_search", "keyword_fallback", "number_boost", "score_walk", "symbol_recall"]
 
@@ -48,7 +48,9 @@ def idf_search(questions: DataFrame, scope: DataFrame, phrases: DataFrame, inver
 def score_walk(reached: DataFrame, chunks: DataFrame, names: DataFrame, entities: DataFrame, decay: float = 0.85, domain_boost: float = 1.5, table_boost: float = 1.3) -> DataFrame:
     """(qid, chunk_id, score) of chunks reached at a depth (qid, chunk_id, depth, domain): twice the share of three entities met, 0.3
     for each name in the text, decay by depth, and factors for the question's domain and for tables."""
-    met = names.join(entities.select("key", "chunk_id"), (F.col("name") == F.col("key")) | F.contains("key", F.col("name")) | F.contains("name", F.col("key"))).groupBy("qid", "chunk_id").agg(F.count_distinct("name", "key").alias("met"))
+    keys = entities.select("key").distinct()
+    fits = scan(names.select("name").distinct(), keys, F.contains("key", F.col("name")) | F.contains("name", F.col("key")), names)
+    met = names.join(fits, "name").join(entities.select("key", "chunk_id"), "key").groupBy("qid", "chunk_id").agg(F.count_distinct("name", "key").alias("met"))
     listed = names.groupBy("qid").agg(F.collect_set("name").alias("names"))
     df = reached.withColumnRenamed("domain", "_d").join(chunks.select("chunk_id", "domain", "text", "has_table"), "chunk_id").join(met, ["qid", "chunk_id"], "left").join(listed, "qid", "left")
     base = F.least(F.coalesce("met", F.lit(0)) / 3.0, F.lit(1.0)) * 2 + 0.3 * F.size(F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda x: F.contains("text", x)))
@@ -65,5 +67,5 @@ def keyword_fallback(questions: DataFrame, chunks: DataFrame, most: int = 8) ->
     """(qid, chunk_id, score, rank): chunks by how many of the question's keywords they have. For the few questions that nothing else
     answers: all of them are held against every chunk."""
     words = questions.select("qid", extract.cjk_keywords(F.col("question")).alias("_k"))
-    hits = scan(words, chunks, F.exists("_k", lambda k: F.contains("text", k)), few(questions)).select("qid", "chunk_id", F.size(F.filter("_k", lambda k: F.contains("text", k))).alias("score"))
+    hits = scan(words, chunks, F.exists("_k", lambda k: F.contains("text", k)), questions).select("qid", "chunk_id", F.size(F.filter("_k", lambda k: F.contains("text", k))).alias("score"))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= most)

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract
+from ..functions.text import let
 from ..functions.vocab import STOPWORDS, SYMBOL_METRICS
 
 KEYED = ("domain", "doc_id", "chunk_id")
 
 
-def postings(chunks: DataFrame, keys: Column) -> DataFrame:
-    """(domain, doc_id, chunk_id, key), one row each."""
-    return chunks.select(*KEYED, F.explode(F.array_distinct(keys)).alias("key")).where("key != ''")
+def postings(chunks: DataFrame, keys: Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """(domain, doc_id, chunk_id, key[, columns of the chunk]), one row each."""
+    return chunks.select(*KEYED, *also, F.explode(F.array_distinct(keys)).alias("key")).where("key != ''")
 
 
 def numeric(chunks: DataFrame) -> DataFrame:
@@ -28,10 +29,22 @@ def entity(chunks: DataFrame) -> DataFrame:
     return postings(chunks, extract.entities(F.col("text"), F.col("domain")))
 
 
+def counted(words: Column) -> Column:
+    """(term, tf) of an array of words, sorted by term; worked out within the row."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(words), runs)
+
+
 def term_frequency(chunks: DataFrame, stopwords=STOPWORDS) -> DataFrame:
-    """(domain, doc_id, chunk_id, term, tf)."""
-    words = chunks.select(*KEYED, F.explode(extract.tokens(F.col("text"), stopwords)).alias("term"))
-    return words.groupBy(*KEYED, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(domain, doc_id, chunk_id, n_terms, nth, term, tf): one row for each term of a chunk, numbered from 0, with the number of
+    all its words. Nothing is shuffled: a chunk's words are counted in its row."""
+    words = let(extract.tokens(F.col("text"), stopwords), lambda w: F.struct(F.size(w).cast("long").alias("n_terms"), counted(w).alias("terms")))
+    rows = chunks.select(*KEYED, words.alias("_w")).select(*KEYED, F.col("_w.n_terms").alias("n_terms"), F.posexplode("_w.terms").alias("nth", "_t"))
+    return rows.select(*KEYED, "n_terms", "nth", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
 
 
 def lengths(chunks: DataFrame, stopwords=STOPWORDS) -> DataFrame:

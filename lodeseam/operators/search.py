@@ -13,6 +13,7 @@ from ..functions import extract
 from ..functions.text import CJK
 from ..functions.vocab import ALIASES, BASE_B, BASE_K1, DOMAIN_SYNONYMS, DOMAINS, METRIC_SYNONYMS, STOPWORDS, STRONG_PHRASES, TABLE_BONUS
 from . import postings
+from .sizes import MOST, size_of
 
 #: Share of the mean idf that a term in over half of the chunks gets.
 IDF_FLOOR = 0.25
@@ -37,6 +38,24 @@ def expand_by_domain(text: Column, words: Column, domain: Column, tables: dict |
     return out
 
 
+def _documents(questions: DataFrame) -> Column:
+    """The documents a question is about, null if it is about all of its domain."""
+    if "doc_ids" not in questions.columns:
+        return F.lit(None).cast("array<string>")
+    return F.when((F.size("doc_ids") > 0) & ~F.exists("doc_ids", lambda d: d.isNull()), F.array_distinct("doc_ids"))
+
+
+def in_scope(hits: DataFrame) -> DataFrame:
+    """Hits (doc_id, _docs, ...) within the documents of their question."""
+    return hits.where(F.col("_docs").isNull() | F.array_contains("_docs", F.col("doc_id"))).drop("_docs")
+
+
+def keyed(chunks: DataFrame) -> DataFrame:
+    """Chunks dealt by their key: what is found for a question and a chunk is then summed where the chunk is, without a shuffle
+    of hits, which are as many as chunks times questions."""
+    return chunks.repartition("doc_id", "chunk_id")
+
+
 def query_terms(questions: DataFrame, synonyms: dict | None = None, stopwords=STOPWORDS, by_domain: bool = False) -> DataFrame:
     """(qid, domain, term, times) of questions with `options` joined to the question text, expanded by general and, if asked for, domain
     synonyms."""
@@ -46,39 +65,33 @@ def query_terms(questions: DataFrame, synonyms: dict | None = None, stopwords=ST
     return asked.select("qid", "domain", F.explode(words).alias("term")).groupBy("qid", "domain", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def idf(tf: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(domain, term, df, idf): ln(N - df + 0.5) - ln(df + 0.5), or IDF_FLOOR of the domain's mean where that is negative."""
-    n = lengths.groupBy("domain").agg(F.count(F.lit(1)).alias("n_chunks"))
+def idf(tf: DataFrame) -> DataFrame:
+    """(domain, term, df, idf, mean_terms): ln(N - df + 0.5) - ln(df + 0.5), or IDF_FLOOR of the domain's mean where that is negative, and
+    the mean length of the domain's chunks."""
+    n = tf.groupBy("domain").agg(F.sum((F.col("nth") == 0).cast("long")).alias("n_chunks"), F.sum("tf").alias("n_terms"))
     raw = tf.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "domain")  # a row a domain
     raw = raw.withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("domain").agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean), "domain").select("domain", "term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
-def in_scope(rows: DataFrame, questions: DataFrame) -> DataFrame:
-    """Rows of (qid, doc_id, ...) within the question's doc_ids; a question without any has all documents of its domain."""
-    if "doc_ids" not in questions.columns:
-        return rows
-    wanted = questions.select("qid", F.explode_outer("doc_ids").alias("_doc")).distinct()
-    free = wanted.where("_doc is null").select("qid")
-    bound = wanted.where("_doc is not null").withColumnRenamed("_doc", "doc_id")
-    return rows.join(bound, ["qid", "doc_id"], "left_semi").unionByName(rows.join(free, "qid", "left_semi"))
+    return raw.join(F.broadcast(mean), "domain").select("domain", "term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms"))
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1, b: float | Column = BASE_B, synonyms: dict | None = None, stopwords=STOPWORDS, tf: DataFrame | None = None, by_domain: bool = False) -> DataFrame:
-    """(qid, domain, doc_id, chunk_id, bm25) of every chunk in scope that shares a term with the question."""
-    tf = postings.term_frequency(chunks, stopwords) if tf is None else tf
-    lengths = tf.groupBy(*postings.KEYED).agg(F.sum("tf").alias("n_terms"))
-    mean = lengths.groupBy("domain").agg(F.avg("n_terms").alias("mean_terms"))
+    """(qid, domain, doc_id, chunk_id, bm25) of every chunk in scope that shares a term with the question.
+
+    The weights of the questions' terms, a stated set, go to the chunks if they fit a broadcast; otherwise they meet by term.
+    """
+    tf = postings.term_frequency(keyed(chunks), stopwords) if tf is None else keyed(tf)
     terms = query_terms(questions, synonyms, stopwords, by_domain)
-    weights = terms.join(idf(tf, lengths), ["domain", "term"])
+    fits = size_of(terms) <= MOST
+    if "doc_ids" in questions.columns:
+        terms = terms.join(questions.select("qid", _documents(questions).alias("_docs")), "qid")
+    else:
+        terms = terms.withColumn("_docs", _documents(questions))
+    weights = terms.join(idf(tf), ["domain", "term"]).select("domain", "term", "qid", "_docs", "mean_terms", (F.col("times") * F.col("idf")).alias("weight"))
     k1, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (k1, b))
-    # a posting's share is worked out once, before the questions that ask for its term multiply it
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean_terms")))
-    asked = tf.join(terms.select("domain", "term").distinct(), ["domain", "term"], "left_semi")
-    shares = asked.join(lengths, list(postings.KEYED)).join(F.broadcast(mean), "domain").select(*postings.KEYED, "term", share.alias("share"))
-    hits = in_scope(shares.join(weights.select("domain", "term", "qid", (F.col("times") * F.col("idf")).alias("weight")), ["domain", "term"]), questions)
-    return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.col("weight") * F.col("share")).alias("bm25"))
+    hits = in_scope(tf.join(F.broadcast(weights) if fits else weights, ["domain", "term"]))
+    return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.col("weight") * share).alias("bm25"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -108,15 +121,14 @@ def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = Tru
     two. By domain: the domain's weight for a number of the question (of a clause question whatever the chunk has), also in
     other units; for one of the options 0.4 of it with two words, 0.8 with one word if it is large, and 250 in a table.
     """
-    numbers = postings.numeric(chunks) if numbers is None else numbers
-    asked = questions.select("qid", "domain", "question", _context(F.col("question")).alias("words"), F.regexp_like("question", F.lit(extract.CLAUSE)).alias("clause"), extract.number_keys(F.col("question"), False).alias("q"), F.array_distinct(F.flatten(F.transform(_options(questions), lambda o: extract.number_keys(o, False)))).alias("o"))
-    rows = asked.select("qid", "domain", "words", "clause", F.explode(F.concat(F.transform("q", lambda x: F.struct(x.alias("number"), F.lit(True).alias("of_question"))), F.transform(F.array_except("o", "q"), lambda x: F.struct(x.alias("number"), F.lit(False).alias("of_question"))))).alias("x")).select("qid", "domain", "words", "clause", "x.number", "x.of_question")
-    if by_domain:
-        rows = rows.withColumn("key", F.explode(extract.converted(F.col("number"))))
+    asked = questions.select("qid", "domain", _documents(questions).alias("_docs"), _context(F.col("question")).alias("words"), F.regexp_like("question", F.lit(extract.CLAUSE)).alias("clause"), extract.number_keys(F.col("question"), False).alias("q"), F.array_distinct(F.flatten(F.transform(_options(questions), lambda o: extract.number_keys(o, False)))).alias("o"))
+    rows = asked.select("qid", "domain", "_docs", "words", "clause", F.explode(F.concat(F.transform("q", lambda x: F.struct(x.alias("number"), F.lit(True).alias("of_question"))), F.transform(F.array_except("o", "q"), lambda x: F.struct(x.alias("number"), F.lit(False).alias("of_question"))))).alias("x")).select("qid", "domain", "_docs", "words", "clause", "x.number", "x.of_question")
+    rows = rows.withColumn("key", F.explode(extract.converted(F.col("number"))) if by_domain else F.col("number"))
+    if numbers is None:  # the text goes along with the few numbers of a chunk
+        told = keyed(chunks).select(*postings.KEYED, "text", "has_table", F.explode(extract.number_keys(F.col("text"))).alias("key"))
     else:
-        rows = rows.withColumn("key", F.col("number"))
-    hits = in_scope(rows.join(numbers, ["domain", "key"]), questions).select("qid", *postings.KEYED, "number", "of_question", "words", "clause").dropDuplicates(["qid", *postings.KEYED, "number", "of_question"])
-    hits = hits.join(chunks.select(*postings.KEYED, "text", "has_table"), list(postings.KEYED))
+        told = numbers.join(chunks.select(*postings.KEYED, "text", "has_table"), list(postings.KEYED))
+    hits = in_scope(told.join(rows, ["domain", "key"])).dropDuplicates(["qid", *postings.KEYED, "number", "of_question"])
     met = F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w)))
     if by_domain:
         weight = _of_domain("numeric")
@@ -135,16 +147,20 @@ def phrase_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True
     and options, rating * min(0.2 * length + 0.2, 1), half more for the domain's clause words, 40 more for strong phrases and
     twice the table weight in tables; and 40 for each strong phrase that stands anywhere in the query.
     """
-    keys = postings.phrase(chunks) if phrases is None else phrases
+    scope = _documents(questions).alias("_docs")
+    if phrases is None:
+        keys = postings.postings(keyed(chunks), extract.phrase_keys(F.col("text")), ("has_table",))
+    else:
+        keys = phrases.join(chunks.select(*postings.KEYED, "has_table"), list(postings.KEYED))
     if not by_domain:
-        rows = questions.select("qid", "domain", F.explode(extract.phrases(F.col("question"), 3, 10)).alias("key"))
-        hits = in_scope(rows.join(keys, ["domain", "key"]), questions)
+        rows = questions.select("qid", "domain", scope, F.explode(extract.phrases(F.col("question"), 3, 10)).alias("key"))
+        hits = in_scope(keys.join(rows, ["domain", "key"]))
         return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.least(0.15 * F.char_length("key") + 0.05, F.lit(2.0))).alias("phrase"))
     each = F.array_distinct(F.concat(extract.phrases(F.col("question"), 3, 20), F.flatten(F.transform(_options(questions), lambda o: extract.phrases(o, 3, 20)))))
-    rows = questions.select("qid", "domain", F.explode(each).alias("key"), F.lit(True).alias("whole"))
+    rows = questions.select("qid", "domain", scope, F.explode(each).alias("key"), F.lit(True).alias("whole"))
     query = F.concat_ws(" ", "question", F.array_join(_options(questions), " "))
-    contained = questions.select("qid", "domain", F.explode(F.filter(F.array(*map(F.lit, strong)), lambda p: F.contains(query, p))).alias("key"), F.lit(False).alias("whole"))
-    hits = in_scope(rows.unionByName(contained).join(keys, ["domain", "key"]), questions).join(chunks.select(*postings.KEYED, "has_table"), list(postings.KEYED))
+    contained = questions.select("qid", "domain", scope, F.explode(F.filter(F.array(*map(F.lit, strong)), lambda p: F.contains(query, p))).alias("key"), F.lit(False).alias("whole"))
+    hits = in_scope(keys.join(rows.unionByName(contained), ["domain", "key"]))
     clause = F.lit(False)
     for domain, words in (clause_words or {}).items():
         clause = clause | ((F.col("domain") == domain) & F.col("key").isin(*words))
@@ -155,18 +171,19 @@ def phrase_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True
 def entity_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, entities: DataFrame | None = None, phrases: DataFrame | None = None, guarantees: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(qid, domain, doc_id, chunk_id, entity): 1.5 for each of the first three mentions, or the domain's weight for each of the
     first five and half of it for each of its guarantee phrases in the query. A repeated mention counts again."""
-    keys = postings.entity(chunks) if entities is None else entities
+    scope = _documents(questions).alias("_docs")
+    keys = postings.entity(keyed(chunks)) if entities is None else entities
     query = F.concat_ws(" ", "question", F.array_join(_options(questions), " "))
     domain = F.col("domain") if by_domain else F.lit("")
-    mentions = questions.select("qid", "domain", F.explode(extract.query_entities(query, domain, 5 if by_domain else 3)).alias("key"))
-    hits = in_scope(mentions.join(keys, ["domain", "key"]), questions)
+    mentions = questions.select("qid", "domain", scope, F.explode(extract.query_entities(query, domain, 5 if by_domain else 3)).alias("key"))
+    hits = in_scope(keys.join(mentions, ["domain", "key"]))
     weight = _of_domain("entity") if by_domain else F.lit(1.5)
     points = hits.select("qid", *postings.KEYED, weight.alias("x"))
     if by_domain and guarantees:
-        keys = postings.phrase(chunks) if phrases is None else phrases
+        keys = postings.phrase(keyed(chunks)) if phrases is None else phrases
         listed = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, ws in guarantees.items() for w in ws])
-        said = questions.select("qid", "domain", F.explode(F.filter(listed, lambda s: (s["d"] == F.col("domain")) & F.contains(query, s["w"]))).alias("s")).select("qid", "domain", F.col("s.w").alias("key"))
-        points = points.unionByName(in_scope(said.join(keys, ["domain", "key"]), questions).select("qid", *postings.KEYED, (_of_domain("entity") * 0.5).alias("x")))
+        said = questions.select("qid", "domain", scope, F.explode(F.filter(listed, lambda s: (s["d"] == F.col("domain")) & F.contains(query, s["w"]))).alias("s")).select("qid", "domain", "_docs", F.col("s.w").alias("key"))
+        points = points.unionByName(in_scope(keys.join(said, ["domain", "key"])).select("qid", *postings.KEYED, (_of_domain("entity") * 0.5).alias("x")))
     return points.groupBy("qid", *postings.KEYED).agg(F.sum("x").alias("entity"))
 
 
@@ -184,9 +201,9 @@ def score(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, stopw
         rows = df if rows is None else rows.unionByName(df)
     if "doc_ids" in questions.columns:
         # chunks of the named documents are candidates even if nothing matches
-        named = questions.select("qid", "domain", F.explode("doc_ids").alias("doc_id")).join(chunks.select(*postings.KEYED), ["domain", "doc_id"])
+        named = keyed(chunks.select(*postings.KEYED)).join(questions.select("qid", "domain", F.explode("doc_ids").alias("doc_id")), ["domain", "doc_id"])
         rows = rows.unionByName(named.select(*key, *[F.lit(0.0).alias(n) for n in names]))
-    out = rows.groupBy(*key).agg(*[F.sum(n).alias(n) for n in names]).join(chunks.select(*postings.KEYED, "has_table"), list(postings.KEYED))
+    out = rows.groupBy(*key).agg(*[F.sum(n).alias(n) for n in names]).join(keyed(chunks.select(*postings.KEYED, "has_table")), list(postings.KEYED))
     out = out.withColumn("table_boost", F.when(F.col("has_table"), TABLE_BONUS).otherwise(0.0))
     return out.withColumn("score", F.col("bm25") + F.col("numeric") + F.col("phrase") + F.col("entity") + F.col("table_boost"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import answering, chunking, entities, evalset, graph, judge, metrics, postings, search, tools, vector
+from ..operators import answering, chunking, entities, evalset, evidence, graph, judge, metrics, postings, search, tools, vector
+from ..operators.sizes import scan
 from ..sources import ingest, sinks
 from ..streaming import ingest as stream
 
@@ -32,14 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals out a table that comes in fewer splits than there are cores, so only small ones."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select(F.lit("corpus").alias("domain"), F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_no"), "text", F.contains("text", F.lit("|")).alias("has_table"), F.lit(1).alias("page"))
+    return table(spark, sf_dir, "documents").select(F.lit("corpus").alias("domain"), F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_no"), "text", F.contains("text", F.lit("|")).alias("has_table"), F.lit(1).alias("page"))
 
 
 def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +66,10 @@ def bm25_topk(spark, sf_dir):
     return search.top_k(_bm25(spark, sf_dir), 10)
 
 
-@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"""WITH {_TF}, st AS (SELECT count(DISTINCT chunk_id) AS nn FROM tf), raw AS (SELECT term, count(*) AS df, ln(any_value(nn) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf, st GROUP BY term),
+m AS (SELECT avg(r) AS mean FROM raw) SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * mean ELSE r END, 6) AS idf FROM raw, m""")
 def bm25_idf(spark, sf_dir):
-    tf = postings.term_frequency(chunks_of(spark, sf_dir))
-    lengths = tf.groupBy(*postings.KEYED).agg(F.sum("tf").alias("n_terms"))
-    return search.idf(tf, lengths).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(postings.term_frequency(chunks_of(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_TF} SELECT doc_id, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_terms, round(avg(n), 6) AS mean_terms FROM (SELECT doc_id, chunk_id, sum(tf) AS n FROM tf GROUP BY ALL) GROUP BY 1")
@@ -124,18 +118,23 @@ def table_floor(spark, sf_dir):
 def search_evidence(spark, sf_dir):
     """The whole domain search with its breakdown."""
     q = questions_of(spark, sf_dir).withColumn("options", F.create_map(F.lit("A"), F.col("question")))
-    return search.search(chunks_of(spark, sf_dir), q, 8).withColumn("text", F.substring("text", 1, 200))
+    return search.search(chunks_of(spark, sf_dir), q, 8)
 
 
 @query()
 def score_breakdown(spark, sf_dir):
-    q = questions_of(spark, sf_dir)
-    return search.score(chunks_of(spark, sf_dir), q, by_domain=False).select("qid", "doc_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("bm25", "numeric", "phrase", "entity", "table_boost", "score")])
+    """The parts of the scores of each question's first twenty chunks."""
+    scored = search.score(chunks_of(spark, sf_dir), questions_of(spark, sf_dir), by_domain=False)
+    parts = [F.round(c, 6).alias(c) for c in ("bm25", "numeric", "phrase", "entity", "table_boost", "score")]
+    return search.top_k(scored.select("qid", "doc_id", "chunk_id", *parts), 20)
 
 
-@query("""WITH k AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest(list_distinct(list_concat(
+_NUMBERS = """k AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest(list_distinct(list_concat(
   regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?'), list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?[ \\t\\n\\r\\f\\x0b]*%'), lambda x: regexp_replace(x, '[ \\t\\n\\r\\f\\x0b]+', '', 'g'))))) AS key
-FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '\\(', ''), '\\)', ''), '\\%', '%'), '\\,', ''), ',', '') AS t FROM documents)) SELECT key, chunk_id FROM k""")
+FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '\\(', ''), '\\)', ''), '\\%', '%'), '\\,', ''), ',', '') AS t FROM documents))"""
+
+
+@query(f"WITH {_NUMBERS} SELECT key, chunk_id FROM k")
 def numeric_postings(spark, sf_dir):
     return postings.numeric(chunks_of(spark, sf_dir)).select("key", "chunk_id")
 
@@ -158,40 +157,47 @@ def phrase_postings(spark, sf_dir):
     return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks")).where("n_chunks > 1")
 
 
-def _words(spark, sf_dir, n):
-    """The first words of each question, as a keyword query."""
-    return questions_of(spark, sf_dir).select("qid", F.slice(extract.tokens(F.col("question")), 1, n).alias("words"))
+def _lower_chunks(spark, sf_dir):
+    """Chunks in lower case, as the words of the ranking are."""
+    return chunks_of(spark, sf_dir).withColumn("text", F.lower("text"))
 
 
-_W3 = f"SELECT CAST(item_id AS VARCHAR) AS qid, list_slice({_TOKENS.format('text')}, 1, 3) AS words FROM benchmark"
+def _words(spark, sf_dir):
+    """The words of each question, as a keyword query."""
+    return questions_of(spark, sf_dir).select("qid", F.array_distinct(extract.tokens(F.col("question"))).alias("words"))
 
 
-@query(f"""WITH q AS ({_W3}), d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents),
-h AS (SELECT qid, chunk_id, len(list_filter(words, lambda w: contains(text, w))) AS hits, len(words) AS n FROM q, d),
-a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS rank FROM h WHERE hits = n) SELECT qid, chunk_id, rank FROM a WHERE rank <= 5""")
+_WITHIN = f"""q AS (SELECT CAST(item_id AS VARCHAR) AS qid, list_distinct({_TOKENS.format('text')}) AS words FROM benchmark), e AS (SELECT qid, len(words) AS n, unnest(words) AS w FROM q),
+d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, lower(text) AS text FROM documents), f AS (SELECT chunk_id, w FROM d JOIN (SELECT DISTINCT w FROM e) ON contains(text, w)),
+h AS (SELECT qid, chunk_id, n, count(*) AS hits FROM f JOIN e USING (w) GROUP BY ALL)"""
+
+
+@query(f"WITH {_WITHIN}, a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS rank FROM h WHERE hits = n) SELECT qid, chunk_id, rank FROM a WHERE rank <= 5")
 def keyword_all(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir)
-    hits = chunks.join(_words(spark, sf_dir, 3), F.forall("words", lambda w: F.contains("text", w))).select("qid", "chunk_id")
-    return tools._first(hits, 5, "chunk_id")
+    hits = tools.words_within(_words(spark, sf_dir), _lower_chunks(spark, sf_dir)).where("hits = n_words")
+    return tools._first(hits.select("qid", "chunk_id"), 5, "chunk_id")
 
 
-@query(f"""WITH q AS ({_W3}), d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents),
-h AS (SELECT qid, chunk_id, CAST(len(list_filter(words, lambda w: contains(text, w))) AS BIGINT) AS hits FROM q, d),
-a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, chunk_id) AS rank FROM h WHERE hits > 0) SELECT qid, chunk_id, hits, rank FROM a WHERE rank <= 5""")
+@query(f"WITH {_WITHIN}, a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, chunk_id) AS rank FROM h) SELECT qid, chunk_id, hits, rank FROM a WHERE rank <= 5")
 def keyword_any_ranked(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir)
-    hits = chunks.join(_words(spark, sf_dir, 3), F.exists("words", lambda w: F.contains("text", w)))
-    hits = hits.select("qid", "chunk_id", F.size(F.filter("words", lambda w: F.contains("text", w))).cast("long").alias("hits"))
-    return tools._first(hits, 5, F.desc("hits"), "chunk_id")
+    hits = tools.words_within(_words(spark, sf_dir), _lower_chunks(spark, sf_dir))
+    return tools._first(hits.select("qid", "chunk_id", "hits"), 5, F.desc("hits"), "chunk_id")
 
 
-@query()
+_INVERTED = "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[，。、 \\t\\n\\r\\f\\x0b|]+'), lambda w: length(w) BETWEEN 2 AND 20))) AS key FROM documents"
+
+
+@query(f"""WITH {_WITHIN}, k AS ({_INVERTED}), s0 AS (SELECT qid, chunk_id, 0 AS stage, n AS hits, n FROM (SELECT qid, chunk_id, n, count(DISTINCT w) AS m FROM e JOIN k ON k.key = e.w GROUP BY ALL) WHERE m = n),
+c0 AS (SELECT qid, count(DISTINCT chunk_id) AS c FROM s0 GROUP BY 1), s1 AS (SELECT qid, chunk_id, 1 AS stage, hits, n FROM h LEFT JOIN c0 USING (qid) WHERE coalesce(c, 0) < 5 AND hits = n),
+done AS (SELECT qid FROM s0 UNION SELECT qid FROM s1), s2 AS (SELECT qid, chunk_id, 2 AS stage, hits, n FROM h WHERE n > 1 AND qid NOT IN (SELECT qid FROM done)),
+u AS (SELECT qid, chunk_id, min(stage) AS stage, max(hits) AS hits, max(n) AS n_words FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, hits DESC, chunk_id) AS rank FROM u) SELECT qid, chunk_id, CAST(stage AS INT) AS stage, CAST(hits AS BIGINT) AS hits, CAST(n_words AS INT) AS n_words, rank FROM r WHERE rank <= 5""")
 def keyword_tool(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir)
-    return tools.search_keyword(_words(spark, sf_dir, 3), postings.inverted(chunks), chunks)
+    chunks = _lower_chunks(spark, sf_dir)
+    return tools.search_keyword(_words(spark, sf_dir), postings.inverted(chunks), chunks)
 
 
-@query()
+@query(f"WITH {_NUMBERS}, r AS (SELECT key AS qid, chunk_id, 0 AS stage, row_number() OVER (PARTITION BY key ORDER BY chunk_id) AS rank FROM k) SELECT * FROM r WHERE rank <= 5")
 def number_tool(spark, sf_dir):
     chunks = chunks_of(spark, sf_dir)
     numbers = postings.numeric(chunks)
@@ -199,12 +205,12 @@ def number_tool(spark, sf_dir):
     return tools.search_number(asked, numbers, chunks)
 
 
-@query("""WITH q AS (SELECT CAST(item_id AS VARCHAR) AS qid, substr(text, 1, 20) AS keyword FROM benchmark),
+@query("""WITH q AS (SELECT CAST(item_id AS VARCHAR) AS qid, text AS keyword FROM benchmark),
 h AS (SELECT qid, source AS doc_id, CAST(d.doc_id AS VARCHAR) AS chunk_id, substr(text, greatest(instr(text, keyword) - 1 - 200, 0) + 1, 1000) AS snippet FROM q JOIN documents d ON contains(text, keyword)),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY chunk_id) AS k, min(chunk_id) OVER (PARTITION BY qid, doc_id) AS first FROM h),
 n AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY first, doc_id) AS doc_rank FROM k) SELECT qid, doc_id, chunk_id, doc_rank, snippet FROM n WHERE k <= 2 AND doc_rank <= 5""")
 def fulltext_snippet(spark, sf_dir):
-    q = questions_of(spark, sf_dir).select("qid", F.substring("question", 1, 20).alias("keyword"))
+    q = questions_of(spark, sf_dir).select("qid", F.col("question").alias("keyword"))
     return tools.fulltext(chunks_of(spark, sf_dir), q)
 
 
@@ -281,19 +287,17 @@ def vector_topk(spark, sf_dir):
     return vector.top_k(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), v, 10, scope="label", digits=6)
 
 
-_GOLD = "gold AS (SELECT CAST(item_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
-
-
-def gold_of(spark, sf_dir):
-    """(qid, chunk_id): chunks with the whole passage. Passages are few; Spark sends them to the chunks if they are small enough."""
-    q, c = questions_of(spark, sf_dir), chunks_of(spark, sf_dir).select("chunk_id", "text")
-    return c.join(q, evalset.anchor_in_text(F.col("question"), F.col("text"))).select("qid", "chunk_id")
+_GOLD = """anchors AS (SELECT item_id, text AS a, regexp_replace(text, '[,，]', '', 'g') AS bare, list_filter(list_transform(string_split_regex(text, '[;；]'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM benchmark),
+gold AS (SELECT CAST(item_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS chunk_id FROM anchors JOIN documents d ON contains(d.text, a) OR contains(d.text, bare)
+ OR (len(parts) > 1 AND len(list_filter(parts, lambda p: contains(d.text, p) OR contains(d.text, regexp_replace(p, '[,，]', '', 'g')))) >= greatest(len(parts) - 1, 1)))"""
 
 
 @query(f"WITH {_GOLD} SELECT qid, chunk_id FROM gold")
 def anchor_gold(spark, sf_dir):
+    """(qid, chunk_id): chunks with the whole passage, or with it but for thousands commas, or with all but one of its parts between
+    semicolons. The passages are a stated set."""
     q, c = questions_of(spark, sf_dir), chunks_of(spark, sf_dir).select("chunk_id", "text")
-    return c.join(q, F.contains("text", F.col("question"))).select("qid", "chunk_id")
+    return scan(q, c, evalset.anchor_in_text(F.col("question"), F.col("text"))).select("qid", "chunk_id")
 
 
 _ITEMS = "items AS (SELECT CAST(item_id AS VARCHAR) AS qid, CASE WHEN item_id % 3 = 0 THEN 'single_hop' WHEN item_id % 3 = 1 THEN 'multi_hop' ELSE 'temporal' END AS layer, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS domain FROM benchmark)"
@@ -415,10 +419,6 @@ def stratified_sample(spark, sf_dir):
     return evalset.stratified(table(spark, sf_dir, "documents"), {"en": 30, "fr": 20, "de": 15}, "lang", "doc_id").select("lang", "doc_id")
 
 
-#: The orders that the SQL of metric_pair_join, amount_keys and metric_mentions is about (converted_numbers: the same).
-_OF_SQL = "chunk_no % 50 = 0"
-
-
 def _metric_chunks(spark, sf_dir):
     """Sentences on an order's price and date in days, as texts with metrics; all orders."""
     o = table(spark, sf_dir, "orders")
@@ -426,33 +426,33 @@ def _metric_chunks(spark, sf_dir):
     return o.select(F.lit("financial_reports").alias("domain"), F.concat(F.lit("annual_"), (F.col("o_orderkey") % 40).cast("string")).alias("doc_id"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("chunk_id"), t.alias("text"), F.lit(False).alias("has_table"), F.col("o_orderkey").alias("chunk_no"), F.lit(1).alias("page"))
 
 
-@query("""WITH o AS (SELECT 'c' || o_orderkey AS chunk_id, round(o_totalprice, 2) AS a, CAST(trunc(o_totalprice / 10) AS DOUBLE) AS b, CAST(o_custkey + 100 AS DOUBLE) AS c FROM orders WHERE o_orderkey % 50 = 0),
+@query("""WITH o AS (SELECT 'c' || o_orderkey AS chunk_id, round(o_totalprice, 2) AS a, CAST(trunc(o_totalprice / 10) AS DOUBLE) AS b, CAST(o_custkey + 100 AS DOUBLE) AS c FROM orders),
 v AS (SELECT chunk_id, 0 AS pos, '营业收入' AS metric, a AS x FROM o UNION ALL SELECT chunk_id, 1, '净利润', b FROM o UNION ALL SELECT chunk_id, 2, '研发费用', c FROM o)
 SELECT p.chunk_id, p.metric, q.metric AS metric_b FROM v p JOIN v q ON p.chunk_id = q.chunk_id AND p.pos < q.pos WHERE greatest(p.x, q.x) <= 10000.0 * least(p.x, q.x)""")
 def metric_pair_join(spark, sf_dir):
-    pairs = evalset.metric_pairs(_metric_chunks(spark, sf_dir).where(_OF_SQL), entities=("比亚迪",))
+    pairs = evalset.metric_pairs(_metric_chunks(spark, sf_dir), entities=("比亚迪",))
     return evalset.pair_join(pairs).select("chunk_id", "metric", "metric_b")
 
 
-@query("""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, printf('%.2f', o_totalprice) AS key FROM orders WHERE o_orderkey % 50 = 0)
+@query("""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, printf('%.2f', o_totalprice) AS key FROM orders)
 SELECT k, key, CAST(CAST(trunc(CAST(key AS DOUBLE) * 100) AS BIGINT) AS VARCHAR) AS hundreds, CAST(CAST(trunc(CAST(key AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR) AS ten_thousands, CAST(CAST(trunc(CAST(key AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR) AS millions FROM o""")
 def converted_numbers(spark, sf_dir):
     """Decimal keys in smaller units, cut by double arithmetic."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").cast("string").alias("k"), F.format_string("%.2f", "o_totalprice").alias("key"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.format_string("%.2f", "o_totalprice").alias("key"))
     return o.withColumn("c", extract.converted(F.col("key"))).select("k", "key", F.col("c")[1].alias("hundreds"), F.col("c")[2].alias("ten_thousands"), F.col("c")[3].alias("millions"))
 
 
-@query("""WITH o AS (SELECT 'c' || o_orderkey AS chunk_id, list_distinct([round(o_totalprice, 2) * 10000.0, trunc(o_totalprice / 10) * 10000.0, (o_custkey + 100) * 10000.0]) AS a FROM orders WHERE o_orderkey % 50 = 0)
+@query("""WITH o AS (SELECT 'c' || o_orderkey AS chunk_id, list_distinct([round(o_totalprice, 2) * 10000.0, trunc(o_totalprice / 10) * 10000.0, (o_custkey + 100) * 10000.0]) AS a FROM orders)
 SELECT chunk_id, CAST(len(a) AS BIGINT) AS n, round(list_sum(a), 0) AS total FROM o""")
 def amount_keys(spark, sf_dir):
     """Amounts of the metric texts in yuan."""
-    df = _metric_chunks(spark, sf_dir).where(_OF_SQL).select("chunk_id", F.filter(extract.amounts(F.col("text")), lambda a: a > 0).alias("a"))
+    df = _metric_chunks(spark, sf_dir).select("chunk_id", F.filter(extract.amounts(F.col("text")), lambda a: a > 0).alias("a"))
     return df.select("chunk_id", F.size("a").cast("long").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 0).alias("total"))
 
 
-@query("SELECT name, count(*) AS n FROM orders, (VALUES ('营业收入'), ('净利润'), ('研发费用')) AS v(name) WHERE o_orderkey % 50 = 0 GROUP BY 1")
+@query("SELECT name, count(*) AS n FROM orders, (VALUES ('营业收入'), ('净利润'), ('研发费用')) AS v(name) GROUP BY 1")
 def metric_mentions(spark, sf_dir):
-    return entities.mentions(_metric_chunks(spark, sf_dir).where(_OF_SQL)).where("type = 'metric'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return entities.mentions(_metric_chunks(spark, sf_dir)).where("type = 'metric'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH x AS (SELECT event_id, list_filter(['A', 'B', 'C', 'D'], lambda c: ((event_id // CASE c WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 ELSE 8 END) % 2) = 1) AS gold, list_filter(['A', 'B', 'C', 'D'], lambda c: ((user_id // CASE c WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 ELSE 8 END) % 2) = 1) AS said FROM events)

@@ -109,7 +109,7 @@ def test_graph_rankings(spark):
 
 def test_table_alignment(spark):
     df = spark.createDataFrame([("2024年占比66.38%", "|a|2022|b|66.38%|")], "o string, e string")
-    assert df.select(judge.table_alignment(F.col("o"), F.col("e"))).first()[0] == -2.0
+    assert df.select(judge.misplaced_years(F.col("o"), F.col("e"))).first()[0] == -2.0
 
 
 def test_two_paths_and_source_check(spark):
