@@ -98,24 +98,27 @@ class Encoder:
             parts = self._parts(text)
             found = list(map(young.get, parts))
             if None in found:
-                lacks = []
-                for k, x in enumerate(found):
-                    if x is None:
-                        p = parts[k]
-                        if (x := old.get(p)) is not None:
-                            young[p] = found[k] = x
-                        elif not p or p[-1].isspace() or p == "\x00":
-                            lacks = None  # such parts are never kept, so none can be found
-                            break
-                        elif p[-1] in ends and p[-2:-1].isalpha():  # letters and what follows are never one token
-                            if (x := young.get(p[:-1]) or old.get(p[:-1])) is not None:
-                                young[p] = found[k] = x + ends[p[-1]]
-                            else:
-                                missing[p[:-1]] = None
-                                lacks.append(k)
+                lacks, k = [], found.index(None)
+                while k >= 0:
+                    p = parts[k]
+                    if (x := old.get(p)) is not None:
+                        young[p] = found[k] = x
+                    elif not p or p[-1].isspace() or p == "\x00":
+                        lacks = None  # such parts are never kept, so none can be found
+                        break
+                    elif p[-1] in ends and p[-2:-1].isalpha():  # letters and what follows are never one token
+                        if (x := young.get(p[:-1]) or old.get(p[:-1])) is not None:
+                            young[p] = found[k] = x + ends[p[-1]]
                         else:
-                            missing[p] = None
+                            missing[p[:-1]] = None
                             lacks.append(k)
+                    else:
+                        missing[p] = None
+                        lacks.append(k)
+                    try:
+                        k = found.index(None, k + 1)
+                    except ValueError:
+                        break
                 if lacks is None:
                     out.append(self._whole(text))
                     continue
