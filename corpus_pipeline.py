@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeseam.llm import decontaminate, lines, packing, quality, simhash
-from lodeseam.llm.common import save
+from lodeseam.llm.common import made, release, save
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = save(docs, name)
+            # all that this stage was made from is used up
+            release(spark, others | {docs.saved_at})
     return docs

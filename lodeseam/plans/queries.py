@@ -14,24 +14,8 @@ from ..operators import answering, chunking, entities, evalset, evidence, graph,
 from ..operators.sizes import scan
 from ..sources import ingest, sinks
 from ..streaming import ingest as stream
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import cjk  # noqa: F401  (registers its queries)
+from .registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.lit("corpus").alias("domain"), F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_no"), "text", F.contains("text", F.lit("|")).alias("has_table"), F.lit(1).alias("page"))
@@ -114,14 +98,37 @@ def table_floor(spark, sf_dir):
     return search.select(scored, questions_of(spark, sf_dir), 8)
 
 
-@query()
+_NUMBERS = """k AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest(list_distinct(list_concat(
+  regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?'), list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?[ \\t\\n\\r\\f\\x0b]*%'), lambda x: regexp_replace(x, '[ \\t\\n\\r\\f\\x0b]+', '', 'g'))))) AS key
+FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '\\(', ''), '\\)', ''), '\\%', '%'), '\\,', ''), ',', '') AS t FROM documents))"""
+
+
+def _whole_score(k1: str, b: str, times: int, number: str) -> str:
+    """SQL for the scores of passages against documents, which have no CJK: BM25, numbers of the question if the document has one
+    of its words, and the table bonus, of chunks that share anything."""
+    return f"""{_BM25.replace('tf * 2.8 / (tf + 1.8 * (0.4 + 0.6 * n / mean))', f'tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * n / mean))').replace('times * idf', f'{times} * times * idf')}, {_NUMBERS},
+qn AS (SELECT CAST(item_id AS VARCHAR) AS qid, list_filter(list_distinct({_TOKENS.format('text')}), lambda w: length(w) >= 2) AS words, replace(text, ',', '') AS t FROM benchmark),
+num AS (SELECT qid, words, unnest(list_distinct(list_concat(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?'), list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?[ \\t\\n\\r\\f\\x0b]*%'), lambda x: regexp_replace(x, '[ \\t\\n\\r\\f\\x0b]+', '', 'g'))))) AS key FROM qn),
+d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS doc_id, lower(text) AS low, contains(text, '|') AS has_table, text FROM documents),
+nb AS (SELECT qid, chunk_id, sum(CASE WHEN len(list_filter(words, lambda w: contains(low, w))) >= 1 THEN {number} ELSE 0.0 END) AS numeric FROM num JOIN k USING (key) JOIN d USING (chunk_id) GROUP BY 1, 2),
+all_parts AS (SELECT qid, chunk_id, coalesce(raw_score, 0.0) AS bm25, CAST(coalesce(numeric, 0.0) AS DOUBLE) AS numeric FROM s FULL JOIN nb USING (qid, chunk_id)),
+whole AS (SELECT qid, doc_id, chunk_id, has_table, bm25, numeric, CASE WHEN has_table THEN 5.0 ELSE 0.0 END AS table_boost, bm25 + numeric + CASE WHEN has_table THEN 5.0 ELSE 0.0 END AS score, text FROM all_parts JOIN d USING (chunk_id))"""
+
+
+@query(f"""WITH {_whole_score('2.0', '0.5', 2, '25.0')}, o AS (SELECT * REPLACE (round(score, 6) AS score), row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id, chunk_id) AS k FROM whole),
+f AS (SELECT qid, bool_or(k <= 8 AND has_table) AS any_table, least(8, count(*)) AS last, min(k) FILTER (k > 8 AND has_table) AS best FROM o GROUP BY 1)
+SELECT qid, 'corpus' AS domain, doc_id, chunk_id, has_table, round(bm25, 6) AS bm25, numeric, 0.0::DOUBLE AS phrase, 0.0::DOUBLE AS entity, table_boost::DOUBLE AS table_boost, score, CASE WHEN k = best AND NOT any_table THEN last ELSE k END AS rank, text
+FROM o JOIN f USING (qid) WHERE (k <= 8 AND NOT (k = last AND best IS NOT NULL AND NOT any_table)) OR (k = best AND NOT any_table)""")
 def search_evidence(spark, sf_dir):
-    """The whole domain search with its breakdown."""
+    """The whole domain search with its breakdown; the one option repeats the question."""
+    chunks = chunks_of(spark, sf_dir)
     q = questions_of(spark, sf_dir).withColumn("options", F.create_map(F.lit("A"), F.col("question")))
-    return search.search(chunks_of(spark, sf_dir), q, 8)
+    scored = search.score(chunks, q).withColumn("score", F.round("score", 6)).withColumn("bm25", F.round("bm25", 6))
+    return search.select(scored, q, 8).join(chunks.select(*postings.KEYED, "text"), list(postings.KEYED))
 
 
-@query()
+@query(f"""WITH {_whole_score('1.8', '0.6', 1, '2.5')}, r AS (SELECT qid, doc_id, chunk_id, round(bm25, 6) AS bm25, numeric, 0.0::DOUBLE AS phrase, 0.0::DOUBLE AS entity, table_boost::DOUBLE AS table_boost, round(score, 6) AS score FROM whole),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_id) AS rank FROM r) SELECT * FROM o WHERE rank <= 20""")
 def score_breakdown(spark, sf_dir):
     """The parts of the scores of each question's first twenty chunks."""
     scored = search.score(chunks_of(spark, sf_dir), questions_of(spark, sf_dir), by_domain=False)
@@ -129,11 +136,6 @@ def score_breakdown(spark, sf_dir):
     return search.top_k(scored.select("qid", "doc_id", "chunk_id", *parts), 20)
 
 
-_NUMBERS = """k AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest(list_distinct(list_concat(
-  regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?'), list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?[ \\t\\n\\r\\f\\x0b]*%'), lambda x: regexp_replace(x, '[ \\t\\n\\r\\f\\x0b]+', '', 'g'))))) AS key
-FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '\\(', ''), '\\)', ''), '\\%', '%'), '\\,', ''), ',', '') AS t FROM documents))"""
-
-
 @query(f"WITH {_NUMBERS} SELECT key, chunk_id FROM k")
 def numeric_postings(spark, sf_dir):
     return postings.numeric(chunks_of(spark, sf_dir)).select("key", "chunk_id")
@@ -144,7 +146,12 @@ def inverted_postings(spark, sf_dir):
     return postings.inverted(chunks_of(spark, sf_dir)).groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS doc_id, text FROM documents WHERE text <> ''),
+s AS (SELECT 'keyword' AS family, unnest(list_slice(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(text, '[^\\p{L}\\p{N}_]', ' ', 'g'), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: length(w) BETWEEN 2 AND 12 AND NOT regexp_full_match(w, '[0-9]+')))), 1, 20)) AS symbol FROM d
+ UNION ALL SELECT 'metric', unnest(list_filter(['ROE', 'ROA'], lambda m: contains(text, m))) FROM d
+ UNION ALL SELECT 'period', unnest(list_distinct(regexp_extract_all(text, '20[0-9]{2}|[0-9]{4}[-/][0-9]{2}(?:[-/][0-9]{2})?'))) FROM d
+ UNION ALL SELECT 'table', doc_id FROM d WHERE contains(text, '|'))
+SELECT family, count(DISTINCT symbol) AS unique_symbols, count(*) AS total_entries FROM s GROUP BY 1""")
 def symbol_stats(spark, sf_dir):
     return postings.stats(postings.symbols(chunks_of(spark, sf_dir)))
 
@@ -234,16 +241,6 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]*\\\\[()][ \\t\\n\\r\\f\\x0b]*', '', 'g'), '\\\\%', '%', 'g'), '\\\\,', '', 'g'), '\\\\ ', ' ', 'g')) AS n_chars FROM documents")
-def latex_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.char_length(text.normalize_latex(F.col("text"))).cast("long").alias("n_chars"))
-
-
-@query("SELECT doc_id, CAST(trunc((length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g'))) * 1.5 + length(regexp_replace(text, '[一-鿿]', '', 'g')) * 0.25) AS BIGINT) AS mixed FROM documents")
-def token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("mixed"))
-
-
 @query()
 def paragraph_pack(spark, sf_dir):
     """Lines as paragraphs, packed to chunks of under 600 characters."""
@@ -369,23 +366,26 @@ def citation_check(spark, sf_dir):
     return checked.select("conv_id", "turn", F.size("x.valid").cast("long").alias("n_valid"), F.size("x.invalid").cast("long").alias("n_invalid"))
 
 
-@query("""WITH a AS (SELECT source AS doc_id, CAST(doc_id AS VARCHAR) AS chunk_id, doc_id AS no, least(length(text), 1200) AS n FROM documents),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS rank, sum(n) OVER (PARTITION BY doc_id ORDER BY no) AS used FROM a), c AS (SELECT *, min(CASE WHEN used > 36000 THEN rank END) OVER (PARTITION BY doc_id) AS over FROM b)
-SELECT doc_id, chunk_id, rank, CAST(used AS BIGINT) AS used FROM c WHERE rank <= 15 AND (over IS NULL OR rank < over)""")
+@query("""WITH a AS (SELECT source AS qid, doc_id AS no, CAST(doc_id % 97 AS DOUBLE) / 4 AS score, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
+b AS (SELECT qid, rank, '### 证据' || rank || '（来源: ' || qid || ', 相关度: ' || printf('%.2f', score) || '）' || chr(10) || CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '...' ELSE text END AS x FROM a WHERE rank <= 15),
+c AS (SELECT *, sum(length(x)) OVER (PARTITION BY qid ORDER BY rank) AS used FROM b), d AS (SELECT *, min(CASE WHEN used > 9000 THEN rank END) OVER (PARTITION BY qid) AS over FROM c)
+SELECT qid, string_agg(x, chr(10) || chr(10) ORDER BY rank) AS evidence, count(*) AS n_used FROM d WHERE over IS NULL OR rank < over GROUP BY 1""")
 def evidence_budget(spark, sf_dir):
-    """Evidence of each source in order, cut at 1,200 characters, up to 15 chunks and before the first that passes 36,000."""
-    w = Window.partitionBy("doc_id").orderBy("chunk_no")
-    df = chunks_of(spark, sf_dir).withColumn("n", F.least(F.char_length("text"), F.lit(1200))).withColumn("rank", F.row_number().over(w)).withColumn("used", F.sum("n").over(w))
-    df = df.withColumn("over", F.min(F.when(F.col("used") > 36000, F.col("rank"))).over(Window.partitionBy("doc_id")))
-    return df.where("rank <= 15 and (over is null or rank < over)").select("doc_id", "chunk_id", "rank", "used")
+    """The evidence text of each source: its first 15 chunks, cut at 1,200 characters, before the first that passes 9,000."""
+    w = Window.partitionBy("qid").orderBy("no")
+    df = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), F.col("source").alias("doc_id"), F.col("doc_id").alias("no"), (F.col("doc_id") % 97 / 4).alias("score"), "text")
+    return evidence.headed(df.withColumn("rank", F.row_number().over(w)), budget=9000)
 
 
-@query("""WITH a AS (SELECT trim(unnest(string_split(c_mktsegment_alias, ','))) AS alias, full_name FROM (SELECT p_name AS full_name, replace(p_name, ' ', ',') AS c_mktsegment_alias FROM part)),
-b AS (SELECT * FROM a WHERE length(full_name) <= 40 AND length(alias) BETWEEN 3 AND 12) SELECT alias, min(full_name) AS full_name FROM b GROUP BY 1 HAVING count(DISTINCT full_name) = 1""")
+@query("""WITH r AS (SELECT n_name AS full_name, [substr(n_name, 1, 4), ' ' || substr(n_name, 1, 3) || ' ', r_name, 'id' || n_nationkey, substr(n_name, 1, 2)] AS aliases FROM nation JOIN region ON r_regionkey = n_regionkey),
+a AS (SELECT trim(unnest(aliases)) AS alias, full_name FROM r UNION ALL SELECT 'toolong', 'x' || repeat('y', 40)) , b AS (SELECT * FROM a WHERE length(full_name) <= 40 AND length(alias) BETWEEN 3 AND 12 AND alias NOT IN ('id3', 'PERU')) SELECT alias, min(full_name) AS full_name FROM b GROUP BY 1 HAVING count(DISTINCT full_name) = 1""")
 def alias_unambiguous(spark, sf_dir):
-    """Words of part names as aliases of the name: those of one name alone."""
-    rows = table(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit(",")).alias("alias_list"), F.col("p_name").alias("definition"))
-    return ingest.aliases(rows, ("-",), ("-",))
+    """Aliases of nations: beginnings of the name, the region and a number; those of one name alone stay."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    listed = F.concat(F.substring("n_name", 1, 4), F.lit("、 "), F.substring("n_name", 1, 3), F.lit(" ，"), F.col("r_name"), F.lit(",id"), F.col("n_nationkey").cast("string"), F.lit(","), F.substring("n_name", 1, 2))
+    told = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("|简称|指|"), F.col("n_name")))
+    rows = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(listed.alias("alias_list"), told.alias("definition"))
+    return ingest.aliases(rows.unionByName(rows.limit(1).select(F.lit("toolong").alias("alias_list"), F.lit("x" + "y" * 40).alias("definition"))), ("id3",), ("PERU",))
 
 
 @query("""WITH t AS (SELECT * FROM (VALUES ('the', 1, 'der'), ('the', 2, 'le'), ('of', 1, 'von'), ('and', 1, 'und'), ('and', 2, 'et'), ('la', 1, 'the')) AS v(trigger, n, word)), ord AS (SELECT trigger, n, word, CASE trigger WHEN 'the' THEN 0 WHEN 'of' THEN 1 WHEN 'and' THEN 2 ELSE 3 END AS k FROM t),
@@ -511,11 +511,6 @@ def event_windows(spark, sf_dir):
     return stream.windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT p_name, CASE WHEN ends_with(p_name, '集团') THEN substr(p_name, 1, length(p_name) - 2) ELSE p_name END AS plain FROM part")
-def entity_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_name", text.normalize_entity(F.col("p_name")).alias("plain"))
-
-
 @query()
 def option_reasoning(spark, sf_dir):
     """Answers without a model: options are three passages and the question's own, evidence the first five chunks."""
