@@ -33,7 +33,7 @@ from .common import drop, join_hot, save, texts
 WINDOW, PHRASE = 35, 8
 #: Different stretches around an anchor that one group compares, and stretches or passages that one shard holds, on average;
 #: bytes of passages and stretches of one automaton; bytes of stretches that a task hands on at a time.
-HOT, SHARD_BYTES, OUT_BYTES = 2000, 2 << 20, 8 << 20
+HOT, SHARD_BYTES, OUT_BYTES = 500, 1 << 20, 2 << 20
 
 _B = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_B, -1, 1 << 64)
