@@ -23,8 +23,29 @@ def check(spark, f, option, evidence):
         (judge.unit_consistency, "募集资金总额为2,429,326张", "任意", judge.HARD),
         (judge.unit_consistency, "金额28417.20万元", "金额28417.20元", -1.0),
         (judge.unit_consistency, "金额28417.20万元", "金额28417.20万元", 0.0),
-        (judge.subject_alignment, "标的公司净资产5000万元", "控股股东净资产5000万元", judge.HARD),
+        (judge.threshold_exceeded, "超过30%", "不超过30", 0.0),
+        (judge.threshold_exceeded, "超过30%", "实际为5.25%", judge.HARD),
+        (judge.year_value, "2024年占比66.38%", "占比在2022年为66.38%", judge.HARD),
+        (judge.year_value, "2024年占比66.38%", "占比在2022年为66.38%，" + "，" * 80 + "2024年66.38%", 0.0),
+        (judge.year_value, "2024年占比66.38%", "|指标 2024 2022|x|\n|| |66.38%|", 0.0),
+        (judge.subject_alignment, "标的公司净资产5000万元", "控股股东净资产5000万元", -3.5),
         (judge.subject_alignment, "标的公司净资产5000万元", "标的公司净资产5000万元", 0.0),
+        (judge.subject_alignment, "标的公司净资产5000万元", "净资产5000万元", 0.0),
+        (judge.subject_alignment, "标的公司净资产5000万元", "", 0.0),
+        (judge.subject_alignment, "标的公司净资产5000万元", "标的公司控股股东净资产5000万元", -5.0),
+        (judge.subject_alignment, "标的公司宏济堂为43.24%", "标的公司控股股东力诺投资为43.24%", judge.HARD),
+        (judge.subject_alignment, "标的公司宏济堂为43.24%", "标的公司控股股东力诺投资为43.24%" + "，" * 200 + "宏济堂为43.24%", -5.0),
+        (judge.unit_consistency, "金额28,417.20万元", "金额28417.20元", -2.0),
+        (judge.unit_consistency, "占比12.5%，2024年", "12.5元，2024元，", -2.0),
+        (judge.unit_consistency, "发行3股", "任意", 0.0),
+        (judge.concept_value, "逾期利息的基数为本金和利息", "逾期利息计算方式为本金×票面利率", judge.HARD),
+        (judge.concept_value, "逾期利息的基数为本金和利息", "逾期利息的基数为本金和利息", 0.0),
+        (judge.concept_value, "逾期利息的基数为本金", "违约金的基数为本金和利息", 0.0),
+        (judge.concept_value, "违约金的计算基数仅本金", "", judge.HARD),
+        (judge.procedure_alignment, "变更名称由分支机构审查、决定", "变更名称" + "，" * 250 + "审查、决定", judge.HARD),
+        (judge.procedure_alignment, "变更名称由分支机构审查、决定", "变更名称的，由其审查决定", 0.0),
+        (judge.procedure_alignment, "变更名称由分支机构审查、决定", "变更住所", 0.0),
+        (judge.procedure_alignment, "变更名称", "变更名称", 0.0),
         (judge.misplaced_years, "2024年20亿元，2024年20亿元", "|a|2023|20|x|", -8.0),
         (judge.misplaced_years, "2024年20亿元", "|a|2024|20|x|", 0.0),
         (judge.misplaced_fields, "本次发行规模为180亿元", "本次发行规模为90亿元" + "，" * 90 + "注册金额180亿元", -3.0),
@@ -41,17 +62,40 @@ def check(spark, f, option, evidence):
         (judge.option_score, "2024年占比66.38%", "|指标|2024|2022|\n|---|---|---|\n|占比|50.00%|66.38%|", 0.0),
         (judge.option_score, "超过30%", "实际为28.08%", 0.0),
         (judge.option_score, "第五条规定", "第五条规定", 6.0),
-        (judge.field_value, "净利润为12.50", "|营业收入|净利润|\n|12.50|30.10|\n|1|2|3|", judge.HARD),
+        (judge.field_value, "全部转股后上升至43.81%", "|指标|全部转股后|本次发行后转股前|\n|---|---|---|\n|负债率|26.99%|43.81%|", judge.HARD),
+        (judge.field_value, "本次发行后转股前为43.81%", "|指标|全部转股后|本次发行后转股前|\n|---|---|---|\n|负债率|26.99%|43.81%|", 0.0),
+        (judge.field_value, "全部转股后上升至43.81%", "全部转股后，本次发行后转股前43.81%", 0.0),
+        (judge.field_value, "负债率为43.81%", "|指标|全部转股后|本次发行后转股前|\n|负债率|26.99%|43.81%|", 0.0),
     ],
 )
 def test_checks(spark, f, option, evidence, want):
     assert check(spark, f, option, evidence) == want
 
 
-def test_negation(spark):
-    assert check(spark, judge.negated, "无需报告", "应当在10日内报告") is True
-    assert check(spark, judge.negated, "赔付100万元", "对100万元不予赔付") is True
-    assert check(spark, judge.negated, "赔付100万元", "赔付100万元") is False
+@pytest.mark.parametrize(
+    ("option", "evidence", "want"),
+    [
+        ("无需报告", "应当在10日内报告", True),
+        ("无需报告，但应当于变更后补报", "应当在10日内报告", False),
+        ("赔付100万元", "对100万元不予赔付", True),
+        ("赔付100万元", "赔付100万元", False),
+        ("赔付100万元", "赔付100万元" + "，" * 30 + "不予", False),
+        ("赔付100万元", "赔付100万元" + "，" * 30 + "100万元不予赔付", True),  # one place is enough
+        ("不得转让该股份，限售期届满", "限售期届满，转让该股份", False),
+        ("禁止提前赎回，限售期届满，转让该股份", "限售期届满以后转让该股份", True),  # the denial is the option's own
+        ("注册资本无需附加", "仅从事第二类业务的，注册资本无需附加", True),
+        ("仅从事第二类业务的，注册资本无需附加", "仅从事第二类业务的，注册资本无需附加", False),
+        ("注册资本无需附加", "注册资本无需附加", False),
+        ("非银行支付机构于10日内变更", "非银行支付机构不得于10日内变更", False),  # 不得 doesn't count there
+        ("非银行支付机构于10日内变更", "于10日无需变更", True),
+        ("标的公司承担赔偿", "标的公司不承担赔偿", True),
+        ("全体董事承担", "全体董事承担的说法错误", True),
+        ("全体董事承担", "其他", False),
+        ("", "", False),
+    ],
+)
+def test_negation(spark, option, evidence, want):
+    assert check(spark, judge.negated, option, evidence) is want
 
 
 def test_score_orders_options(spark):
