@@ -17,12 +17,15 @@ HOT_PARTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: `spark.checkpoint.dir`, or, where that is unset (tests), one of our own."""
+    """Folder that the driver and all executors see: `spark.checkpoint.dir`, or, where that is unset and all is one process
+    (tests), one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeseam-"))
@@ -30,18 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Paths made and not yet removed, in order.
+_MADE: dict[str, None] = {}
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
+    """A fresh path in the shared folder, removed by drop() or release(), at the latest when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/lodeseam-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _MADE[path] = None
     return path
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.pop(path, None)
+
+
+def made() -> set[str]:
+    """The paths in use now; see release()."""
+    return set(_MADE)
+
+
+def release(spark: SparkSession, keep: set[str]) -> None:
+    """Remove all paths made by this driver but `keep`: what a result was read from that is itself written or used up by now."""
+    for path in [p for p in _MADE if p not in keep]:
+        delete_folder(spark, path)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from .common import each_batch
 
 DIMENSIONS, NGRAMS = 1 << 15, (1, 2, 3)
-#: At most so many documents a language, and about so many in all, are learned from, chosen by hash; languages beyond the
-#: most frequent are not learned.
-SAMPLE, SAMPLE_ALL, LANGUAGES = 1200, 12_000, 200
+#: About so many documents a language, and about so many in all (one a language at least), are learned from, chosen by hash.
+SAMPLE, SAMPLE_ALL = 1200, 12_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 3
 UNKNOWN = "und"
 
@@ -69,9 +68,13 @@ class Model:
         """Indices and values of the text's vector, of length 1."""
         n = counts(text)
         at = np.flatnonzero(n)
-        x = (1 + np.log(n[at])) * self.idf[at]
+        return at, self.values(at, n[at])
+
+    def values(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Those of the vector with counts n at the indices."""
+        x = (1 + np.log(n)) * self.idf[at]
         size = np.sqrt((x * x).sum())
-        return at, x / size if size else x
+        return x / size if size else x
 
     def probabilities(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
         z = (x @ self.weights[at] + self.weights[-1]) / self.temperature
@@ -131,7 +134,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labels in `lang`, from the rows of (doc_id, text, lang) whose text has a letter and whose lang is not null.
 
     Document frequencies are of all these rows. Of each language about `sample` rows (fewer if there are many languages, see
-    SAMPLE_ALL) are learned from, those with the smallest hash of id and text, 4 of 5 for the weights and the rest for the temperature.
+    SAMPLE_ALL) are learned from, those with the smallest hash of id and text, 4 of 5 for the weights and the rest for the
+    temperature. Repeated rows have one hash, and so are learned from together or not at all; very long texts count like others;
+    an empty table gives a model of no language.
     """
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
 
@@ -152,7 +157,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         if bucket >= 0:
             frequency[bucket] = n
     total = found.get(-1, 0)
-    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language, as the model has
     languages = sorted(r["lang"] for r in by_lang)
     model = Model(languages, np.log((1 + total) / (1 + frequency)) + 1, np.zeros((DIMENSIONS + 1, max(1, len(languages)))))
     if not languages:
@@ -160,19 +165,39 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     sample = min(sample, max(1, SAMPLE_ALL // len(languages)))
     share = F.create_map(*[x for r in by_lang for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
     rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(rank < F.get(F.array(share[F.col("lang")]), F.lit(0))).select("doc_id", "text", "lang", rank.alias("r")).collect()
-    learn, check = [], []
-    for row in sorted(chosen, key=lambda r: (r["r"], r["doc_id"] or 0)):
-        if has_letter(row["text"]):
-            (check if (len(learn) + len(check)) % 5 == 4 else learn).append((*model.features(row["text"]), languages.index(row["lang"])))
+    def sparse(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for doc, text, lang, r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if has_letter(text):
+                    n = counts(text)
+                    at = np.flatnonzero(n)
+                    for column, x in zip(out, (doc, lang, r, at.astype("<u2").tobytes(), n[at].astype("<u4").tobytes()), strict=True):
+                        column.append(x)
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "lang", "r", "at", "n"])
+
+    # of each chosen row 6 bytes for every bucket that its text has, whatever its length
+    chosen = rows.where(rank < F.get(F.array(share[F.col("lang")]), F.lit(0))).select("doc_id", "text", "lang", rank.alias("r"))
+    sampled = chosen.mapInArrow(sparse, "doc_id long, lang string, r double, at binary, n binary").collect()
+    learn, check, number = [], [], {w: k for k, w in enumerate(languages)}
+    for row in sorted(sampled, key=lambda r: (r["r"], r["doc_id"] or 0, r["lang"], r["at"])):
+        at = np.frombuffer(row["at"], "<u2").astype(np.int64)
+        x = model.values(at, np.frombuffer(row["n"], "<u4"))
+        (check if (len(learn) + len(check)) % 5 == 4 else learn).append((at, x, number[row["lang"]]))
     _ftrl(model, learn)
     _calibrate(model, check)
     return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, from its text alone."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x LANGUAGES numbers at most
+    """(doc_id, lang_pred, score) of every row, from its text alone.
+
+    A null or empty text, or one without a letter, is `und` with score 0; a very long one is read whole; at a tie the first
+    language in order is taken; repeated rows get the same. Other columns are ignored, whatever their names; an empty table
+    gives no rows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers for each learned language
 
     def run(batch):
         found = [held.value.predict(t) for t in batch.column(1).to_pylist()]

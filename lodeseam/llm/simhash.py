@@ -1,11 +1,11 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Two 64-bit fingerprints that differ in at most two bits agree in two of any four blocks. So every distinct fingerprint
-goes to the six pairs of its 16-bit blocks, keyed by the pair's 32 bits, and only fingerprints of one key are compared.
-Those of a key are sorted by their rank in the Gray code, which puts codes with few differences close together, and put
+Distinct fingerprints are dealt to groups by some bits of each of three blocks: two that differ in at most two bits agree in
+one block. The number of bits follows the number of fingerprints, so that a group has about CROWD of them at every size.
+Those of a group are sorted by their rank in the Gray code, which puts codes with few differences close together, and put
 under a hierarchy: a node has the bits on which all below it agree and its parent's node doesn't, so a query adds up the
-differences to the shared patterns from the top, and drops a whole group once they exceed the limit. A key with over
-GROUP fingerprints is dealt anew by pairs of blocks of the other 32 bits, after which no key can have more than 2**16.
+differences to the shared patterns from the top, and drops a whole group once they exceed the limit. A group with over
+GROUP fingerprints, as its bits are alike, is dealt anew by pairs of 16-bit blocks.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, drop, each_batch, join_hot, save, texts
 
 MAX_BITS, SHINGLE, SEED = 2, 3, 42
-#: Fingerprints of one key that a task takes at a time; children of an index node; queries that are followed at once.
-GROUP, FANOUT, QUERIES = 20_000, 16, 2048
+#: Fingerprints of a group on average, and of one that is not dealt anew; children of an index node; queries that are followed at once.
+CROWD, GROUP, FANOUT, QUERIES = 1000, 20_000, 16, 2048
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -65,6 +65,7 @@ class GrayIndex:
 
     def __init__(self, codes: np.ndarray, groups: np.ndarray, fanout: int = FANOUT):
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # own mask, pattern, first and last child
+        self.compared = 0  # patterns that queries were compared with
         mask, value, group = np.full(len(codes), ~np.uint64(0)), codes, groups
         first, last = np.arange(len(codes)), np.arange(1, len(codes) + 1)
         while True:
@@ -91,6 +92,7 @@ class GrayIndex:
             node, apart = roots[q], np.zeros(len(q), np.uint8)
             for depth in range(len(self.levels) - 1, -1, -1):
                 mask, value, first, last = self.levels[depth]
+                self.compared += len(q)
                 apart = apart + np.bitwise_count((codes[q] ^ value[node]) & mask[node])
                 near = apart <= limit
                 q, node, apart = q[near], node[near], apart[near]
@@ -128,36 +130,62 @@ def _stars(keys: np.ndarray, codes: np.ndarray, limit: int) -> tuple[np.ndarray,
     return codes[far], codes[root[far]]
 
 
-def _keyed(fps: DataFrame, blocks: list[int], key: Column, tag: Column) -> DataFrame:
-    """Each fingerprint once for every pair of the four blocks, with the pair's bits added to the key."""
-    pairs = [sum(((1 << (hi - lo)) - 1) << lo for lo, hi in pair) for pair in combinations(list(zip(blocks[:-1], blocks[1:], strict=True)), 2)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in pairs]
-    rows = F.explode(F.array(*[F.struct((tag * 8 + k).alias("tag"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).bitwiseOR(key).alias("key")) for k, m in enumerate(signed)]))
-    return fps.select("fp", rows.alias("x")).select("fp", F.col("x.tag").cast("int").alias("tag"), F.col("x.key").alias("key"))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _masked(fps: DataFrame, masks: list[int], tag: int) -> DataFrame:
+    """Each fingerprint once for every mask, with its bits there as the key and tags counted from `tag`."""
+    rows = F.explode(F.array(*[F.struct(F.lit(tag + k).alias("tag"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks)]))
+    return fps.select("fp", rows.alias("x")).select("fp", F.col("x.tag").alias("tag"), F.col("x.key").alias("key"))
+
+
+def _large(keyed: DataFrame, name: str) -> DataFrame:
+    return save(keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("large")).where(F.col("n") > GROUP), name)
+
+
+def _spans(blocks: list[int]) -> list[int]:
+    """The mask of each block between two neighbouring bit numbers."""
+    return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(blocks[:-1], blocks[1:], strict=True)]
+
+
+def _fine(fps: DataFrame) -> DataFrame:
+    """(fp, tag, key) by the six pairs of 16-bit blocks, which two fingerprints at most two bits apart share one of; keys with
+    over GROUP fingerprints are dealt anew by pairs of blocks of the other 32 bits, after which none can have over 2**16."""
+    pairs = [a | b for a, b in combinations(_spans([0, 16, 32, 48, 64]), 2)]
+    keyed = _masked(fps, pairs, 0)
+    large = _large(keyed, "large")
+    if large.isEmpty():
+        return keyed
+    hot = join_hot(keyed, large, ["tag", "key"], "n")
+    out = hot.where("large is null").select("fp", "tag", "key")
+    for tag, (i, j) in enumerate(combinations(range(4), 2)):
+        other = [m for k in range(4) if k not in (i, j) for m in _spans([16 * k, 16 * k + 8, 16 * k + 16])]
+        again = [pairs[tag] | a | b for a, b in combinations(other, 2)]
+        out = out.unionByName(_masked(hot.where(F.col("large") & (F.col("tag") == tag)).select("fp"), again, 64 + 8 * tag))
+    return out
+
+
+def _coarse(fps: DataFrame) -> DataFrame:
+    """(fp, tag, key): each fingerprint by some bits of each of three blocks, of which two fingerprints at most two bits apart
+    share one. There are as many bits as make groups of about CROWD, so the index of a group has the same work to do at every
+    size. Fingerprints of groups over GROUP are keyed by _fine() instead."""
+    bits = min(21, max(0, (-(-fps.count() // CROWD) - 1).bit_length()))
+    keyed = _masked(fps, [((1 << bits) - 1) << lo for lo in ((0, 21, 42) if bits else (0,))], 1 << 10)
+    large = _large(keyed, "crowds")
+    if large.isEmpty():
+        return keyed
+    met = join_hot(keyed, large, ["tag", "key"], "n")
+    crowded = save(met.where("large").select("fp").distinct(), "crowded")
+    return met.where("large is null").select("fp", "tag", "key").unionByName(_fine(crowded))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, enough to connect all that are linked by steps of at most `max_bits`
     bits (0 to 2), a code and the root of its group each. `fps` must be a written table of distinct fingerprints."""
     if not 0 <= max_bits <= 2:
-        raise ValueError("four blocks are enough for two bits")
-    zero = F.lit(0).cast("long")
-    keyed = _keyed(fps, [0, 16, 32, 48, 64], zero, F.lit(0))
-    large = save(keyed.groupBy("tag", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP), "large")
-    if not large.isEmpty():
-        hot = join_hot(keyed, large.withColumn("large", F.lit(True)), ["tag", "key"], "n")
-        again = []
-        for tag, (i, j) in enumerate(combinations(range(4), 2)):
-            a, b = (k for k in range(4) if k not in (i, j))
-            parts = [16 * a, 16 * a + 8, 16 * a + 16], [16 * b, 16 * b + 8, 16 * b + 16]
-            spans = [(x, y) for p in parts for x, y in zip(p[:-1], p[1:], strict=True)]
-            for k, (x, y) in enumerate(combinations(spans, 2)):
-                m = sum(((1 << (hi - lo)) - 1) << lo for lo, hi in (x, y))
-                m = m - (1 << 64) if m >= 1 << 63 else m
-                again.append(hot.where(F.col("large") & (F.col("tag") == tag)).select("fp", F.lit(64 + 8 * tag + k).alias("tag"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.lit(m).cast("long"))).alias("key")))
-        keyed = hot.where("large is null").drop("large")
-        for df in again:
-            keyed = keyed.unionByName(df)
+        raise ValueError("three blocks are enough for two bits")
+    keyed = _coarse(fps)
 
     def run(batches):
         held, n = [], 0
@@ -203,8 +231,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     """One row a document: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that can be reached by
     steps between fingerprints at most `max_bits` bits apart.
 
-    A null text or one without words has fingerprint zero, which is linked like any other. Rows of equal doc_id stay
-    apart; null doc_ids never name a component unless it has no other. Other columns are ignored.
+    A null or empty text, or one without words, has fingerprint zero, which is linked like any other; a very long one is read
+    whole by one task. Repeated rows and rows of equal doc_id stay apart, at a tie they name a component alike; null doc_ids
+    never name one unless it has no other. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = save(fingerprints(docs, shingle), "fingerprints")
     rooted = _rooted(rows.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("row")), max_bits)
@@ -215,7 +244,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """`docs` with one row of each near-duplicate group: that of the smallest doc_id, and of equal ids any one, the same in
-    each run. A null doc_id stays only if its group has no other. All columns are kept; map columns don't tell rows apart."""
+    each run. A null doc_id stays only if its group has no other. Null, empty and very long texts are as in near_duplicates().
+    All columns are kept, whatever their names; map columns don't tell rows apart; an empty table gives no rows."""
     names = docs.columns
     told = [F.col("row")[f.name] for f in docs.schema.fields if f.dataType.typeName() != "map"]
     whole = docs.select(F.struct(*names).alias("row")).select("row", F.xxhash64(*told).alias("h1"), F.xxhash64(F.lit(1), *told).alias("h2"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -175,6 +176,56 @@ def test_language_id_held_out(spark):
     assert {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
 
 
+def test_ftrl_and_temperature_against_plain_loops():
+    """Each update written out by coordinate; the temperature against a fine grid."""
+    rng = random.Random(3)
+    dims, langs = language_id.DIMENSIONS, 3
+    data = [(np.array(sorted(rng.sample(range(50), 6))), np.array([rng.random() for _ in range(6)]), rng.randrange(langs)) for _ in range(30)]
+    data = [(at, x + (at == data[0][0][0]) * y, y) for at, x, y in data]
+    model = language_id.Model(["a", "b", "c"], np.ones(dims), np.zeros((dims + 1, langs)))
+    language_id._ftrl(model, data)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        if abs(z[i, c]) <= language_id.L1:
+            return 0.0
+        return -(z[i, c] - math.copysign(language_id.L1, z[i, c])) / ((language_id.BETA + math.sqrt(n[i, c])) / language_id.ALPHA + language_id.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(language_id.EPOCHS):
+        for k in order.permutation(len(data)):
+            at, x, y = data[k]
+            entries = [*zip(at.tolist(), x.tolist(), strict=True), (dims, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in entries for c in range(langs)}
+            s = [sum(v * w[i, c] for i, v in entries) for c in range(langs)]
+            p = [math.exp(t) / sum(map(math.exp, s)) for t in s]
+            for i, v in entries:
+                for c in range(langs):
+                    g = v * (p[c] - (c == y))
+                    sigma = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / language_id.ALPHA
+                    z[i, c] += g - sigma * w[i, c]
+                    n[i, c] += g * g
+    want = np.zeros((dims + 1, langs))
+    for i, c in list(z):
+        want[i, c] = weight(i, c)
+    assert np.allclose(model.weights, want) and np.abs(want).max() > 0.1
+    noisy = [(at, x, y if k % 4 else (y + 1) % langs) for k, (at, x, y) in enumerate(data)]
+    language_id._calibrate(model, noisy)
+
+    def loss(t):
+        return sum(-math.log(language_id.Model(model.languages, model.idf, model.weights, t).probabilities(at, x)[y]) for at, x, y in noisy)
+
+    best = min((math.exp(k / 100) for k in range(-300, 301)), key=loss)
+    assert loss(model.temperature) <= loss(best) + 1e-6
+
+
+def test_every_language_is_learned(spark):
+    """Three hundred labels, of a few documents each."""
+    rows = [(k, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}{x}" for x in "abc" * 3), f"l{n:03d}") for k, n in enumerate(list(range(300)) * 8)]
+    model = language_id.train(table(spark, rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300 and sum(model.predict(t)[0] == w for _, t, w in rows[:300]) > 240
+
+
 # 5
 
 
@@ -219,11 +270,16 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0 and simhash.keep_one(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("group", [50, 20_000])
-def test_simhash_index_with_crowded_keys(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "crowd", "top"), [(50, 1000, 19), (20_000, 1000, 19), (20_000, 40, 19), (60, 30, 19), (60, 30, 61)])
+def test_simhash_index_with_crowded_keys(spark, monkeypatch, group, crowd, top):
+    """Groups of all kinds: one, several, some or all of them dealt anew; bits alike or spread."""
     monkeypatch.setattr(simhash, "GROUP", group)
-    rng = np.random.default_rng(group)
-    codes = np.unique(rng.integers(0, 1 << 19, 1500).astype(np.uint64) << np.uint64(3))
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(group + crowd)
+    codes = rng.integers(0, 1 << top, 1500).astype(np.uint64) << np.uint64(3)
+    if top > 40:  # neighbours of half of them, anywhere
+        codes = np.r_[codes, codes[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))]
+    codes = np.unique(codes)
     ints = [int(c) for c in codes]
     fps = common.save(table(spark, [(int(c),) for c in codes.view(np.int64)], "fp long"), "fps")
     place = {c: i for i, c in enumerate(ints)}
@@ -235,11 +291,20 @@ def test_simhash_index_with_crowded_keys(spark, monkeypatch, group):
         return i
 
     for r in simhash.links(fps).collect():
-        a, b = sorted((find(place[r.a]), find(place[r.b])))
+        a, b = sorted((find(place[r.a & 2**64 - 1]), find(place[r.b & 2**64 - 1])))
         parent[b] = a
     assert [find(i) for i in range(len(ints))] == roots(ints)
 
 
+def test_gray_index_prunes_groups():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 1 << 63, 4096).astype(np.uint64)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    index = simhash.GrayIndex(codes, np.zeros(len(codes), np.int64))
+    found = sum(len(q) for q, _ in index.links(codes, np.zeros(len(codes), np.int64), 2))
+    assert found == len(codes) and index.compared < 0.4 * len(codes) ** 2
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7)]
