@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import CJK, index_form, let
-from .vocab import STOPWORDS, SYMBOL_METRICS
+from .vocab import DICTIONARY, STOPWORDS, SYMBOL_METRICS
 
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 NUMERAL = "一二三四五六七八九十百千"
@@ -182,11 +182,27 @@ def split_number(text: Column) -> Column:
 TOKEN = r"[a-z\x{00c0}-\x{024f}]+|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]+"
 
 
-def tokens(text: Column, stopwords=STOPWORDS) -> Column:
-    """Words of the ranking: lower-case Latin words, numbers without thousands commas, and CJK runs as their pairs of
-    characters (one character stays alone). Table marks go first; repeats stay."""
+def pairs_of(run: Column) -> Column:
+    """A CJK run as its pairs of characters: the segmenter where no dictionary is given."""
+    return F.transform(F.sequence(F.lit(1), F.char_length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+
+
+def by_dictionary(words=DICTIONARY):
+    """A segmenter that cuts a CJK run from the left, the longest word of a dictionary first; what is between words stays whole if
+    it is short (up to three characters) and becomes pairs otherwise."""
+    listed = "|".join(sorted({w for w in words if w}, key=lambda w: (-len(w), w)))
+    pattern = rf"(?:{listed})|(?:(?!{listed})[{CJK}])+"
+
+    def cut(run: Column) -> Column:
+        return F.flatten(F.transform(found(run, pattern), lambda w: F.when(w.isin(*words) | (F.char_length(w) <= 3), F.array(w)).otherwise(pairs_of(w))))
+
+    return cut
+
+
+def tokens(text: Column, stopwords=STOPWORDS, segment=pairs_of) -> Column:
+    """Words of the ranking: lower-case Latin words, numbers without thousands commas, and CJK runs as `segment` cuts them, by
+    default into their pairs of characters (one character stays alone). Table marks go first; repeats stay."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"\[表格[^\]]*\]|\[标题\]", ""), r"(?<=[0-9]),(?=[0-9]{3})", "")
     words = F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    split = F.flatten(F.transform(words, lambda w: F.when(w.rlike(rf"^[{CJK}]{{2,}}$"), pairs(w)).otherwise(F.array(w))))
+    split = F.flatten(F.transform(words, lambda w: F.when(w.rlike(rf"^[{CJK}]{{2,}}$"), segment(w)).otherwise(F.array(w))))
     return F.filter(F.when(F.regexp_like(text, F.lit(f"[{CJK}]")), split).otherwise(words), lambda w: ~w.isin(*stopwords))

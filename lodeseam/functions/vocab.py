@@ -105,3 +105,24 @@ ENTITY_METRICS = (
 
 # Weights of question types in the overall score.
 TYPE_WEIGHTS = {"mcq": 1.0, "multi": 1.5, "logical": 1.5, "calc": 2.0}
+
+# Words that a dictionary segmenter keeps whole, besides years and amounts of units (see extract.by_dictionary).
+DICTIONARY = (
+    "股份有限公司", "有限公司", "有限责任公司", "集团有限公司", "有限合伙人", "有限合伙",
+    "招商银行", "中国银行", "工商银行", "建设银行", "交通银行", "兴业银行", "浦发银行", "平安银行", "厦门银行", "招商永隆银行", "商业银行", "中央银行", "上市银行",
+    "国信证券", "西部证券", "东方证券", "中泰证券", "国盛证券", "华创证券", "中原证券", "证券交易所", "证券投资基金", "中国证券报", "上海证券报", "深圳证券交易所",
+    "新华保险", "中国人寿", "中国平安", "平安人寿", "平安财产", "养老保险", "人寿保险", "财产保险", "医疗保险", "工伤保险", "生育保险", "失业保险", "社会保险", "商业养老保险",
+    "平安智盈金生", "专属商业养老保险", "保险责任", "保险期间", "保险事故", "保险合同", "保险费", "保险金", "被保险人", "投保人", "受益人", "保险金申请人", "责任免除", "现金价值", "犹豫期", "等待期",
+    "不承担赔偿责任", "不承担保险责任", "不承担给付保险金责任", "偿付能力", "充足率", "核心偿付能力充足率", "综合偿付能力充足率",
+    "负债合计", "资产合计", "营业收入", "营业利润", "净利润", "净资产", "总资产", "应收账款", "坏账准备", "账面余额", "账面价值", "年末余额", "年初余额", "研发投入", "研发费用", "研发工程师", "同比上升", "同比下降",
+    "手机部件", "汽车业务", "二次充电电池", "市场份额", "工业软件", "市场规模", "母公司拥有人", "应占溢利", "报告期内", "报告期各期末", "其他综合收益", "其他权益工具", "连带责任保证", "基础设施建设",
+    "上市公司", "高级管理人员", "实际控制人", "控股股东", "信息披露", "信息披露义务", "行政监管措施", "行政法规", "对外担保", "管理制度", "独立董事", "董事会", "会计师事务所", "行政处罚", "定期报告", "临时报告", "公司法", "证券法",
+    "银保渠道", "个险渠道", "银行竞争", "核心驱动力", "自营品", "首款", "标的公司", "控股子公司", "合营公司", "租赁项目公司", "归属于母公司", "归属于上市公司", "包括但不限于", "除另有约定外",
+)
+# Identifiers that stand for several documents.
+COMPOSITES = {
+    "multi": tuple(f"text{k:02d}" for k in range(4, 15)), "ins_multi_all": tuple(str(k) for k in range(1, 17)), "fr_multi_2025": ("annual_byd_2025_report",),
+    "fr_multi_catl_midea": ("annual_catl_2025_report", "annual_midea_2025_report"), "fr_multi_3comp": ("annual_byd_2025_report", "annual_catl_2025_report", "annual_midea_2025_report"),
+    "fr_multi_4comp": ("annual_byd_2025_report", "annual_catl_2025_report", "annual_midea_2025_report", "annual_chinamobile_2025_report", "annual_cmb_2025_report", "annual_cscec_2025_report"),
+    "fr_multi_catl_midea_cmb_cscec": ("annual_catl_2025_report", "annual_midea_2025_report", "annual_cmb_2025_report", "annual_cscec_2025_report"), "fr_multi_byd_catl": ("annual_byd_2025_report", "annual_catl_2025_report"),
+}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sizes import scan
+from .steps import cut
 
 
 def nodes(chunks: DataFrame, entities: DataFrame) -> DataFrame:
@@ -55,6 +56,40 @@ def spread(starts: DataFrame, edges: DataFrame, decay=(0.8, 0.6, 0.4), most: int
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+# What is left of a score along an edge.
+DECAYS = {"next_chunk": 0.8, "prev_chunk": 0.8, "mentioned_in": 0.6}
+OTHER_DECAY = 0.4
+
+
+def best_first(starts: DataFrame, edges: DataFrame, most: int = 200, decays: dict[str, float] = DECAYS, other: float = OTHER_DECAY) -> DataFrame:
+    """(qid, chunk_id, score, depth, place): the first `most` nodes that a walk visits which always goes on at the node with the best
+    score (then the smaller id), from (qid, chunk_id, score) starts over (src, dst, relation) edges. A score is multiplied along
+    each edge by what its relation leaves, so it only falls, and a node's best way leads through nodes visited before it: each
+    round needs to go on from the first `most` so far alone, and the walk ends with the round that changes nothing.
+    """
+    if not all(0 < d < 1 for d in (*decays.values(), other)):
+        raise ValueError("scores must fall along each edge")
+    left = F.lit(other)
+    for relation, d in decays.items():
+        left = F.when(F.col("relation") == relation, d).otherwise(left)
+    ways = edges.select(F.col("src").alias("chunk_id"), F.col("dst").alias("_to"), left.alias("_left"))
+    best = F.max(F.struct("score", (-F.col("depth")).alias("shorter"))).alias("b")
+    order = Window.partitionBy("qid").orderBy(F.desc("b.score"), "chunk_id")
+
+    def first(rows: DataFrame) -> DataFrame:
+        ranked = rows.groupBy("qid", "chunk_id").agg(best).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        return ranked.select("qid", "chunk_id", F.col("b.score").alias("score"), (-F.col("b.shorter")).alias("depth"), "place")
+
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("qid", "chunk_id", "score", "depth").cast("decimal(38,0)"))).first())
+    now = cut(first(starts.select("qid", "chunk_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("depth"))))
+    before = None
+    while (after := state(now)) != before:
+        before = after
+        further = now.join(ways, "chunk_id").select("qid", F.col("_to").alias("chunk_id"), (F.col("score") * F.col("_left")).alias("score"), (F.col("depth") + 1).alias("depth"))
+        now = cut(first(now.select("qid", "chunk_id", "score", "depth").unionByName(further)))
+    return now
+
+
 def entity_hits(names: DataFrame, entities: DataFrame) -> DataFrame:
     """(qid, chunk_id, score) for (qid, name): 3 for an entity of the same name, 1 for one that contains it or is contained.
     The names, a stated set, are held against the different keys."""

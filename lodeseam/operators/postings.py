@@ -39,10 +39,10 @@ def counted(words: Column) -> Column:
     return let(F.sort_array(words), runs)
 
 
-def term_frequency(chunks: DataFrame, stopwords=STOPWORDS) -> DataFrame:
+def term_frequency(chunks: DataFrame, stopwords=STOPWORDS, segment=extract.pairs_of) -> DataFrame:
     """(domain, doc_id, chunk_id, n_terms, nth, term, tf): one row for each term of a chunk, numbered from 0, with the number of
     all its words. Nothing is shuffled: a chunk's words are counted in its row."""
-    words = let(extract.tokens(F.col("text"), stopwords), lambda w: F.struct(F.size(w).cast("long").alias("n_terms"), counted(w).alias("terms")))
+    words = let(extract.tokens(F.col("text"), stopwords, segment), lambda w: F.struct(F.size(w).cast("long").alias("n_terms"), counted(w).alias("terms")))
     rows = chunks.select(*KEYED, words.alias("_w")).select(*KEYED, F.col("_w.n_terms").alias("n_terms"), F.posexplode("_w.terms").alias("nth", "_t"))
     return rows.select(*KEYED, "n_terms", "nth", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
 

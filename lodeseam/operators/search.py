@@ -56,11 +56,11 @@ def keyed(chunks: DataFrame) -> DataFrame:
     return chunks.repartition("doc_id", "chunk_id")
 
 
-def query_terms(questions: DataFrame, synonyms: dict | None = None, stopwords=STOPWORDS, by_domain: bool = False) -> DataFrame:
+def query_terms(questions: DataFrame, synonyms: dict | None = None, stopwords=STOPWORDS, by_domain: bool = False, segment=extract.pairs_of) -> DataFrame:
     """(qid, domain, term, times) of questions with `options` joined to the question text, expanded by general and, if asked for, domain
     synonyms."""
     whole = F.concat_ws(" ", F.col("question"), F.array_join(F.map_values("options"), " ")) if "options" in questions.columns else F.col("question")
-    asked = questions.select("qid", "domain", whole.alias("_t"), expand(whole, extract.tokens(whole, stopwords), synonyms, stopwords=stopwords).alias("_w"))
+    asked = questions.select("qid", "domain", whole.alias("_t"), expand(whole, extract.tokens(whole, stopwords, segment), synonyms, stopwords=stopwords).alias("_w"))
     words = expand_by_domain(F.col("_t"), F.col("_w"), F.col("domain"), stopwords=stopwords) if by_domain else F.col("_w")
     return asked.select("qid", "domain", F.explode(words).alias("term")).groupBy("qid", "domain", "term").agg(F.count(F.lit(1)).alias("times"))
 
@@ -75,13 +75,13 @@ def idf(tf: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), "domain").select("domain", "term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1, b: float | Column = BASE_B, synonyms: dict | None = None, stopwords=STOPWORDS, tf: DataFrame | None = None, by_domain: bool = False) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1, b: float | Column = BASE_B, synonyms: dict | None = None, stopwords=STOPWORDS, tf: DataFrame | None = None, by_domain: bool = False, segment=extract.pairs_of) -> DataFrame:
     """(qid, domain, doc_id, chunk_id, bm25) of every chunk in scope that shares a term with the question.
 
-    The weights of the questions' terms, a stated set, go to the chunks if they fit a broadcast; otherwise they meet by term.
+    `segment` cuts CJK runs, of chunks and questions alike (`tf` must be made with the same one). The weights of the questions' terms, a stated set, go to the chunks if they fit a broadcast; otherwise they meet by term.
     """
-    tf = postings.term_frequency(keyed(chunks), stopwords) if tf is None else keyed(tf)
-    terms = query_terms(questions, synonyms, stopwords, by_domain)
+    tf = postings.term_frequency(keyed(chunks), stopwords, segment) if tf is None else keyed(tf)
+    terms = query_terms(questions, synonyms, stopwords, by_domain, segment)
     fits = size_of(terms) <= MOST
     if "doc_ids" in questions.columns:
         terms = terms.join(questions.select("qid", _documents(questions).alias("_docs")), "qid")

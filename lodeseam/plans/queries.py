@@ -514,7 +514,7 @@ def event_windows(spark, sf_dir):
 @query()
 def option_reasoning(spark, sf_dir):
     """Answers without a model: options are three passages and the question's own, evidence the first five chunks."""
-    q = questions_of(spark, sf_dir).withColumn("n", F.row_number().over(Window.orderBy(F.col("qid").cast("long"))))
+    q = questions_of(spark, sf_dir).withColumn("n", F.col("qid").cast("long"))
     other = q.select((F.col("n") - 1).alias("n"), F.col("question").alias("o2"))
     rows = q.join(other, "n", "left").select("qid", F.lit("multi").alias("answer_format"), "question", F.explode(F.create_map(F.lit("A"), F.col("question"), F.lit("B"), F.coalesce("o2", F.lit("")))).alias("option", "option_text"))
     ev = search.search(chunks_of(spark, sf_dir), questions_of(spark, sf_dir), 5, by_domain=False).groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("evidence"))

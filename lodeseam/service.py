@@ -16,6 +16,17 @@ class Service:
         self.chunks, self.model = chunks.persist(), model
         self.tables = {k: t.persist() for k, t in answering.indexes(self.chunks).items()}
 
+    def close(self) -> None:
+        """Give back what is kept in memory."""
+        for table in (self.chunks, *self.tables.values()):
+            table.unpersist()
+
+    def __enter__(self) -> Service:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
     def health(self) -> dict:
         return {"status": "ok", "domains": sorted(r["domain"] for r in self.chunks.select("domain").distinct().collect())}
 

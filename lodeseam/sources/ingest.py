@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import normalize_latex
+from ..functions.vocab import COMPOSITES
+
 BLOCK = "struct<type: string, text: string, html: string, markdown: string, latex: string, lines: array<struct<text: string>>>"
 PAGE = f"struct<page_num: int, page: int, text: string, blocks: array<{BLOCK}>>"
 TABLE = "struct<page: int, page_num: int, markdown: string, html: string>"
@@ -62,12 +65,28 @@ def page_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "domain", F.explode("pages").alias("p")).select("doc_id", "domain", "p.page_num", "p.text", "p.blocks")
 
 
-def document_text(docs: DataFrame, tables_first: bool = False) -> DataFrame:
-    """(doc_id, text): page texts joined by line ends, with the tables' markdown before them if asked for; full_text where there are no pages."""
+def document_text(docs: DataFrame, tables_first: bool = False, normalised: bool = False, chunks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text): page texts joined by line ends; full_text where there are no pages.
+
+    tables_first: the tables' markdown goes before the pages, and empty parts are left out. normalised: LaTeX marks are taken out.
+    chunks: the texts of a document's (doc_id, chunk_no, text) rows follow its pages.
+    """
     tables = F.flatten(F.transform("pages", lambda p: F.transform(F.filter(p["blocks"], lambda b: b["type"] == "table"), lambda b: F.coalesce(b["markdown"], b["html"], b["text"], F.lit("")))))
     pages = F.transform("pages", lambda p: p["text"])
-    text = F.array_join(F.concat(tables, pages) if tables_first else pages, "\n")
-    return docs.select("doc_id", F.when(F.size("pages") > 0, text).otherwise(F.col("full_text")).alias("text"))
+    text = F.array_join(F.filter(F.concat(tables, pages), lambda x: x != "") if tables_first else pages, "\n")
+    out = docs.select("doc_id", F.when(F.size("pages") > 0, text).otherwise(F.col("full_text")).alias("text"))
+    if chunks is not None:
+        more = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda x: x["text"]), "\n").alias("_more"))
+        out = out.join(more, "doc_id", "left").select("doc_id", F.concat_ws("\n", "text", "_more").alias("text"))
+    return out.withColumn("text", normalize_latex(F.col("text"))) if normalised else out
+
+
+def resolved(questions: DataFrame, composites: dict[str, tuple[str, ...]] = COMPOSITES) -> DataFrame:
+    """Questions whose doc_ids have identifiers of several documents replaced by these, in place; each document once."""
+    if not composites:
+        return questions
+    table = F.create_map(*[x for name, ids in composites.items() for x in (F.lit(name), F.array(*map(F.lit, ids)))])
+    return questions.withColumn("doc_ids", F.array_distinct(F.flatten(F.transform("doc_ids", lambda d: F.coalesce(F.element_at(table, d), F.array(d))))))
 
 
 def nearby_pages(docs: DataFrame, wanted: DataFrame, radius: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.steps import cut
+
 
 def answer_rows(answers: DataFrame) -> DataFrame:
     """(qid, answer, prompt_tokens, completion_tokens, total_tokens) with a `summary` row of totals first, by `row`."""
@@ -37,14 +39,15 @@ def top_evidence(evidence: DataFrame, most: int = 20, cut: int | None = None) ->
     return out if cut is None else out.withColumn("text", F.substring("text", 1, cut))
 
 
-def write_by_domain(evidence: DataFrame, path: str, domains: list[str]) -> None:
-    """A folder for each known domain; other domains are left out."""
-    evidence.where(F.col("domain").isin(*domains)).repartition("domain").write.mode("overwrite").partitionBy("domain").json(path)
+def write_by_domain(evidence: DataFrame, path: str, domains: list[str], files: int = 16) -> None:
+    """A folder for each known domain, in up to `files` files by question; other domains are left out."""
+    evidence.where(F.col("domain").isin(*domains)).repartition("domain", F.pmod(F.xxhash64("qid"), F.lit(files))).write.mode("overwrite").partitionBy("domain").json(path)
 
 
 def batches(rows: DataFrame, size: int = 15, order: str = "qid") -> DataFrame:
     """Numbers rows in batches of `size` in order, from 0. Rows are numbered from their counts by range, not in one task."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    # written once: counts and numbers must come from one and the same dealing
+    ranged = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
     ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return ranged.join(F.broadcast(before), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("long")).drop("_part", "_k", "_before")
@@ -85,3 +88,14 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
     if n:
         rows.write.mode("append").parquet(path)
     return n
+
+
+def retrieval_trace(questions: DataFrame, ranked: DataFrame, recalls: dict[str, DataFrame], most: int = 20, preview: int = 100) -> DataFrame:
+    """(qid, trace): a JSON object for each question with its text (cut at 200), how many chunks each recall (qid, chunk_id) found, and
+    the first chunks with score and a preview."""
+    item = F.struct("rank", "chunk_id", "doc_id", "score", F.substring("text", 1, preview).alias("text_preview"))
+    top = ranked.where(F.col("rank") <= most).groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("top_chunks"))
+    out = questions.select("qid", F.substring("question", 1, 200).alias("question")).join(top, "qid", "left")
+    for name, rows in recalls.items():
+        out = out.join(rows.groupBy("qid").agg(F.count(F.lit(1)).alias(f"{name}_count")), "qid", "left").withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
+    return out.select("qid", F.to_json(F.struct("qid", "question", *[f"{n}_count" for n in recalls], "top_chunks")).alias("trace"))
