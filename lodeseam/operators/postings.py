@@ -14,7 +14,8 @@ KEYED = ("domain", "doc_id", "chunk_id")
 
 def postings(chunks: DataFrame, keys: Column, also: tuple[str, ...] = ()) -> DataFrame:
     """(domain, doc_id, chunk_id, key[, columns of the chunk]), one row each."""
-    return chunks.select(*KEYED, *also, F.explode(F.array_distinct(keys)).alias("key")).where("key != ''")
+    # explode_outer: for explode the optimiser would work out the keys once more in a filter on their number
+    return chunks.select(*KEYED, *also, F.explode_outer(F.array_distinct(keys)).alias("key")).where("key != ''")
 
 
 def numeric(chunks: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def term_frequency(chunks: DataFrame, stopwords=STOPWORDS, segment=extract.pairs
     """(domain, doc_id, chunk_id, n_terms, nth, term, tf): one row for each term of a chunk, numbered from 0, with the number of
     all its words. Nothing is shuffled: a chunk's words are counted in its row."""
     words = let(extract.tokens(F.col("text"), stopwords, segment), lambda w: F.struct(F.size(w).cast("long").alias("n_terms"), counted(w).alias("terms")))
-    rows = chunks.select(*KEYED, words.alias("_w")).select(*KEYED, F.col("_w.n_terms").alias("n_terms"), F.posexplode("_w.terms").alias("nth", "_t"))
+    rows = chunks.select(*KEYED, words.alias("_w")).select(*KEYED, F.col("_w.n_terms").alias("n_terms"), F.posexplode_outer("_w.terms").alias("nth", "_t")).where("nth is not null")
     return rows.select(*KEYED, "n_terms", "nth", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
 
 

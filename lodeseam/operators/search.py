@@ -14,6 +14,7 @@ from ..functions.text import CJK
 from ..functions.vocab import ALIASES, BASE_B, BASE_K1, DOMAIN_SYNONYMS, DOMAINS, METRIC_SYNONYMS, STOPWORDS, STRONG_PHRASES, TABLE_BONUS
 from . import postings
 from .sizes import MOST, size_of
+from .steps import cut
 
 #: Share of the mean idf that a term in over half of the chunks gets.
 IDF_FLOOR = 0.25
@@ -67,9 +68,10 @@ def query_terms(questions: DataFrame, synonyms: dict | None = None, stopwords=ST
 
 def idf(tf: DataFrame) -> DataFrame:
     """(domain, term, df, idf, mean_terms): ln(N - df + 0.5) - ln(df + 0.5), or IDF_FLOOR of the domain's mean where that is negative, and
-    the mean length of the domain's chunks."""
-    n = tf.groupBy("domain").agg(F.sum((F.col("nth") == 0).cast("long")).alias("n_chunks"), F.sum("tf").alias("n_terms"))
-    raw = tf.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "domain")  # a row a domain
+    the mean length of the domain's chunks. Terms are counted in one pass and written; the rest is made from the counts."""
+    by_term = cut(tf.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df"), F.sum((F.col("nth") == 0).cast("long")).alias("_heads"), F.sum("tf").alias("_words")))
+    n = by_term.groupBy("domain").agg(F.sum("_heads").alias("n_chunks"), F.sum("_words").alias("n_terms"))
+    raw = by_term.join(F.broadcast(n), "domain")  # a row a domain
     raw = raw.withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("domain").agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean), "domain").select("domain", "term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms"))
@@ -125,7 +127,7 @@ def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = Tru
     rows = asked.select("qid", "domain", "_docs", "words", "clause", F.explode(F.concat(F.transform("q", lambda x: F.struct(x.alias("number"), F.lit(True).alias("of_question"))), F.transform(F.array_except("o", "q"), lambda x: F.struct(x.alias("number"), F.lit(False).alias("of_question"))))).alias("x")).select("qid", "domain", "_docs", "words", "clause", "x.number", "x.of_question")
     rows = rows.withColumn("key", F.explode(extract.converted(F.col("number"))) if by_domain else F.col("number"))
     if numbers is None:  # the text goes along with the few numbers of a chunk
-        told = keyed(chunks).select(*postings.KEYED, "text", "has_table", F.explode(extract.number_keys(F.col("text"))).alias("key"))
+        told = keyed(chunks).select(*postings.KEYED, "text", "has_table", F.explode_outer(extract.number_keys(F.col("text"))).alias("key")).where("key is not null")
     else:
         told = numbers.join(chunks.select(*postings.KEYED, "text", "has_table"), list(postings.KEYED))
     hits = in_scope(told.join(rows, ["domain", "key"])).dropDuplicates(["qid", *postings.KEYED, "number", "of_question"])

@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, written once by a reliable checkpoint in the folder that driver and executors share: `spark.checkpoint.dir`, or one
-    of our own where that is unset and all is one process."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if at is None and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: `spark.checkpoint.dir`, or one of our own where that is unset and all is one
+    process."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None and context._jsc.sc().getCheckpointDir().isDefined():
+        at = context._jsc.sc().getCheckpointDir().get()
+    if at is None:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="lodeseam-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodeseam-"))
+        at = context._jsc.sc().getCheckpointDir().get()
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written once to the shared folder and read back; removed when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lodeseam-steps-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
