@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_space
 from ..functions.vocab import DOMAINS
+from .steps import numbered
 
 CLAUSE_START = r"(?m)^(?=\s*(?:第[一二三四五六七八九十百千零0-9]+[条章节]|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十0-9]+[)）]|[0-9]+(?:\.[0-9]+)+\s))"
 
@@ -129,8 +130,8 @@ def chunks(docs: DataFrame, strategy: str = "domain") -> DataFrame:
 
 def positions(chunks: DataFrame, order: str = "chunk_no") -> DataFrame:
     """Adds chunk_position: the first fifth of a document's chunks (at least one) is head, the last fifth tail, the rest body."""
-    w = Window.partitionBy("doc_id")
-    k, n = F.row_number().over(w.orderBy(order)) - 1, F.count(F.lit(1)).over(w)
+    df = numbered(chunks, ["doc_id"], [order])
+    k, n = F.col("_k"), F.col("_n")
     head = F.greatest(F.lit(1), F.floor(n * 0.2))
     tail = F.greatest(head + 1, F.floor(n * 0.8))
-    return chunks.withColumn("chunk_position", F.when(k < head, "head").when(k >= tail, "tail").otherwise("body"))
+    return df.withColumn("chunk_position", F.when(k < head, "head").when(k >= tail, "tail").otherwise("body")).drop("_k", "_n")

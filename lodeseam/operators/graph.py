@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sizes import scan
-from .steps import cut
+from .steps import cut, numbered
 
 
 def nodes(chunks: DataFrame, entities: DataFrame) -> DataFrame:
@@ -19,11 +19,13 @@ def nodes(chunks: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def sequence_edges(chunks: DataFrame, order: str = "chunk_no") -> DataFrame:
-    """next_chunk and prev_chunk edges between neighbours in a document."""
-    after = chunks.withColumn("_to", F.lead("chunk_id").over(Window.partitionBy("doc_id").orderBy(order))).where("_to is not null")
-    there = after.select(F.col("chunk_id").alias("src"), F.col("_to").alias("dst"), F.lit("next_chunk").alias("relation"))
-    back = after.select(F.col("_to").alias("src"), F.col("chunk_id").alias("dst"), F.lit("prev_chunk").alias("relation"))
-    return there.unionByName(back)
+    """next_chunk and prev_chunk edges between neighbours in a document, of any size: chunks are numbered and meet by number."""
+    here = numbered(chunks.select("doc_id", "chunk_id", F.col(order).alias("_o")), ["doc_id"], ["_o", "chunk_id"]).select("doc_id", "chunk_id", "_k")
+    after = here.select("doc_id", F.col("chunk_id").alias("_to"), (F.col("_k") - 1).alias("_k"))
+    pairs = here.join(after, ["doc_id", "_k"])
+    there = F.struct(F.col("chunk_id").alias("src"), F.col("_to").alias("dst"), F.lit("next_chunk").alias("relation"))
+    back = F.struct(F.col("_to").alias("src"), F.col("chunk_id").alias("dst"), F.lit("prev_chunk").alias("relation"))
+    return pairs.select(F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst", "e.relation")
 
 
 def edges(chunks: DataFrame, entities: DataFrame, order: str = "chunk_no") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The table, written once, with _k, a row's number from 0 in its group by `order`, and _n, the rows of the group.
+
+    Rows are dealt by ranges of group and order and numbered there; what lies before a range in its group is added from the
+    counts. So even a group that holds all rows is no task's burden. Rows that agree in all of `order` are numbered in any order.
+    """
+    ranged = cut(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("_part", *group)
+    counts = ranged.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_here"))
+    # a row for each range that a group has rows in
+    over = Window.partitionBy(*group)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_here").over(over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_here").over(over))
+    ranked = ranged.withColumn("_row", F.row_number().over(here.orderBy(*order)))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("_part", *group)]
+    met = ranked.alias("r").join(counts.alias("c"), same)
+    return met.select("r.*", (F.col("c._before") + F.col("r._row") - 1).alias("_k"), F.col("c._n").alias("_n")).drop("_part", "_row")

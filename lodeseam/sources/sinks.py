@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.steps import cut
+from ..operators.steps import numbered
 
 
 def answer_rows(answers: DataFrame) -> DataFrame:
@@ -46,11 +46,7 @@ def write_by_domain(evidence: DataFrame, path: str, domains: list[str], files: i
 
 def batches(rows: DataFrame, size: int = 15, order: str = "qid") -> DataFrame:
     """Numbers rows in batches of `size` in order, from 0. Rows are numbered from their counts by range, not in one task."""
-    # written once: counts and numbers must come from one and the same dealing
-    ranged = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
-    ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranged.join(F.broadcast(before), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("long")).drop("_part", "_k", "_before")
+    return numbered(rows, [], [order]).withColumn("batch", F.floor(F.col("_k") / size).cast("long")).drop("_k", "_n")
 
 
 def write_index(tables: dict[str, DataFrame], path: str, fingerprint: str) -> None:
