@@ -177,7 +177,10 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed:
     """All rows of `docs`, all columns, with the lines of recurring templates taken out of text.
 
     Of a template the document of the smallest doc_id keeps its lines (of equal ids the same one in each run; a null id
-    comes last). Lines without a word are never dropped, null texts stay null, and n_chars, if there, follows the text.
+    comes last). Lines without a word are never dropped, null and empty texts stay as they are, and n_chars, if there, follows
+    the text. A very long text is cut to lines by one task, but its lines are counted by all. Repeated rows are documents of
+    their own; those that repeat the document that keeps the lines keep them too. Columns may have any names; an empty table
+    gives no rows.
     """
     rows = _keyed(docs)
     drops = _recurring(rows, min_docs, depth, fixed)
@@ -204,7 +207,8 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed:
 
 def report(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, fixed: float = FIXED) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256): lines with a word, those dropped, and the digest of the text that stays.
-    A null text has no lines and the digest of an empty one."""
+    A null or empty text has no lines and the digest of an empty one; very long texts, ties and repeated rows are as in clean().
+    Other columns are ignored, whatever their names; an empty table gives no rows."""
     rows = _keyed(docs)
     drops = _recurring(rows, min_docs, depth, fixed)
 

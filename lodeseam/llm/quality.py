@@ -115,11 +115,13 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def score(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, the measures, base_failed (under 50 words, or over half of them in repeated three-word windows) and kept.
 
-    A null or empty text has no words and fails. Rows of equal or null doc_id are judged alone; other columns are ignored.
+    A null or empty text has no words and fails; a very long one is judged whole. Rows of equal or null doc_id and repeated
+    rows are judged alone, and a value that equals a bound passes. Other columns are ignored, whatever their names; an empty
+    table gives no rows.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text"), rules).alias("m")).select("doc_id", "m.*")
 
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows of `docs` that pass, all columns as they are."""
+    """The rows of `docs` that pass, all columns as they are; nulls, ties and repeated rows as in score()."""
     return docs.where(judged(F.col("text"), rules)["kept"])
