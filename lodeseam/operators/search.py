@@ -46,9 +46,15 @@ def _documents(questions: DataFrame) -> Column:
     return F.when((F.size("doc_ids") > 0) & ~F.exists("doc_ids", lambda d: d.isNull()), F.array_distinct("doc_ids"))
 
 
-def in_scope(hits: DataFrame) -> DataFrame:
-    """Hits (doc_id, _docs, ...) within the documents of their question."""
-    return hits.where(F.col("_docs").isNull() | F.array_contains("_docs", F.col("doc_id"))).drop("_docs")
+def meet(found: DataFrame, asked: DataFrame, on: tuple[str, ...], scoped: bool, send=lambda rows: rows) -> DataFrame:
+    """Rows of chunks (doc_id, ...) joined to rows of questions (_docs, ...) within the documents of each question. Where questions
+    are about documents these are part of the key, so what lies outside is not even met. send: how the questions' rows go."""
+    free = asked if not scoped else asked.where("_docs is null")
+    out = found.join(send(free.drop("_docs")), list(on))
+    if not scoped:
+        return out
+    bound = asked.where("_docs is not null").withColumn("doc_id", F.explode("_docs")).drop("_docs")
+    return out.unionByName(found.join(send(bound), [*on, "doc_id"]))
 
 
 def keyed(chunks: DataFrame) -> DataFrame:
@@ -84,15 +90,13 @@ def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1,
     """
     tf = postings.term_frequency(keyed(chunks), stopwords, segment) if tf is None else keyed(tf)
     terms = query_terms(questions, synonyms, stopwords, by_domain, segment)
+    scoped = "doc_ids" in questions.columns
+    terms = terms.join(questions.select("qid", _documents(questions).alias("_docs")), "qid") if scoped else terms.withColumn("_docs", _documents(questions))
     fits = size_of(terms) <= MOST
-    if "doc_ids" in questions.columns:
-        terms = terms.join(questions.select("qid", _documents(questions).alias("_docs")), "qid")
-    else:
-        terms = terms.withColumn("_docs", _documents(questions))
     weights = terms.join(idf(tf), ["domain", "term"]).select("domain", "term", "qid", "_docs", "mean_terms", (F.col("times") * F.col("idf")).alias("weight"))
     k1, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (k1, b))
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean_terms")))
-    hits = in_scope(tf.join(F.broadcast(weights) if fits else weights, ["domain", "term"]))
+    hits = meet(tf, weights, ("domain", "term"), scoped, F.broadcast if fits else lambda rows: rows)
     return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.col("weight") * share).alias("bm25"))
 
 
@@ -130,7 +134,7 @@ def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = Tru
         told = keyed(chunks).select(*postings.KEYED, "text", "has_table", F.explode_outer(extract.number_keys(F.col("text"))).alias("key")).where("key is not null")
     else:
         told = numbers.join(chunks.select(*postings.KEYED, "text", "has_table"), list(postings.KEYED))
-    hits = in_scope(told.join(rows, ["domain", "key"])).dropDuplicates(["qid", *postings.KEYED, "number", "of_question"])
+    hits = meet(told, rows, ("domain", "key"), "doc_ids" in questions.columns).dropDuplicates(["qid", *postings.KEYED, "number", "of_question"])
     met = F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w)))
     if by_domain:
         weight = _of_domain("numeric")
@@ -156,13 +160,13 @@ def phrase_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True
         keys = phrases.join(chunks.select(*postings.KEYED, "has_table"), list(postings.KEYED))
     if not by_domain:
         rows = questions.select("qid", "domain", scope, F.explode(extract.phrases(F.col("question"), 3, 10)).alias("key"))
-        hits = in_scope(keys.join(rows, ["domain", "key"]))
+        hits = meet(keys, rows, ("domain", "key"), "doc_ids" in questions.columns)
         return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.least(0.15 * F.char_length("key") + 0.05, F.lit(2.0))).alias("phrase"))
     each = F.array_distinct(F.concat(extract.phrases(F.col("question"), 3, 20), F.flatten(F.transform(_options(questions), lambda o: extract.phrases(o, 3, 20)))))
     rows = questions.select("qid", "domain", scope, F.explode(each).alias("key"), F.lit(True).alias("whole"))
     query = F.concat_ws(" ", "question", F.array_join(_options(questions), " "))
     contained = questions.select("qid", "domain", scope, F.explode(F.filter(F.array(*map(F.lit, strong)), lambda p: F.contains(query, p))).alias("key"), F.lit(False).alias("whole"))
-    hits = in_scope(keys.join(rows.unionByName(contained), ["domain", "key"]))
+    hits = meet(keys, rows.unionByName(contained), ("domain", "key"), "doc_ids" in questions.columns)
     clause = F.lit(False)
     for domain, words in (clause_words or {}).items():
         clause = clause | ((F.col("domain") == domain) & F.col("key").isin(*words))
@@ -178,14 +182,14 @@ def entity_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True
     query = F.concat_ws(" ", "question", F.array_join(_options(questions), " "))
     domain = F.col("domain") if by_domain else F.lit("")
     mentions = questions.select("qid", "domain", scope, F.explode(extract.query_entities(query, domain, 5 if by_domain else 3)).alias("key"))
-    hits = in_scope(keys.join(mentions, ["domain", "key"]))
+    hits = meet(keys, mentions, ("domain", "key"), "doc_ids" in questions.columns)
     weight = _of_domain("entity") if by_domain else F.lit(1.5)
     points = hits.select("qid", *postings.KEYED, weight.alias("x"))
     if by_domain and guarantees:
         keys = postings.phrase(keyed(chunks)) if phrases is None else phrases
         listed = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, ws in guarantees.items() for w in ws])
         said = questions.select("qid", "domain", scope, F.explode(F.filter(listed, lambda s: (s["d"] == F.col("domain")) & F.contains(query, s["w"]))).alias("s")).select("qid", "domain", "_docs", F.col("s.w").alias("key"))
-        points = points.unionByName(in_scope(keys.join(said, ["domain", "key"])).select("qid", *postings.KEYED, (_of_domain("entity") * 0.5).alias("x")))
+        points = points.unionByName(meet(keys, said, ("domain", "key"), "doc_ids" in questions.columns).select("qid", *postings.KEYED, (_of_domain("entity") * 0.5).alias("x")))
     return points.groupBy("qid", *postings.KEYED).agg(F.sum("x").alias("entity"))
 
 

@@ -157,11 +157,11 @@ def symbol_stats(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, {_TOKENS.format('text')} AS w FROM documents), p AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] AS key FROM (SELECT chunk_id, w, unnest(range(1, len(w))) AS i FROM t))
-SELECT key, count(*) AS n_chunks FROM p GROUP BY 1 HAVING count(*) > 1""")
+SELECT key, count(*) AS n_chunks FROM p GROUP BY 1""")
 def phrase_postings(spark, sf_dir):
-    """Word pairs, as the documents have no CJK phrases: in how many chunks each is, of those in several."""
+    """Word pairs, as the documents have no CJK phrases: in how many chunks each is."""
     pairs = postings.postings(chunks_of(spark, sf_dir), extract.word_runs(F.col("text")))
-    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks")).where("n_chunks > 1")
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def _lower_chunks(spark, sf_dir):
@@ -248,10 +248,14 @@ def paragraph_pack(spark, sf_dir):
     return docs.select("doc_id", "chunk_no", "c.start", F.char_length("c.text").alias("n_chars"))
 
 
-@query("SELECT doc_id, k - 1 AS line_no, trim(lines[k]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents) WHERE length(trim(lines[k])) >= 100")
+@query("""WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')), lambda x: length(x) >= 100)) AS line, generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')), lambda x: length(x) >= 100), 1) - 1 AS line_no FROM documents)
+SELECT doc_id, line_no, line FROM l""")
 def line_chunks(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim("line").alias("line")).where(F.char_length("line") >= 100)
+    """Chunks of documents without blocks: their paragraphs, here lines, of 100 characters or more."""
+    none = F.array().cast(ingest.DOCUMENT_BLOCKS)
+    made = chunking.domain_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), none, F.lit(1500), F.lit(200), F.lit(100))
+    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(made).alias("line_no", "c"))
+    return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("c.text").alias("line"))
 
 
 @query("""WITH a AS (SELECT source AS doc_id, CAST(doc_id AS VARCHAR) AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents),
@@ -420,10 +424,10 @@ def stratified_sample(spark, sf_dir):
 
 
 def _metric_chunks(spark, sf_dir):
-    """Sentences on an order's price and date in days, as texts with metrics; all orders."""
+    """Sentences on an order's price and customer, as texts with metrics; a customer's orders are a document."""
     o = table(spark, sf_dir, "orders")
     t = F.concat(F.lit("比亚迪2024年营业收入为"), F.format_string("%.2f", "o_totalprice"), F.lit("万元。净利润达到"), (F.col("o_totalprice") / 10).cast("long").cast("string"), F.lit("万元；研发费用约"), (F.col("o_custkey") + 100).cast("string"), F.lit("万元\n客户"), F.col("o_custkey").cast("string"), F.lit("家"))
-    return o.select(F.lit("financial_reports").alias("domain"), F.concat(F.lit("annual_"), (F.col("o_orderkey") % 40).cast("string")).alias("doc_id"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("chunk_id"), t.alias("text"), F.lit(False).alias("has_table"), F.col("o_orderkey").alias("chunk_no"), F.lit(1).alias("page"))
+    return o.select(F.lit("financial_reports").alias("domain"), F.concat(F.lit("annual_"), F.col("o_custkey").cast("string")).alias("doc_id"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("chunk_id"), t.alias("text"), F.lit(False).alias("has_table"), F.col("o_orderkey").alias("chunk_no"), F.lit(1).alias("page"))
 
 
 @query("""WITH o AS (SELECT 'c' || o_orderkey AS chunk_id, round(o_totalprice, 2) AS a, CAST(trunc(o_totalprice / 10) AS DOUBLE) AS b, CAST(o_custkey + 100 AS DOUBLE) AS c FROM orders),

@@ -11,6 +11,7 @@ from ..functions.vocab import COMPOSITES
 
 BLOCK = "struct<type: string, text: string, html: string, markdown: string, latex: string, lines: array<struct<text: string>>>"
 PAGE = f"struct<page_num: int, page: int, text: string, blocks: array<{BLOCK}>>"
+DOCUMENT_BLOCKS = f"array<{BLOCK}>"
 TABLE = "struct<page: int, page_num: int, markdown: string, html: string>"
 DOCUMENT = f"doc_id string, filename string, path string, page_count int, full_text string, pages array<{PAGE}>, tables array<{TABLE}>"
 QUESTION = "qid string, domain string, question string, options map<string, string>, answer_format string, type string, doc_ids array<string>"
