@@ -14,7 +14,7 @@ from ..operators import answering, chunking, entities, evalset, evidence, graph,
 from ..operators.sizes import scan
 from ..sources import ingest, sinks
 from ..streaming import ingest as stream
-from . import cjk  # noqa: F401  (registers its queries)
+from . import cases, cjk  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,11 +498,17 @@ def summary_row_export(spark, sf_dir):
     return sinks.answer_rows(c.withColumn("answer", F.lit("A")).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")))
 
 
-@query("""SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'user') AS n_user, count(*) FILTER (role = 'assistant') AS n_assistant, CAST(sum(length(text)) AS BIGINT) AS n_chars, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1""")
+@query("""WITH q AS (SELECT conv_id, substr(arg_min(text, turn), 1, 200) AS question, count(*) FILTER (role = 'user') AS n_user, count(*) FILTER (role = 'assistant') AS n_assistant FROM conversations GROUP BY 1),
+r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
+SELECT CAST(q.conv_id AS VARCHAR) AS qid, question, CAST(n_user AS VARCHAR) AS n_user, CAST(n_assistant AS VARCHAR) AS n_assistant, CAST(turn AS VARCHAR) AS first_chunk, substr(text, 1, 100) AS preview FROM q LEFT JOIN r ON r.conv_id = q.conv_id AND k = 1""")
 def conversation_trace(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    role = lambda r: F.sum((F.col("role") == r).cast("long"))
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), role("user").alias("n_user"), role("assistant").alias("n_assistant"), F.sum(F.char_length("text")).alias("n_chars"), F.max_by("role", "turn").alias("last_role"))
+    """A trace for each conversation: its first turn as question, assistant turns as ranked chunks, turns by role as recalls."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("qid"), "turn", F.col("turn").cast("string").alias("chunk_id"), F.col("conv_id").cast("string").alias("doc_id"), "role", "text", F.lit(1.0).alias("score"))
+    questions = c.groupBy("qid").agg(F.min_by("text", "turn").alias("question"))
+    ranked = c.where("role = 'assistant'").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("turn")))
+    traced = sinks.retrieval_trace(questions, ranked, {r: c.where(F.col("role") == r) for r in ("user", "assistant")})
+    get = lambda path: F.get_json_object("trace", path)
+    return traced.select("qid", get("$.question").alias("question"), get("$.user_count").alias("n_user"), get("$.assistant_count").alias("n_assistant"), get("$.top_chunks[0].chunk_id").alias("first_chunk"), get("$.top_chunks[0].text_preview").alias("preview"))
 
 
 @query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 15 AS BIGINT) AS batch FROM documents")
