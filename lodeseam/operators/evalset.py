@@ -5,13 +5,11 @@ Order that would be random elsewhere comes from md5 of a seed and an id, so ever
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import extract
+from ..functions.text import let
 from ..functions.vocab import ENTITY_METRICS
 
 UNIT = "亿元|万元|百万元|元|%|年|个月|日|天|倍|家|人"
@@ -27,38 +25,40 @@ def metric_pairs(chunks: DataFrame, metrics: tuple[str, ...] = ENTITY_METRICS, e
     """(metric, value) pairs of chunks (see PAIRS). Tables are one sentence with bars as spaces; other text is cut at 。；; and line
     ends. Numbers have two digits or more and are no years. The metric is the last vocabulary word that, with connecting words,
     ends right before the number, else the CJK characters (2 to 12) before it if no noise word is in them."""
-    number = re.compile(rf"([0-9][0-9,]*(?:\.[0-9]+)?)\s*({UNIT})?")
-    words = "|".join(re.escape(m) for m in sorted(metrics, key=len, reverse=True)) or "(?!)"
-    tail = re.compile(rf"({words})\s*(?:共计|分别为?|约为?|为|是|达到?|不超过|[:：])*\s*$")
-    run = re.compile(r"([一-鿿（）()]{2,12})$")
-
-    def pairs(text: str) -> Iterator[tuple]:
-        if "|" in text:
-            sentences = [re.sub(r"\s+", " ", re.sub(r"\s*[-:]{3,}\s*", " ", text.replace("|", " ")))]
-        else:
-            sentences = re.split(r"[。；;\n]", text)
-        at = 0
-        for sentence in sentences:
-            for m in number.finditer(sentence):
-                core, unit = m.group(1), m.group(2) or ""
-                digits = core.replace(",", "").replace(".", "")
-                if len(digits) < 2 or (re.fullmatch(r"(?:19|20)\d{2}", core) and unit in ("", "年")):
-                    continue
-                before = sentence[: m.start()].rstrip()
-                found = tail.search(before)
-                metric = found.group(1) if found else ""
-                if not metric and (r := run.search(before)) and not r.group(1).endswith("的") and not any(n in r.group(1) for n in noise):
-                    metric = r.group(1)
-                if metric:
-                    yield at, metric, metric in metrics, m.group(0).strip(), core, unit, sentence.strip(), next((e for e in entities if e in sentence), "")
-                    at += 1
-
-    def run_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in PAIRS.split(", ")]
-        for df in frames:
-            yield pd.DataFrame([(r.chunk_id, r.doc_id, r.domain, *p) for r in df.itertuples() for p in pairs(r.text or "")], columns=names)
-
-    return chunks.select("chunk_id", "doc_id", "domain", "text").mapInPandas(run_all, PAIRS)
+    words = "|".join(rf"\Q{m}\E" for m in sorted(metrics, key=lambda m: (-len(m), m))) or "(?!)"
+    tail = rf"({words})\s*(?:共计|分别为?|约为?|为|是|达到?|不超过|[:：])*\s*$"
+    number = rf"([0-9][0-9,]*(?:\.[0-9]+)?)(?:\s*({UNIT}))?"
+    text = F.coalesce("text", F.lit(""))
+    table = F.array(F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("|"), F.lit(" ")), r"\s*[-:]{3,}\s*", " "), r"\s+", " "))
+    sentences = F.when(F.contains(text, F.lit("|")), table).otherwise(F.split(text, r"[。；;\n]"))
+
+    def listed(of: Column, which) -> Column:
+        return F.get(F.filter(F.array(*map(F.lit, of)) if of else F.array().cast("array<string>"), which), F.lit(0))
+
+    def pairs(sentence: Column) -> Column:
+        # each piece goes from the end of the number before it to that of its own
+        pieces = extract.found(sentence, rf"[^0-9]*{number}")
+        zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<piece: string, end: int>>").alias("out"))
+        step = lambda s, p: let(s["end"] + F.char_length(p), lambda e: F.struct(e.cast("int").alias("end"), F.concat(s["out"], F.array(F.struct(p.alias("piece"), e.cast("int").alias("end")))).alias("out")))
+        placed = F.aggregate(pieces, zero, step, lambda s: s["out"])
+
+        def read(x: Column) -> Column:
+            told = F.regexp_extract(x["piece"], rf"{number}$", 0)
+            core, unit = F.regexp_extract(x["piece"], rf"{number}$", 1), F.regexp_extract(x["piece"], rf"{number}$", 2)
+            before = F.regexp_replace(F.substring(sentence, F.lit(1), x["end"] - F.char_length(told)), r"\s+$", "")
+
+            def named(found: Column) -> Column:
+                run = F.regexp_extract(found, r"([\x{4e00}-\x{9fff}（）()]{2,12})$", 1)
+                usable = ~run.endswith("的") & listed(noise, lambda n: F.contains(run, n)).isNull()
+                return let(F.regexp_extract(found, tail, 1), lambda m: F.when(m != "", m).when(usable, run).otherwise(F.lit("")))
+
+            return F.struct(named(before).alias("metric"), told.alias("num"), core.alias("num_core"), unit.alias("unit"), F.regexp_replace(sentence, r"^\s+|\s+$", "").alias("sentence"), F.coalesce(listed(entities, lambda e: F.contains(sentence, e)), F.lit("")).alias("entity"))
+
+        long = lambda r: (F.char_length(F.regexp_replace(r["num_core"], "[,.]", "")) >= 2) & ~(r["num_core"].rlike("^(?:19|20)[0-9]{2}$") & r["unit"].isin("", "年"))
+        return F.filter(F.transform(placed, read), lambda r: long(r) & (r["metric"] != ""))
+
+    rows = chunks.select("chunk_id", "doc_id", "domain", F.posexplode(F.flatten(F.transform(sentences, pairs))).alias("pos", "p"))
+    return rows.select("chunk_id", "doc_id", "domain", "pos", "p.metric", F.col("p.metric").isin(*metrics).alias("is_vocab"), "p.num", "p.num_core", "p.unit", "p.sentence", "p.entity")
 
 
 def value(core: Column) -> Column:
