@@ -200,12 +200,23 @@ def calc(pairs: DataFrame, texts: DataFrame, seed: int = 42, a_chunk: int = 2) -
     return _item(df.withColumn("_o", options).withColumn("_l", letter), "calc", "calc", asked, F.col("_o"), F.col("_l"), "hard", anchor=F.concat_ws(";", "num_core", "num_b"))
 
 
-def anchor_in_text(anchor: Column, text: Column, all_but: int = 1) -> Column:
-    """The anchor, or it without thousands commas, is in the text; or, of its parts between semicolons, all but one (one at least)."""
+def anchor_forms(anchor: Column) -> Column:
+    """An anchor as it is, without thousands commas, and its parts between semicolons in both forms."""
     parts = F.filter(F.transform(F.split(anchor, "[;；]"), lambda p: F.trim(p)), lambda p: p != "")
     bare = lambda a: F.regexp_replace(a, "[,，]", "")
-    met = F.size(F.filter(parts, lambda p: F.contains(text, p) | F.contains(text, bare(p))))
-    return F.contains(text, anchor) | F.contains(text, bare(anchor)) | ((F.size(parts) > 1) & (met >= F.greatest(F.size(parts) - all_but, F.lit(1))))
+    return F.struct(anchor.alias("whole"), bare(anchor).alias("bare"), F.transform(parts, lambda p: F.struct(p.alias("whole"), bare(p).alias("bare"))).alias("parts"))
+
+
+def anchored(forms: Column, text: Column, all_but: int = 1) -> Column:
+    """anchor_in_text() for forms worked out before a join."""
+    there = lambda f: F.contains(text, f["whole"]) | ((f["bare"] != f["whole"]) & F.contains(text, f["bare"]))
+    several = F.size(forms["parts"]) > 1
+    return there(forms) | (several & (F.size(F.filter(forms["parts"], there)) >= F.greatest(F.size(forms["parts"]) - all_but, F.lit(1))))
+
+
+def anchor_in_text(anchor: Column, text: Column, all_but: int = 1) -> Column:
+    """The anchor, or it without thousands commas, is in the text; or, of its parts between semicolons, all but one (one at least)."""
+    return let(anchor_forms(anchor), lambda forms: anchored(forms, text, all_but))
 
 
 def anchor_snippet(anchor: Column, text: Column, around: int = 80) -> Column:

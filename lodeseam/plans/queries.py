@@ -21,6 +21,11 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.lit("corpus").alias("domain"), F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_no"), "text", F.contains("text", F.lit("|")).alias("has_table"), F.lit(1).alias("page"))
 
 
+def dealt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks dealt by their key, as an index is built."""
+    return search.keyed(chunks_of(spark, sf_dir))
+
+
 def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.lit("corpus").alias("domain"), F.col("text").alias("question"))
 
@@ -53,18 +58,18 @@ def bm25_topk(spark, sf_dir):
 @query(f"""WITH {_TF}, st AS (SELECT count(DISTINCT chunk_id) AS nn FROM tf), raw AS (SELECT term, count(*) AS df, ln(any_value(nn) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf, st GROUP BY term),
 m AS (SELECT avg(r) AS mean FROM raw) SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * mean ELSE r END, 6) AS idf FROM raw, m""")
 def bm25_idf(spark, sf_dir):
-    return search.idf(postings.term_frequency(chunks_of(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(postings.term_frequency(dealt_chunks(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_TF} SELECT doc_id, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_terms, round(avg(n), 6) AS mean_terms FROM (SELECT doc_id, chunk_id, sum(tf) AS n FROM tf GROUP BY ALL) GROUP BY 1")
 def chunk_len_stats(spark, sf_dir):
-    n = postings.lengths(chunks_of(spark, sf_dir))
+    n = postings.lengths(dealt_chunks(spark, sf_dir))
     return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_terms").alias("n_terms"), F.round(F.avg("n_terms"), 6).alias("mean_terms"))
 
 
 @query(f"WITH {_TF} SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS n_chunks FROM tf GROUP BY 1")
 def corpus_token_freq(spark, sf_dir):
-    return postings.term_frequency(chunks_of(spark, sf_dir)).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("n_chunks"))
+    return postings.term_frequency(dealt_chunks(spark, sf_dir)).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("n_chunks"))
 
 
 @query(f"WITH {_BM25}, sc AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_id) AS k FROM scored WHERE doc_id IN ('src0', 'src1', 'src2')) SELECT qid, doc_id, chunk_id, score, k AS rank FROM sc WHERE k <= 10")
@@ -138,12 +143,12 @@ def score_breakdown(spark, sf_dir):
 
 @query(f"WITH {_NUMBERS} SELECT key, chunk_id FROM k")
 def numeric_postings(spark, sf_dir):
-    return postings.numeric(chunks_of(spark, sf_dir)).select("key", "chunk_id")
+    return postings.numeric(dealt_chunks(spark, sf_dir)).select("key", "chunk_id")
 
 
 @query("WITH k AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS doc_id, unnest(list_distinct(list_filter(string_split_regex(text, '[，。、 \\t\\n\\r\\f\\x0b|]+'), lambda w: length(w) BETWEEN 2 AND 20))) AS key FROM documents) SELECT key, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY 1")
 def inverted_postings(spark, sf_dir):
-    return postings.inverted(chunks_of(spark, sf_dir)).groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))
+    return postings.inverted(dealt_chunks(spark, sf_dir)).groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS doc_id, text FROM documents WHERE text <> ''),
@@ -153,14 +158,14 @@ s AS (SELECT 'keyword' AS family, unnest(list_slice(list_sort(list_distinct(list
  UNION ALL SELECT 'table', doc_id FROM d WHERE contains(text, '|'))
 SELECT family, count(DISTINCT symbol) AS unique_symbols, count(*) AS total_entries FROM s GROUP BY 1""")
 def symbol_stats(spark, sf_dir):
-    return postings.stats(postings.symbols(chunks_of(spark, sf_dir)))
+    return postings.stats(postings.symbols(dealt_chunks(spark, sf_dir)))
 
 
 @query(f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, {_TOKENS.format('text')} AS w FROM documents), p AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] AS key FROM (SELECT chunk_id, w, unnest(range(1, len(w))) AS i FROM t))
 SELECT key, count(*) AS n_chunks FROM p GROUP BY 1""")
 def phrase_postings(spark, sf_dir):
     """Word pairs, as the documents have no CJK phrases: in how many chunks each is."""
-    pairs = postings.postings(chunks_of(spark, sf_dir), extract.word_runs(F.col("text")))
+    pairs = postings.postings(dealt_chunks(spark, sf_dir), extract.word_runs(F.col("text")))
     return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
@@ -297,8 +302,9 @@ gold AS (SELECT CAST(item_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS chun
 def anchor_gold(spark, sf_dir):
     """(qid, chunk_id): chunks with the whole passage, or with it but for thousands commas, or with all but one of its parts between
     semicolons. The passages are a stated set."""
-    q, c = questions_of(spark, sf_dir), chunks_of(spark, sf_dir).select("chunk_id", "text")
-    return scan(q, c, evalset.anchor_in_text(F.col("question"), F.col("text"))).select("qid", "chunk_id")
+    q, c = questions_of(spark, sf_dir), search.keyed(chunks_of(spark, sf_dir).select("doc_id", "chunk_id", "text"))
+    forms = q.select("qid", evalset.anchor_forms(F.col("question")).alias("a"))
+    return scan(forms, c, evalset.anchored(F.col("a"), F.col("text"))).select("qid", "chunk_id")
 
 
 _ITEMS = "items AS (SELECT CAST(item_id AS VARCHAR) AS qid, CASE WHEN item_id % 3 = 0 THEN 'single_hop' WHEN item_id % 3 = 1 THEN 'multi_hop' ELSE 'temporal' END AS layer, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS domain FROM benchmark)"
