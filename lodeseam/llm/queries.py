@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, lines, packing, quality, simhash, substrings, token_store, warc
+from . import centroids, decontaminate, jaccard, language_id, licenses, lines, packing, quality, simhash, substrings, token_store, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_warc_index, op4_language_id, op5_simhash_near_dedup, op6_token_ids, op7_substring_dedup, op8_best_fit_packing, op9_quality_rules, op10_decontamination)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it is over 2**63 - 1; the operator has it whole, as a decimal."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_license_scan, op2_line_dedup, op3_warc_index, op4_language_id, op5_simhash_near_dedup, op6_token_ids, op7_substring_dedup, op8_best_fit_packing, op9_quality_rules,
+    op10_decontamination, op11_centroid_clustering, op12_embedding_whitening, op13_ngram_jaccard_join,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
