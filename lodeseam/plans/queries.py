@@ -14,7 +14,7 @@ from ..operators import answering, chunking, entities, evalset, evidence, graph,
 from ..operators.sizes import scan
 from ..sources import ingest, sinks
 from ..streaming import ingest as stream
-from . import cases, cjk  # noqa: F401  (they register their queries)
+from . import cases, cjk, indexed  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES, query, table  # noqa: F401
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
