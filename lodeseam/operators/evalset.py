@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import extract
 from ..functions.text import let
 from ..functions.vocab import ENTITY_METRICS
+from . import substring
+from .sizes import scan
+from .steps import cut
 
 UNIT = "亿元|万元|百万元|元|%|年|个月|日|天|倍|家|人"
 PAIRS = "chunk_id string, doc_id string, domain string, pos int, metric string, is_vocab boolean, num string, num_core string, unit string, sentence string, entity string"
@@ -219,6 +222,23 @@ def anchor_in_text(anchor: Column, text: Column, all_but: int = 1) -> Column:
     return let(anchor_forms(anchor), lambda forms: anchored(forms, text, all_but))
 
 
+def anchor_chunks(items: DataFrame, chunks: DataFrame, all_but: int = 1) -> DataFrame:
+    """(qid, columns of chunks but the text): the chunks that hold the anchor of each of `items` (qid, anchor), a stated set, as
+    anchor_in_text() has it. Each form of an anchor and of its parts is looked for by its rarest 3-gram. An empty anchor is in every
+    text, as an empty form of a part is; a null one in none."""
+    forms = cut(items.select("qid", anchor_forms(F.col("anchor")).alias("f")).where("f.whole IS NOT NULL"))
+    two = lambda f, part: F.array(*[F.struct(f[n].alias("phrase"), part.cast("int").alias("part")) for n in ("whole", "bare")])
+    each = F.concat(two(F.col("f"), F.lit(-1)), F.flatten(F.transform("f.parts", lambda p, i: two(p, i))))
+    looked = cut(forms.select("qid", F.size("f.parts").alias("parts"), F.explode(F.array_distinct(each)).alias("x")).select("qid", "parts", "x.phrase", "x.part"))
+    rest = [c for c in chunks.columns if c != "text"]
+    found = substring.within(looked, chunks).select("qid", "phrase", *rest).join(looked, ["qid", "phrase"])
+    blank = looked.where("phrase = ''")
+    if not blank.isEmpty():
+        found = found.unionByName(scan(blank, chunks, F.col("text").isNotNull()).select("qid", "phrase", *rest, "parts", "part"))
+    met = found.groupBy("qid", *rest).agg(F.max(F.col("part") < 0).alias("_whole"), F.count_distinct(F.when(F.col("part") >= 0, F.col("part"))).alias("_some"), F.max("parts").alias("_parts"))
+    return met.where("_whole").select("qid", *rest).unionByName(met.where(~F.col("_whole") & (F.col("_parts") > 1) & (F.col("_some") >= F.greatest(F.col("_parts") - all_but, F.lit(1)))).select("qid", *rest))
+
+
 def anchor_snippet(anchor: Column, text: Column, around: int = 80) -> Column:
     at = F.position(anchor, text)
     return F.when(at > 0, F.substring(text, F.greatest(at - around, F.lit(1)), F.least(at - 1, F.lit(around)) + F.char_length(anchor) + around))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import vector_index
-from .registry import query, table
+from ..operators import postings, substring, tools, vector_index
+from .registry import chunks_of, query, table
 
 _NEAR = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v),
 s AS (SELECT q.vec_id AS qid, n.vec_id, round(list_inner_product(q.e, n.e) / (q.size * n.size), 6) AS similarity FROM n AS q JOIN n ON q.vec_id % 20 = 0),
@@ -25,3 +25,30 @@ def vector_blocks(spark, sf_dir):
     """The same without an index, by products of batches with blocks of queries."""
     v = table(spark, sf_dir, "embeddings")
     return vector_index.by_blocks(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), v, 10, digits=6)
+
+
+def _middles(spark, sf_dir):
+    """Twenty characters from the middle of each passage, as phrases."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.substring("text", 11, 20).alias("phrase"))
+
+
+_PLACES = """q AS (SELECT CAST(item_id AS VARCHAR) AS qid, substr(text, 11, 20) AS phrase FROM benchmark),
+h AS (SELECT qid, CAST(doc_id AS VARCHAR) AS chunk_id, text, phrase FROM q JOIN documents ON phrase <> '' AND contains(text, phrase)),
+p AS (SELECT qid, chunk_id, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(phrase)) = phrase)) AS at FROM h)"""
+
+
+@query(f"WITH {_PLACES} SELECT qid, chunk_id, CAST(at AS INT) AS at FROM p")
+def substring_places(spark, sf_dir):
+    """Where the middle of each passage stands in all documents, read from positional postings of 3-grams."""
+    chunks = chunks_of(spark, sf_dir)
+    return substring.find(substring.build(chunks), _middles(spark, sf_dir), chunks).select("qid", "chunk_id", F.explode("at").alias("at"))
+
+
+@query(f"""WITH {_PLACES}, n AS (SELECT qid, chunk_id, 1 AS stage FROM (SELECT DISTINCT qid, chunk_id FROM p)), l AS (SELECT qid, phrase FROM q WHERE qid NOT IN (SELECT qid FROM n) AND (contains(phrase, ' ') OR length(phrase) > 8)),
+w AS (SELECT qid, unnest(list_slice(list_filter(string_split_regex(phrase, '[ \\t\\n\\r\\f\\x0b，。、]+'), lambda x: x <> ''), 1, 4)) AS word FROM l),
+s AS (SELECT qid, CAST(doc_id AS VARCHAR) AS chunk_id, 2 AS stage FROM w JOIN documents ON contains(text, word) GROUP BY 1, 2 HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, chunk_id) AS rank FROM (SELECT * FROM n UNION ALL SELECT * FROM s)) SELECT qid, chunk_id, CAST(stage AS INT) AS stage, rank FROM r WHERE rank <= 5""")
+def phrase_tool(spark, sf_dir):
+    """Chunks for the middle of each passage: by phrase key (none here, as the documents have no CJK), by substring, or by words."""
+    chunks = chunks_of(spark, sf_dir)
+    return tools.search_phrase(_middles(spark, sf_dir), postings.phrase(chunks), chunks)

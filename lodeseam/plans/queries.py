@@ -11,14 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text
 from ..operators import answering, chunking, entities, evalset, evidence, graph, judge, metrics, postings, search, tools, vector
-from ..operators.sizes import scan
 from ..sources import ingest, sinks
 from ..streaming import ingest as stream
 from . import cases, cjk, indexed  # noqa: F401  (they register their queries)
-from .registry import ORACLE, QUERIES, query, table  # noqa: F401
-
-def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.lit("corpus").alias("domain"), F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_no"), "text", F.contains("text", F.lit("|")).alias("has_table"), F.lit(1).alias("page"))
+from .registry import ORACLE, QUERIES, chunks_of, query, questions_of, table  # noqa: F401
 
 
 def dealt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +22,6 @@ def dealt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyed(chunks_of(spark, sf_dir))
 
 
-def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.lit("corpus").alias("domain"), F.col("text").alias("question"))
-
-
 _WORD = "[a-zÀ-ɏ]+|[0-9]+(?:\\.[0-9]+)?"
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '([0-9]),([0-9]{{3}})', '\\1\\2', 'g'), '([0-9]),([0-9]{{3}})', '\\1\\2', 'g'), '([0-9]),([0-9]{{3}})', '\\1\\2', 'g')"
 _TOKENS = "regexp_extract_all(" + _PLAIN + f", '{_WORD}')"
@@ -55,8 +47,8 @@ def bm25_topk(spark, sf_dir):
     return search.top_k(_bm25(spark, sf_dir), 10)
 
 
-@query(f"""WITH {_TF}, st AS (SELECT count(DISTINCT chunk_id) AS nn FROM tf), raw AS (SELECT term, count(*) AS df, ln(any_value(nn) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf, st GROUP BY term),
-m AS (SELECT avg(r) AS mean FROM raw) SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * mean ELSE r END, 6) AS idf FROM raw, m""")
+@query(f"""WITH {_TF.replace(' AS (', ' AS MATERIALIZED (', 1).replace('), tf AS (', '), tf AS MATERIALIZED (')}, st AS MATERIALIZED (SELECT count(DISTINCT chunk_id) AS nn FROM tf), n AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(nn - df + 0.5) - ln(df + 0.5) AS r FROM n, st), m AS MATERIALIZED (SELECT avg(r) AS mean FROM raw) SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * mean ELSE r END, 6) AS idf FROM raw, m""")
 def bm25_idf(spark, sf_dir):
     return search.idf(postings.term_frequency(dealt_chunks(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -302,9 +294,8 @@ gold AS (SELECT CAST(item_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS chun
 def anchor_gold(spark, sf_dir):
     """(qid, chunk_id): chunks with the whole passage, or with it but for thousands commas, or with all but one of its parts between
     semicolons. The passages are a stated set."""
-    q, c = questions_of(spark, sf_dir), search.keyed(chunks_of(spark, sf_dir).select("doc_id", "chunk_id", "text"))
-    forms = q.select("qid", evalset.anchor_forms(F.col("question")).alias("a"))
-    return scan(forms, c, evalset.anchored(F.col("a"), F.col("text"))).select("qid", "chunk_id")
+    q = questions_of(spark, sf_dir).select("qid", F.col("question").alias("anchor"))
+    return evalset.anchor_chunks(q, chunks_of(spark, sf_dir).select("chunk_id", "text"))
 
 
 _ITEMS = "items AS (SELECT CAST(item_id AS VARCHAR) AS qid, CASE WHEN item_id % 3 = 0 THEN 'single_hop' WHEN item_id % 3 = 1 THEN 'multi_hop' ELSE 'temporal' END AS layer, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS domain FROM benchmark)"
