@@ -129,7 +129,9 @@ def find(index: Index, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     all_ = met.groupBy("qid", "phrase", *key).agg(F.collect_list("starts").alias("s"), F.max("_m").alias("_m")).where(F.size("s") == F.col("_m"))
     common = all_.select("qid", "phrase", *key, F.aggregate(F.slice("s", 2, RAREST), F.get("s", F.lit(0)), F.array_intersect).alias("at")).where(F.size("at") > 0)
     texts = chunks.select(*[F.col(c).cast("string") for c in key], "text")
-    checked = texts.join(small(cut(common)), key).select("qid", "phrase", *key, F.filter("at", lambda p: F.substring("text", p + 1, F.char_length("phrase")) == F.col("phrase")).alias("at")).where(F.size("at") > 0)
+    starts = small(cut(common.select("qid", "phrase", *key, F.explode_outer("at").alias("start"))))
+    same = F.substring("text", F.col("start") + 1, F.char_length("phrase")) == F.col("phrase")
+    checked = texts.join(starts, key).where(same).groupBy("qid", "phrase", *key).agg(F.collect_list("start").alias("at"))
     short = asked.where("n < 3").select("qid", "phrase", "n", (F.col("gram")).alias("head"))
     heads = lambda n, bits: index.grams.select("gram", F.shiftleft(F.shiftright("gram", bits), bits).alias("head")).join(small(short.where(F.col("n") == n)), "head").select("qid", "phrase", "gram")
     begun = cut(heads(1, 2 * BITS).unionByName(heads(2, BITS)))

@@ -34,14 +34,14 @@ def _middles(spark, sf_dir):
 
 _PLACES = """q AS (SELECT CAST(item_id AS VARCHAR) AS qid, substr(text, 11, 20) AS phrase FROM benchmark),
 h AS (SELECT qid, CAST(doc_id AS VARCHAR) AS chunk_id, text, phrase FROM q JOIN documents ON phrase <> '' AND contains(text, phrase)),
-p AS (SELECT qid, chunk_id, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(phrase)) = phrase)) AS at FROM h)"""
+p AS (SELECT qid, chunk_id, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(phrase)) = phrase)) AS place FROM h)"""
 
 
-@query(f"WITH {_PLACES} SELECT qid, chunk_id, CAST(at AS INT) AS at FROM p")
+@query(f"WITH {_PLACES} SELECT qid, chunk_id, CAST(place AS INT) AS place FROM p")
 def substring_places(spark, sf_dir):
     """Where the middle of each passage stands in all documents, read from positional postings of 3-grams."""
     chunks = chunks_of(spark, sf_dir)
-    return substring.find(substring.build(chunks), _middles(spark, sf_dir), chunks).select("qid", "chunk_id", F.explode("at").alias("at"))
+    return substring.find(substring.build(chunks), _middles(spark, sf_dir), chunks).select("qid", "chunk_id", F.explode("at").alias("place"))
 
 
 @query(f"""WITH {_PLACES}, n AS (SELECT qid, chunk_id, 1 AS stage FROM (SELECT DISTINCT qid, chunk_id FROM p)), l AS (SELECT qid, phrase FROM q WHERE qid NOT IN (SELECT qid FROM n) AND (contains(phrase, ' ') OR length(phrase) > 8)),
