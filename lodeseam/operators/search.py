@@ -83,17 +83,17 @@ def idf(tf: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), "domain").select("domain", "term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1, b: float | Column = BASE_B, synonyms: dict | None = None, stopwords=STOPWORDS, tf: DataFrame | None = None, by_domain: bool = False, segment=extract.pairs_of) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1, b: float | Column = BASE_B, synonyms: dict | None = None, stopwords=STOPWORDS, tf: DataFrame | None = None, by_domain: bool = False, segment=extract.pairs_of, known: DataFrame | None = None) -> DataFrame:
     """(qid, domain, doc_id, chunk_id, bm25) of every chunk in scope that shares a term with the question.
 
-    `segment` cuts CJK runs, of chunks and questions alike (`tf` must be made with the same one). The weights of the questions' terms, a stated set, go to the chunks if they fit a broadcast; otherwise they meet by term.
+    `segment` cuts CJK runs, of chunks and questions alike (`tf` must be made with the same one); `known` is idf() of them, if it is at hand. The weights of the questions' terms, a stated set, go to the chunks if they fit a broadcast; otherwise they meet by term.
     """
     tf = postings.term_frequency(keyed(chunks), stopwords, segment) if tf is None else keyed(tf)
     terms = query_terms(questions, synonyms, stopwords, by_domain, segment)
     scoped = "doc_ids" in questions.columns
     terms = terms.join(questions.select("qid", _documents(questions).alias("_docs")), "qid") if scoped else terms.withColumn("_docs", _documents(questions))
     fits = size_of(terms) <= MOST
-    weights = terms.join(idf(tf), ["domain", "term"]).select("domain", "term", "qid", "_docs", "mean_terms", (F.col("times") * F.col("idf")).alias("weight"))
+    weights = terms.join(idf(tf) if known is None else known, ["domain", "term"]).select("domain", "term", "qid", "_docs", "mean_terms", (F.col("times") * F.col("idf")).alias("weight"))
     k1, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (k1, b))
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean_terms")))
     hits = meet(tf, weights, ("domain", "term"), scoped, F.broadcast if fits else lambda rows: rows)
@@ -198,7 +198,7 @@ def score(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, stopw
     anything with the question, and all chunks of the documents it names."""
     k1, b = (_of_domain("k1"), _of_domain("b")) if by_domain else (BASE_K1, BASE_B)
     key = ["qid", *postings.KEYED]
-    parts = [bm25(chunks, questions, k1, b, stopwords=stopwords, tf=tables.get("tf"), by_domain=by_domain), numeric_boost(chunks, questions, by_domain, tables.get("numbers")), phrase_boost(chunks, questions, by_domain, tables.get("phrases")), entity_boost(chunks, questions, by_domain, tables.get("entities"))]
+    parts = [bm25(chunks, questions, k1, b, stopwords=stopwords, tf=tables.get("tf"), by_domain=by_domain, known=tables.get("terms")), numeric_boost(chunks, questions, by_domain, tables.get("numbers")), phrase_boost(chunks, questions, by_domain, tables.get("phrases")), entity_boost(chunks, questions, by_domain, tables.get("entities"))]
     names = ("bm25", "numeric", "phrase", "entity")
     # one sum over a union instead of three full joins
     rows = None

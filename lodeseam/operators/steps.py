@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,16 +26,40 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, written once to the shared folder and read back; removed when the driver's JVM ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, removed when the driver's JVM ends, if not before."""
     path = f"{shared_folder(spark)}/lodeseam-steps-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written once to a new_path() and read back."""
+    spark = df.sparkSession
+    path = new_path(spark)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths that cut() wrote, in order, but for those that dropped() removed.
+_MADE: list[str] = []
+
+
+@contextlib.contextmanager
+def dropped(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes within is removed at the end: for calls that have collected their result by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del _MADE[before:]
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The table, written once, with _k, a row's number from 0 in its group by `order`, and _n, the rows of the group.
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import postings, substring, tools, vector_index
-from .registry import chunks_of, query, table
+from ..operators.steps import new_path
+from ..sources.index_store import IndexStore
+from .ranking import _BM25
+from .registry import chunks_of, query, questions_of, table
 
 _NEAR = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v),
 s AS (SELECT q.vec_id AS qid, n.vec_id, round(list_inner_product(q.e, n.e) / (q.size * n.size), 6) AS similarity FROM n AS q JOIN n ON q.vec_id % 20 = 0),
@@ -52,3 +55,27 @@ def phrase_tool(spark, sf_dir):
     """Chunks for the middle of each passage: by phrase key (none here, as the documents have no CJK), by substring, or by words."""
     chunks = chunks_of(spark, sf_dir)
     return tools.search_phrase(_middles(spark, sf_dir), postings.phrase(chunks), chunks)
+
+
+@query(f"WITH {_BM25} SELECT qid, doc_id, chunk_id, score, rank FROM top WHERE rank <= 10")
+def store_topk(spark, sf_dir):
+    """Ranked search that reads a stored index, and of its blocks only those that can reach a question's tenth score."""
+    store = IndexStore(spark, new_path(spark))
+    store.append(chunks_of(spark, sf_dir))
+    found = store.top_k(questions_of(spark, sf_dir), 10, synonyms={}, digits=6)
+    return found.select("qid", "doc_id", "chunk_id", F.col("bm25").alias("score"), "rank")
+
+
+@query(f"WITH {_BM25.replace('FROM documents)', "FROM documents WHERE source NOT IN ('src3', 'src11'))")} SELECT qid, doc_id, chunk_id, score, rank FROM top WHERE rank <= 10")
+def store_changed_topk(spark, sf_dir):
+    """The same after changes: the documents come in two segments, one before and one after a deletion, another one is deleted
+    from both; the ranks are those of an index of what is left."""
+    store, chunks = IndexStore(spark, new_path(spark)), chunks_of(spark, sf_dir)
+    old = chunks.where(F.col("doc_id") < "src15")
+    gone = lambda d: chunks.where(F.col("doc_id") == d).select("domain", "doc_id").distinct()
+    store.append(old)
+    store.delete(gone("src11"))
+    store.append(chunks.where(F.col("doc_id") >= "src15"))
+    store.delete(gone("src3"))
+    found = store.top_k(questions_of(spark, sf_dir), 10, synonyms={}, digits=6)
+    return found.select("qid", "doc_id", "chunk_id", F.col("bm25").alias("score"), "rank")
