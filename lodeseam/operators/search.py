@@ -88,7 +88,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, k1: float | Column = BASE_K1,
 
     `segment` cuts CJK runs, of chunks and questions alike (`tf` must be made with the same one); `known` is idf() of them, if it is at hand. The weights of the questions' terms, a stated set, go to the chunks if they fit a broadcast; otherwise they meet by term.
     """
-    tf = postings.term_frequency(keyed(chunks), stopwords, segment) if tf is None else keyed(tf)
+    tf = postings.term_frequency(keyed(chunks), stopwords, segment) if tf is None else tf
     terms = query_terms(questions, synonyms, stopwords, by_domain, segment)
     scoped = "doc_ids" in questions.columns
     terms = terms.join(questions.select("qid", _documents(questions).alias("_docs")), "qid") if scoped else terms.withColumn("_docs", _documents(questions))

@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from .operators import answering, search
+from .operators.steps import dropped
+from .sources.index_store import IndexStore
 
 
 class Service:
     """Chunks and their postings, made once and shared by all calls."""
 
-    def __init__(self, chunks: DataFrame, model: Callable | None = None):
+    def __init__(self, chunks: DataFrame, model: Callable | None = None, tables: dict[str, DataFrame] | None = None):
+        """`tables` are those of answering.indexes(), or of a stored index; term statistics are worked out here if they lack them."""
         self.chunks, self.model = chunks.persist(), model
-        self.tables = {k: t.persist() for k, t in answering.indexes(self.chunks).items()}
+        self.tables = {k: t.persist() for k, t in (answering.indexes(self.chunks) if tables is None else tables).items()}
+        with dropped(chunks.sparkSession):
+            if "terms" not in self.tables:
+                self.tables["terms"] = search.idf(self.tables["tf"]).persist()
+            self.tables["terms"].count()  # from now on in memory, so that no call works them out
+
+    @classmethod
+    def of_store(cls, store: IndexStore, model: Callable | None = None) -> Service:
+        """A service over the newest version of a stored index; texts are read for what is shown only."""
+        return cls(store.chunks(), model, store.tables())
 
     def close(self) -> None:
         """Give back what is kept in memory."""
@@ -36,10 +48,12 @@ class Service:
             raise ValueError("top_k must be from 1 to 30")
         ids = [d.strip() for d in doc_ids.split(",") if d.strip()] if doc_ids else None
         q = self.chunks.sparkSession.createDataFrame([("q", domain, question, options or {}, ids)], "qid string, domain string, question string, options map<string,string>, doc_ids array<string>")
-        return [r.asDict() for r in search.search(self.chunks, q, int(top_k), **self.tables).orderBy("rank").collect()]
+        with dropped(self.chunks.sparkSession):
+            return [r.asDict() for r in search.search(self.chunks, q, int(top_k), **self.tables).orderBy("rank").collect()]
 
     def ask(self, question: dict) -> dict:
-        return answering.ask(self.chunks, question, self.model, self.tables)
+        with dropped(self.chunks.sparkSession):
+            return answering.ask(self.chunks, question, self.model, self.tables)
 
     def handle(self, method: str, path: str, params: dict) -> tuple[int, object]:
         """(status, body) of GET /health, GET or POST /search and POST /ask."""
