@@ -3,9 +3,9 @@
 All n-grams have one global order: by the level of their document frequency (its power of two), and within a level by hash.
 
 1. Sets: a task hashes the n-grams of its documents. Equal sets get one label, by digest, and are one class from then on. The
-   n-grams are dealt by ranges of their hashes; a range finds which ones occur in several classes, and at what level. An
-   n-gram that many documents of one task have goes there as a number, and its documents' rows go elsewhere, so a range
-   has no more rows for an n-gram that a third of all documents share.
+   n-grams are dealt by ranges of their hashes; a range finds which ones occur in several sets, and at what level. An n-gram
+   that many documents of one task have is marked there as common, which is the last level, and its documents' rows stay
+   out of the range: it has no more rows for an n-gram that a third of all documents share.
 2. Candidates: two sets that are similar enough share an n-gram among the first of both in the global order (rare ones
    first), and enough can still follow it in both. N-grams of one class only come first in the order and lead nowhere; a set
    of which too few others recur has no partner and is done. The rest meet by the n-grams of their prefixes.
@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,13 @@ from .substrings import rolled, word_hashes
 
 SIZE, PERCENT = 5, 80
 #: N-grams of one range and those that a task gathers before it deals them out; documents of such a gathering from which on an
-#: n-gram is common there; fragments of the global order; sets in a block, and pairs that one step may make besides one block each.
-RANGE, GATHER, COMMON, SLICES, BLOCK, PAIRS = 2 << 20, 1 << 20, 64, 8, 32, 1 << 22
-#: Bits of a code below its level. 57 bits tell the n-grams of two sets apart; sizes are counted by all 64.
-LOW = 57
+#: n-gram is common; fragments of the global order; sets in a block, and pairs that one step may make besides one block each.
+RANGE, GATHER, COMMON, SLICES, BLOCK, PAIRS = 1 << 20, 1 << 20, 64, 8, 32, 1 << 22
+#: Bits of a code below its level, and the level of common n-grams. A hash is known by its range and 48 bits more, of which a
+#: code keeps 57 bits in all, enough to tell the n-grams of two sets apart; sizes are counted by all 64 bits.
+LOW, HOT = 57, 60
 
-DOCUMENT, SEGMENT, NUMBER, SHARED = range(4)
+DOCUMENT, SEGMENT, MARK, SHARED = range(4)
 
 
 def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -56,150 +58,153 @@ def _label(held: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _dealt(batches: Iterable[pa.RecordBatch], ranges: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, kind, doc_id, n, a, b, data, owners) from (doc_id, text): a DOCUMENT each with its label (a, b); SEGMENTs, the
-    n-grams of a range with (label, label, number) of their sets; NUMBERs of common n-grams; a set's n-grams SHARED with many."""
-    names = ["part", "kind", "doc_id", "n", "a", "b", "data", "owners"]
-    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
-    out: list[tuple] = []
+def _bytes(grams: np.ndarray, bits: int) -> bytes:
+    """The 48 bits behind those of the range, six bytes each."""
+    return ((grams << np.uint64(bits)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _known(data: bytes, part: int, bits: int) -> np.ndarray:
+    """Hashes of a range from their bytes, as far as these tell."""
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    rest = wide.reshape(-1).view(np.uint64) << np.uint64(16)
+    return (rest >> np.uint64(bits)) | (np.uint64(part << (64 - bits)) if bits else np.uint64(0))
+
+
+def _codes(level: np.ndarray | int, grams: np.ndarray) -> np.ndarray:
+    return ((np.asarray(level, np.uint64) << np.uint64(LOW)) | (grams >> np.uint64(64 - LOW))).view(np.int64)
+
+
+def _dealt(batches: Iterable[pa.RecordBatch], bits: int, size: int, task: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, kind, doc_id, n, a, b, owner, data, owners) from (doc_id, text). A DOCUMENT row each, with its label (a, b) and the
+    owner of its set. SEGMENTs are the n-grams of a range (part) with their sets' numbers in this gathering (owner is its
+    first); MARKs the common n-grams of a range, and SHARED the codes of all common n-grams of the gathering."""
+    names = ["part", "kind", "doc_id", "n", "a", "b", "owner", "data", "owners"]
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
+    ranges, base = 1 << bits, task << 40
+    docs: list[tuple] = []
     held: dict[tuple[int, int], np.ndarray] = {}
     n = 0
 
-    def rows():
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-        out.clear()
-        return batch
-
     def deal():
-        labels, sizes = np.array(list(held), np.int64).reshape(-1, 2), np.array([len(h) for h in held.values()])
-        grams, owner = np.concatenate(list(held.values())), np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        times = np.diff(np.r_[starts, len(grams)])
-        common = np.repeat(times >= COMMON, times)
-        part = ((grams >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-        many = times >= COMMON
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            span = slice(cuts[k], cuts[k + 1])
-            rare = np.flatnonzero(~common[span]) + cuts[k]
-            if len(rare):
-                rare = rare[np.argsort(owner[rare], kind="stable")]
-                who, count = np.unique(owner[rare], return_counts=True)
-                out.append((k, SEGMENT, None, None, None, None, grams[rare].tobytes(), np.c_[labels[who], count].astype(np.int64).tobytes()))
-            heads = np.flatnonzero(many & (starts >= cuts[k]) & (starts < cuts[k + 1])) if many.any() else []
-            if len(heads):
-                out.append((k, NUMBER, None, None, None, None, grams[starts[heads]].tobytes(), times[heads].astype(np.int64).tobytes()))
-        shared = np.flatnonzero(common)
-        shared = shared[np.argsort(owner[shared], kind="stable")]
-        for piece in np.split(shared, np.flatnonzero(np.diff(owner[shared])) + 1) if len(shared) else []:
-            a, b = labels[owner[piece[0]]].tolist()
-            out.append((a % ranges, SHARED, None, None, a, b, grams[piece].tobytes(), None))
+        number = {label: k for k, label in enumerate(held)}
+        out = [(label[0] % ranges, DOCUMENT, d, m, *label, base + number[label] if m else None, None, None) for d, m, label in docs]
+        if held:
+            sizes = np.array([len(h) for h in held.values()])
+            grams, owner = np.concatenate(list(held.values())), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], owner[order].astype(np.uint16)
+            starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+            times = np.diff(np.r_[starts, len(grams)])
+            common = np.repeat(times >= COMMON, times)
+            marks = grams[starts[times >= COMMON]]
+            edges = (np.arange(ranges, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
+            rare, whose = grams[~common], owner[~common]
+            for found, kind in ((rare, SEGMENT), (marks, MARK)):
+                cuts = np.r_[np.searchsorted(found, edges), len(found)]
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    span = slice(cuts[k], cuts[k + 1])
+                    out.append((k, kind, None, None, None, None, base, _bytes(found[span], bits), whose[span].tobytes() if kind == SEGMENT else None))
+            if len(marks):
+                cut = np.uint64((1 << 64) - (1 << max(0, 16 - bits)))
+                out.append(((base >> 16) % ranges, SHARED, None, None, None, None, base, _codes(HOT, grams[common] & cut).tobytes(), owner[common].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
             found = shingles(text, size)
             label = _label(found)
-            out.append((label[0] % ranges, DOCUMENT, doc_id, len(found), *label, None, None))
+            docs.append((doc_id, len(found), label))
             if len(found) and label not in held:
                 held[label] = found
                 n += len(found)
-            if n >= GATHER:
-                deal()
-                held, n = {}, 0
-                yield rows()
-        if out:
-            yield rows()
-    if n:
-        deal()
-        yield rows()
-
-
-def _range(segments: list[tuple[np.ndarray, np.ndarray]], numbers: list[tuple[np.ndarray, np.ndarray]]):
-    """Of one whole range: (labels, their codes of n-grams that recur, where each label's begin), (common n-grams, levels)."""
-    grams, owners = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in ([s[0] for s in segments], [s[1] for s in segments]))
-    owners = owners.reshape(-1, 3).astype(np.int64)
-    owner = np.repeat(np.arange(len(owners), dtype=np.int32), owners[:, 2])
-    often, times = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in ([s[0] for s in numbers], [s[1] for s in numbers]))
-    often, at = np.unique(often, return_inverse=True)
-    added = np.bincount(at, times.astype(np.float64), len(often)).astype(np.int64)
+            if n >= GATHER or len(docs) >= 1 << 16:
+                yield deal()
+                docs, held, n, base = [], {}, 0, base + (1 << 16)
+    if docs:
+        yield deal()
+
+
+def _range(grams: np.ndarray, owner: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, codes) of the n-grams of one whole range that recur, by owner."""
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
-    same = grams[1:] == grams[:-1]
-    again = np.r_[same, False] | np.r_[False, same] if len(grams) else np.zeros(0, bool)
-    if len(often):
-        again |= often[np.minimum(np.searchsorted(often, grams), len(often) - 1)] == grams
-    grams, owner = grams[again], owner[again]
-    # a set that several tasks have seen counts once
-    used, owner = np.unique(owner, return_inverse=True)
-    labels, dense = np.unique(owners[used, :2], axis=0, return_inverse=True) if len(used) else (np.zeros((0, 2), np.int64), used)
-    owner = dense.reshape(-1)[owner]
-    order = np.lexsort((owner, grams))
-    grams, owner = grams[order], owner[order]
-    one = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])] if len(grams) else again[:0]
-    grams, owner = grams[one], owner[one]
     starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
-    docs = np.diff(np.r_[starts, len(grams)])
-    if len(often) and len(starts):
-        place = np.minimum(np.searchsorted(often, grams[starts]), len(often) - 1)
-        hit = often[place] == grams[starts]
-        docs[hit] += added[place[hit]]
-        added[place[hit]] = docs[hit]
-    level = np.repeat(np.frexp(docs)[1].astype(np.uint64) - np.uint64(1), np.diff(np.r_[starts, len(grams)]))
-    recurs = level > 0
-    code = ((level << np.uint64(LOW)) | (grams >> np.uint64(64 - LOW)))[recurs].view(np.int64)
-    owner = owner[recurs]
+    times = np.diff(np.r_[starts, len(grams)])
+    level = np.frexp(times)[1] - 1
+    level[np.isin(grams[starts], marks)] = HOT
+    level = np.repeat(level, times)
+    again = level > 0
+    code, owner = _codes(level[again], grams[again]), owner[again]
     order = np.argsort(owner, kind="stable")
-    code, owner = code[order], owner[order]
-    heads = np.flatnonzero(np.diff(owner, prepend=-1))
-    return labels[owner[heads]], code, heads, often, np.frexp(added)[1] - 1
+    return owner[order], code[order]
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, doc_id, n, a, b, codes) of rows sorted by part: DOCUMENTs and SHARED n-grams as they come; SEGMENTs are a label's
-    codes of n-grams that recur; NUMBERs are a common n-gram (a) with its level (n)."""
-    names = ["kind", "doc_id", "n", "a", "b", "codes"]
+def _counted(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, a, b, owner, data, owners) of rows sorted by part: DOCUMENTs without data; of each gathering (owner is its
+    first) the codes of the n-grams that recur, those of a range or those that are common, with the numbers of their sets."""
+    names = ["doc_id", "n", "a", "b", "owner", "data", "owners"]
 
-    def made(kind, n, doc_id=None, size=None, a=None, b=None, codes=None):
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[none if c is None else pa.array(c, pa.int64()) for c in (doc_id, size, a, b)], codes if codes is not None else pa.nulls(n, pa.list_(pa.int64()))], names=names)
+    def made(base, data, owners):
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(data), pa.int64())] * 4, pa.array(base, pa.int64()), pa.array(data, pa.binary()), pa.array(owners, pa.binary())], names=names)
 
     def flush():
-        labels, code, heads, often, level = _range(segments, numbers)
+        if segments:
+            grams = np.concatenate([_known(s[0], now, bits) for s in segments])
+            owner = np.concatenate([np.frombuffer(s[1], np.uint16).astype(np.int64) + s[2] for s in segments])
+            who, code = _range(grams, owner, np.concatenate([_known(m, now, bits) for m in marks]) if marks else grams[:0])
+            cuts = np.flatnonzero(np.r_[True, (who[1:] >> 16) != (who[:-1] >> 16)]) if len(who) else []
+            spans = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(who)], strict=True)] if len(who) else []
+            yield made([int(who[x.start]) >> 16 << 16 for x in spans], [code[x].tobytes() for x in spans], [(who[x] & 0xFFFF).astype(np.uint16).tobytes() for x in spans])
         segments.clear()
-        numbers.clear()
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(code)].astype(np.int32)), pa.array(code))
-        if len(heads):
-            yield made(SEGMENT, len(heads), a=labels[:, 0], b=labels[:, 1], codes=lists)
-        if len(often):
-            yield made(NUMBER, len(often), size=level, a=often.view(np.int64))
+        marks.clear()
 
     segments: list[tuple] = []
-    numbers: list[tuple] = []
+    marks: list[bytes] = []
     now = None
     for batch in batches:
         part, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        rows = np.flatnonzero(kind == DOCUMENT)
-        if len(rows):
-            take = batch.take(pa.array(rows))
-            yield made(DOCUMENT, len(rows), *(take.column(k) for k in (2, 3, 4, 5)))
-        rows = np.flatnonzero(kind == SHARED)
-        if len(rows):
-            take = batch.take(pa.array(rows))
-            held = [np.frombuffer(x, np.int64) for x in take.column(6).to_pylist()]
-            yield made(SHARED, len(rows), a=take.column(4), b=take.column(5), codes=pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int32)), pa.array(np.concatenate(held))))
-        for k in np.flatnonzero((kind == SEGMENT) | (kind == NUMBER)).tolist():
-            if part[k] != now and (segments or numbers):
+        rows = batch.take(pa.array(np.flatnonzero(kind == DOCUMENT)))
+        if rows.num_rows:
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in (2, 3, 4, 5, 6)), *[pa.nulls(rows.num_rows, pa.binary())] * 2], names=names)
+        rows = batch.take(pa.array(np.flatnonzero(kind == SHARED)))
+        if rows.num_rows:
+            yield made(rows.column(6), rows.column(7), rows.column(8))
+        for k in np.flatnonzero((kind == SEGMENT) | (kind == MARK)).tolist():
+            if part[k] != now:
                 yield from flush()
-            now = part[k]
-            data, owners = batch.column(6)[k].as_py(), batch.column(7)[k].as_py()
+            now = int(part[k])
+            data = batch.column(7)[k].as_py()
             if kind[k] == SEGMENT:
-                segments.append((np.frombuffer(data, np.uint64), np.frombuffer(owners, np.uint64)))
+                segments.append((data, batch.column(8)[k].as_py(), batch.column(6)[k].as_py()))
             else:
-                numbers.append((np.frombuffer(data, np.uint64), np.frombuffer(owners, np.uint64)))
-    if segments or numbers:
-        yield from flush()
+                marks.append(data)
+    yield from flush()
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, codes) of each set, from the rows (owner, data, owners) of whole gatherings, sorted by owner."""
+
+    def flush():
+        code = np.concatenate([np.frombuffer(d, np.int64) for d, _ in held])
+        who = np.concatenate([np.frombuffer(o, np.uint16) for _, o in held])
+        order = np.lexsort((code, who))
+        code, who = code[order], who[order]
+        heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(code)].astype(np.int32)), pa.array(code))
+        return pa.RecordBatch.from_arrays([pa.array(who[heads].astype(np.int64) + now), lists], names=["cid", "codes"])
+
+    held: list[tuple[bytes, bytes]] = []
+    now = None
+    for batch in batches:
+        for owner, data, owners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if owner != now and held:
+                yield flush()
+                held = []
+            now = owner
+            held.append((data, owners))
+    if held:
+        yield flush()
 
 
 def least_shared(n, percent: int):
@@ -212,16 +217,11 @@ class Sets:
 
     def __init__(self, found: DataFrame, classes: DataFrame, percent: int):
         self.percent = percent
-        level = F.col("l") * F.lit(1 << LOW)
-        shared = found.where(F.col("kind") == SHARED).select("a", "b", F.explode("codes").alias("gram"))
-        common = found.where(F.col("kind") == NUMBER).select(F.col("a").alias("gram"), F.col("n").alias("l"))
-        each = shared.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).join(common, "gram")
-        far = join_hot(shared, save(each, "common"), ["gram"], "times", "inner").select("a", "b", F.array(level + F.shiftrightunsigned("gram", 64 - LOW)).alias("codes"))
-        rows = found.where(F.col("kind") == SEGMENT).select("a", "b", "codes").unionByName(far)
-        enough = rows.groupBy("a", "b").agg(F.sum(F.size("codes")).alias("recurring")).join(classes.select("a", "b", "n"), ["a", "b"])
-        self.ids = save(enough.where(F.col("recurring") >= least_shared(F.col("n"), percent)).select("a", "b", "n", F.monotonically_increasing_id().alias("cid")), "ids")
-        codes = rows.join(self.ids, ["a", "b"]).groupBy("cid", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
-        self.sets = save(codes.where(F.size("codes") >= least_shared(F.col("n"), percent)), "sets")
+        rows = found.where("data IS NOT NULL").select("owner", "data", "owners").repartition("owner").sortWithinPartitions("owner")
+        codes = rows.mapInArrow(_gathered, "cid long, codes array<long>")
+        few = codes.join(classes.select(F.col("owner").alias("cid"), "n"), "cid").where(F.size("codes") >= least_shared(F.col("n"), percent))
+        weight = F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + F.shiftright(c, LOW)) / F.col("n")
+        self.sets = save(few.select("cid", "n", "codes", weight.alias("weight")), "sets")
         self.slices = save(self._sliced(), "slices")
 
     def _sliced(self) -> DataFrame:
@@ -242,9 +242,8 @@ class Sets:
         """(code, cid, n, place, weight): the n-grams of each set's prefix that recur, with their places in the whole set's
         order; weight is the mean level of the set's n-grams."""
         size, need = F.size("codes"), least_shared(F.col("n"), self.percent)
-        weight = F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + F.shiftright(c, LOW)) / F.col("n")
         first = F.posexplode(F.slice("codes", F.lit(1), (size - need + 1).cast("int")))
-        return self.sets.select("cid", "n", (F.col("n") - size).alias("alone"), weight.alias("weight"), first.alias("i", "code")).select("code", "cid", "n", (F.col("alone") + F.col("i")).alias("place"), "weight")
+        return self.sets.select("cid", "n", (F.col("n") - size).alias("alone"), "weight", first.alias("i", "code")).select("code", "cid", "n", (F.col("alone") + F.col("i")).alias("place"), "weight")
 
     def possible(self, a: str, b: str):
         """Whether two sets can be similar enough by their sizes, and by what can follow a common n-gram in each of them."""
@@ -320,16 +319,19 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         raise ValueError("percent must be from 50 to 100")
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = two.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-read // (6 * RANGE)))
-    dealt = two.mapInArrow(lambda batches: _dealt(batches, ranges, size), "part int, kind int, doc_id long, n long, a long, b long, data binary, owners binary")
-    found = save(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_counted, "kind int, doc_id long, n long, a long, b long, codes array<long>"), "counted")
-    rows = found.where(F.col("kind") == DOCUMENT).select("doc_id", "n", "a", "b")
+    bits = (-(-read // (6 * RANGE)) - 1).bit_length() if read else 0  # 2**bits ranges, of about RANGE n-grams at most
+
+    def deal(batches):
+        return _dealt(batches, bits, size, TaskContext.get().partitionId())
+
+    dealt = two.mapInArrow(deal, "part int, kind int, doc_id long, n long, a long, b long, owner long, data binary, owners binary")
+    found = save(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _counted(batches, bits), "doc_id long, n long, a long, b long, owner long, data binary, owners binary"), "counted")
+    rows = found.where("data IS NULL").select("doc_id", "n", "a", "b", "owner")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
-    classes = save(rows.groupBy("a", "b").agg(least, F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
-    sets = Sets(found, classes.where("n > 0"), percent)
-    linked = roots(sets).join(sets.ids, F.col("node") == F.col("cid")).select("a", "b", "root")
-    members = classes.join(linked, ["a", "b"], "left")
+    classes = save(rows.groupBy("a", "b").agg(least, F.max("n").alias("n"), F.min("owner").alias("owner"), F.count(F.lit(1)).alias("rows")), "classes")
+    linked = roots(Sets(found, classes.where("n > 0"), percent)).select(F.col("node").alias("owner"), "root")
+    members = classes.join(linked, "owner", "left")
     named = save(members.where("root is not null").groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("m")), "named")
     told = join_hot(members, named, ["root"], "m").select("a", "b", "rows", F.coalesce("first", "least")["doc_id"].alias("first"))
-    out = join_hot(rows, save(told, "told"), ["a", "b"], "rows")
+    out = join_hot(rows.drop("owner"), save(told, "told"), ["a", "b"], "rows")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))

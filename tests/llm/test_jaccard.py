@@ -114,11 +114,22 @@ def test_hot_ngrams_do_not_gather(monkeypatch):
     import pyarrow as pa
 
     texts = [f"always the same five words {k} and more of {k * k} here" for k in range(2000)]
-    rows = [r for b in jaccard._dealt([pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["doc_id", "text"])], 1, 5) for r in b.to_pylist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for b in jaccard._dealt([batch], 0, 5, 3) for r in b.to_pylist()]
     segments = [r for r in rows if r["kind"] == jaccard.SEGMENT]
-    number = next(r for r in rows if r["kind"] == jaccard.NUMBER)
-    assert len(segments) == 1 and np.frombuffer(number["owners"], np.int64).tolist() == [2000]
-    assert sum(np.frombuffer(s["owners"], np.int64).reshape(-1, 3)[:, 2].sum() for s in segments) + 2000 == sum(r["n"] for r in rows if r["kind"] == jaccard.DOCUMENT)
+    marks = [r for r in rows if r["kind"] == jaccard.MARK]
+    assert len(segments) == len(marks) == 1 and len(marks[0]["data"]) == 6
+    assert len(segments[0]["data"]) // 6 + 2000 == sum(r["n"] for r in rows if r["kind"] == jaccard.DOCUMENT)
+    shared = [r for r in rows if r["kind"] == jaccard.SHARED]
+    assert len(shared) == 1 and len(shared[0]["owners"]) // 2 == len(shared[0]["data"]) // 8 == 2000
+
+
+@pytest.mark.parametrize("bits", [0, 1, 7, 16, 20])
+def test_hashes_come_back_from_their_ranges(bits):
+    h = np.unique(np.random.default_rng(bits).integers(0, 1 << 64, 500, np.uint64))
+    part = [int(x) >> (64 - bits) for x in h]
+    back = [int(jaccard._known(jaccard._bytes(np.array([x]), bits), k, bits)[0]) for x, k in zip(h, part, strict=True)]
+    assert back == [int(x) >> max(0, 16 - bits) << max(0, 16 - bits) for x in h]
 
 
 def test_op13(spark):
