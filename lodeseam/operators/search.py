@@ -6,6 +6,8 @@ scores tie, chunks come in order of document and chunk number.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +25,17 @@ IDF_FLOOR = 0.25
 def expand(text: Column, words: Column, synonyms: dict[str, tuple[str, ...]] | None = None, most: int = 12, stopwords=STOPWORDS) -> Column:
     """Query words with those of triggers that the text contains: at most `most` extras, each also cut into words, none twice."""
     table = synonyms if synonyms is not None else {a: (n,) for a, n in ALIASES.items()} | METRIC_SYNONYMS
-    if not table:
-        return words
-    extras = F.flatten(F.array(*(F.when(F.contains(text, F.lit(t)), F.array(*map(F.lit, s))).otherwise(F.array().cast("array<string>")) for t, s in table.items())))
+    return _with_extras(text, words, _entries([("", t, s) for t, s in table.items()]), most, stopwords) if table else words
+
+
+def _entries(rows: list[tuple[str, str, tuple[str, ...]]]) -> Column:
+    """(domain, trigger, words) rows as one literal."""
+    told = json.dumps([{"d": d, "t": t, "s": list(s)} for d, t, s in rows], ensure_ascii=False)
+    return F.from_json(F.lit(told), "array<struct<d: string, t: string, s: array<string>>>")
+
+
+def _with_extras(text: Column, words: Column, entries: Column, most: int, stopwords) -> Column:
+    extras = F.flatten(F.transform(F.filter(entries, lambda e: F.contains(text, e["t"])), lambda e: e["s"]))
     extras = F.slice(F.array_distinct(extras), 1, most)
     more = F.flatten(F.transform(extras, lambda e: F.concat(F.array(F.lower(e)), extract.tokens(e, stopwords))))
     return F.concat(words, F.array_except(more, words))
@@ -33,10 +43,8 @@ def expand(text: Column, words: Column, synonyms: dict[str, tuple[str, ...]] | N
 
 def expand_by_domain(text: Column, words: Column, domain: Column, tables: dict | None = None, most: int = 15, stopwords=STOPWORDS) -> Column:
     """expand() with the synonyms of the question's own domain, at most `most` extras."""
-    out = words
-    for name, table in (DOMAIN_SYNONYMS if tables is None else tables).items():
-        out = F.when(domain == name, expand(text, words, table, most, stopwords)).otherwise(out)
-    return out
+    rows = [(d, t, s) for d, table in (DOMAIN_SYNONYMS if tables is None else tables).items() for t, s in table.items()]
+    return _with_extras(text, words, F.filter(_entries(rows), lambda e: e["d"] == domain), most, stopwords) if rows else words
 
 
 def _documents(questions: DataFrame) -> Column:
