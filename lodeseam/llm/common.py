@@ -85,7 +85,7 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how:
 
     `rows` names a column of `right` with the number of rows that `left` has for the key; it is dropped. Keys with over
     1/HOT_PARTS of all those rows are fewer than HOT_PARTS by counting, so that part of `right` is broadcast, and rows
-    of `left` with a hot key are dealt at random. Keys are compared null-safe.
+    of `left` with a hot key are dealt by a hash of the row. Keys are compared null-safe.
     """
     payload = [c for c in right.columns if c not in keys and c != rows]
     total = right.agg(F.sum(rows)).first()[0] or 0
@@ -95,8 +95,10 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how:
     hot = F.broadcast(named(right.where(F.col(rows) > least), "h"))
     cold = named(right.where(F.col(rows) <= least), "c").withColumn(f"_c_salt_{tag}", F.lit(-1))
     same = lambda what: [F.col(k).eqNullSafe(F.col(f"_{what}{i}_{tag}")) for i, k in enumerate(keys)]
+    # by what a row holds and where it is, so that a task that is run again deals its rows as before, in whatever order they come
+    dealt = F.xxhash64(F.spark_partition_id(), *[F.col(f.name) for f in left.schema.fields if "map<" not in f.dataType.simpleString()])
     out = left.join(hot, reduce(Column.__and__, same("h")), "left")
-    out = out.withColumn(f"_salt_{tag}", F.when(F.col(f"_h_{tag}"), F.pmod(F.monotonically_increasing_id(), F.lit(100_000)).cast("int")).otherwise(F.lit(-1)))
+    out = out.withColumn(f"_salt_{tag}", F.when(F.col(f"_h_{tag}"), F.pmod(dealt, F.lit(100_000)).cast("int")).otherwise(F.lit(-1)))
     out = out.join(cold, reduce(Column.__and__, same("c"), F.col(f"_salt_{tag}") == F.col(f"_c_salt_{tag}")), "left")
     if how == "inner":
         out = out.where(F.col(f"_h_{tag}") | F.col(f"_c_{tag}"))

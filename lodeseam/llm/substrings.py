@@ -275,10 +275,11 @@ def runs(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE, hashes=wor
     n_passages = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_passages"))
     much = n.join(n_passages, "anchor").where((F.col("n") > HOT) | (F.col("n_passages") > HOT))
     much = save(much.select("anchor", "n", "n_passages", F.ceil(F.col("n") / HOT).cast("int").alias("deals"), F.ceil(F.col("n_passages") / HOT).cast("int").alias("parts")), "much")
-    one, row = F.lit(1), F.monotonically_increasing_id()
+    # dealt by what a row holds: a task that is run again has its rows in another order
+    one, row, text = F.lit(1), F.xxhash64("k1", "k2", "first"), F.xxhash64("words")
     left = join_hot(stretches, much.drop("n_passages"), ["anchor"], "n").withColumn("deal", F.pmod(row, F.coalesce("deals", one)).cast("int"))
     left = left.select("anchor", "deal", F.explode(F.sequence(F.lit(0), F.coalesce("parts", one) - 1)).alias("part"), "k1", "k2", "first", "words")
-    right = join_hot(found, much.drop("n"), ["anchor"], "n_passages").withColumn("part", F.pmod(row, F.coalesce("parts", one)).cast("int"))
+    right = join_hot(found, much.drop("n"), ["anchor"], "n_passages").withColumn("part", F.pmod(text, F.coalesce("parts", one)).cast("int"))
     right = right.select("anchor", F.explode(F.sequence(F.lit(0), F.coalesce("deals", one) - 1)).alias("deal"), "part", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), F.lit(-1).alias("first"), "words")
     met = left.unionByName(right).repartition("anchor", "deal", "part").sortWithinPartitions("anchor", "deal", "part", "first")
 
