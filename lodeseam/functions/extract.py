@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -199,6 +202,58 @@ def by_dictionary(words=DICTIONARY):
     return cut
 
 
+def by_weights(counts: dict[str, float]):
+    """A segmenter that takes the best path through the graph of a run's words: of all ways to cut it into words of a dictionary and
+    single characters, the one whose words have the largest product of relative counts (a character without a count has 1); at a tie the
+    one with the longer first word. Single characters without a count that stand side by side become one piece, which is cut into pairs
+    if it has over three characters.
+
+    The path is found from the right by dynamic programming over the places of the run; only words that the run contains take part.
+    """
+    total = sum(counts.values()) or 1.0
+    weight = lambda n: math.log(n) - math.log(total)
+    told = json.dumps([{"w": w, "x": weight(n)} for w, n in sorted(counts.items()) if w and n > 0], ensure_ascii=False)
+    single = weight(1.0)
+
+    def cut(run: Column) -> Column:
+        size = F.char_length(run)
+        words = F.transform(F.from_json(F.lit(told), "array<struct<w: string, x: double>>"), lambda e: F.struct(e["w"].alias("w"), e["x"].alias("x"), F.char_length(e["w"]).alias("n")))
+
+        def path(near: Column) -> Column:
+            # best[k]: score and first word's length of the last k characters
+            def step(best: Column, k: Column) -> Column:
+                here = F.filter(near, lambda e: (e["n"] <= k) & (F.substring(run, size - k + 1, e["n"]) == e["w"]))
+                ways = F.transform(here, lambda e: F.struct((e["x"] + F.get(best, k - e["n"])["x"]).alias("x"), e["n"].alias("n"), F.lit(True).alias("known")))
+                alone = F.struct((F.lit(single) + F.get(best, k - 1)["x"]).alias("x"), F.lit(1).alias("n"), F.lit(False).alias("known"))
+                # a character with a count of its own is no unknown one
+                return F.concat(best, F.array(F.array_max(F.concat(ways, F.when(F.exists(here, lambda e: e["n"] == 1), F.array().cast("array<struct<x: double, n: int, known: boolean>>")).otherwise(F.array(alone))))))
+
+            begin = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0).alias("n"), F.lit(False).alias("known")))
+            best = F.aggregate(F.sequence(F.lit(1), size), begin, step)
+            none = F.array().cast("array<struct<w: string, known: boolean>>")
+
+            def walk(all_: Column) -> Column:
+                def forward(s: Column, at: Column) -> Column:
+                    way = F.get(all_, size - at + 1)
+                    piece = F.struct(F.substring(run, at, way["n"]).alias("w"), way["known"].alias("known"))
+                    return F.when(at < s["at"], s).otherwise(F.struct((at + way["n"]).alias("at"), F.concat(s["out"], F.array(piece)).alias("out")))
+
+                return F.aggregate(F.sequence(F.lit(1), size), F.struct(F.lit(1).alias("at"), none.alias("out")), forward, lambda s: s["out"])
+
+            return let(best, walk)
+
+        def joined(pieces: Column) -> Column:
+            # known words stand between marks, so what is left between them are unknown characters side by side
+            marked = F.array_join(F.transform(pieces, lambda p: F.when(p["known"], F.concat(F.lit("\x01"), p["w"], F.lit("\x01"))).otherwise(p["w"])), "")
+            parts = F.filter(F.split(marked, "\x01"), lambda p: p != "")
+            known = F.transform(F.filter(pieces, lambda p: p["known"]), lambda p: p["w"])
+            return F.flatten(F.transform(parts, lambda p: F.when(F.array_contains(known, p) | (F.char_length(p) <= 3), F.array(p)).otherwise(pairs_of(p))))
+
+        return let(let(F.filter(words, lambda e: F.contains(run, e["w"])), path), joined)
+
+    return cut
+
+
 def tokens(text: Column, stopwords=STOPWORDS, segment=pairs_of) -> Column:
     """Words of the ranking: lower-case Latin words, numbers without thousands commas, and CJK runs as `segment` cuts them, by
     default into their pairs of characters (one character stays alone). Table marks go first; repeats stay."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import scan
+from .containment import contained
 from .steps import cut, numbered
 
 
@@ -94,9 +94,12 @@ def best_first(starts: DataFrame, edges: DataFrame, most: int = 200, decays: dic
 
 def entity_hits(names: DataFrame, entities: DataFrame) -> DataFrame:
     """(qid, chunk_id, score) for (qid, name): 3 for an entity of the same name, 1 for one that contains it or is contained.
-    The names, a stated set, are held against the different keys."""
-    keys = entities.select("key").distinct()
-    fits = scan(names, keys, F.contains("key", F.col("name")) | F.contains("name", F.col("key")))
+    Different names and keys meet by signatures of their grams; an empty name or key fits nothing."""
+    keys, asked = entities.select("key").distinct(), names.select("qid", "name").distinct()
+    one, other = names.select("name").distinct(), keys
+    within = contained(one.select(F.col("name").alias("inner")), other.select(F.col("key").alias("outer"))).select(F.col("inner").alias("name"), F.col("outer").alias("key"))
+    around = contained(other.select(F.col("key").alias("inner")), one.select(F.col("name").alias("outer"))).select(F.col("outer").alias("name"), F.col("inner").alias("key"))
+    fits = asked.join(within.unionByName(around).distinct(), "name")
     points = fits.select("qid", "key", F.when(F.col("key") == F.col("name"), 3.0).otherwise(1.0).alias("x"))
     return points.join(entities.select("key", "chunk_id"), "key").groupBy("qid", "chunk_id").agg(F.sum("x").alias("score"))
 

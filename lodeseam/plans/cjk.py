@@ -119,6 +119,19 @@ def cjk_terms(spark, sf_dir):
     return postings.term_frequency(_chunks(spark, sf_dir)).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("n_chunks"))
 
 
+#: Counts of words, some of which overlap others or are parts of them.
+_COUNTS = dict.fromkeys((*ORGANISATIONS, *METRICS), 20.0) | {"年度": 300.0, "收入": 400.0, "度收": 2.0, "万元": 500.0, "亿元": 300.0, "发行": 200.0, "规模": 150.0, "发行规": 1.0, "责任": 90.0, "免除": 40.0, "期限": 80.0, "银行": 300.0}
+
+
+@query(f"""WITH {_CHUNKS}, t AS (SELECT chunk_id, unnest(list_filter(list_concat(['第', clause, '条', org, '年度', '收入', money, '万元', share, metric, CAST(u AS VARCHAR)],
+ CASE WHEN k % 10 = 0 THEN ['发行', '规模', '亿元'] ELSE ['共', '天'] END), lambda w: NOT list_contains([{', '.join(repr(w) for w in search.STOPWORDS)}], w))) AS term FROM c)
+SELECT term, count(*) AS occurrences, count(DISTINCT chunk_id) AS n_chunks FROM t GROUP BY 1""")
+def cjk_words(spark, sf_dir):
+    """Words of the ranking by the best path through the words of a counted dictionary."""
+    tf = postings.term_frequency(_chunks(spark, sf_dir), segment=extract.by_weights(_COUNTS))
+    return tf.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("n_chunks"))
+
+
 @query(f"WITH {_CHUNKS} SELECT chunk_id, CAST(trunc(length(regexp_replace(text, '[^一-鿿]', '', 'g')) * 1.5 + length(regexp_replace(text, '[一-鿿]', '', 'g')) * 0.25) AS BIGINT) AS mixed FROM c")
 def token_estimate(spark, sf_dir):
     return _chunks(spark, sf_dir).select("chunk_id", text.estimate_tokens(F.col("text")).alias("mixed"))
