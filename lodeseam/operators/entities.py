@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,11 @@ PATTERNS = {
         r"([一-龥]{2,10}(?:年金|寿险|重疾|医疗|意外|养老|分红|万能|投连|两全|定期|终身)(?:保险)?)",
         r"([一-龥]{2,15}(?:2024|2025|2026)[一-龥]{0,10}(?:款|版)?(?:保险|产品|计划)?)",
         r"([A-Za-z][一-龥]{2,15}(?:保险|产品|计划|账户)?)",
-        r"(智盈金生|增益宝|长相伴|财富金生|金佑人生|国寿福|康宁终身|平安福|太保寿险|安享百万|百万医疗)",
     ),
     "period": (r"(\d{4})\s*年", r"(上年|本年|当年|前年|去年|今年)", r"(上年同期|本报告期|报告期|上一报告期)"),
 }
+# Names of products.
+BRANDS = ("智盈金生", "增益宝", "长相伴", "财富金生", "金佑人生", "国寿福", "康宁终身", "平安福", "太保寿险", "安享百万", "百万医疗")
 # What comes before the value in a name, and behind it.
 NAMES = {"amount": ("金额_", ""), "percentage": ("比例_", "%"), "clause": ("条款_", ""), "period": ("期间_", "")}
 MENTIONS = "chunk_id string, type string, name string, value string, start int, end int"
@@ -52,31 +55,65 @@ def _short(name: str) -> str:
     return next((name[: -len(s)] for s in SUFFIXES if name.endswith(s) and len(name) > len(s)), name)
 
 
+def _fixed(metrics: tuple[str, ...]) -> ahocorasick.Automaton | None:
+    """An automaton of all fixed words; each has (type, group, rank, word) entries. Of a group's words that overlap in a text, the
+    one that begins first counts, and of those the one of the lowest rank: metrics don't hide each other, brands do."""
+    entries: dict[str, list[tuple]] = {}
+    for k, word in enumerate(dict.fromkeys(BRANDS)):
+        entries.setdefault(word, []).append(("product", -1, k, word))
+    for k, word in enumerate(dict.fromkeys(m for m in metrics if m)):
+        entries.setdefault(word, []).append(("metric", k, 0, word))
+    if not entries:
+        return None
+    found = ahocorasick.Automaton()
+    for word, of in entries.items():
+        found.add_word(word, of)
+    found.make_automaton()
+    return found
+
+
+def _words(automaton: ahocorasick.Automaton, text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(type, word, start, end) of the fixed words of a text, in one pass over it."""
+    groups: dict[int, list[tuple]] = {}
+    for last, entries in automaton.iter(text):
+        for kind, group, rank, word in entries:
+            groups.setdefault(group, []).append((last + 1 - len(word), rank, kind, word))
+    for group in sorted(groups):
+        free = 0
+        for start, _, kind, word in sorted(groups[group]):
+            if start >= free:
+                free = start + len(word)
+                yield kind, word, start, free
+
+
 def mentions(chunks: DataFrame, metrics: tuple[str, ...] = ENTITY_METRICS) -> DataFrame:
     """Entity mentions of chunks (chunk_id, text), see MENTIONS: eight types; a company also by its short name; one row for each
-    type, name and start. Places need Python: Spark's regular expressions give none."""
-    rules = [(kind, re.compile(p)) for kind, ps in PATTERNS.items() for p in ps] + [("metric", re.compile(f"({re.escape(m)})")) for m in metrics]
+    type, name and start. Places need Python: Spark's regular expressions give none. All fixed words are found in one pass by an
+    automaton; only open classes have patterns."""
+    rules = [(kind, re.compile(p)) for kind, ps in PATTERNS.items() for p in ps]
 
-    def of(text: str) -> Iterator[tuple]:
+    def of(text: str, automaton: ahocorasick.Automaton | None) -> Iterator[tuple]:
         seen = set()
-        for kind, rule in rules:
-            for m in rule.finditer(text):
-                value = m.group(1)
-                before, behind = NAMES.get(kind, ("", ""))
-                names = [before + value + behind]
-                if kind == "company" and (short := _short(value)) != value and len(short) >= 2:
-                    names.append(short)
-                for name in names:
-                    if (kind, name, m.start()) not in seen:
-                        seen.add((kind, name, m.start()))
-                        yield kind, name, value.replace(",", "") if kind == "amount" else value, m.start(), m.end()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in MENTIONS.split(", ")]
-        for df in frames:
-            yield pd.DataFrame([(c, *m) for c, t in zip(df["chunk_id"], df["text"], strict=True) for m in of(t or "")], columns=names)
-
-    return chunks.select("chunk_id", "text").mapInPandas(run, MENTIONS)
+        named = ((kind, m.group(1), m.start(), m.end()) for kind, rule in rules for m in rule.finditer(text))
+        for kind, value, start, end in itertools.chain(named, _words(automaton, text) if automaton else ()):
+            before, behind = NAMES.get(kind, ("", ""))
+            names = [before + value + behind]
+            if kind == "company" and (short := _short(value)) != value and len(short) >= 2:
+                names.append(short)
+            for name in names:
+                if (kind, name, start) not in seen:
+                    seen.add((kind, name, start))
+                    yield kind, name, value.replace(",", "") if kind == "amount" else value, start, end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _fixed(metrics)
+        for batch in batches:
+            rows = [(c, *m) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for m in of(t, automaton)]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            kinds = [pa.string()] * 4 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MENTIONS.split(", ")])
+
+    return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text").mapInArrow(run, MENTIONS)
 
 
 def by_type(mention_rows: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import postings, search
+from ..operators import entities, postings, search
 from .registry import query, table
 
 ORGANISATIONS = ("华星科技", "东海银行", "北辰证券", "南山集团", "西岭控股", "中原保险", "云杉股份")
@@ -165,3 +165,23 @@ def cjk_symbols(spark, sf_dir):
     amounts = F.filter(extract.symbol_numbers(t), lambda x: x.endswith("万元"))
     metrics = F.filter(F.array(F.lit("资产负债率"), F.lit("净利润"), F.lit("免责条款")), lambda m: F.contains(t, m))
     return c.select("chunk_id", extract.found(t, extract.ORGANISATION).alias("organisations"), extract.clauses(t).alias("clauses"), metrics.alias("metrics"), amounts.alias("amounts"))
+
+
+_MENTIONED = """c AS (SELECT o_orderkey AS k, list_extract(['华星科技', '东海银行', '北辰证券'], CAST(o_orderkey % 3 AS INT) + 1) AS org, printf('%.2f', o_totalprice) AS money, CAST(o_orderkey % 90 + 10 AS VARCHAR) || '.5' AS share,
+ CAST(o_orderkey % 9 + 1 AS VARCHAR) AS clause, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders),
+t AS (SELECT *, org || '；《甲乙' || k || '》；' || money || '亿元；' || share || '%；第' || clause || '条；国寿福；' || y || '年；净利润' AS text FROM c),
+m AS (SELECT 'company' AS type, org AS name, 0 AS start FROM t UNION ALL SELECT 'company', substr(org, 1, 2), 0 FROM t WHERE org <> '华星科技'
+ UNION ALL SELECT 'regulation', '《甲乙' || k || '》', instr(text, '《') - 1 FROM t UNION ALL SELECT 'amount', '金额_' || money, instr(text, money || '亿元') - 1 FROM t
+ UNION ALL SELECT 'percentage', '比例_' || share || '%', instr(text, share || '%') - 1 FROM t UNION ALL SELECT 'clause', '条款_' || clause, instr(text, '第' || clause || '条') - 1 FROM t
+ UNION ALL SELECT 'product', '国寿福', instr(text, '国寿福') - 1 FROM t UNION ALL SELECT 'period', '期间_' || y, instr(text, y || '年') - 1 FROM t UNION ALL SELECT 'metric', '净利润', instr(text, '净利润') - 1 FROM t)"""
+
+
+@query(f"WITH {_MENTIONED} SELECT type, count(*) AS n, count(DISTINCT name) AS names, CAST(sum(start) AS BIGINT) AS starts FROM m GROUP BY 1")
+def entity_mentions(spark, sf_dir):
+    """Mentions of all eight types, with their places, in a sentence for each order."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    org = _pick(("华星科技", "东海银行", "北辰证券"), key)
+    share, clause = F.concat((key % 90 + 10).cast("string"), F.lit(".5")), (key % 9 + 1).cast("string")
+    parts = [org, F.concat(F.lit("《甲乙"), key.cast("string"), F.lit("》")), F.concat(F.format_string("%.2f", "o_totalprice"), F.lit("亿元")), F.concat(share, F.lit("%")), F.concat(F.lit("第"), clause, F.lit("条")), F.lit("国寿福"), F.concat(F.year("o_orderdate").cast("string"), F.lit("年")), F.lit("净利润")]
+    found = entities.mentions(o.select(key.cast("string").alias("chunk_id"), F.concat_ws("；", *parts).alias("text")))
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"), F.sum("start").alias("starts"))

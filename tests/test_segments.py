@@ -65,3 +65,18 @@ def test_entity_hits(spark):
     keys = spark.createDataFrame([("c1", "华星科技"), ("c2", "华星"), ("c3", "科技")], "chunk_id string, key string")
     got = {(r.qid, r.chunk_id): r.score for r in graph.entity_hits(names, keys).collect()}
     assert got[("1", "c1")] == 4.0 and got[("1", "c2")] == 4.0 and got[("3", "c3")] == 1.0 and not any(q in "24" for q, _ in got)
+
+
+def test_fixed_words_are_what_a_pattern_each_finds():
+    import re
+
+    from lodeseam.operators import entities
+
+    rng, metrics = random.Random(5), ("净利润", "利润", "净利润率", "ABAB", "润率", "", "利润")
+    automaton = entities._fixed(metrics)
+    brands = re.compile("|".join(entities.BRANDS))
+    for _ in range(300):
+        text = "".join(rng.choice(["净利润率", "利润", "AB", "率", "安享百万", "医疗", "百万", "国寿福", "x"]) for _ in range(12))
+        want = [("metric", m, x.start(), x.end()) for m in dict.fromkeys(metrics) if m for x in re.finditer(re.escape(m), text)] + [("product", x.group(), x.start(), x.end()) for x in brands.finditer(text)]
+        assert sorted(entities._words(automaton, text)) == sorted(want)
+    assert entities._fixed(()) is not None
