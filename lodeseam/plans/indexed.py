@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import postings, substring, tools, vector_index
+from ..operators import postings, ranges, substring, tools, vector_index
 from ..operators.steps import new_path
 from ..sources.index_store import IndexStore
 from .ranking import _BM25
@@ -79,3 +79,13 @@ def store_changed_topk(spark, sf_dir):
     store.delete(gone("src3"))
     found = store.top_k(questions_of(spark, sf_dir), 10, synonyms={}, digits=6)
     return found.select("qid", "doc_id", "chunk_id", F.col("bm25").alias("score"), "rank")
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day FROM lineitem)
+SELECT a.l_partkey, count(*) AS pairs, CAST(sum(abs(a.day - b.day)) AS BIGINT) AS days FROM d AS a JOIN d AS b ON a.l_partkey = b.l_partkey AND abs(a.day - b.day) <= 5 GROUP BY 1""")
+def date_range_join(spark, sf_dir):
+    """Pairs of lines of one part that were shipped at most five days apart, by bins of days."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", day.alias("day"))
+    met = ranges.near(lines.withColumnRenamed("day", "other"), lines, ["l_partkey"], "other", "day", 5)
+    return met.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.abs(F.col("day") - F.col("other"))).cast("long").alias("days"))

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import normalize_latex
 from ..functions.vocab import COMPOSITES
+from ..operators.ranges import near
+from ..operators.steps import numbered
 
 BLOCK = "struct<type: string, text: string, html: string, markdown: string, latex: string, lines: array<struct<text: string>>>"
 PAGE = f"struct<page_num: int, page: int, text: string, blocks: array<{BLOCK}>>"
@@ -91,9 +93,9 @@ def resolved(questions: DataFrame, composites: dict[str, tuple[str, ...]] = COMP
 
 
 def nearby_pages(docs: DataFrame, wanted: DataFrame, radius: int = 5) -> DataFrame:
-    """For (doc_id, page) rows: the text of the pages at most `radius` away, in order. A range join within the document."""
+    """For (doc_id, page) rows: the text of the pages at most `radius` away, in order. A range join by bins of pages."""
     pages = page_rows(docs).select("doc_id", "page_num", F.concat_ws("\n", "text", F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "table"), lambda b: F.coalesce(b["markdown"], b["html"], F.lit(""))), "\n")).alias("t"))
-    joined = wanted.join(pages, "doc_id").where(F.abs(F.col("page_num") - F.col("page")) <= radius)
+    joined = near(pages, wanted.select("doc_id", "page"), ["doc_id"], "page_num", "page", radius)
     return joined.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("page_num", "t"))).alias("s")).select("doc_id", "page", F.array_join(F.transform("s", lambda x: x["t"]), "\n").alias("text"))
 
 
@@ -101,7 +103,8 @@ def questions(spark: SparkSession, path: str | list[str], lines: bool = False) -
     """Questions of JSON arrays (or lines) in file order: an ordinal `ord` counts over all files sorted by name. A file's
     own order is kept by its row numbers."""
     df = _json(spark, path, QUESTION, lines).withColumn("answer_format", F.coalesce("answer_format", "type"))
-    return df.withColumn("_row", F.monotonically_increasing_id()).withColumn("ord", F.row_number().over(Window.orderBy("_file", "_row"))).drop("_row")
+    # numbered by ranges, so that no task has all rows
+    return numbered(df.withColumn("_row", F.monotonically_increasing_id()), [], ["_file", "_row"]).withColumn("ord", (F.col("_k") + 1).cast("int")).drop("_row", "_k", "_n")
 
 
 def mixed_questions(spark: SparkSession, arrays: list[str], lines: list[str]) -> DataFrame:
