@@ -95,7 +95,7 @@ def best_first(starts: DataFrame, edges: DataFrame, most: int = 200, decays: dic
 def entity_hits(names: DataFrame, entities: DataFrame) -> DataFrame:
     """(qid, chunk_id, score) for (qid, name): 3 for an entity of the same name, 1 for one that contains it or is contained.
     Different names and keys meet by signatures of their grams; an empty name or key fits nothing."""
-    keys, asked = entities.select("key").distinct(), names.select("qid", "name").distinct()
+    keys, asked = entities.select("key").distinct(), names.select("qid", "name")
     one, other = names.select("name").distinct(), keys
     within = contained(one.select(F.col("name").alias("inner")), other.select(F.col("key").alias("outer"))).select(F.col("inner").alias("name"), F.col("outer").alias("key"))
     around = contained(other.select(F.col("key").alias("inner")), one.select(F.col("name").alias("outer"))).select(F.col("outer").alias("name"), F.col("inner").alias("key"))

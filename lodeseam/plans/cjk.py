@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import entities, postings, search
+from ..operators import entities, graph, postings, search, tools
 from .registry import query, table
 
 ORGANISATIONS = ("华星科技", "东海银行", "北辰证券", "南山集团", "西岭控股", "中原保险", "云杉股份")
@@ -185,3 +185,24 @@ def entity_mentions(spark, sf_dir):
     parts = [org, F.concat(F.lit("《甲乙"), key.cast("string"), F.lit("》")), F.concat(F.format_string("%.2f", "o_totalprice"), F.lit("亿元")), F.concat(share, F.lit("%")), F.concat(F.lit("第"), clause, F.lit("条")), F.lit("国寿福"), F.concat(F.year("o_orderdate").cast("string"), F.lit("年")), F.lit("净利润")]
     found = entities.mentions(o.select(key.cast("string").alias("chunk_id"), F.concat_ws("；", *parts).alias("text")))
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"), F.sum("start").alias("starts"))
+
+
+#: (qid, name): organisations, their beginnings, a longer name, and names that are phrases only or nowhere.
+_ASKED = [*((str(k), name) for k, org in enumerate(ORGANISATIONS) for name in (org, org[:2])), ("long", "华星科技股份有限公司"), ("metric", "资产负债率"), ("none", "无此名称")]
+_ASKED_SQL = "n(qid, name) AS (VALUES " + ", ".join(f"('{q}', '{n}')" for q, n in _ASKED) + ")"
+
+
+@query(f"WITH {_CHUNKS}, {_ASKED_SQL} SELECT qid, chunk_id, CAST(sum(CASE WHEN key = name THEN 3.0 ELSE 1.0 END) AS DOUBLE) AS score FROM n JOIN entities ON contains(key, name) OR contains(name, key) GROUP BY 1, 2")
+def entity_fits(spark, sf_dir):
+    """Scores of chunks whose entities are asked names, contain them or are contained in them."""
+    return graph.entity_hits(spark.createDataFrame(_ASKED, "qid string, name string"), postings.entity(_chunks(spark, sf_dir)))
+
+
+@query(f"""WITH {_CHUNKS}, {_ASKED_SQL}, a AS (SELECT qid || name AS qid, name FROM n), s0 AS (SELECT qid, chunk_id, 0 AS stage FROM a JOIN entities ON key = name),
+s1 AS (SELECT qid, chunk_id, 1 AS stage FROM a JOIN phrases ON key = name WHERE qid NOT IN (SELECT qid FROM s0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY stage, chunk_id) AS rank FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1)) SELECT qid, chunk_id, CAST(stage AS INT) AS stage, rank FROM r WHERE rank <= 5""")
+def entity_tool(spark, sf_dir):
+    """Chunks for each asked name by entity key, else by phrase key."""
+    chunks = _chunks(spark, sf_dir)
+    asked = spark.createDataFrame([(q + n, n) for q, n in _ASKED], "qid string, name string")
+    return tools.search_entity(asked, postings.entity(chunks), postings.phrase(chunks))
