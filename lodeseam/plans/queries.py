@@ -263,6 +263,16 @@ def bfs_depth(spark, sf_dir):
     return graph.expand(starts, graph.sequence_edges(chunks_of(spark, sf_dir)).select("src", "dst"), 3)
 
 
+@query("""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+w AS (SELECT a.chunk_id AS qid, b.chunk_id, round(pow(0.8, abs(a.k - b.k)), 6) AS score, CAST(abs(a.k - b.k) AS INT) AS depth FROM benchmark JOIN p AS a ON a.chunk_id = CAST(item_id AS VARCHAR) JOIN p AS b USING (source)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS place FROM w) SELECT qid, chunk_id, score, depth, CAST(place AS INT) AS place FROM r WHERE place <= 7""")
+def best_first_walk(spark, sf_dir):
+    """The first seven chunks of a walk from each question's chunk along the order of its document, nearest first."""
+    chunks = chunks_of(spark, sf_dir)
+    starts = questions_of(spark, sf_dir).select("qid", F.col("qid").alias("chunk_id"), F.lit(1.0).alias("score")).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return graph.best_first(starts, graph.sequence_edges(chunks), 7).withColumn("score", F.round("score", 6))
+
+
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS qid, label, e FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT qid, v.vec_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) AS similarity FROM q JOIN v ON q.label = v.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS vec_rank FROM s) SELECT qid, vec_id, similarity, vec_rank FROM r WHERE vec_rank <= 10""")
