@@ -5,6 +5,8 @@ Order that would be random elsewhere comes from md5 of a seed and an id, so ever
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,27 +40,35 @@ def metric_pairs(chunks: DataFrame, metrics: tuple[str, ...] = ENTITY_METRICS, e
     def listed(of: Column, which) -> Column:
         return F.get(F.filter(F.array(*map(F.lit, of)) if of else F.array().cast("array<string>"), which), F.lit(0))
 
-    def pairs(sentence: Column) -> Column:
-        # each piece goes from the end of the number before it to that of its own
-        pieces = extract.found(sentence, rf"[^0-9]*{number}")
-        zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<piece: string, end: int>>").alias("out"))
-        step = lambda s, p: let(s["end"] + F.char_length(p), lambda e: F.struct(e.cast("int").alias("end"), F.concat(s["out"], F.array(F.struct(p.alias("piece"), e.cast("int").alias("end")))).alias("out")))
-        placed = F.aggregate(pieces, zero, step, lambda s: s["out"])
+    # a metric word spans at most so many numbers, and one more piece holds what a unit took of its first characters
+    back = 2 + max([len(re.findall("[0-9]+", m)) for m in metrics], default=0)
+
+    def named(found: Column) -> Column:
+        run = F.regexp_extract(found, r"([\x{4e00}-\x{9fff}（）()]{2,12})$", 1)
+        usable = ~run.endswith("的") & listed(noise, lambda n: F.contains(run, n)).isNull()
+        return let(F.regexp_extract(found, tail, 1), lambda m: F.when(m != "", m).when(usable, run).otherwise(F.lit("")))
 
-        def read(x: Column) -> Column:
-            told = F.regexp_extract(x["piece"], rf"{number}$", 0)
-            core, unit = F.regexp_extract(x["piece"], rf"{number}$", 1), F.regexp_extract(x["piece"], rf"{number}$", 2)
-            before = F.regexp_replace(F.substring(sentence, F.lit(1), x["end"] - F.char_length(told)), r"\s+$", "")
+    def long(r: Column) -> Column:
+        return (F.char_length(F.regexp_replace(r["core"], "[,.]", "")) >= 2) & ~(r["core"].rlike("^(?:19|20)[0-9]{2}$") & r["unit"].isin("", "年"))
 
-            def named(found: Column) -> Column:
-                run = F.regexp_extract(found, r"([\x{4e00}-\x{9fff}（）()]{2,12})$", 1)
-                usable = ~run.endswith("的") & listed(noise, lambda n: F.contains(run, n)).isNull()
-                return let(F.regexp_extract(found, tail, 1), lambda m: F.when(m != "", m).when(usable, run).otherwise(F.lit("")))
+    def read(pieces: Column, whole: Column, entity: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(p, rf"{number}$", k)
+        numbers = F.filter(F.transform(pieces, lambda p, k: F.struct(k.alias("k"), part(p, 0).alias("told"), part(p, 1).alias("core"), part(p, 2).alias("unit"))), long)
 
-            return F.struct(named(before).alias("metric"), told.alias("num"), core.alias("num_core"), unit.alias("unit"), F.regexp_replace(sentence, r"^\s+|\s+$", "").alias("sentence"), F.coalesce(listed(entities, lambda e: F.contains(sentence, e)), F.lit("")).alias("entity"))
+        def pair(r: Column) -> Column:
+            first = F.greatest(r["k"] - back, F.lit(0))
+            near = F.array_join(F.slice(pieces, first + 1, r["k"] - first + 1), "")
+            before = F.regexp_replace(F.substring(near, F.lit(1), F.char_length(near) - F.char_length(r["told"])), r"\s+$", "")
+            return F.struct(named(before).alias("metric"), r["told"].alias("num"), r["core"].alias("num_core"), r["unit"].alias("unit"), whole.alias("sentence"), entity.alias("entity"))
 
-        long = lambda r: (F.char_length(F.regexp_replace(r["num_core"], "[,.]", "")) >= 2) & ~(r["num_core"].rlike("^(?:19|20)[0-9]{2}$") & r["unit"].isin("", "年"))
-        return F.filter(F.transform(placed, read), lambda r: long(r) & (r["metric"] != ""))
+        return F.filter(F.transform(numbers, pair), lambda r: r["metric"] != "")
+
+    def pairs(sentence: Column) -> Column:
+        # each piece goes from the end of the number before it to that of its own; what is the same for all is worked out once
+        whole = F.regexp_replace(sentence, r"^\s+|\s+$", "")
+        entity = F.coalesce(listed(entities, lambda e: F.contains(sentence, e)), F.lit(""))
+        once = F.struct(extract.found(sentence, rf"[^0-9]*{number}").alias("pieces"), whole.alias("whole"), entity.alias("entity"))
+        return let(once, lambda o: read(o["pieces"], o["whole"], o["entity"]))
 
     rows = chunks.select("chunk_id", "doc_id", "domain", F.posexplode(F.flatten(F.transform(sentences, pairs))).alias("pos", "p"))
     return rows.select("chunk_id", "doc_id", "domain", "pos", "p.metric", F.col("p.metric").isin(*metrics).alias("is_vocab"), "p.num", "p.num_core", "p.unit", "p.sentence", "p.entity")
@@ -187,9 +197,12 @@ def logical_compare(pairs: DataFrame) -> DataFrame:
 
 def pair_join(pairs: DataFrame, ratio: float = 1e4) -> DataFrame:
     """Pairs i < j of one chunk and unit whose values differ by a factor of at most `ratio`: (chunk_id, ..., metric_b, num_b)."""
-    b = pairs.select("chunk_id", "unit", F.col("pos").alias("pos_b"), F.col("metric").alias("metric_b"), F.col("num_core").alias("num_b"))
+    # a chunk is one row of a table, so the pairs of one fit a window; a join would make all of them twice
+    later = Window.partitionBy("chunk_id", "unit").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    seen = pairs.where("unit != '' AND chunk_id IS NOT NULL").withColumn("_later", F.collect_list(F.struct("pos", "metric", "num_core")).over(later))
+    met = seen.withColumn("_b", F.explode("_later")).drop("_later").select("*", F.col("_b.pos").alias("pos_b"), F.col("_b.metric").alias("metric_b"), F.col("_b.num_core").alias("num_b")).drop("_b")
     x, y = value(F.col("num_core")), value(F.col("num_b"))
-    return pairs.where("unit != ''").join(b, ["chunk_id", "unit"]).where((F.col("pos") < F.col("pos_b")) & (F.col("metric") != F.col("metric_b")) & (x > 0) & (y > 0) & (F.greatest(x, y) <= ratio * F.least(x, y)))
+    return met.where((F.col("pos") < F.col("pos_b")) & (F.col("metric") != F.col("metric_b")) & (x > 0) & (y > 0) & (F.greatest(x, y) <= ratio * F.least(x, y)))
 
 
 def calc(pairs: DataFrame, texts: DataFrame, seed: int = 42, a_chunk: int = 2) -> DataFrame:
