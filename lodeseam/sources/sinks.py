@@ -70,22 +70,6 @@ def read_index(spark, path: str, fingerprint: str) -> dict[str, DataFrame] | Non
     return {name: spark.read.parquet(f"{path}/{name}") for name in row["tables"]}
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key the table at `path` lacks; returns how many. The table is Parquet."""
-    from pyspark.errors import AnalysisException
-
-    spark = rows.sparkSession
-    try:
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except AnalysisException:
-        pass
-    rows = rows.dropDuplicates([key])
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(path)
-    return n
-
-
 def retrieval_trace(questions: DataFrame, ranked: DataFrame, recalls: dict[str, DataFrame], most: int = 20, preview: int = 100) -> DataFrame:
     """(qid, trace): a JSON object for each question with its text (cut at 200), how many chunks each recall (qid, chunk_id) found, and
     the first chunks with score and a preview."""

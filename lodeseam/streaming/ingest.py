@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.sinks import append_new
+from ..sources.keyed import append_new
 
 
 def upsert_stream(rows: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodeseam.operators import evalset, graph, postings, tools, vector
-from lodeseam.sources import ingest, sinks
+from lodeseam.sources import ingest, keyed, sinks
 from lodeseam.streaming import ingest as stream
 
 CHUNK = "domain string, doc_id string, chunk_id string, chunk_no int, text string, has_table boolean, page int"
@@ -104,7 +104,7 @@ def test_sinks(spark, tmp_path):
     lines = next((tmp_path / "csv").glob("part-*.csv")).read_text().split("\n")
     assert lines[0].startswith("qid,") and lines[1].startswith("summary,") and lines[1].endswith("5,7,12") and lines[2].startswith("1,B")
     rows = spark.createDataFrame([("k1", 1), ("k2", 2)], "k string, v int")
-    assert [sinks.append_new(rows, str(tmp_path / "t"), "k"), sinks.append_new(rows.unionByName(spark.createDataFrame([("k3", 3)], "k string, v int")), str(tmp_path / "t"), "k")] == [2, 1]
+    assert [keyed.append_new(rows, str(tmp_path / "t"), "k"), keyed.append_new(rows.unionByName(spark.createDataFrame([("k3", 3)], "k string, v int")), str(tmp_path / "t"), "k")] == [2, 1]
     assert [r.batch for r in sinks.batches(spark.range(5).withColumnRenamed("id", "qid"), 2).orderBy("qid").collect()] == [0, 0, 1, 1, 2]
     sinks.write_index({"n": rows.withColumn("domain", F.lit("d"))}, str(tmp_path / "i"), "f1")
     assert sinks.read_index(spark, str(tmp_path / "i"), "f2") is None and sinks.read_index(spark, str(tmp_path / "i"), "f1")["n"].count() == 2
