@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,18 @@ def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("_part", *group)]
     met = ranked.alias("r").join(counts.alias("c"), same)
     return met.select("r.*", (F.col("c._before") + F.col("r._row") - 1).alias("_k"), F.col("c._n").alias("_n")).drop("_part", "_row")
+
+
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """The table, written once, with a column for each name of `sums`: the sum of that column (a whole number) over the rows before a
+    row in its group by `order`, which must be total. Dealt as by numbered()."""
+    ranged = cut(df.repartitionByRange(*group, *order).select("*", F.spark_partition_id().alias("_part"), *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"_of_{n}") for n, c in sums.items()]))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    here, over = before(Window.partitionBy("_part", *group).orderBy(*order)), before(Window.partitionBy(*group).orderBy("_part"))
+    # a row for each range that a group has rows in
+    totals = ranged.groupBy("_part", *group).agg(*[F.sum(f"_of_{n}").alias(f"_of_{n}") for n in sums])
+    totals = totals.select("_part", *group, *[F.coalesce(F.sum(f"_of_{n}").over(over), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    summed = ranged.select("*", *[F.coalesce(F.sum(f"_of_{n}").over(here), F.lit(0)).alias(f"_here_{n}") for n in sums])
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("_part", *group)]
+    met = summed.alias("r").join(totals.alias("c"), same)
+    return met.select(*[f"r.{c}" for c in df.columns], *[(F.col(f"c._before_{n}") + F.col(f"r._here_{n}")).alias(n) for n in sums])

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import answering, chunking, entities, evalset, evidence, graph, judge, metrics, postings, search, tools, vector
-from ..sources import ingest, sinks
+from ..operators import answering, chunking, entities, evalset, evidence, graph, judge, long_texts, metrics, postings, search, tools, vector
+from ..operators.steps import new_path
+from ..sources import ingest, keyed, sinks
 from ..streaming import ingest as stream
 from . import cases, cjk, indexed  # noqa: F401  (they register their queries)
 from .ranking import _BM25, _TF, _TOKENS
@@ -224,13 +225,44 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query()
+def _packed(most: int, least: int, kind: str) -> str:
+    """SQL for lines of documents as paragraphs, packed to chunks of under `most` characters, short ones dropped."""
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(a))) AS no, unnest(a) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+s AS (SELECT doc_id, no, regexp_replace(p, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g') AS p FROM l),
+t AS (SELECT doc_id, row_number() OVER w - 1 AS i, length(p) AS n, CAST(sum(length(p) + 1) OVER w AS BIGINT) AS e FROM s WHERE p <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+u AS MATERIALIZED (SELECT *, e - n - 1 AS b, max(e) OVER (PARTITION BY doc_id) AS total, e - n - 1 + {most} + 2 AS full_at FROM t),
+x AS MATERIALIZED (SELECT u.doc_id, u.i, u.b, u.total, CASE WHEN v.i IS NOT NULL THEN greatest(u.i + 1, v.i) END AS following FROM u ASOF LEFT JOIN u AS v ON u.doc_id = v.doc_id AND u.full_at <= v.e),
+r AS (SELECT doc_id, i, b, total, following FROM x WHERE i = 0 UNION ALL SELECT x.doc_id, x.i, x.b, x.total, x.following FROM r JOIN x ON x.doc_id = r.doc_id AND x.i = r.following),
+c AS (SELECT doc_id, i, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY i), total) - b - 1 AS n_chars FROM r)
+SELECT doc_id, CAST(row_number() OVER w - 1 AS {kind}) AS chunk_no, CAST(sum(n_chars + 1) OVER w - n_chars - 1 AS {kind}) AS start, CAST(n_chars AS INT) AS n_chars FROM c WHERE n_chars >= {least} WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+
+
+@query(_packed(600, 50, "INT"))
 def paragraph_pack(spark, sf_dir):
     """Lines as paragraphs, packed to chunks of under 600 characters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.pack_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 600, 50)).alias("chunk_no", "c"))
     return docs.select("doc_id", "chunk_no", "c.start", F.char_length("c.text").alias("n_chars"))
 
 
+@query(_packed(600, 50, "BIGINT"))
+def paragraph_rows_pack(spark, sf_dir):
+    """The same from a row for each line, as texts are read that no task should hold whole: one document is cut by many tasks."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "text"))
+    return long_texts.pack(lines, 600, 50).select("doc_id", "chunk_no", "start", F.char_length("text").alias("n_chars"))
+
+
+@query("""WITH a AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey, 1 AS batch FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey, 2 AS batch FROM orders GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM a)""")
+def append_new_keys(spark, sf_dir):
+    """Customers come in two batches, first those with an order whose key three divides, then all; the second adds those that are
+    not there yet, which the sidecars of the first one's files tell."""
+    o, path = table(spark, sf_dir, "orders"), new_path(spark)
+    first, every = F.min("o_orderkey").alias("o_orderkey"), F.max("o_orderkey").alias("o_orderkey")
+    keyed.append_new(o.where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(first).withColumn("batch", F.lit(1)), path, "o_custkey")
+    keyed.append_new(o.groupBy("o_custkey").agg(every).withColumn("batch", F.lit(2)), path, "o_custkey")
+    return spark.read.parquet(path)
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')), lambda x: length(x) >= 100)) AS line, generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')), lambda x: length(x) >= 100), 1) - 1 AS line_no FROM documents)
 SELECT doc_id, line_no, line FROM l""")
 def line_chunks(spark, sf_dir):
