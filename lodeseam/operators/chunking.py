@@ -15,7 +15,11 @@ CLAUSE_START = r"(?m)^(?=\s*(?:第[一二三四五六七八九十百千零0-9]+[
 def pack_paragraphs(text: Column, most: int = 1500, least: int = 100, overlap: int = 200) -> Column:
     """Paragraphs (cut at blank lines) packed greedily while the length stays below `most`; buffers under `least` are
     dropped. Array of (text, start): starts count the kept texts joined by line ends. `overlap` has no effect."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n{2,}"), strip_space), lambda p: p != "")
+    return pack_list(F.filter(F.transform(F.split(text, r"\n{2,}"), strip_space), lambda p: p != ""), most, least)
+
+
+def pack_list(paragraphs: Column, most: int, least: int) -> Column:
+    """pack_paragraphs() of an array of paragraphs without white space at their ends, none of them empty."""
     kind = "array<struct<text: string, start: int>>"
     zero = F.struct(F.lit("").alias("buf"), F.array().cast(kind).alias("out"), F.lit(0).alias("at"))
 

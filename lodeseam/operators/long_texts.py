@@ -4,7 +4,7 @@ Which paragraph ends a chunk depends on where the chunk began, so a document see
 But a chunk that begins at character b ends before the first paragraph that ends at b + most + 2 or later, which is a search in
 running sums. Stretches of a document therefore say, for every chunk that may reach into them, which one leaves them: chunks that
 reach in began at most `most` characters before, so few beginnings count. Going through these short lists, a row for each stretch,
-gives the chunk that enters each; then all stretches are packed at once.
+gives the chunk that enters each; then all stretches are packed at once. Documents of at most one stretch are packed in a row each.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_space
-from .steps import running
+from .chunking import pack_list
+from .steps import cut, running
 
 #: Characters of a stretch; its last paragraph may reach over it.
 STRETCH = 1 << 20
@@ -49,6 +50,17 @@ def pack(rows: DataFrame, most: int = 1500, least: int = 100, stretch: int = STR
     paragraphs = rows.select("doc_id", "no", strip_space(F.col("text")).alias("text")).where("text != ''")
     placed = running(paragraphs, ["doc_id"], ["no"], {"begins": F.char_length("text") + 1})
     placed = placed.withColumn("ends", F.col("begins") + F.char_length("text") + 1).withColumn("stretch", F.floor(F.col("begins") / stretch))
+    placed = cut(placed)
+    sizes = placed.groupBy("doc_id").agg((F.max("ends") <= stretch).alias("short")).alias("s")
+
+    def those(short: bool) -> DataFrame:
+        of = sizes.where(F.col("short") == short)
+        return placed.alias("p").join(of, F.col("p.doc_id").eqNullSafe(F.col("s.doc_id"))).select("p.*")
+
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("begins", "text"))), lambda x: x["text"])
+    in_row = those(True).groupBy("doc_id").agg(listed.alias("all")).select("doc_id", F.posexplode(pack_list(F.col("all"), most, least)).alias("chunk_no", "c"))
+    in_row = in_row.select("doc_id", F.col("chunk_no").cast("long"), F.col("c.start").cast("long").alias("start"), "c.text")
+    cut_up = cut(those(False))
 
     def summary(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("begins")
@@ -75,13 +87,12 @@ def pack(rows: DataFrame, most: int = 1500, least: int = 100, stretch: int = STR
             k = after[k]
         return pd.DataFrame({"doc_id": p["doc_id"], "chunk": owner, "begins": begins, "text": p["text"]})
 
-    passed = placed.select("doc_id", "stretch", "begins", "ends").groupBy("doc_id", "stretch").applyInPandas(summary, f"doc_id {kind}, stretch long, ends array<long>, leaving array<long>")
+    passed = cut_up.select("doc_id", "stretch", "begins", "ends").groupBy("doc_id", "stretch").applyInPandas(summary, f"doc_id {kind}, stretch long, ends array<long>, leaving array<long>")
     entering = passed.groupBy("doc_id").applyInPandas(entered, f"doc_id {kind}, stretch long, entering long")
     same = F.col("p.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("p.stretch") == F.col("e.stretch"))
-    met = placed.alias("p").join(entering.alias("e"), same).select("p.doc_id", "p.stretch", "p.begins", "p.ends", "p.text", "e.entering")
+    met = cut_up.alias("p").join(entering.alias("e"), same).select("p.doc_id", "p.stretch", "p.begins", "p.ends", "p.text", "e.entering")
     owned = met.groupBy("doc_id", "stretch").applyInPandas(dealt, f"doc_id {kind}, chunk long, begins long, text string")
     # the paragraphs of a chunk have under `most` characters, or it has one
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begins", "text"))), lambda x: x["text"]), "\n")
-    chunks = owned.groupBy("doc_id", "chunk").agg(joined.alias("text")).where(F.char_length("text") >= least)
+    chunks = owned.groupBy("doc_id", "chunk").agg(F.array_join(listed, "\n").alias("text")).where(F.char_length("text") >= least)
     counted = running(chunks, ["doc_id"], ["chunk"], {"chunk_no": F.lit(1), "start": F.char_length("text") + 1})
-    return counted.select("doc_id", "chunk_no", "start", "text")
+    return in_row.unionByName(counted.select("doc_id", "chunk_no", "start", "text"))

@@ -246,9 +246,10 @@ def paragraph_pack(spark, sf_dir):
 
 @query(_packed(600, 50, "BIGINT"))
 def paragraph_rows_pack(spark, sf_dir):
-    """The same from a row for each line, as texts are read that no task should hold whole: one document is cut by many tasks."""
+    """The same from a row for each line, as texts are read that no task should hold whole: documents of over 16,384
+    characters are cut by several tasks."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "text"))
-    return long_texts.pack(lines, 600, 50).select("doc_id", "chunk_no", "start", F.char_length("text").alias("n_chars"))
+    return long_texts.pack(lines, 600, 50, stretch=1 << 14).select("doc_id", "chunk_no", "start", F.char_length("text").alias("n_chars"))
 
 
 @query("""WITH a AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey, 1 AS batch FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey, 2 AS batch FROM orders GROUP BY 1)
