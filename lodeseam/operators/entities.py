@@ -86,10 +86,22 @@ def _words(automaton: ahocorasick.Automaton, text: str) -> Iterator[tuple[str, s
                 yield kind, word, start, free
 
 
-def mentions(chunks: DataFrame, metrics: tuple[str, ...] = ENTITY_METRICS) -> DataFrame:
+def _outer(found: list[tuple]) -> list[tuple]:
+    """The (type, name, value, start, end) mentions that lie in no longer one of another type, in order."""
+    inside, far = set(), {}  # far: the furthest end of each type, of mentions that begin before or are longer
+    for span, same in itertools.groupby(sorted(range(len(found)), key=lambda i: (found[i][3], -found[i][4])), key=lambda i: found[i][3:]):
+        same = list(same)
+        inside.update(i for i in same if any(end >= span[1] for kind, end in far.items() if kind != found[i][0]))
+        for i in same:
+            far[found[i][0]] = max(span[1], far.get(found[i][0], 0))
+    return [m for i, m in enumerate(found) if i not in inside]
+
+
+def mentions(chunks: DataFrame, metrics: tuple[str, ...] = ENTITY_METRICS, nested: bool = True) -> DataFrame:
     """Entity mentions of chunks (chunk_id, text), see MENTIONS: eight types; a company also by its short name; one row for each
-    type, name and start. Places need Python: Spark's regular expressions give none. All fixed words are found in one pass by an
-    automaton; only open classes have patterns."""
+    type, name and start. Without `nested`, those that lie in a longer mention of another type are left out, as a year in the title of
+    a regulation. Places need Python: Spark's regular expressions give none. All fixed words are found in one pass by an automaton;
+    only open classes have patterns."""
     rules = [(kind, re.compile(p)) for kind, ps in PATTERNS.items() for p in ps]
 
     def of(text: str, automaton: ahocorasick.Automaton | None) -> Iterator[tuple]:
@@ -105,10 +117,12 @@ def mentions(chunks: DataFrame, metrics: tuple[str, ...] = ENTITY_METRICS) -> Da
                     seen.add((kind, name, start))
                     yield kind, name, value.replace(",", "") if kind == "amount" else value, start, end
 
+    chosen = iter if nested else lambda found: _outer(list(found))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _fixed(metrics)
         for batch in batches:
-            rows = [(c, *m) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for m in of(t, automaton)]
+            rows = [(c, *m) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for m in chosen(of(t, automaton))]
             columns = zip(*rows, strict=True) if rows else [()] * 6
             kinds = [pa.string()] * 4 + [pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MENTIONS.split(", ")])

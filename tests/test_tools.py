@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lodeseam.operators import evalset, graph, postings, tools, vector
+from lodeseam.operators import entities, evalset, graph, postings, tools, vector
 from lodeseam.sources import ingest, keyed, sinks
 from lodeseam.streaming import ingest as stream
 
@@ -126,3 +126,11 @@ def test_streams(spark, tmp_path):
         s = stream.chunk_stream(spark, str(tmp_path / "in"), "chunk_id string, text string")
         stream.upsert_stream(s, str(tmp_path / "out"), "chunk_id", str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_mentions_within_longer_ones(spark):
+    rows = spark.createDataFrame([("a", "华星科技；《甲乙2024》；2024年；第3条；国寿福"), ("b", "")], "chunk_id string, text string")
+    every = {(r.type, r.name, r.start) for r in entities.mentions(rows).collect()}
+    outer = {(r.type, r.name, r.start) for r in entities.mentions(rows, nested=False).collect()}
+    assert every - outer == {("product", "甲乙2024", 6)}
+    assert {("regulation", "《甲乙2024》", 5), ("period", "期间_2024", 14), ("product", "国寿福", 24)} <= outer
