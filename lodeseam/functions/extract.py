@@ -155,8 +155,9 @@ def citations(text: Column) -> Column:
 
 
 def option_anchors(option: Column) -> Column:
-    """Strong anchors of an option: numbers with a unit, years, decimals with or without %, clauses, a.b.c numbers and titles."""
-    patterns = (rf"{NUMBER}\s*(?:亿元|万元|百万元|元|亿|万|年|个月|日|天|倍|%)", r"[0-9]{4}", r"[0-9]+\.[0-9]+%?", CLAUSE, r"[0-9]+\.[0-9]+\.[0-9]+", r"《[^》]+》")
+    """Strong anchors of an option: numbers with a unit, years and other whole numbers of four or more digits, decimals with or without
+    %, clauses, a.b.c numbers and titles. A piece of a longer number is no anchor, as it would stand in many other numbers."""
+    patterns = (rf"{NUMBER}\s*(?:亿元|万元|百万元|元|亿|万|年|个月|日|天|倍|%)", r"[0-9]{4,}", r"[0-9]+\.[0-9]+%?", CLAUSE, r"[0-9]+\.[0-9]+\.[0-9]+", r"《[^》]+》")
     return F.array_distinct(bare(F.concat(*(found(option, p) for p in patterns))))
 
 

@@ -81,7 +81,8 @@ LISTS = (
     ("scan_keywords", lambda t: extract.scan_keywords(t, F.lit("乙{n}方")), "第{m}条 《办法》 收入", "第{m}条;《办法》;办法;收入"),
     ("key_facts", entities.key_facts, "评级AAA，规模{n}亿元", "{n}亿元;AAA"),
     ("plain_number", lambda t: F.array(text.plain_number(t)), " 1,{n}，5 ", "1{n}5"),
-    ("number_excerpt", lambda t: F.array(text.excerpt_number(t, F.lit("12345"), 8)), "甲乙丙丁戊12,345{n}己庚", "...乙丙丁戊12,345{n}..."),
+    # asked for is all but the last four digits, however many the supplier's number has
+    ("number_excerpt", lambda t: F.array(text.excerpt_number(t, F.regexp_extract(t, "(12,345[0-9]*)[0-9]{4}己", 1), 8)), "甲乙丙丁戊12,345{n}己庚", "...乙丙丁戊12,345{n}..."),
     ("document_of_chunk", lambda t: F.array(text.document_of(t)), "text{m}_c1_c{n}", "text{m}_c1"),
     ("answer_of_object", lambda t: F.array(text.answer_text(t)), '{{"answer": "A{m}"}}', "A{m}"),
     ("html", lambda t: F.array(text.html_to_text(t)), "<table><tr><td>a</td><td>{n}</td></tr></table>", "| a | {n}"),
@@ -95,7 +96,7 @@ LISTS = (
     ("trap", lambda t: F.array(judge.trap_hint(t, ("请拒答",)).cast("string")), "{n}若未提及请拒答", "true"),
     ("audit_fields", lambda t: F.array(judge.audit_fields(t)["answer"], judge.audit_fields(t)["reasoning"]), '好 {{"answer": "B", "reasoning": "{n}"}} 完', "B;{n}"),
     ("contexts", lambda t: tools.contexts(t, F.lit("甲"), 6, 2), "零一二三甲四五六七甲八", "二三甲四五六;六七甲八"),
-    ("places", lambda t: tools.occurrences(t, F.lit("甲")).cast("array<string>"), "甲{n}甲乙甲", "0;5;7"),
+    ("places", lambda t: tools.occurrences(t, F.lit("甲")).cast("array<string>"), "甲{m}丙丁甲乙甲", "0;5;7"),
     ("targets", lambda t: F.transform(entities.target_documents(t, F.split(F.lit("x,y"), ",")), lambda d: F.concat_ws(":", d["doc_id"], d["label"])), "第二份文档为{n}", "y:doc2"),
     ("unsupported", lambda t: judge.unsupported_numbers(t, F.array(F.lit("共77家"))), "共77家、{n}家", "{n}"),
     ("citation_check", lambda t: F.transform(F.array(judge.citation_check(t, F.lit(5))["valid"], judge.citation_check(t, F.lit(5))["invalid"]), lambda x: F.concat_ws(",", x.cast("array<string>"))), "[证据1][证据{m}]", "1;{m}"),

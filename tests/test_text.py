@@ -71,3 +71,17 @@ def test_null_text_gives_null_or_empty(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(extract.number_keys(F.col("t"))).first()[0] in (None, [])
     assert df.select(text.html_to_text(F.col("t"))).first()[0] is None
+
+
+def test_cases_of_suppliers_with_long_numbers(spark, tmp_path):
+    import duckdb
+
+    from lodeseam.plans import queries
+
+    table = spark.createDataFrame([(k,) for k in (0, 6999, 7000, 59999, 997000)], "s_suppkey long")
+    table.write.parquet(f"{tmp_path}/supplier.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    for name in ("text_functions", "option_checks"):
+        got = {(r.s_suppkey, r.name, r.result) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == set(db.execute(queries.ORACLE[name]).fetchall())
