@@ -139,11 +139,11 @@ def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = Tru
     rows = asked.select("qid", "domain", "_docs", "words", "clause", F.explode(F.concat(F.transform("q", lambda x: F.struct(x.alias("number"), F.lit(True).alias("of_question"))), F.transform(F.array_except("o", "q"), lambda x: F.struct(x.alias("number"), F.lit(False).alias("of_question"))))).alias("x")).select("qid", "domain", "_docs", "words", "clause", "x.number", "x.of_question")
     rows = rows.withColumn("key", F.explode(extract.converted(F.col("number"))) if by_domain else F.col("number"))
     if numbers is None:  # the text goes along with the few numbers of a chunk
-        told = keyed(chunks).select(*postings.KEYED, "text", "has_table", F.explode_outer(extract.number_keys(F.col("text"))).alias("key")).where("key is not null")
+        told = keyed(chunks).select(*postings.KEYED, F.lower("text").alias("_low"), "has_table", F.explode_outer(extract.number_keys(F.col("text"))).alias("key")).where("key is not null")
     else:
-        told = numbers.join(chunks.select(*postings.KEYED, "text", "has_table"), list(postings.KEYED))
-    hits = meet(told, rows, ("domain", "key"), "doc_ids" in questions.columns).dropDuplicates(["qid", *postings.KEYED, "number", "of_question"])
-    met = F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w)))
+        told = numbers.join(chunks.select(*postings.KEYED, F.lower("text").alias("_low"), "has_table"), list(postings.KEYED))
+    hits = meet(told, rows, ("domain", "key"), "doc_ids" in questions.columns)
+    met = F.size(F.filter("words", lambda w: F.contains("_low", w)))
     if by_domain:
         weight = _of_domain("numeric")
         large = F.col("number").rlike("^[0-9]{4,}") | F.contains("number", F.lit("亿")) | F.contains("number", F.lit("万元")) | F.contains("number", F.lit("百万"))
@@ -151,7 +151,9 @@ def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = Tru
         points = F.when(F.col("of_question"), F.when(F.col("clause") | (met >= 1), weight).otherwise(0.0)).otherwise(option)
     else:
         points = F.when(F.col("of_question") & (met >= 1), 2.5).when(~F.col("of_question") & (met >= 2), 1.0).otherwise(0.0)
-    return hits.groupBy("qid", *postings.KEYED).agg(F.sum(points).alias("numeric"))
+    # a number counts once, however many of its forms the chunk has; its points are then at hand, and no text goes along
+    once = hits.select("qid", *postings.KEYED, "number", "of_question", points.alias("_points")).groupBy("qid", *postings.KEYED, "number", "of_question").agg(F.max("_points").alias("_points"))
+    return once.groupBy("qid", *postings.KEYED).agg(F.sum("_points").alias("numeric"))
 
 
 def phrase_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, phrases: DataFrame | None = None, clause_words: dict[str, tuple[str, ...]] | None = None, strong=STRONG_PHRASES) -> DataFrame:
@@ -171,10 +173,12 @@ def phrase_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True
         hits = meet(keys, rows, ("domain", "key"), "doc_ids" in questions.columns)
         return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.least(0.15 * F.char_length("key") + 0.05, F.lit(2.0))).alias("phrase"))
     each = F.array_distinct(F.concat(extract.phrases(F.col("question"), 3, 20), F.flatten(F.transform(_options(questions), lambda o: extract.phrases(o, 3, 20)))))
-    rows = questions.select("qid", "domain", scope, F.explode(each).alias("key"), F.lit(True).alias("whole"))
     query = F.concat_ws(" ", "question", F.array_join(_options(questions), " "))
-    contained = questions.select("qid", "domain", scope, F.explode(F.filter(F.array(*map(F.lit, strong)), lambda p: F.contains(query, p))).alias("key"), F.lit(False).alias("whole"))
-    hits = meet(keys, rows.unionByName(contained), ("domain", "key"), "doc_ids" in questions.columns)
+    contained = F.filter(F.array(*map(F.lit, strong)), lambda p: F.contains(query, p))
+    # one list instead of a union of questions, which the optimiser would join branch by branch and so lose where hits lie
+    told = lambda keys, whole: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(whole).alias("whole")))
+    rows = questions.select("qid", "domain", scope, F.explode(F.concat(told(F.coalesce(each, F.array().cast("array<string>")), True), told(contained, False))).alias("x")).select("qid", "domain", "_docs", "x.key", "x.whole")
+    hits = meet(keys, rows, ("domain", "key"), "doc_ids" in questions.columns)
     clause = F.lit(False)
     for domain, words in (clause_words or {}).items():
         clause = clause | ((F.col("domain") == domain) & F.col("key").isin(*words))

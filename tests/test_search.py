@@ -1,3 +1,5 @@
+import re
+
 import math
 
 from pyspark.sql import functions as F
@@ -96,3 +98,12 @@ def test_symbol_weights(spark):
     got = {(r.family, r.symbol): round(r.weight, 4) for r in postings.symbols(chunks).collect()}
     assert got[("metric", "营业收入")] == 1.95 and got[("clause", "第三条")] == 1.56 and got[("table", "a")] == 1.5
     assert postings.stats(postings.symbols(chunks)).where(F.col("family") == "table").first().total_entries == 1
+
+
+def test_boosts_are_summed_where_chunks_lie(spark):
+    from lodeseam.plans import queries
+
+    plan = queries.QUERIES["cjk_domain_boosts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plain = re.sub(r"#[0-9]+L?", "", plan)
+    # chunks are dealt once for each of the three boosts, and neither hits nor texts are shuffled
+    assert "hashpartitioning(doc_id, chunk_id" in plain and "hashpartitioning(qid" not in plain
