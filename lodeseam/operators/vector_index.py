@@ -23,8 +23,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from .sizes import MOST, size_of, small
 from .steps import cut
 
-#: Rows that centroids are fitted on at most, rounds of fitting, vectors of a part of a cell, cells at most.
-FIT, ROUNDS, PART, CELLS = 20_000, 6, 20_000, 4096
+#: Rows that centroids are fitted on at most, rounds of fitting, vectors of a part of a cell, cells at most; products of a step of by_blocks().
+FIT, ROUNDS, PART, CELLS, PRODUCTS = 20_000, 6, 20_000, 4096, 1 << 22
 
 
 class Index(NamedTuple):
@@ -196,9 +196,22 @@ def probes_for(index: Index, queries: DataFrame, k: int = 10, target: float = 0.
     return max(high, 1)
 
 
+def _first_k(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of each row; of equal ones the first come."""
+    if near.shape[1] <= k:
+        return np.argsort(-near, axis=1, kind="stable")
+    # all that are as large as the k-th: as a rule k of them, so that few are sorted
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]
+    row, at = np.nonzero(near >= least)
+    order = np.lexsort((at, -near[row, at], row))
+    row, at = row[order], at[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    return at[nth < k].reshape(len(near), k)
+
+
 def by_blocks(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
     """The k nearest of all vectors without an index: the stated queries go to all tasks in blocks of a checked size, each task
-    multiplies its batches with a block and keeps k rows a query."""
+    multiplies its batches with a block, PRODUCTS at a time, and keeps k rows a query."""
     q = cut(_units(queries, "qid"))
     blocks, out = max(1, -(-size_of(q) // MOST)), None
     kinds = f"{_kinds(queries, ['qid'])}, {_kinds(vectors, ['vec_id'])}, similarity double"
@@ -214,11 +227,13 @@ def by_blocks(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int |
                 if not len(x):
                     continue
                 by_id = pc.sort_indices(batch.column(0))
-                near = asked @ x[by_id.to_numpy()].T
-                order = np.argsort(-(near if digits is None else np.round(near, digits)), axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(asked)), order.shape[1])
-                found = by_id.take(pa.array(order.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), batch.column(0).take(found), pa.array(near[rows, order.ravel()])], names=["qid", "vec_id", "similarity"])
+                by_order, step = x[by_id.to_numpy()].T, max(1, PRODUCTS // len(x))
+                for at in range(0, len(asked), step):
+                    near = asked[at : at + step] @ by_order
+                    order = _first_k(near if digits is None else np.round(near, digits), k)
+                    rows = np.repeat(np.arange(len(near)), order.shape[1])
+                    found = by_id.take(pa.array(order.ravel()))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows + at)), batch.column(0).take(found), pa.array(near[rows, order.ravel()])], names=["qid", "vec_id", "similarity"])
 
         part = _units(vectors, "vec_id").mapInArrow(run, kinds)
         out = part if out is None else out.unionByName(part)

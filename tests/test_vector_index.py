@@ -88,3 +88,27 @@ def test_no_loop_over_pairs(vectors, queries):
     for df in (vector_index.exact(index, queries), vector_index.search(index, queries), vector.top_k(queries, vectors)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_products_of_a_block_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    near = np.round(rng.normal(size=(50, 300)), 1)  # many ties
+    for k in (1, 7, 299, 300, 400):
+        assert (vector_index._first_k(near, k) == np.argsort(-near, axis=1, kind="stable")[:, :k]).all()
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    q = v.withColumnRenamed("vec_id", "qid")
+    monkeypatch.setattr(vector_index, "PRODUCTS", 1 << 22)
+    whole = sorted(map(tuple, vector_index.by_blocks(q, v, 5, digits=3).collect()))
+    captured = []
+    real = type(v).mapInArrow
+    monkeypatch.setattr(type(v), "mapInArrow", lambda self, f, *a, **kw: captured.append(f) or real(self, f, *a, **kw))
+    vector_index.by_blocks(q, v, 5, digits=3)
+    monkeypatch.setattr(vector_index, "PRODUCTS", 400 * 7)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([(np.array(e) / np.linalg.norm(e)).tolist() for _, e in rows])], names=["vec_id", "unit"])
+    parts = list(captured[0]([batch]))
+    assert len(parts) == -(-400 // 7) and max(p.num_rows for p in parts) <= 7 * 5
+    got = [r for p in parts for r in zip(*(c.to_pylist() for c in p.columns), strict=True)]
+    assert {(a, b) for a, b, _ in got} == {(a, b) for a, b, _, _ in whole}
