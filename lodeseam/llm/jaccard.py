@@ -280,6 +280,7 @@ def roots(sets: Sets) -> DataFrame:
     star = held.where("cid != lead").select("cid", "lead", F.struct("n", "place").alias("x"), F.struct(F.col("lead_n").alias("n"), F.col("lead_place").alias("place")).alias("y"))
     links = sets.linked(star.where(sets.possible("x", "y")).select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
     grouped = save(join_hot(keys, stats.select("code", "m"), ["code"], "m", "inner"), "grouped")
+    drop(keys, stats, sets.sets)
     now, shift = save(components(links), "components"), 0
     while True:
         named = grouped.join(now, grouped["cid"] == now["node"], "left").select("code", "cid", "n", "place", F.coalesce("root", "cid").alias("root"))
@@ -297,9 +298,13 @@ def roots(sets: Sets) -> DataFrame:
         there = rest.select("code", "block", F.struct("cid", "n", "place", "root").alias("y"))
         met = here.join(there, ["code", "block"]).where((F.col("x.root") != F.col("y.root")) & sets.possible("x", "y") & ((F.col("s") > 0) | (F.col("x.cid") < F.col("y.cid"))))
         more = sets.linked(met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct())
-        drop(rest, open_)
+        # components only grow and blocks are met only once, so no group that is done now is taken up again
+        left = save(rest.where(F.col("blocks") >= 2 * further).select("code", "cid", "n", "place"), "grouped")
+        drop(rest, open_, grouped)
+        grouped = left
         if not more.isEmpty():
-            links = save(links.unionByName(more), "links")
+            old, links = links, save(links.unionByName(more), "links")
+            drop(old, more, now)
             now = save(components(links), "components")
         shift = further
         if 2 * shift > most:
@@ -326,10 +331,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
     dealt = two.mapInArrow(deal, "part int, kind int, doc_id long, n long, a long, b long, owner long, data binary, owners binary")
     found = save(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _counted(batches, bits), "doc_id long, n long, a long, b long, owner long, data binary, owners binary"), "counted")
-    rows = found.where("data IS NULL").select("doc_id", "n", "a", "b", "owner")
+    rows = save(found.where("data IS NULL").select("doc_id", "n", "a", "b", "owner"), "rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
     classes = save(rows.groupBy("a", "b").agg(least, F.max("n").alias("n"), F.min("owner").alias("owner"), F.count(F.lit(1)).alias("rows")), "classes")
-    linked = roots(Sets(found, classes.where("n > 0"), percent)).select(F.col("node").alias("owner"), "root")
+    sets = Sets(found, classes.where("n > 0"), percent)
+    drop(found)  # its n-grams now lie in the sets
+    linked = roots(sets).select(F.col("node").alias("owner"), "root")
     members = classes.join(linked, "owner", "left")
     named = save(members.where("root is not null").groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("m")), "named")
     told = join_hot(members, named, ["root"], "m").select("a", "b", "rows", F.coalesce("first", "least")["doc_id"].alias("first"))

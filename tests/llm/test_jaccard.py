@@ -137,3 +137,14 @@ def test_op13(spark):
     want = plain(rows)
     same(queries.op13_ngram_jaccard_join(spark, SF), want, "doc_id", "n_shingles", "component_id")
     assert len({w[2] for w in want}) < len(want)
+
+
+def test_tables_of_done_steps_are_removed(spark):
+    from lodeseam.llm import common, jaccard
+
+    before = common.made()
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j" + (" k" if i == 2 else "")) for i in range(4)] + [(9, "z")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+    left = {path.rsplit("/", 1)[1].split("-")[0] for path in common.made() - before}
+    assert not left & {"counted", "sets", "prefixes", "groups"}
