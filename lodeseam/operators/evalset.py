@@ -15,7 +15,7 @@ from ..functions.text import let
 from ..functions.vocab import ENTITY_METRICS
 from . import substring
 from .sizes import scan
-from .steps import cut
+from .steps import cut, numbered
 
 UNIT = "亿元|万元|百万元|元|%|年|个月|日|天|倍|家|人"
 PAIRS = "chunk_id string, doc_id string, domain string, pos int, metric string, is_vocab boolean, num string, num_core string, unit string, sentence string, entity string"
@@ -124,7 +124,9 @@ def multi_hop(pairs: DataFrame, seed: int = 42) -> DataFrame:
     """Questions that compare two documents' values of one metric and unit: documents in shuffled order, taken by twos. Gold are
     the chunks that hold the two facts."""
     one = pairs.where("is_vocab").withColumn("_k", F.row_number().over(Window.partitionBy("domain", "metric", "unit", "doc_id").orderBy("chunk_id", "pos"))).where("_k = 1")
-    one = one.withColumn("_n", F.row_number().over(Window.partitionBy("domain", "metric", "unit").orderBy(shuffled(seed, "doc_id"), "doc_id")))
+    # all documents may have one metric, so none of these groups is left to one task
+    one = one.select("domain", "metric", "unit", "doc_id", "chunk_id", "num_core", shuffled(seed, "doc_id").alias("_h"))
+    one = cut(numbered(one, ["domain", "metric", "unit"], ["_h", "doc_id"]).withColumn("_n", F.col("_k") + 1).drop("_h", "_k"))
     a = one.where("_n % 2 = 1")
     b = one.select("domain", "metric", "unit", (F.col("_n") - 1).alias("_n"), F.col("doc_id").alias("doc_b"), F.col("chunk_id").alias("chunk_b"), F.col("num_core").alias("num_b"))
     df = a.join(b, ["domain", "metric", "unit", "_n"]).where(value(F.col("num_core")) != value(F.col("num_b")))
@@ -260,6 +262,7 @@ def anchor_snippet(anchor: Column, text: Column, around: int = 80) -> Column:
 def quality(items: DataFrame, texts: DataFrame, options: int = 4) -> DataFrame:
     """Adds reason: '' for items that pass, else options, anchor (not in its gold chunks) or leak (a trap's metric is in its document, a
     calculation's result in its chunk)."""
+    items = cut(items)
     ident = F.md5(F.to_json(F.struct(*items.columns)))
     joined = items.withColumn("_id", ident).select("*", F.explode_outer("gold_chunk_ids").alias("chunk_id")).join(texts.select("chunk_id", "text"), "chunk_id", "left")
     gold = F.element_at("options", F.instr(F.lit("ABCDEFGH"), F.col("gold_answer")).cast("int"))
@@ -275,7 +278,9 @@ def stratified(items: DataFrame, quotas: dict[str, int], stratum: str = "layer",
     """Up to each stratum's quota of items, in shuffled order; strata without a quota are left out."""
     quota = F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(stratum))
     w = Window.partitionBy(stratum).orderBy(shuffled(seed, key), key)
-    return items.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= quota).drop("_k")
+    # the largest quota is a number, by which each task passes on only the first rows of a stratum
+    most = max(quotas.values(), default=0)
+    return items.withColumn("_k", F.row_number().over(w)).where((F.col("_k") <= most) & (F.col("_k") <= quota)).drop("_k")
 
 
 def shares(total: int, parts: dict[str, float]) -> dict[str, int]:

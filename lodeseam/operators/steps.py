@@ -60,6 +60,12 @@ def dropped(spark: SparkSession) -> Iterator[None]:
         del _MADE[before:]
 
 
+def spread(df: DataFrame, *keys: str, times: int = 4) -> DataFrame:
+    """The table dealt by keys to `times` tasks a core. A file of few bytes is one task's, however much is done with each row, and tables
+    dealt without a number are put together again by their bytes."""
+    return df.repartition(times * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The table, written once, with _k, a row's number from 0 in its group by `order`, and _n, the rows of the group.
 
