@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text
 from ..operators import entities, evalset, judge, metrics, tools
+from ..operators.steps import spread
 from .registry import query, table
 
 TABLE_YEARS = "|指标|2024|2022|\n|---|---|---|\n|占比|50.00%|{m}.38%|"
@@ -116,7 +117,7 @@ def _said(template: str) -> str:
 
 
 def _cases(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+    return spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey")), "s_suppkey")
 
 
 @query(" UNION ALL ".join(f"SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, '{name}' AS name, CAST({want} AS DOUBLE) AS result FROM supplier" for name, _, _, _, want in CHECKS))
