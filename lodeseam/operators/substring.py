@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -23,8 +24,8 @@ from .steps import cut
 
 #: Grams that a phrase is looked for by; parts of the postings by gram, and of a part by chunk.
 RAREST, BUCKETS, SPREAD = 3, 64, 8
-#: Bits of a character in a gram.
-BITS = 21
+#: Bits of a character in a gram, and characters that a task works on at a time.
+BITS, STEP = 21, 1 << 20
 
 
 def characters(text: str) -> np.ndarray:
@@ -40,6 +41,14 @@ def grams(letters: np.ndarray) -> np.ndarray:
     return (wide[:-2] << 2 * BITS) | (wide[1:-1] << BITS) | wide[2:]
 
 
+def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about STEP characters of its column `at`: a batch has as many rows whatever their length."""
+    part = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy()) // STEP
+    heads = np.flatnonzero(np.diff(part, prepend=-1))
+    for first, end in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=False):
+        yield batch.slice(first, end - first)
+
+
 class Index(NamedTuple):
     postings: DataFrame  # gram, bucket, domain, doc_id, chunk_id, at array<int>
     grams: DataFrame  # gram, chunks
@@ -56,7 +65,7 @@ def build(chunks: DataFrame, path: str | None = None) -> Index:
     names = ["domain", "doc_id", "chunk_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 3)):
             rows, found, places, starts, n = [], [], [], [], 0
             for i, text in enumerate(batch.column(3).to_pylist()):
                 g = grams(characters(text or ""))
@@ -203,7 +212,7 @@ def _matcher(names: list[str], held: pa.Table, phrases: list[np.ndarray], live:
         return found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, text_at)):
             rows, which, at = [], [], []
             for i, text in enumerate(batch.column(text_at).to_pylist()):
                 for k, where in places(characters(text)).items() if text else ():
