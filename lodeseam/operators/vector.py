@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vector_index import by_blocks
@@ -18,15 +18,7 @@ def norm(a: Column) -> Column:
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: str | None = None, digits: int | None = None) -> DataFrame:
     """(qid, vec_id, similarity, vec_rank) of the k nearest of `vectors` (vec_id, embedding[, scope]) for each of `queries`
-    (qid, embedding[, scope]), equal scopes only if `scope` is named. All vectors are looked at for a stated query set, and each task
-    keeps k rows a query before the shuffle; without a scope the queries go to all tasks in blocks of a checked size. For a stored
-    index see vector_index."""
-    if scope is None:
-        return by_blocks(queries, vectors, k, digits)
-    q = queries.select("qid", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"), F.col(scope).alias("_scope"))
-    v = vectors.withColumn("_vn", norm(F.col("embedding")))
-    pairs = v.join(q, v[scope] == q["_scope"])
-    sim = dot(F.col("embedding"), F.col("_q")) / (F.col("_qn") * F.col("_vn"))
-    near = pairs.select("qid", "vec_id", (F.round(sim, digits) if digits else sim).alias("similarity"))
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "vec_id")
-    return near.withColumn("vec_rank", F.row_number().over(w)).where(F.col("vec_rank") <= k)
+    (qid, embedding[, scope]), equal scopes only if `scope` is named. All vectors are looked at for a stated query set, which goes to all
+    tasks in blocks of a checked size; each task keeps k rows a query. Rows without a direction, as null and zero vectors, have no cosine and
+    are left out. For a stored index see vector_index."""
+    return by_blocks(queries, vectors, k, digits, scope)
