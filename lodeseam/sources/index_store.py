@@ -1,10 +1,8 @@
 """A stored index of chunks that grows: segments, deletions and counts, merged when they are read.
 
 An appended table of chunks becomes a segment: its chunks, its key postings (numbers, phrases, entities), its term counts, and the
-term postings in blocks. A segment's chunks are numbered by length, BLOCK of them side by side are a block, and a posting row has the
-chunks of one block with one term, with the largest count and the smallest length among them: whatever is appended later, these bound
-what the term can add to a score there. So a ranked search sums the bounds of each block first, scores the most promising blocks, and
-then only those whose bound reaches the k-th score found; all other postings stay unread.
+term postings in blocks of chunks of like length, a row each, with what bounds the scores there (operators/blocks.py). A ranked search
+sums the bounds of each block first, scores the most promising blocks, and then only those whose bound reaches the k-th score found.
 
 Deleted documents are named with the segments they are deleted from, and their terms are counted off in a table of their own.
 Corpus statistics are sums over segments and deletions, so they are those of an index built anew from what is left. A version of
@@ -17,18 +15,15 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..functions.vocab import BASE_B, BASE_K1, STOPWORDS
-from ..operators import postings, search
+from ..operators import blocks, postings, search
 from ..operators.postings import KEYED
 from ..operators.sizes import small
-from ..operators.steps import cut, numbered
-
-#: Chunks of a block, parts of the postings by term, and the share of a question's blocks that are scored before the others.
-BLOCK, BUCKETS, FIRST = 8, 32, 0.08
+from ..operators.steps import cut, spread
 
 
 class IndexStore:
@@ -115,27 +110,19 @@ class IndexStore:
     def append(self, chunks: DataFrame) -> str:
         """Adds a segment of all rows; returns its name. Chunks without a term are kept and found by their keys only."""
         before, name = self.version(), uuid.uuid4().hex
-        words = chunks.select(*KEYED, "text", "has_table", extract.tokens(F.col("text"), self.stopwords, self.segment).alias("_w"))
-        rows = words.select(*KEYED, "text", "has_table", F.coalesce(F.size("_w"), F.lit(0)).cast("long").alias("n_terms"), postings.counted(F.col("_w")).alias("_t"))
-        rows = numbered(rows, [], ["n_terms", "doc_id", "chunk_id"]).withColumn("block", F.floor(F.col("_k") / BLOCK).cast("long"))
-        rows.select(*KEYED, "text", "has_table", "n_terms").write.parquet(f"{self.path}/chunks/{name}")
-        each = rows.where("n_terms > 0").select(*KEYED, "block", "n_terms", F.explode("_t").alias("t")).select(*KEYED, "block", "n_terms", "t.term", "t.tf")
-        item = F.struct("doc_id", "chunk_id", "tf", "n_terms")
-        blocks = each.groupBy("domain", "term", "block").agg(F.max("tf").alias("most"), F.min("n_terms").alias("least"), F.collect_list(item).alias("items"))
-        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        # one task writes a part of a bucket: terms of all chunks are dealt by block as well
-        dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("bucket", "term", "block")
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
-        held = self.spark.read.parquet(f"{self.path}/postings/{name}")
-        held.groupBy("domain", "term").agg(F.sum(F.size("items")).alias("df")).write.parquet(f"{self.path}/terms/{name}")
+        spread(chunks.select(*KEYED, "text", "has_table"), "doc_id", "chunk_id").write.parquet(f"{self.path}/chunks/{name}")
         kept = self.spark.read.parquet(f"{self.path}/chunks/{name}")
-        kept.where("n_terms > 0").groupBy("domain").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_terms").alias("n_terms")).write.parquet(f"{self.path}/totals/{name}")
-        families = {"numbers": postings.numeric, "phrases": postings.phrase, "entities": postings.entity}
-        found = None
-        for family, make in families.items():
-            part = make(kept).select(*KEYED, "key", F.lit(family).alias("family"))
-            found = part if found is None else found.unionByName(part)
-        found.write.partitionBy("family").parquet(f"{self.path}/keys/{name}")
+        blocks.made(kept, self.stopwords, self.segment).write.parquet(f"{self.path}/blocks/{name}")
+        held = self.spark.read.parquet(f"{self.path}/blocks/{name}")
+        held.select("domain", F.explode("terms").alias("t")).groupBy("domain", "t.term").agg(F.sum("t.df").alias("df")).write.parquet(f"{self.path}/terms/{name}")
+        each = held.select("domain", F.explode("chunks").alias("c")).groupBy("domain")
+        each.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("c.n_terms").alias("n_terms")).write.parquet(f"{self.path}/totals/{name}")
+        families = {"numbers": extract.number_keys(F.col("text")), "phrases": extract.phrase_keys(F.col("text")), "entities": extract.entities(F.col("text"), F.col("domain"))}
+        named = lambda keys, family: F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.lit(family).alias("family")))
+        told = [named(keys, family) for family, keys in families.items()]
+        # one pass over the texts; as in postings.postings(), explode_outer works out the keys once
+        found = kept.select(*KEYED, F.explode_outer(F.flatten(F.array(*[F.coalesce(t, F.array().cast("array<struct<key: string, family: string>>")) for t in told]))).alias("x"))
+        found.select(*KEYED, "x.key", "x.family").where("key != ''").write.partitionBy("family").parquet(f"{self.path}/keys/{name}")
         self._commit(before, [*before["segments"], name], before["deletions"])
         return name
 
@@ -163,14 +150,14 @@ class IndexStore:
     # reading
 
     def weights(self, questions: DataFrame, v: dict, synonyms: dict | None = None, by_domain: bool = False) -> DataFrame:
-        """(qid, domain, term, bucket, mean_terms, weight): terms of the questions with their times, times idf as search.idf() has it."""
+        """(qid, domain, term, mean_terms, weight): terms of the questions with their times, times idf as search.idf() has it."""
         asked = search.query_terms(questions, synonyms, self.stopwords, by_domain, self.segment)
         known = self._counts_of(asked, v)
         told = self.spark.createDataFrame([(d, *x) for d, x in v["domains"].items()], "domain string, n_chunks long, n_terms long, mean double")
         raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         idf = F.when(raw < 0, search.IDF_FLOOR * F.col("mean")).otherwise(raw)
         met = asked.join(known, ["domain", "term"]).join(F.broadcast(told), "domain")
-        return met.select("qid", "domain", "term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms"), (F.col("times") * idf).alias("weight"))
+        return met.select("qid", "domain", "term", (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms"), (F.col("times") * idf).alias("weight"))
 
     def _counts_of(self, asked: DataFrame, v: dict) -> DataFrame:
         """(domain, term, df) of the questions' terms alone."""
@@ -182,47 +169,31 @@ class IndexStore:
         """(qid, domain, doc_id, chunk_id, bm25, rank): the first k chunks of each question as search.bm25() and search.top_k() have them,
         scores rounded to `digits` before they are ranked. `read`, a list, is given a table (qid, blocks, blocks_read)."""
         v = self.version()
-        shape = "domain string, term string, block long, most long, least long, items array<struct<doc_id: string, chunk_id: string, tf: long, n_terms: long>>, bucket int, segment string"
-        table = self._union("postings", v["segments"], shape)
-        weights = cut(self.weights(questions, v, synonyms, by_domain))
-        sent = small(weights)
+        table = self._union("blocks", v["segments"], f"{blocks.SHAPE}, segment string")
+        if v["deletions"]:
+            dead = self._dead(table, v)
+            table = table.join(small(dead), ["segment", "block"], "left")
+        else:
+            table = table.withColumn("dead", F.lit(None).cast("array<int>"))
         k1, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (k1, b))
-        share = lambda tf, n: tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / F.col("mean_terms")))
-        at = ["qid", "segment", "block"]
-        bound = F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * share(F.col("most"), F.col("least"))).alias("bound")
-        bounds = table.select("domain", "term", "bucket", "segment", "block", "most", "least").join(sent, ["domain", "term", "bucket"]).groupBy(*at).agg(bound)
-        of = Window.partitionBy("qid")
-        ranked = cut(bounds.withColumn("nth", F.row_number().over(of.orderBy(F.desc("bound"), "segment", "block"))).withColumn("blocks", F.count(F.lit(1)).over(of)))
-        first = F.col("nth") <= F.greatest(F.lit(-(-4 * k // BLOCK)), F.ceil(F.col("blocks") * FIRST))
-        scope = "doc_ids" in questions.columns
-
-        def score(chosen: DataFrame) -> DataFrame:
-            met = table.select("domain", "term", "bucket", "segment", "block", "items").join(sent, ["domain", "term", "bucket"]).join(small(chosen.select(*at)), at)
-            rows = met.select("qid", "domain", "segment", "weight", "mean_terms", F.explode("items").alias("x")).select("qid", "domain", "segment", "weight", "mean_terms", "x.*")
-            out = rows.groupBy("qid", "segment", *KEYED).agg(F.sum(F.col("weight") * share(F.col("tf"), F.col("n_terms"))).alias("bm25"))
-            out = self._live(out, v)
-            if scope:
-                docs = questions.select("qid", search._documents(questions).alias("_docs"))
-                out = out.join(small(docs), "qid").where(F.col("_docs").isNull() | F.array_contains("_docs", F.col("doc_id"))).drop("_docs")
-            return out.select("qid", *KEYED, (F.round("bm25", digits) if digits is not None else F.col("bm25")).alias("bm25"))
-
-        order = Window.partitionBy("qid").orderBy(F.desc("bm25"), "doc_id", "chunk_id")
-        best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        begun = cut(best(score(ranked.where(first))))
-        last = begun.where(F.col("rank") == k).select("qid", F.col("bm25").alias("kth"))
-        slack = 1e-9 + (10.0**-digits if digits is not None else 0.0)
-        reach = F.col("kth").isNull() | (F.col("bound") * (1 + 1e-12) >= F.col("kth") - slack)
-        rest = cut(ranked.where(~first).join(last, "qid", "left").where(reach))
-        if read is not None:
-            n = ranked.where(first).select("qid").unionByName(rest.select("qid")).groupBy("qid").agg(F.count(F.lit(1)).alias("blocks_read"))
-            read.append(ranked.groupBy("qid").agg(F.max("blocks").alias("blocks")).join(n, "qid"))
-        return best(begun.drop("rank").unionByName(score(rest)))
+        weights = self.weights(questions, v, synonyms, by_domain).join(questions.select("qid", search._documents(questions).alias("docs")), "qid")
+        return blocks.top_k(table, weights.withColumns({"k1": k1.cast("double"), "b": b.cast("double")}), questions, k, digits, read)
+
+    def _dead(self, table: DataFrame, v: dict) -> DataFrame:
+        """(segment, block, dead): places in their blocks of chunks of documents that were deleted."""
+        rows, out = table.select("domain", "segment", "block", F.posexplode("chunks").alias("place", "c")).select("domain", "segment", "block", "place", "c.doc_id"), None
+        for name, of in v["deletions"]:
+            gone = small(self.spark.read.parquet(f"{self.path}/deleted/{name}").select("domain", "doc_id"))
+            part = rows.where(F.col("segment").isin(of)).join(gone, ["domain", "doc_id"], "left_semi")
+            out = part if out is None else out.unionByName(part)
+        return cut(out.groupBy("segment", "block").agg(F.collect_set("place").alias("dead")))
 
     def tables(self) -> dict[str, DataFrame]:
         """What search.score() takes instead of texts: term frequencies and their idf, numbers, phrases and entities."""
         v = self.version()
-        shape = "domain string, term string, block long, most long, least long, items array<struct<doc_id: string, chunk_id: string, tf: long, n_terms: long>>, bucket int, segment string"
-        rows = self._union("postings", v["segments"], shape).select("domain", "term", "segment", F.explode("items").alias("x")).select("domain", "term", "segment", "x.*")
+        rows = self._union("blocks", v["segments"], f"{blocks.SHAPE}, segment string").select("domain", "segment", "chunks", F.explode("terms").alias("t"))
+        rows = rows.select("domain", "segment", "t.term", F.explode(F.transform("t.items", lambda x: F.struct(F.get("chunks", x["place"]).alias("c"), x["tf"].cast("long").alias("tf")))).alias("x"))
+        rows = rows.select("domain", "segment", "term", "x.c.*", "x.tf")
         tf = self._live(rows, v).select(*KEYED, "n_terms", "term", "tf")
         told = self.spark.createDataFrame([(d, *x) for d, x in v["domains"].items()], "domain string, n_chunks long, n_terms long, mean double")
         raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
