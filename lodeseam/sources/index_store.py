@@ -131,9 +131,10 @@ class IndexStore:
         before, name = self.version(), uuid.uuid4().hex
         documents.select("domain", "doc_id").distinct().write.parquet(f"{self.path}/deleted/{name}")
         gone = self.chunks(before).join(small(self.spark.read.parquet(f"{self.path}/deleted/{name}")), ["domain", "doc_id"], "left_semi")
-        tf = cut(postings.term_frequency(gone, self.stopwords, self.segment))
-        tf.groupBy("domain", "term").agg((-F.count(F.lit(1))).alias("df")).write.parquet(f"{self.path}/terms/{name}")
-        tf.groupBy("domain").agg((-F.sum((F.col("nth") == 0).cast("long"))).alias("n_chunks"), (-F.sum("tf")).alias("n_terms")).write.parquet(f"{self.path}/totals/{name}")
+        tf = postings.term_frequency(gone, self.stopwords, self.segment)
+        by_term = cut(tf.groupBy("domain", "term").agg((-F.count(F.lit(1))).alias("df"), (-F.sum((F.col("nth") == 0).cast("long"))).alias("_heads"), (-F.sum("tf")).alias("_words")))
+        by_term.select("domain", "term", "df").write.parquet(f"{self.path}/terms/{name}")
+        by_term.groupBy("domain").agg(F.sum("_heads").alias("n_chunks"), F.sum("_words").alias("n_terms")).write.parquet(f"{self.path}/totals/{name}")
         self._commit(before, before["segments"], [*before["deletions"], [name, before["segments"]]])
         return name
 

@@ -72,3 +72,16 @@ def test_only_first_chunks_are_shuffled(spark, asked, tmp_path):
     store.append(table(spark, 400))
     found = store.top_k(asked, 4, synonyms={}, digits=6)
     assert _shuffles(found) == 1
+
+
+def test_a_deletion_counts_terms_without_writing_a_row_for_each_chunk(spark, tmp_path, monkeypatch):
+    from lodeseam.sources import index_store
+
+    written, cut = [], index_store.cut
+    store, chunks = IndexStore(spark, str(tmp_path / "index")), table(spark, 60)
+    store.append(chunks)
+    monkeypatch.setattr(index_store, "cut", lambda df: written.append(df.columns) or cut(df))
+    store.delete(chunks.where("doc_id = 'doc3'"))
+    assert written and all("chunk_id" not in c for c in written)
+    left = search.idf(postings.term_frequency(chunks.where("doc_id <> 'doc3'")))
+    assert sorted((r.domain, r.term, r.df) for r in store.tables()["terms"].collect()) == sorted((r.domain, r.term, r.df) for r in left.collect())
