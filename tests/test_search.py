@@ -107,3 +107,10 @@ def test_boosts_are_summed_where_chunks_lie(spark):
     plain = re.sub(r"#[0-9]+L?", "", plan)
     # chunks are dealt once for each of the three boosts, and neither hits nor texts are shuffled
     assert "hashpartitioning(doc_id, chunk_id" in plain and "hashpartitioning(qid" not in plain
+
+
+def test_words_of_a_question_are_counted_in_its_row(spark):
+    q = spark.createDataFrame([("1", "d", "alpha beta alpha", {"A": "beta 3.5", "B": "alpha"}), ("2", "d", "", {}), ("3", "d", None, None)], "qid string, domain string, question string, options map<string,string>")
+    terms = search.query_terms(q, {})
+    assert {(r.qid, r.term): r.times for r in terms.collect()} == {("1", "alpha"): 3, ("1", "beta"): 2, ("1", "3.5"): 1}
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
