@@ -138,6 +138,17 @@ def _of_domain(name: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[x for d, p in DOMAINS.items() for x in (F.lit(d), F.lit(float(p[name])))]), F.col("domain")), F.lit(float(first)))
 
 
+def numbers_asked(questions: DataFrame, by_domain: bool) -> DataFrame:
+    """(qid, domain, _docs, words, clause, number, of_question, key): a row for each number of a question or its options and each key it has."""
+    asked = questions.select("qid", "domain", _documents(questions).alias("_docs"), _context(F.col("question")).alias("words"), F.regexp_like("question", F.lit(extract.CLAUSE)).alias("clause"), extract.number_keys(F.col("question"), False).alias("q"), F.array_distinct(F.flatten(F.transform(_options(questions), lambda o: extract.number_keys(o, False)))).alias("o"))
+    rows = asked.select("qid", "domain", "_docs", "words", "clause", F.explode(F.concat(F.transform("q", lambda x: F.struct(x.alias("number"), F.lit(True).alias("of_question"))), F.transform(F.array_except("o", "q"), lambda x: F.struct(x.alias("number"), F.lit(False).alias("of_question"))))).alias("x")).select("qid", "domain", "_docs", "words", "clause", "x.number", "x.of_question")
+    return rows.withColumn("key", F.explode(extract.converted(F.col("number"))) if by_domain else F.col("number"))
+
+
+def large_number() -> Column:
+    return F.col("number").rlike("^[0-9]{4,}") | F.contains("number", F.lit("亿")) | F.contains("number", F.lit("万元")) | F.contains("number", F.lit("百万"))
+
+
 def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, numbers: DataFrame | None = None) -> DataFrame:
     """(qid, domain, doc_id, chunk_id, numeric) from numbers that question or options share with a chunk.
 
@@ -145,9 +156,7 @@ def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = Tru
     two. By domain: the domain's weight for a number of the question (of a clause question whatever the chunk has), also in
     other units; for one of the options 0.4 of it with two words, 0.8 with one word if it is large, and 250 in a table.
     """
-    asked = questions.select("qid", "domain", _documents(questions).alias("_docs"), _context(F.col("question")).alias("words"), F.regexp_like("question", F.lit(extract.CLAUSE)).alias("clause"), extract.number_keys(F.col("question"), False).alias("q"), F.array_distinct(F.flatten(F.transform(_options(questions), lambda o: extract.number_keys(o, False)))).alias("o"))
-    rows = asked.select("qid", "domain", "_docs", "words", "clause", F.explode(F.concat(F.transform("q", lambda x: F.struct(x.alias("number"), F.lit(True).alias("of_question"))), F.transform(F.array_except("o", "q"), lambda x: F.struct(x.alias("number"), F.lit(False).alias("of_question"))))).alias("x")).select("qid", "domain", "_docs", "words", "clause", "x.number", "x.of_question")
-    rows = rows.withColumn("key", F.explode(extract.converted(F.col("number"))) if by_domain else F.col("number"))
+    rows = numbers_asked(questions, by_domain)
     if numbers is None:  # the text goes along with the few numbers of a chunk
         told = keyed(chunks).select(*postings.KEYED, F.lower("text").alias("_low"), "has_table", F.explode_outer(extract.number_keys(F.col("text"))).alias("key")).where("key is not null")
     else:
@@ -156,7 +165,7 @@ def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = Tru
     met = F.size(F.filter("words", lambda w: F.contains("_low", w)))
     if by_domain:
         weight = _of_domain("numeric")
-        large = F.col("number").rlike("^[0-9]{4,}") | F.contains("number", F.lit("亿")) | F.contains("number", F.lit("万元")) | F.contains("number", F.lit("百万"))
+        large = large_number()
         option = F.when(large & F.col("has_table"), 250.0).when(large & (met >= 1), weight * 0.8).when(~large & (met >= 2), weight * 0.4).otherwise(0.0)
         points = F.when(F.col("of_question"), F.when(F.col("clause") | (met >= 1), weight).otherwise(0.0)).otherwise(option)
     else:
@@ -166,6 +175,31 @@ def numeric_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = Tru
     return once.groupBy("qid", *postings.KEYED).agg(F.sum("_points").alias("numeric"))
 
 
+def phrases_asked(questions: DataFrame, by_domain: bool, strong=STRONG_PHRASES) -> DataFrame:
+    """(qid, domain, _docs, key, whole) of phrases of questions and, by domain, their options; not whole are strong phrases that stand anywhere."""
+    scope = _documents(questions).alias("_docs")
+    if not by_domain:
+        return questions.select("qid", "domain", scope, F.explode(extract.phrases(F.col("question"), 3, 10)).alias("key"), F.lit(True).alias("whole"))
+    each = F.array_distinct(F.concat(extract.phrases(F.col("question"), 3, 20), F.flatten(F.transform(_options(questions), lambda o: extract.phrases(o, 3, 20)))))
+    query = F.concat_ws(" ", "question", F.array_join(_options(questions), " "))
+    contained = F.filter(F.array(*map(F.lit, strong)), lambda p: F.contains(query, p))
+    # one list instead of a union of questions, which the optimiser would join branch by branch and so lose where hits lie
+    told = lambda keys, whole: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(whole).alias("whole")))
+    rows = questions.select("qid", "domain", scope, F.explode(F.concat(told(F.coalesce(each, F.array().cast("array<string>")), True), told(contained, False))).alias("x"))
+    return rows.select("qid", "domain", "_docs", "x.key", "x.whole")
+
+
+def phrase_points(by_domain: bool, has_table: Column, clause_words: dict[str, tuple[str, ...]] | None = None, strong=STRONG_PHRASES) -> Column:
+    """What a shared phrase (domain, key, whole) gives to a chunk."""
+    if not by_domain:
+        return F.least(0.15 * F.char_length("key") + 0.05, F.lit(2.0))
+    clause = F.lit(False)
+    for domain, words in (clause_words or {}).items():
+        clause = clause | ((F.col("domain") == domain) & F.col("key").isin(*words))
+    weight = _of_domain("rating") * F.least(0.2 * F.char_length("key") + 0.2, F.lit(1.0)) * F.when(clause, 1.5).otherwise(1.0) + F.when(F.col("key").isin(*strong), 40.0).otherwise(0.0) + F.when(has_table, _of_domain("table_boost") * 2.0).otherwise(0.0)
+    return F.when(F.col("whole"), weight).otherwise(40.0)
+
+
 def phrase_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, phrases: DataFrame | None = None, clause_words: dict[str, tuple[str, ...]] | None = None, strong=STRONG_PHRASES) -> DataFrame:
     """(qid, domain, doc_id, chunk_id, phrase) from CJK phrases shared with a chunk.
 
@@ -173,27 +207,18 @@ def phrase_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True
     and options, rating * min(0.2 * length + 0.2, 1), half more for the domain's clause words, 40 more for strong phrases and
     twice the table weight in tables; and 40 for each strong phrase that stands anywhere in the query.
     """
-    scope = _documents(questions).alias("_docs")
     if phrases is None:
         keys = postings.postings(keyed(chunks), extract.phrase_keys(F.col("text")), ("has_table",))
     else:
         keys = phrases.join(chunks.select(*postings.KEYED, "has_table"), list(postings.KEYED))
-    if not by_domain:
-        rows = questions.select("qid", "domain", scope, F.explode(extract.phrases(F.col("question"), 3, 10)).alias("key"))
-        hits = meet(keys, rows, ("domain", "key"), "doc_ids" in questions.columns)
-        return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.least(0.15 * F.char_length("key") + 0.05, F.lit(2.0))).alias("phrase"))
-    each = F.array_distinct(F.concat(extract.phrases(F.col("question"), 3, 20), F.flatten(F.transform(_options(questions), lambda o: extract.phrases(o, 3, 20)))))
+    hits = meet(keys, phrases_asked(questions, by_domain, strong), ("domain", "key"), "doc_ids" in questions.columns)
+    return hits.groupBy("qid", *postings.KEYED).agg(F.sum(phrase_points(by_domain, F.col("has_table"), clause_words, strong)).alias("phrase"))
+
+
+def entities_asked(questions: DataFrame, by_domain: bool) -> DataFrame:
+    """(qid, domain, _docs, key): the first mentions of each question and its options, repeats included."""
     query = F.concat_ws(" ", "question", F.array_join(_options(questions), " "))
-    contained = F.filter(F.array(*map(F.lit, strong)), lambda p: F.contains(query, p))
-    # one list instead of a union of questions, which the optimiser would join branch by branch and so lose where hits lie
-    told = lambda keys, whole: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(whole).alias("whole")))
-    rows = questions.select("qid", "domain", scope, F.explode(F.concat(told(F.coalesce(each, F.array().cast("array<string>")), True), told(contained, False))).alias("x")).select("qid", "domain", "_docs", "x.key", "x.whole")
-    hits = meet(keys, rows, ("domain", "key"), "doc_ids" in questions.columns)
-    clause = F.lit(False)
-    for domain, words in (clause_words or {}).items():
-        clause = clause | ((F.col("domain") == domain) & F.col("key").isin(*words))
-    weight = _of_domain("rating") * F.least(0.2 * F.char_length("key") + 0.2, F.lit(1.0)) * F.when(clause, 1.5).otherwise(1.0) + F.when(F.col("key").isin(*strong), 40.0).otherwise(0.0) + F.when(F.col("has_table"), _of_domain("table_boost") * 2.0).otherwise(0.0)
-    return hits.groupBy("qid", *postings.KEYED).agg(F.sum(F.when(F.col("whole"), weight).otherwise(40.0)).alias("phrase"))
+    return questions.select("qid", "domain", _documents(questions).alias("_docs"), F.explode(extract.query_entities(query, F.col("domain") if by_domain else F.lit(""), 5 if by_domain else 3)).alias("key"))
 
 
 def entity_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True, entities: DataFrame | None = None, phrases: DataFrame | None = None, guarantees: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -202,9 +227,7 @@ def entity_boost(chunks: DataFrame, questions: DataFrame, by_domain: bool = True
     scope = _documents(questions).alias("_docs")
     keys = postings.entity(keyed(chunks)) if entities is None else entities
     query = F.concat_ws(" ", "question", F.array_join(_options(questions), " "))
-    domain = F.col("domain") if by_domain else F.lit("")
-    mentions = questions.select("qid", "domain", scope, F.explode(extract.query_entities(query, domain, 5 if by_domain else 3)).alias("key"))
-    hits = meet(keys, mentions, ("domain", "key"), "doc_ids" in questions.columns)
+    hits = meet(keys, entities_asked(questions, by_domain), ("domain", "key"), "doc_ids" in questions.columns)
     weight = _of_domain("entity") if by_domain else F.lit(1.5)
     points = hits.select("qid", *postings.KEYED, weight.alias("x"))
     if by_domain and guarantees:
