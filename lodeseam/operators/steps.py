@@ -34,11 +34,11 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, written once to a new_path() and read back."""
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """The table, written once to a new_path(), with options of its writer, and read back."""
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

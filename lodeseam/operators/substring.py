@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .sizes import MOST, size_of, small
-from .steps import cut
+from .steps import cut, spread
 
 #: Grams that a phrase is looked for by; parts of the postings by gram, and of a part by chunk.
 RAREST, BUCKETS, SPREAD = 3, 64, 8
@@ -50,8 +50,8 @@ def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
 
 
 class Index(NamedTuple):
-    postings: DataFrame  # gram, bucket, domain, doc_id, chunk_id, at array<int>
-    grams: DataFrame  # gram, chunks
+    postings: DataFrame  # gram, bucket (if stored), domain, doc_id, chunk_id, at array<int>
+    grams: DataFrame | None  # gram, chunks; counted for what is asked where the index isn't stored
 
 
 def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -59,35 +59,38 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def build(chunks: DataFrame, path: str | None = None) -> Index:
-    """Postings of all grams of `chunks` (domain, doc_id, chunk_id, text), dealt by gram and, as one gram may be in all chunks, by chunk;
-    a file holds grams in order. Written to `path`, or to the shared folder. Null and empty texts have none; chunks with a null in
-    their key are left out."""
+    """Postings of all grams of `chunks` (domain, doc_id, chunk_id, text). Null and empty texts have none; chunks with a null in their key are
+    left out.
+
+    Written to `path`, they are dealt by gram and, as one gram may be in all chunks, by chunk; a file holds grams in order. Without a path the
+    index is for one call: the tasks that read the texts write their postings to the shared folder, in order of grams for about STEP
+    characters at a time, and nothing is shuffled, as postings are many times the texts.
+    """
     names = ["domain", "doc_id", "chunk_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in pieces(whole, 3)):
-            rows, found, places, starts, n = [], [], [], [], 0
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                g = grams(characters(text or ""))
-                if not len(g):
-                    continue
-                order = np.argsort(g, kind="stable")
-                heads = np.flatnonzero(np.diff(g[order], prepend=-1))
-                rows.append(np.full(len(heads), i))
-                found.append(g[order][heads])
-                places.append(order.astype(np.int32))
-                starts.append(heads + n)
-                n += len(g)
-            if n:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(batch.column(k).take(at) for k in range(3)), _lists(np.concatenate(places), np.concatenate(starts), pa.int32())], names=["gram", *names, "at"])
-
-    rows = chunks.select(*[F.col(c).cast("string") for c in names], "text").dropna(subset=names).mapInArrow(run, "gram long, domain string, doc_id string, chunk_id string, at array<int>")
+            each = [grams(characters(text or "")) for text in batch.column(3).to_pylist()]
+            size = [len(g) for g in each]
+            if sum(size):
+                gram, row = np.concatenate(each), np.repeat(np.arange(len(each)), size)
+                place = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
+                order = np.argsort(gram, kind="stable")
+                gram, row = gram[order], row[order]
+                heads = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+                at = pa.array(row[heads])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[heads]), *(batch.column(k).take(at) for k in range(3)), _lists(place[order].astype(np.int32), heads, pa.int32())], names=["gram", *names, "at"])
+
+    told = chunks.select(*[F.col(c).cast("string") for c in names], "text").dropna(subset=names)
+    if path is None:
+        # a small file may be a task's; texts are only dealt where they are few
+        few = told.rdd.getNumPartitions() < told.sparkSession.sparkContext.defaultParallelism
+        told = spread(told, "doc_id", "chunk_id") if few else told
+    rows = told.mapInArrow(run, "gram long, domain string, doc_id string, chunk_id string, at array<int>")
+    if path is None:
+        return Index(cut(rows, compression="zstd"), None)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id", "chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "gram", "doc_id", "chunk_id")
-    if path is None:
-        held = cut(dealt)
-        return Index(held, cut(held.groupBy("gram").agg(F.count(F.lit(1)).alias("chunks"))))
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     held = chunks.sparkSession.read.parquet(f"{path}/postings")
     held.groupBy("gram").agg(F.count(F.lit(1)).alias("chunks")).write.mode("overwrite").parquet(f"{path}/grams")
@@ -128,13 +131,17 @@ def find(index: Index, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     phrases have no rows; a phrase may overlap itself."""
     asked = cut(_cut_up(queries))
     key = ["domain", "doc_id", "chunk_id"]
-    long = asked.where("n >= 3").join(index.grams, "gram", "left")
+    stored = index.grams is not None
+    whole = asked.where("n >= 3")
+    # of an index that isn't stored only the grams that are asked for are counted
+    counted = index.grams if stored else index.postings.join(small(cut(whole.select("gram").distinct())), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("chunks"))
+    long = whole.join(counted, "gram", "left")
     of = Window.partitionBy("qid", "phrase")
     ranked = long.withColumn("_k", F.row_number().over(of.orderBy(F.asc_nulls_first("chunks"), "offset"))).where(F.col("_k") <= RAREST)
     # a gram that no chunk has comes first
     chosen = ranked.withColumn("_lost", F.max(F.col("chunks").isNull()).over(of)).withColumn("_m", F.count(F.lit(1)).over(of)).where("NOT _lost")
     sent = small(cut(chosen.select("qid", "phrase", "n", "gram", "offset", "_m", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int").alias("bucket"))))
-    met = index.postings.join(sent, ["gram", "bucket"]).select("qid", "phrase", *key, "_m", F.transform("at", lambda p: p - F.col("offset")).alias("starts"))
+    met = index.postings.join(*((sent, ["gram", "bucket"]) if stored else (sent.drop("bucket"), "gram"))).select("qid", "phrase", *key, "_m", F.transform("at", lambda p: p - F.col("offset")).alias("starts"))
     all_ = met.groupBy("qid", "phrase", *key).agg(F.collect_list("starts").alias("s"), F.max("_m").alias("_m")).where(F.size("s") == F.col("_m"))
     common = all_.select("qid", "phrase", *key, F.aggregate(F.slice("s", 2, RAREST), F.get("s", F.lit(0)), F.array_intersect).alias("at")).where(F.size("at") > 0)
     texts = chunks.select(*[F.col(c).cast("string") for c in key], "text")
@@ -142,9 +149,15 @@ def find(index: Index, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     same = F.substring("text", F.col("start") + 1, F.char_length("phrase")) == F.col("phrase")
     checked = texts.join(starts, key).where(same).groupBy("qid", "phrase", *key).agg(F.collect_list("start").alias("at"))
     short = asked.where("n < 3").select("qid", "phrase", "n", (F.col("gram")).alias("head"))
-    heads = lambda n, bits: index.grams.select("gram", F.shiftleft(F.shiftright("gram", bits), bits).alias("head")).join(small(short.where(F.col("n") == n)), "head").select("qid", "phrase", "gram")
-    begun = cut(heads(1, 2 * BITS).unionByName(heads(2, BITS)))
-    few = index.postings.join(small(begun), "gram").groupBy("qid", "phrase", *key).agg(F.flatten(F.collect_list("at")).alias("at"))
+    begun = lambda rows, n, bits: rows.withColumn("head", F.shiftleft(F.shiftright("gram", bits), bits)).join(small(short.where(F.col("n") == n)), "head")
+    begins = ((1, 2 * BITS), (2, BITS))
+    if stored:
+        one, two = (begun(index.grams, *of_).select("qid", "phrase", "gram") for of_ in begins)
+        few = index.postings.join(small(cut(one.unionByName(two))), "gram")
+    else:
+        one, two = (begun(index.postings, *of_).select("qid", "phrase", *key, "at") for of_ in begins)
+        few = one.unionByName(two)
+    few = few.groupBy("qid", "phrase", *key).agg(F.flatten(F.collect_list("at")).alias("at"))
     return checked.unionByName(few).select("qid", "phrase", *key, F.array_sort("at").alias("at"))
 
 

@@ -83,3 +83,13 @@ def test_tools_have_no_loop_over_pairs(spark, chunks, queries):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {r.stage for r in plans[0].collect()} <= {0, 1, 2}
+
+
+def test_an_index_for_one_call_is_written_without_a_shuffle(spark, chunks, queries, monkeypatch):
+    wrote, cut = [], substring.cut
+    monkeypatch.setattr(substring, "cut", lambda df, **options: (wrote.append(df), cut(df, **options))[1])
+    monkeypatch.setattr(substring, "STEP", 1 << 12)  # pieces of a few texts
+    index = substring.build(spark.createDataFrame(texts(), SCHEMA).repartition(12))
+    plan = wrote[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan  # the repartition of the test
+    assert got(substring.find(index, queries, chunks)) == brute([r for r in texts() if r[1] and r[2]], PHRASES)
